@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import LOWER, as_bytes, bounded_batches
 
 SHARD_CHARS = 4_000_000
 WINDOW_WORDS = 10
@@ -134,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
                 ranges = merged((a, b) for a, b, _ in hits)
                 n_hit.append(sum(b - a for a, b in ranges))
                 ids.append(sorted(set().union(*(x for _, _, x in hits))))
-                places = [m.span() for m in _WORD.finditer(data.decode())] if ranges else []
+                places = [m.span() for m in _WORD.finditer(data.translate(LOWER).decode())] if ranges else []
                 spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges])
             yield pa.RecordBatch.from_arrays(
                 [
