@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, pii, topk, toxicity
+from . import chat, decontaminate, jaccard, mixing, pii, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_exact_topk": op5_exact_topk,
     "op6_personal_data": op6_personal_data,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
@@ -46,5 +51,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_exact_topk": topk.ORACLE,
+    "op7_ngram_jaccard": jaccard.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
 }
