@@ -1,16 +1,68 @@
 """Corpus preparation in five stages, each written as Parquet and read as the next one's input.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
-what it keeps. All but the last return the columns of ``documents``.
+what it keeps. All but the last return the columns of ``documents``; the last returns
+the mix: which documents are taken, and how often.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from seqloom.llm import common, decontaminate, jaccard, mixing, pii, toxicity
+from seqloom.llm.queries import table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from labels of ``docs``."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the one of the smallest doc_id."""
+    found = common.cut(jaccard.jaccard_components(docs).where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    same = kept.doc_id == twice._twice
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark text occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the number of copies."""
+    return mixing.mix(docs).where("copies > 0")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard", without_near_copies),
+    ("decontamination", without_benchmarks),
+    ("personal_data", without_personal_data),
+    ("source_mixing", mixed),
+]
+
+#: Trained models and sampling are not SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = common.scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

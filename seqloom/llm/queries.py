@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, lm, mixing, pii, topk, toxicity
+from . import chat, decontaminate, jaccard, licenses, lm, mixing, pii, separators, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_count_report(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(table(spark, sf_dir, "conversations"), spark)
 
@@ -45,6 +53,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_license_scan": op2_license_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_exact_topk": op5_exact_topk,
     "op6_personal_data": op6_personal_data,
@@ -55,6 +65,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": licenses.oracle(),
     "op5_exact_topk": topk.ORACLE,
     "op7_ngram_jaccard": jaccard.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
