@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch at most. Texts may hold 100 kB and more, so a batch
@@ -37,9 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    The driver's garbage is collected at once: Spark removes the shuffle files of finished
+    jobs only when their plans are collected, and they would pile up until then.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,3 +68,22 @@ def as_bytes(column) -> list[bytes]:
 def words(data: bytes) -> list[bytes]:
     """Maximal runs without ASCII white space, A-Z in lower case."""
     return data.translate(LOWER).split()
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Byte planes of an array, compressed."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
+    return len(planes).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if planes else b"")
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n, asbytes=True), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()

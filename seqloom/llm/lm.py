@@ -23,8 +23,8 @@ its part of the automaton. A state depends on the last two tokens alone, so the
 traversal computes the states of all positions first and then follows failure arcs for
 all positions together; ``walk`` is the same traversal token by token.
 
-N-grams of two and three tokens are known by hashes of log2(bytes) + ``SPARE`` bits, so one
-lookup in a million may meet another n-gram's count; words are known by 64 bits.
+N-grams of two and three tokens are known by hashes of log2(bytes) + ``SPARE`` bits, so a few
+lookups in a million may meet another n-gram's count; words are known by 64 bits.
 
 Defined cases: a null or empty text is its end token alone; held out are texts whose
 crc32(doc_id as text) mod 7 is 2, a null doc_id trains; repeated rows are texts of their
@@ -40,12 +40,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut
+from .common import as_bytes, bounded_batches, cut, pack, unpack
 from .hashing import mix64, word_hashes
 
 FOLDS, HELD = 7, 2
 BLOCK = 12_000_000
-SPARE = 20
+SPARE = 16
 NEW = 0.7
 L3 = 0.5
 ORDERS = (1, 2, 3)
@@ -60,25 +60,6 @@ ANSWERS = "block bigint, bucket bigint, answer1 binary, answer2 binary, answer3
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
-    import pyarrow as pa
-
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-    return len(planes).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(planes, asbytes=True) if planes else b"")
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    import pyarrow as pa
-
-    n = int.from_bytes(data[:8], "little")
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n, asbytes=True), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
-
-
 def _block_rows(batches):
     """Texts of a batch, packed and compressed for each block."""
     import pyarrow as pa
@@ -325,6 +306,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ).mapInArrow(_block_rows, BLOCKS)
     asked = blocks.groupBy("block").applyInArrow(_request(n_blocks, bits), REQUESTS)
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS))
+    del asked
     bins = [
         tuple(r)
         for r in answers.where("bins IS NOT NULL").select(F.explode("bins").alias("b")).select("b.*")
