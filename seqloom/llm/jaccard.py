@@ -11,12 +11,13 @@ A document's set holds its distinct ``size``-word shingles. Two documents link w
    with another cannot link and leave here. Set sizes fall into classes of doubling size
    with a fixed number of groups; a set near a border uses both classes.
 3. First links: in a part of the cells each document is paired with the cell's smallest
-   one and verified. Copies of one text become one component without meeting pairwise.
+   one, bounded as in 4 and verified. Copies of one text become one component without meeting pairwise.
 4. Cells that still hold more than one component are indexed: documents are points of
-   ``COORDINATES`` group counts, sorted by size into leaves of about ``LEAF`` points
+   group counts, dealt by size into leaves of about ``LEAF`` points
    with their bounding box. Two leaves, then two points, are kept apart when the sum of
    coordinate minima (of the boxes' upper corners; of the points) is below the overlap
-   that a link needs. Pairs already in one component are skipped: a link between them
+   that a link needs. A set of n shingles has about n / 4 coordinates, a power of two; two
+   points meet in the coarser one's coordinates. Pairs already in one component are skipped: a link between them
    changes nothing.
 5. Surviving pairs are verified on their whole shingle sets; components are taken again.
 
@@ -35,13 +36,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut
+from .common import as_bytes, bounded_batches, cut, pack, unpack
 from .hashing import mix64, word_hashes
 
 SHINGLE = 4
 NUM, DEN = 85, 100
-COORDINATES = 64
 LEAF = 256
+#: Counts from here on bound nothing: they are kept in one byte.
+FULL = 255
+#: Bits of a cell beyond the logarithm of the input's size.
+SPARE = 12
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 #: One in so many cells takes part in step 3; step 4 sees all of them.
@@ -98,52 +102,69 @@ def classes_of(n: int) -> list[int]:
     return [own, own + 1] if n * DEN // NUM >= 1 << (own + 1) else [own]
 
 
-def _sets(batches):
-    import pyarrow as pa
+def coordinates_of(n: int) -> int:
+    """Number of group counts of a set: a power of two, a quarter of its size or 16."""
+    return 1 << max(4, (n // 4).bit_length() - 1)
 
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            ns, f1, f2, counts, cells = [], [], [], [], []
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end]) < CHUNK):
-                    held += len(texts[end])
-                    end += 1
-                every, first = shingles(texts[at:end])
-                mixed = mix64(every ^ np.uint64(0xA0761D6478BD642F))
-                for a, b in zip(first[:-1], first[1:]):
-                    mine = every[a:b]
-                    ns.append(int(b - a))
-                    f1.append(int(mine.sum(dtype=np.uint64).view(np.int64)) if b > a else 0)
-                    f2.append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)) if b > a else 0)
-                    point = np.bincount((mine & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
-                    counts.append(np.minimum(point, 65535).astype(np.uint16).tobytes())
-                    cells.append(np.concatenate([cells_of(mine, c) for c in classes_of(int(b - a))]).tobytes() if b > a else b"")
-                at = end
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                    pa.array(counts, pa.binary()), pa.array(cells, pa.binary()),
-                ],
-                names=["doc_id", "n", "f1", "f2", "counts", "cells"],
-            )
+
+def _sets(bits: int):
+    def run(batches):
+        import pyarrow as pa
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                texts = as_bytes(batch.column("text"))
+                ns, f1, f2, counts, cells = [], [], [], [], []
+                at = 0
+                while at < len(texts):
+                    end, held = at, 0
+                    while end < len(texts) and (end == at or held + len(texts[end]) < CHUNK):
+                        held += len(texts[end])
+                        end += 1
+                    every, first = shingles(texts[at:end])
+                    mixed = mix64(every ^ np.uint64(0xA0761D6478BD642F))
+                    for a, b in zip(first[:-1], first[1:]):
+                        mine, n = every[a:b], int(b - a)
+                        ns.append(n)
+                        if not n:
+                            f1.append(0), f2.append(0), counts.append(b""), cells.append(b"")
+                            continue
+                        f1.append(int(mine.sum(dtype=np.uint64).view(np.int64)))
+                        f2.append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)))
+                        g = coordinates_of(n)
+                        point = np.bincount((mine & np.uint64(g - 1)).astype(np.int64), minlength=g)
+                        counts.append(np.minimum(point, FULL).astype(np.uint8).tobytes())
+                        own = np.unique(np.concatenate([cells_of(mine, c) for c in classes_of(n)]) >> np.uint64(64 - bits))
+                        cells.append(pack(np.diff(own, prepend=np.uint64(0))))
+                    at = end
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                        pa.array(counts, pa.binary()), pa.array(cells, pa.binary()),
+                    ],
+                    names=["doc_id", "n", "f1", "f2", "counts", "cells"],
+                )
+
+    return run
+
+
+PACKED = "bucket bigint, ids binary, cell binary, owner binary, flag binary, many_cell binary, many_doc binary"
 
 
-def _deal(buckets: int):
-    """Cells of a batch of documents, packed into a row for each bucket of cells.
+def _deal(buckets: int, bits: int):
+    """Cells of a batch of documents, packed into a row for each bucket (a range of cells).
 
     A cell that several documents of the batch share is sent once, flagged; those documents'
     pairs (cell, doc_id) travel in rows of their own, dealt without regard to the cell.
     """
+    limits = np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            per = [np.frombuffer(c, np.uint64) for c in batch.column("cells").to_pylist()]
+            ids = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
+            per = [np.cumsum(unpack(c, np.uint64), dtype=np.uint64) for c in batch.column("cells").to_pylist()]
             if not per:
                 continue
             owner = np.repeat(np.arange(len(per)), [len(c) for c in per])
@@ -155,18 +176,19 @@ def _deal(buckets: int):
             many = np.repeat(size > 1, size)
             rows = []
             if many.any():
-                rows.append((int(ids[0]) % buckets, b"", b"", b"", cell[many].tobytes(), ids[owner[many]].tobytes()))
-            one, who, flag = cell[starts], ids[owner[starts]], (size > 1)
-            bucket = (one % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            one, who, flag, bucket = one[order], who[order], flag[order], bucket[order]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(one) else []
-            for a, b in zip(edges, np.append(edges[1:], len(one))):
-                rows.append((int(bucket[a]), one[a:b].tobytes(), who[a:b].tobytes(), flag[a:b].tobytes(), b"", b""))
-            kinds = [pa.int64()] + [pa.binary()] * 5
+                rows.append((int(ids[0]) % buckets, *[b""] * 4, pack(cell[many]), pack(ids[owner[many]])))
+            one, who, flag = cell[starts], owner[starts].astype(np.uint32), size > 1
+            edges = np.concatenate([[0], np.searchsorted(one, limits), [len(one)]])
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if b > a:
+                    used, place = np.unique(who[a:b], return_inverse=True)
+                    gaps = np.diff(one[a:b], prepend=np.uint64(0))
+                    rows.append((k, pack(ids[used]), pack(gaps), pack(place.astype(np.uint32)), pack(flag[a:b]), b"", b""))
+            kinds = [pa.int64()] + [pa.binary()] * 6
+            columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)],
-                names=["bucket", "cell", "doc", "flag", "many_cell", "many_doc"],
+                [pa.array(list(c), t) for c, t in zip(columns, kinds)],
+                names=[x.split()[0] for x in PACKED.split(", ")],
             )
 
     return run
@@ -176,9 +198,17 @@ def _meet(key, pdf):
     """(cell, doc_id) of the cells that more than one document has."""
     import pandas as pd
 
-    cell = np.frombuffer(b"".join(pdf["cell"]), np.uint64)
-    doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
-    flag = np.frombuffer(b"".join(pdf["flag"]), bool)
+    cells, docs, flags, many = [], [], [], []
+    for r in pdf.itertuples(index=False):
+        if r.cell:
+            cells.append(np.cumsum(unpack(r.cell, np.uint64), dtype=np.uint64))
+            docs.append(unpack(r.ids, np.int64)[unpack(r.owner, np.uint32)])
+            flags.append(unpack(r.flag, bool))
+        else:
+            many.append((unpack(r.many_cell, np.uint64), unpack(r.many_doc, np.int64)))
+    cell = np.concatenate(cells) if cells else np.zeros(0, np.uint64)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    flag = np.concatenate(flags) if flags else np.zeros(0, bool)
     order = np.argsort(cell, kind="stable")
     cell, doc, flag = cell[order], doc[order], flag[order]
     shared = np.zeros(len(cell), bool)
@@ -187,16 +217,48 @@ def _meet(key, pdf):
         shared[1:] |= same
         shared[:-1] |= same
     single = shared & ~flag  # flagged ones travel with the documents that share them
-    many_cell = np.frombuffer(b"".join(pdf["many_cell"]), np.uint64)
-    many_doc = np.frombuffer(b"".join(pdf["many_doc"]), np.int64)
     return pd.DataFrame(
         {
-            "cell": np.concatenate([cell[single], many_cell]).view(np.int64),
-            "doc": np.concatenate([doc[single], many_doc]),
+            "cell": np.concatenate([cell[single]] + [m[0] for m in many]).view(np.int64),
+            "doc": np.concatenate([doc[single]] + [m[1] for m in many]),
         }
     )
 
 
+def fold(point: np.ndarray, size: int) -> np.ndarray:
+    """Counts in ``size`` coordinates; a full count stays without bound."""
+    full = point >= FULL
+    out = point.astype(np.int32).reshape(-1, size).sum(0)
+    out[full.reshape(-1, size).any(0)] = 1 << 24
+    return out
+
+
+def _able(n_a, n_b):
+    """Whether sizes alone allow a link."""
+    return DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)
+
+
+def _bounded(batches):
+    """The pairs whose summed coordinate minima reach the overlap that a link needs."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n_a, n_b = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("n_a", "n_b"))
+        keep = _able(n_a, n_b)
+        points = [batch.column(c).to_pylist() for c in ("counts_a", "counts_b")]
+        for i in np.flatnonzero(keep):
+            x, y = (np.frombuffer(p[i], np.uint8) for p in points)
+            size = min(len(x), len(y))
+            keep[i] = np.minimum(fold(x, size), fold(y, size)).sum() * (NUM + DEN) >= NUM * (n_a[i] + n_b[i])
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """pairs(a, b) of documents whose points(doc, n, counts) allow a link."""
+    side = lambda c: points.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a bigint, b bigint").distinct()
+
+
 def links(pair_texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """pairs(a, b, text_a, text_b) -> the pairs (a, b) that link, by their whole sets."""
 
@@ -263,32 +325,26 @@ def _leaf_pairs(batches):
     for frame in batches:
         a_out, b_out = [], []
         for r in frame.itertuples(index=False):
-            left, right = _leaf(r.leaf_a), _leaf(r.leaf_b)
-            need = NUM / (NUM + DEN)
+            size = min(min(len(p["counts"]) for p in leaf) for leaf in (r.leaf_a, r.leaf_b))
+            left, right = _leaf(r.leaf_a, size), _leaf(r.leaf_b, size)
             n_a, n_b = left[2], right[2]
             box = np.minimum(left[3].max(0), right[3].max(0)).sum()
-            if box + 1e-6 < need * (n_a.min() + n_b.min()):
+            if box * (NUM + DEN) < NUM * (n_a.min() + n_b.min()):
                 continue
             for i in range(len(n_a)):
                 able = (left[1][i] != right[1]) & (left[0][i] < right[0] if r.same else left[0][i] != right[0])
-                able &= (DEN * np.minimum(n_a[i], n_b) >= NUM * np.maximum(n_a[i], n_b))
-                j = np.flatnonzero(able)
+                j = np.flatnonzero(able & _able(n_a[i], n_b))
                 if len(j):
                     overlap = np.minimum(left[3][i], right[3][j]).sum(1)
-                    j = j[overlap + 1e-6 >= need * (n_a[i] + n_b[j])]
+                    j = j[overlap * (NUM + DEN) >= NUM * (n_a[i] + n_b[j])]
                     a_out += [int(left[0][i])] * len(j)
                     b_out += right[0][j].tolist()
         yield pd.DataFrame({"a": np.minimum(a_out, b_out), "b": np.maximum(a_out, b_out)}).astype("int64")
 
 
-def _leaf(points):
-    doc = np.array([p["doc"] for p in points], np.int64)
-    comp = np.array([p["comp"] for p in points], np.int64)
-    n = np.array([p["n"] for p in points], np.int64)
-    counts = np.stack([np.frombuffer(p["counts"], np.uint16) for p in points]).astype(np.int32)
-    # counts beyond 65535 were cut: such a coordinate must not bound the overlap
-    counts = np.where(counts == 65535, np.int32(1 << 24), counts)
-    return doc, comp, n, counts
+def _leaf(points, size: int):
+    doc, comp, n = (np.array([p[c] for p in points], np.int64) for c in ("doc", "comp", "n"))
+    return doc, comp, n, np.stack([fold(np.frombuffer(p["counts"], np.uint8), size) for p in points])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -296,51 +352,52 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(texts.mapInArrow(_sets, SETS))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(62, max(32, int(size + 2).bit_length() + SPARE))
+    sets = cut(texts.mapInArrow(_sets(bits), SETS))
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 
     # 1. equal sets: one representative; rows of one doc_id with several sets are tied together
     same = ["n", "f1", "f2"]
-    groups = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = cut(usable.select("doc_id", *same).distinct().join(groups, same).select("doc_id", *same, "rep"))
+    groups = usable.select("doc_id", *same).groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    members = cut(usable.select("doc_id", *same).distinct().join(groups, same).select("doc_id", "n", "rep"))
     ties = (
         members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
         .join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b")
     )
-    owners = members.where("doc_id = rep").select("doc_id", *same)
-    reps = usable.join(owners, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
-    points = reps.groupBy(F.col("doc_id").alias("doc")).agg(F.max_by(F.struct("n", "counts"), "n").alias("p"))
 
     # 2. cells that more than one representative has
-    total = reps.agg(F.sum(F.length("cells")) / 8).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
-    packed = reps.select("doc_id", "cells").mapInArrow(
-        _deal(buckets), "bucket bigint, cell binary, doc binary, flag binary, many_cell binary, many_doc binary"
-    )
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // 32_000_000) + 1)
+    reps = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells"))
+    packed = reps.select("rep", "cells").mapInArrow(_deal(buckets, bits), PACKED)
     shared = cut(packed.groupBy("bucket").applyInPandas(_meet, "cell bigint, doc bigint"))
+    in_cells = cut(shared.select("doc").distinct())
+    points = cut(
+        usable.join(in_cells.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("doc"), "n", "counts")
+    )
 
     # 3. first links: each document with the smallest one of its cells
     some = shared.where(F.pmod(F.xxhash64("cell"), F.lit(FIRST)) == 0)
     hubs = some.groupBy("cell").agg(F.min("doc").alias("hub"))
     first = some.join(hubs, "cell").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    in_cells = shared.select("doc").distinct()
     rep_texts = (
         texts.join(in_cells.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("doc"), "text")
     )
-    edges = cut(links(_with_texts(first, rep_texts)).unionByName(ties))
+    edges = cut(links(_with_texts(within_bound(first, points), rep_texts)).unionByName(ties))
     comps = cut(components(edges))
 
     # 4. cells of several components: leaves of points, bounded by coordinate minima
     placed = shared.join(comps, "doc", "left").select("cell", "doc", F.coalesce("comp", "doc").alias("comp"))
     mixed = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     inside = placed.join(mixed.select("cell", "m"), "cell").join(points, "doc")
-    band = F.floor(F.log(F.col("p.n").cast("double")) / np.log(DEN / NUM))
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM))
     inside = inside.withColumn("band", band.cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / F.lit(LEAF))).cast("int")
     )
     leaves = inside.groupBy("cell", "band", "part").agg(
-        F.collect_list(F.struct("doc", "comp", F.col("p.n").alias("n"), F.col("p.counts").alias("counts"))).alias("leaf"),
+        F.collect_list(F.struct("doc", "comp", "n", "counts")).alias("leaf"),
         F.min("comp").alias("lo"), F.max("comp").alias("hi"),
     )
     leaves = cut(leaves)
