@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import interval_queries, sequence_queries
+from .plans import interval_queries, sequence_queries, text_queries
 
-MODULES = (sequence_queries, interval_queries)
+MODULES = (sequence_queries, interval_queries, text_queries)
 
 
 def queries() -> dict:

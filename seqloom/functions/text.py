@@ -6,20 +6,23 @@ Arrow-batched functions, since Spark has no built-in for them.
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode characters of Arabic script and its marks.
-TATWEEL = "ـ"
-ZERO_WIDTH = "​‌‍﻿"
-PAUSE_SIGNS = "ۖۗۘۙۚۛۜ۝۞ۭ۟۠ۢ"
-SHORT_MARKS = {"fatha": "َ", "damma": "ُ", "kasra": "ِ"}
-TANWEEN_MARKS = {"tanween_fath": "ً", "tanween_damm": "ٌ", "tanween_kasr": "ٍ"}
-OTHER_MARKS = {"shaddah": "ّ", "sukoon": "ْ", "dagger_alif": "ٰ"}
+TATWEEL = "\u0640"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+PAUSE_SIGNS = "\u06d6\u06d7\u06d8\u06d9\u06da\u06db\u06dc\u06dd\u06de\u06df\u06e0\u06e2\u06ed"
+SHORT_MARKS = {"fatha": "\u064e", "damma": "\u064f", "kasra": "\u0650"}
+TANWEEN_MARKS = {"tanween_fath": "\u064b", "tanween_damm": "\u064c", "tanween_kasr": "\u064d"}
+OTHER_MARKS = {"shaddah": "\u0651", "sukoon": "\u0652", "dagger_alif": "\u0670"}
 MARK_NAMES = SHORT_MARKS | TANWEEN_MARKS | OTHER_MARKS
-STRIPPED_MARKS = "ًٌٍَُِّْٰۥۦۡ"
-LETTERS = "ء-يݐ-ݿ"
-COMPARED_MARKS = "ؐ-ًؚ-ٰٟ"
+STRIPPED_MARKS = "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652\u0654\u0655\u0670\u06e5"
+LETTERS = "\u0621-\u064a\u0750-\u077f"
+COMPARED_MARKS = "\u0610-\u061a\u064b-\u065f\u0670"
 
 
 def as_column(x: Column | str) -> Column:
@@ -30,8 +33,6 @@ def normalize(text: Column | str, form: str = "NFC") -> Column:
     """Unicode normal form; a form that does not exist raises."""
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"no Unicode normal form: {form}")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)
@@ -179,10 +180,6 @@ def before_bracket(text: Column | str) -> Column:
 
 def similarity(a: Column | str, b: Column | str) -> Column:
     """Ratcliff/Obershelp ratio of two strings."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])

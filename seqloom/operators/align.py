@@ -38,6 +38,11 @@ def greedy_match(words: list[str], found: list[str], strict: bool = True) -> lis
     return out
 
 
+def _renewed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as new ones: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(f"_{c}") for c in columns]).toDF(*columns)
+
+
 def greedy_word_match(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str, strict: bool = True) -> DataFrame:
     """key, left_pos, right_pos (null if not found), word: greedy forward match of two word sequences.
 
@@ -62,7 +67,7 @@ def greedy_word_match(left: DataFrame, right: DataFrame, key: Sequence[str], ord
         return pd.DataFrame(out, dtype=object)
 
     cols = [*key, order, word]
-    return left.select(*cols).groupBy(*key).cogroup(right.select(*cols).groupBy(*key)).applyInPandas(run, schema)
+    return left.select(*cols).groupBy(*key).cogroup(_renewed(right, cols).groupBy(*key)).applyInPandas(run, schema)
 
 
 def diff_opcodes(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str) -> DataFrame:
@@ -80,7 +85,7 @@ def diff_opcodes(left: DataFrame, right: DataFrame, key: Sequence[str], order: s
         return pd.DataFrame(rows, columns=[*key, "tag", "i1", "i2", "j1", "j2"], dtype=object)
 
     cols = [*key, order, word]
-    return left.select(*cols).groupBy(*key).cogroup(right.select(*cols).groupBy(*key)).applyInPandas(run, schema)
+    return left.select(*cols).groupBy(*key).cogroup(_renewed(right, cols).groupBy(*key)).applyInPandas(run, schema)
 
 
 def word_errors(opcodes: DataFrame) -> DataFrame:
