@@ -8,7 +8,6 @@ the mix: which documents are taken, and how often.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seqloom.llm import common, decontaminate, jaccard, mixing, pii, toxicity
 from seqloom.llm.queries import table
@@ -22,13 +21,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the one of the smallest doc_id."""
     found = common.cut(jaccard.jaccard_components(docs).where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    kept = common.with_keys(docs, "doc_id", found.where("doc_id <> component_id").select("doc_id"), "left_anti")
+    twice = common.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
-    same = kept.doc_id == twice._twice
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    once = common.with_keys(kept, "doc_id", twice, "left_anti")
+    return once.unionByName(common.with_keys(kept, "doc_id", twice).dropDuplicates(["doc_id"]))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

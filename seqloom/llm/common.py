@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Rows and bytes in an Arrow batch at most. Texts may hold 100 kB and more, so a batch
 #: of Spark's default 10,000 rows could fill a Python worker.
@@ -51,6 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Key tables of at most this many rows are broadcast (16 MB of keys), larger ones are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def with_keys(df: DataFrame, on: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``on`` is (``left_semi``) or is not (``left_anti``) in the one column of ``keys``.
+
+    The keys are counted: where they are few, the wide rows of ``df`` need no shuffle.
+    """
+    keys = keys.toDF("_key").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = broadcast(keys)
+    return df.join(keys, df[on] == keys["_key"], how)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table written between two jobs."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, pack, unpack
+from .common import as_bytes, bounded_batches, cut, pack, unpack, with_keys
 from .hashing import mix64, word_hashes
 
 SHINGLE = 4
@@ -312,7 +312,11 @@ def components(edges: DataFrame) -> DataFrame:
     return vertices.unionByName(roots).groupBy("doc").agg(F.min("comp").alias("comp"))
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(a, b) with both texts; only documents of a pair are read on."""
+    pairs = cut(pairs)
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    texts = with_keys(docs.select(F.col("doc_id").alias("doc"), "text"), "doc", ids)
     a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(a, "a").join(b, "b")
@@ -373,7 +377,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = cut(packed.groupBy("bucket").applyInPandas(_meet, "cell bigint, doc bigint"))
     in_cells = cut(shared.select("doc").distinct())
     points = cut(
-        usable.join(in_cells.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+        with_keys(usable, "doc_id", in_cells)
         .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("doc"), "n", "counts")
     )
 
@@ -381,11 +385,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     some = shared.where(F.pmod(F.xxhash64("cell"), F.lit(FIRST)) == 0)
     hubs = some.groupBy("cell").agg(F.min("doc").alias("hub"))
     first = some.join(hubs, "cell").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    rep_texts = (
-        texts.join(in_cells.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("doc"), "text")
-    )
-    edges = cut(links(_with_texts(within_bound(first, points), rep_texts)).unionByName(ties))
+    edges = cut(links(_with_texts(within_bound(first, points), texts)).unionByName(ties))
     comps = cut(components(edges))
 
     # 4. cells of several components: leaves of points, bounded by coordinate minima
@@ -413,7 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     # 5. survivors on their whole sets, and components over all links
-    edges = edges.unionByName(links(_with_texts(pairs, rep_texts)))
+    edges = edges.unionByName(links(_with_texts(pairs, texts)))
     final = cut(components(edges))
 
     classes = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
