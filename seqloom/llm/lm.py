@@ -49,6 +49,8 @@ SPARE = 16
 NEW = 0.7
 L3 = 0.5
 ORDERS = (1, 2, 3)
+#: Tokens whose automaton is built at once.
+PART = 1 << 18
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
@@ -279,12 +281,24 @@ def _score(n: int, v: int, chance: np.ndarray, bits: int):
         ids, known, held, tokens, first = _tokens(texts)
         answers = answers.sort_by("bucket")
         counts = []
-        for k, keys in zip(ORDERS, _keys(tokens, first, bits)):
+        every = _keys(tokens, first, bits)
+        del tokens
+        for k in ORDERS:
+            keys = every.pop(0)
             _, back = np.unique(keys, return_inverse=True)
             counts.append(np.concatenate([unpack(x, np.uint64) for x in answers.column(f"answer{k}").to_pylist()])[back])
-        model = Automaton(counts, first, n, v, chance)
-        start = first[:-1]
-        per = [np.add.reduceat(x, start) for x in (np.log10(model.p1), model.traverse(), (counts[0] > 0).astype(np.int64))]
+            del keys, back
+        base, model_score = np.empty(len(ids)), np.empty(len(ids))
+        at = 0
+        while at < len(ids):  # a part of the texts at a time: the automaton's weights take several arrays
+            end = max(at + 1, int(np.searchsorted(first, first[at] + PART, "right")) - 1)
+            a, b = first[at], first[end]
+            model = Automaton([c[a:b] for c in counts], first[at : end + 1] - a, n, v, chance)
+            start = first[at:end] - a
+            base[at:end] = np.add.reduceat(np.log10(model.p1), start)
+            model_score[at:end] = np.add.reduceat(model.traverse(), start)
+            at = end
+        per = [base, model_score, np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])]
         columns = [pa.array(ids, mask=~known), held, np.diff(first), per[2], np.full(len(ids), n), per[0], per[1]]
         return pa.table([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, kinds)], names=names)
 
