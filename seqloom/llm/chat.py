@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that no text may bring into the output: the template's own and common others.
@@ -172,7 +172,7 @@ def chat_windows(
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     )
-    return ordered.mapInArrow(run, WINDOWS)
+    return ordered.mapInArrow(tidy(run), WINDOWS)
 
 
 def _batch(rows: list[tuple], loss_type):
@@ -232,7 +232,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield batch_of([result(state)])
 
-    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, READ)
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(tidy(run), READ)
 
 
 def chat_report(conversations: DataFrame, spark: SparkSession) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, bounded_batches
+from .common import as_bytes, bounded_batches, tidy, LOWER
 
 SHARD_CHARS = 4_000_000
 WINDOW_WORDS = 10
@@ -147,7 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(scan), SCHEMA)
 
 
 def digest(ids: list[str]) -> str:
@@ -186,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_
                 keep = [k and not scanner.hits(t) for k, t in zip(keep, texts)]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 ORACLE = r"""

@@ -6,11 +6,14 @@ A document's set holds its distinct ``size``-word shingles. Two documents link w
 1. Shingles become 64-bit hashes in numpy, sorted and distinct. Documents with equal sets
    collapse into one representative (the smallest doc_id).
 2. The hash range is dealt into groups. A linking pair differs in at most 15 / 85 of the
-   smaller set, and there are more non-empty groups than that, so some group holds
-   the same shingles in both (pigeonhole); its hash is a cell. Documents that share no cell
+   smaller set, and there are more non-empty groups than that, so some groups hold
+   the same shingles in both (pigeonhole); the hash of a group is a cell. Documents that share no cell
    with another cannot link and leave here. Set sizes fall into classes of doubling size
-   with a fixed number of groups; a set near a border uses both classes.
-3. First links: in a part of the cells each document is paired with the cell's smallest
+   with a fixed number of groups; a set near a border uses both classes. As at most k
+   groups of a set can differ from a partner's, its k + 1 rarest cells hold a common one
+   (prefix filter, the same order everywhere: number of documents, then hash), and the
+   others are left out; cells of one document alone come first and need no row.
+3. First links: in its cells each document is paired with the cell's smallest
    one, bounded as in 4 and verified. Copies of one text become one component without meeting pairwise.
 4. Cells that still hold more than one component are indexed: documents are points of
    group counts, dealt by size into leaves of about ``LEAF`` points
@@ -33,10 +36,10 @@ and gets a null component; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, pack, unpack, with_keys
+from .common import as_bytes, bounded_batches, cut, give_back, pack, tidy, unpack, with_keys
 from .hashing import mix64, word_hashes
 
 SHINGLE = 4
@@ -48,10 +51,8 @@ FULL = 255
 SPARE = 12
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
-#: One in so many cells takes part in step 3; step 4 sees all of them.
-FIRST = 8
 
-SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, counts binary, cells binary"
+SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, c0 bigint, c1 bigint, counts binary, cells binary"
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ def _sets(bits: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = as_bytes(batch.column("text"))
-                ns, f1, f2, counts, cells = [], [], [], [], []
+                ns, f1, f2, c0, c1, counts, cells = [], [], [], [], [], [], []
                 at = 0
                 while at < len(texts):
                     end, held = at, 0
@@ -127,22 +128,27 @@ def _sets(bits: int):
                         mine, n = every[a:b], int(b - a)
                         ns.append(n)
                         if not n:
-                            f1.append(0), f2.append(0), counts.append(b""), cells.append(b"")
+                            f1.append(0), f2.append(0), c0.append(0), c1.append(0), counts.append(b""), cells.append(b"")
                             continue
                         f1.append(int(mine.sum(dtype=np.uint64).view(np.int64)))
                         f2.append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)))
                         g = coordinates_of(n)
                         point = np.bincount((mine & np.uint64(g - 1)).astype(np.int64), minlength=g)
                         counts.append(np.minimum(point, FULL).astype(np.uint8).tobytes())
-                        own = np.unique(np.concatenate([cells_of(mine, c) for c in classes_of(n)]) >> np.uint64(64 - bits))
+                        # the last bit tells the two classes of a set apart
+                        parts = [cells_of(mine, c) >> np.uint64(65 - bits) << np.uint64(1) | np.uint64(c & 1) for c in classes_of(n)]
+                        own = np.unique(np.concatenate(parts))
+                        odd = int((own & np.uint64(1)).sum())
+                        c0.append(len(own) - odd)
+                        c1.append(odd)
                         cells.append(pack(np.diff(own, prepend=np.uint64(0))))
                     at = end
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                        pa.array(counts, pa.binary()), pa.array(cells, pa.binary()),
+                        pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.binary()),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "counts", "cells"],
+                    names=["doc_id", "n", "f1", "f2", "c0", "c1", "counts", "cells"],
                 )
 
     return run
@@ -217,6 +223,7 @@ def _meet(key, pdf):
         shared[1:] |= same
         shared[:-1] |= same
     single = shared & ~flag  # flagged ones travel with the documents that share them
+    give_back()
     return pd.DataFrame(
         {
             "cell": np.concatenate([cell[single]] + [m[0] for m in many]).view(np.int64),
@@ -256,7 +263,7 @@ def _bounded(batches):
 def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """pairs(a, b) of documents whose points(doc, n, counts) allow a link."""
     side = lambda c: points.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a bigint, b bigint").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_bounded), "a bigint, b bigint").distinct()
 
 
 def links(pair_texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -283,7 +290,7 @@ def links(pair_texts: DataFrame, size: int = SHINGLE) -> DataFrame:
                     keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pair_texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pair_texts.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -351,6 +358,26 @@ def _leaf(points, size: int):
     return doc, comp, n, np.stack([fold(np.frombuffer(p["counts"], np.uint8), size) for p in points])
 
 
+def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cell, doc) of the cells among each set's k + 1 rarest, where two documents still meet.
+
+    A set has c0 and c1 cells of its two classes; those it shares with nobody are the rarest.
+    """
+    sizes = sets.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.max("n").alias("n"), F.max("c0").alias("c0"), F.max("c1").alias("c1"),
+        (F.min(F.struct("f1", "f2")) != F.max(F.struct("f1", "f2"))).alias("several"),
+    )
+    counted = shared.join(shared.groupBy("cell").agg(F.count("*").alias("df")), "cell").withColumn("odd", F.col("cell").bitwiseAND(F.lit(1)))
+    w = Window.partitionBy("doc", "odd")
+    ranked = counted.withColumns({"rank": F.row_number().over(w.orderBy("df", "cell")), "mine": F.count("*").over(w)}).join(sizes, "doc")
+    alone = F.greatest(F.when(F.col("odd") == 1, F.col("c1")).otherwise(F.col("c0")) - F.col("mine"), F.lit(0))
+    differ = F.floor(F.col("n") * (DEN - NUM) / NUM)
+    # rows of one doc_id with several sets keep all cells: their ranks are of both together
+    kept = cut(ranked.where((F.col("rank") <= differ + 1 - alone) | F.col("several")).select("cell", "doc"))
+    met = kept.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell")
+    return kept.join(met, "cell", "left_semi")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -358,7 +385,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(62, max(32, int(size + 2).bit_length() + SPARE))
-    sets = cut(texts.mapInArrow(_sets(bits), SETS))
+    sets = cut(texts.mapInArrow(tidy(_sets(bits)), SETS))
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
 
     # 1. equal sets: one representative; rows of one doc_id with several sets are tied together
@@ -373,8 +400,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 2. cells that more than one representative has
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // 32_000_000) + 1)
     reps = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells"))
-    packed = reps.select("rep", "cells").mapInArrow(_deal(buckets, bits), PACKED)
+    packed = reps.select("rep", "cells").mapInArrow(tidy(_deal(buckets, bits)), PACKED)
     shared = cut(packed.groupBy("bucket").applyInPandas(_meet, "cell bigint, doc bigint"))
+    shared = cut(_prefixes(shared, usable))
     in_cells = cut(shared.select("doc").distinct())
     points = cut(
         with_keys(usable, "doc_id", in_cells)
@@ -382,9 +410,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     # 3. first links: each document with the smallest one of its cells
-    some = shared.where(F.pmod(F.xxhash64("cell"), F.lit(FIRST)) == 0)
-    hubs = some.groupBy("cell").agg(F.min("doc").alias("hub"))
-    first = some.join(hubs, "cell").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    hubs = shared.groupBy("cell").agg(F.min("doc").alias("hub"))
+    first = shared.join(hubs, "cell").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     edges = cut(links(_with_texts(within_bound(first, points), texts)).unionByName(ties))
     comps = cut(components(edges))
 
@@ -409,7 +436,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     work = left.join(right, "cell").where(near & once & apart)
     pairs = (
         work.select("leaf_a", "leaf_b", ((F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
-        .mapInPandas(_leaf_pairs, "a bigint, b bigint").distinct()
+        .mapInPandas(tidy(_leaf_pairs), "a bigint, b bigint").distinct()
     )
 
     # 5. survivors on their whole sets, and components over all links

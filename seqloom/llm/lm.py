@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, pack, unpack
+from .common import as_bytes, bounded_batches, cut, give_back, pack, tidy, unpack
 from .hashing import mix64, word_hashes
 
 FOLDS, HELD = 7, 2
@@ -155,6 +155,7 @@ def _request(buckets: int, bits: int):
                 columns[f"keys{k}"].append(pack(np.diff(unique[a:b] >> shift, prepend=np.uint64(0))))
                 columns[f"counts{k}"].append(pack(count[a:b]))
         kinds = [pa.int64()] * 2 + [pa.binary()] * 6
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(columns.values(), kinds)], names=list(columns))
 
     return run
@@ -185,6 +186,7 @@ def _answer(table):
             which, place = np.unique(bin_of(seen), return_inverse=True)
             types, tokens = np.bincount(place, minlength=len(which)), np.bincount(place, seen, len(which))
             bins = [{"bin": int(b), "types": int(t), "tokens": int(c)} for b, t, c in zip(which, types, tokens)]
+    give_back()
     kind = pa.list_(pa.struct([("bin", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())]))
     return pa.table(
         [
@@ -299,6 +301,7 @@ def _score(n: int, v: int, chance: np.ndarray, bits: int):
             model_score[at:end] = np.add.reduceat(model.traverse(), start)
             at = end
         per = [base, model_score, np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])]
+        give_back()
         columns = [pa.array(ids, mask=~known), held, np.diff(first), per[2], np.full(len(ids), n), per[0], per[1]]
         return pa.table([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, kinds)], names=names)
 
@@ -317,7 +320,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.coalesce(crc, F.lit(False)).alias("held"),
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"),
-    ).mapInArrow(_block_rows, BLOCKS)
+    ).mapInArrow(tidy(_block_rows), BLOCKS)
     asked = blocks.groupBy("block").applyInArrow(_request(n_blocks, bits), REQUESTS)
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS))
     del asked

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
@@ -495,7 +495,7 @@ def find_pii(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id bigint, spans {SPANS}"
+        tidy(run), f"doc_id bigint, spans {SPANS}"
     )
 
 
@@ -547,4 +547,4 @@ def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
                     columns.append(batch.column(name))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -89,7 +89,7 @@ def token_files(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
             yield rows(False)
         yield rows(True)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), BLOCKS)
 
 
 def read_token_files(df: DataFrame, block: int = BLOCK, width: int = 2) -> DataFrame:
@@ -124,7 +124,7 @@ def separator_counts(blocks: DataFrame, eod: int = EOD, kind: str = "uint16") ->
             )
 
     found = blocks.select("file", "block", "data", "labels").mapInArrow(
-        scan, "file bigint, block bigint, n bigint, ends array<bigint>, labels array<bigint>"
+        tidy(scan), "file bigint, block bigint, n bigint, ends array<bigint>, labels array<bigint>"
     )
     found = found.withColumn("super", F.floor(F.col("block") / SUPER))
     # within a superblock: what lies before a block, and the last separator before it

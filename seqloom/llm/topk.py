@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 BLOCK = 4096
 LEVELS = (1, 4, 16)
@@ -188,7 +188,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
                     }
                 ).astype("int64")
 
-    near = work.mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    near = work.mapInPandas(tidy(search), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         near.withColumn("rank", F.row_number().over(best))

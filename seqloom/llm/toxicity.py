@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import as_bytes, bounded_batches, tidy
 
 BITS = 18
 DIM = 6
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             )
 
     scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, score double, predicted int"
+        tidy(run), "doc_id bigint, score double, predicted int"
     )
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
@@ -258,4 +258,4 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
             z, _ = log_odds(as_bytes(batch.column("text")), weight, bias)
             yield batch.filter(pa.array(z < cutoff))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
