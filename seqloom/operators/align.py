@@ -92,14 +92,14 @@ def word_errors(opcodes: DataFrame) -> DataFrame:
     """Edit blocks -> one row a word error: missing (left only), added (right only), wrong (both)."""
     kind = F.when(F.col("tag") == "delete", "missing").when(F.col("tag") == "insert", "added").when(F.col("tag") == "replace", "wrong")
     n = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
-    rows = opcodes.where("tag <> 'equal'").withColumn("kind", kind).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    left = F.when(F.col("i1") + F.col("k") < F.col("i2"), F.col("i1") + F.col("k"))
-    right = F.when(F.col("j1") + F.col("k") < F.col("j2"), F.col("j1") + F.col("k"))
+    rows = opcodes.where("tag <> 'equal'").withColumn("kind", kind).withColumn("_off", F.explode(F.sequence(F.lit(0), n - 1)))
+    left = F.when(F.col("i1") + F.col("_off") < F.col("i2"), F.col("i1") + F.col("_off"))
+    right = F.when(F.col("j1") + F.col("_off") < F.col("j2"), F.col("j1") + F.col("_off"))
     rows = rows.withColumns({"left_pos": left, "right_pos": right})
     fixed = F.when((F.col("kind") == "wrong") & F.col("left_pos").isNull(), "added").when(
         (F.col("kind") == "wrong") & F.col("right_pos").isNull(), "missing"
     ).otherwise(F.col("kind"))
-    return rows.withColumn("kind", fixed).drop("tag", "i1", "i2", "j1", "j2", "k")
+    return rows.withColumn("kind", fixed).drop("tag", "i1", "i2", "j1", "j2", "_off")
 
 
 def count_mismatch(expected: DataFrame, actual: DataFrame, on: Sequence[str]) -> DataFrame:

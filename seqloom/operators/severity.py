@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .context import ordered
+from .context import ordered, whole
 
 #: Allowed counts (least, most) for each long-vowel rule.
 LONG_RANGES = {
@@ -70,7 +70,7 @@ def assess_long_vowels(phones: DataFrame, calibration: DataFrame, key: list[str]
         {
             "prev_conf": F.lag("confidence").over(w), "prev_ms": F.lag("duration_ms").over(w), "prev_word": F.lag("word_idx").over(w),
             "next_conf": F.lead("confidence").over(w), "next_ms": F.lead("duration_ms").over(w), "next_ipa": F.lead("ipa").over(w),
-            "last_word": F.max("word_idx").over(ordered(seq, ["pos"]).rowsBetween(-(1 << 62), 1 << 62)),
+            "last_word": F.max("word_idx").over(whole(seq, ["pos"])),
         }
     )
     names = F.array(*[F.lit(r) for r in ranges])
