@@ -110,6 +110,31 @@ def pitch(x: np.ndarray, rate: int = RATE, low: float = 60.0, high: float = 400.
     return float(np.mean(found)), float(np.std(found)), len(found) / max(1, len(f))
 
 
+def linear_prediction(x: np.ndarray, order: int) -> np.ndarray:
+    """Burg's coefficients a[0] = 1, ..., a[order] of the prediction error filter."""
+    f, b, a = x[1:].astype(np.float64), x[:-1].astype(np.float64), np.ones(1)
+    for _ in range(order):
+        power = (f * f).sum() + (b * b).sum()
+        k = -2.0 * (f * b).sum() / power if power > 0 else 0.0
+        a = np.append(a, 0.0) + k * np.append(a, 0.0)[::-1]
+        f, b = (f + k * b)[1:], (b + k * f)[:-1]
+    return a
+
+
+def formants(x: np.ndarray, rate: int = RATE, ceiling: float = 5500.0, n: int = 5) -> list[float]:
+    """Resonances in Hz below ``ceiling`` of the middle 50 ms, lowest first, from the roots of the filter."""
+    size = min(len(x), int(rate * 0.05))
+    at = (len(x) - size) // 2
+    part = x[at : at + size].astype(np.float64)
+    part = np.append(part[0], part[1:] - 0.97 * part[:-1]) * np.hanning(size) if size > 2 * n + 2 else part
+    if size <= 2 * n + 2 or not part.any():
+        return []
+    roots = np.roots(linear_prediction(part, 2 * n))
+    roots = roots[np.imag(roots) > 0]
+    hz, width = np.angle(roots) * rate / (2 * np.pi), -np.log(np.abs(roots)) * rate / np.pi
+    return sorted(float(f) for f, w in zip(hz, width) if 90 < f < ceiling - 50 and w < 700)
+
+
 def measure(segments, files, kernel, schema: str):
     """segments(file_id, start_ms, end_ms, ...) and files(file_id, content) -> kernel columns by segment.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import signal
 from seqloom.functions import text as T
-from seqloom.operators import align, calibrate, context, evaluate, intervals, rules, scoring, severity
+from seqloom.operators import align, assess, calibrate, context, evaluate, intervals, rules, scoring, severity
 from seqloom.plans import phonology
 from seqloom.sources import corpus, rule_files, textgrid
 
@@ -371,3 +371,42 @@ def test_measure_decodes_each_recording_once(spark):
     seg = spark.createDataFrame([("f", 0.0, 200.0), ("f", 0.0, 5.0), ("g", 0.0, 100.0)], "file_id string, start_ms double, end_ms double")
     got = signal.measure(seg, files, lambda x, rate: {"nasal": float(signal.nasality(x, rate).mean())}, "nasal double")
     assert sorted((r.file_id, r.end_ms, r.nasal is not None) for r in got.collect()) == [("f", 5.0, False), ("f", 200.0, True), ("g", 100.0, False)]
+
+
+def test_formants_of_two_resonances():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=4000)
+    for hz, width in ((700, 60), (1200, 80)):
+        r = np.exp(-np.pi * width / 16000)
+        a, b = 2 * r * np.cos(2 * np.pi * hz / 16000), -r * r
+        y = np.zeros_like(x)
+        for i in range(2, len(x)):
+            y[i] = x[i] + a * y[i - 1] + b * y[i - 2]
+        x = y
+    got = signal.formants(x.astype(np.float32))
+    assert min(abs(f - 700) for f in got) < 80 and min(abs(f - 1200) for f in got) < 100
+    assert signal.formants(np.zeros(4000, np.float32)) == [] and signal.formants(np.zeros(3, np.float32)) == []
+
+
+@pytest.mark.parametrize("counts,band", [(0.79, "major"), (0.8, "minor"), (1.2, None), (2.8, None), (2.81, "style"), (8.0, "style"), (12.0, "minor"), (12.1, "major")])
+def test_two_count_band(spark, counts, band):
+    assert spark.range(1).select(assess.two_count_band(F.lit(counts)).alias("b")).first().b == band
+
+
+def test_assessors(spark):
+    cols = "chapter int, pos int, rules array<string>, confidence string, skip boolean, duration_ms double, geminate_position string, geminate_total_ms double, mean_nasality double, f2_hz double, peak_ratio double, sustain_ms double, voiced double, pitch_std double"
+    row = lambda pos, rule, conf="high", ms=100.0, half=None, total=None, nasal=None, f2=None, peak=None, hold=None, voiced=None, sd=None: (1, pos, [rule], conf, False, ms, half, total, nasal, f2, peak, hold, voiced, sd)
+    s = spark.createDataFrame([
+        row(0, "iqlab", ms=200.0), row(1, "iqlab", ms=1600.0), row(2, "iqlab", ms=900.0, voiced=0.1, sd=50.0), row(3, "iqlab", ms=900.0, voiced=0.9, sd=5.0), row(4, "ghunnah_mushaddadah_noon", half="second"),
+        row(5, "ghunnah_mushaddadah_noon", half="first", total=250.0), row(6, "ikhfaa_light", nasal=0.06), row(7, "ikhfaa_light"), row(8, "vowel_backing_after_emphatic_short", conf="low", f2=1500.0),
+        row(9, "qalqalah_major", peak=1.0, hold=0.0), row(10, "qalqalah_minor", peak=9.0, hold=1.0), row(11, "tafkhim", f2=1600.0), row(12, "iqlab", conf="failed"),
+    ], cols)
+    cal = spark.createDataFrame([(1, 100.0, 80.0, 1.0)], "chapter int, unit_ms double, short_median_ms double, tolerance double")
+    n = {r.pos: (r.status, r.severity) for r in assess.assess_nasal(s, cal, ["chapter"]).collect()}
+    assert n[0] == ("assessed", None) and n[1][1] == "style" and n[2][1] == "style" and n[3][1] == "minor" and 4 not in n and n[5] == ("assessed", None) and n[12][0] == "skipped"
+    c = {r.pos: (r.status, r.severity) for r in assess.assess_concealed(s).collect()}
+    assert c == {6: ("assessed", "minor"), 7: ("skipped", None)}
+    assert [(r.status, r.severity) for r in assess.assess_backing(s).collect()] == [("assessed", "minor")]
+    assert [(r.verdict, r.severity) for r in assess.assess_heavy(s).collect()] == [("tarqiq_error", "major")]
+    e = {r.pos: (r.echo, r.severity) for r in assess.assess_echo(s, 2.0, 15.0).collect()}
+    assert e == {9: ("absent", "major"), 10: ("weak", "style")}
