@@ -19,8 +19,8 @@ A document's set holds its distinct ``size``-word shingles. Two documents link w
    group counts, dealt by size into leaves of about ``LEAF`` points
    with their bounding box. Two leaves, then two points, are kept apart when the sum of
    coordinate minima (of the boxes' upper corners; of the points) is below the overlap
-   that a link needs. A set of n shingles has about n / 4 coordinates, a power of two; two
-   points meet in the coarser one's coordinates. Pairs already in one component are skipped: a link between them
+   that a link needs. A set of n shingles has n to 2 n coordinates, a power of two, so
+   the bound is close to the overlap; two points meet in the coarser one's coordinates. Pairs already in one component are skipped: a link between them
    changes nothing.
 5. Surviving pairs are verified on their whole shingle sets; components are taken again.
 
@@ -44,7 +44,7 @@ from .hashing import mix64, word_hashes
 
 SHINGLE = 4
 NUM, DEN = 85, 100
-LEAF = 256
+LEAF = 128
 #: Counts from here on bound nothing: they are kept in one byte.
 FULL = 255
 #: Bits of a cell beyond the logarithm of the input's size.
@@ -104,8 +104,8 @@ def classes_of(n: int) -> list[int]:
 
 
 def coordinates_of(n: int) -> int:
-    """Number of group counts of a set: a power of two, a quarter of its size or 16."""
-    return 1 << max(4, (n // 4).bit_length() - 1)
+    """Number of group counts of a set: the first power of two above its size, 16 at least."""
+    return 1 << max(4, n.bit_length())
 
 
 def _sets(bits: int):
@@ -134,7 +134,7 @@ def _sets(bits: int):
                         f2.append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)))
                         g = coordinates_of(n)
                         point = np.bincount((mine & np.uint64(g - 1)).astype(np.int64), minlength=g)
-                        counts.append(np.minimum(point, FULL).astype(np.uint8).tobytes())
+                        counts.append(pack(np.minimum(point, FULL).astype(np.uint8)))
                         # the last bit tells the two classes of a set apart
                         parts = [cells_of(mine, c) >> np.uint64(65 - bits) << np.uint64(1) | np.uint64(c & 1) for c in classes_of(n)]
                         own = np.unique(np.concatenate(parts))
@@ -254,7 +254,7 @@ def _bounded(batches):
         keep = _able(n_a, n_b)
         points = [batch.column(c).to_pylist() for c in ("counts_a", "counts_b")]
         for i in np.flatnonzero(keep):
-            x, y = (np.frombuffer(p[i], np.uint8) for p in points)
+            x, y = (unpack(p[i], np.uint8) for p in points)
             size = min(len(x), len(y))
             keep[i] = np.minimum(fold(x, size), fold(y, size)).sum() * (NUM + DEN) >= NUM * (n_a[i] + n_b[i])
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -336,7 +336,7 @@ def _leaf_pairs(batches):
     for frame in batches:
         a_out, b_out = [], []
         for r in frame.itertuples(index=False):
-            size = min(min(len(p["counts"]) for p in leaf) for leaf in (r.leaf_a, r.leaf_b))
+            size = coordinates_of(min(p["n"] for leaf in (r.leaf_a, r.leaf_b) for p in leaf))
             left, right = _leaf(r.leaf_a, size), _leaf(r.leaf_b, size)
             n_a, n_b = left[2], right[2]
             box = np.minimum(left[3].max(0), right[3].max(0)).sum()
@@ -350,12 +350,14 @@ def _leaf_pairs(batches):
                     j = j[overlap * (NUM + DEN) >= NUM * (n_a[i] + n_b[j])]
                     a_out += [int(left[0][i])] * len(j)
                     b_out += right[0][j].tolist()
-        yield pd.DataFrame({"a": np.minimum(a_out, b_out), "b": np.maximum(a_out, b_out)}).astype("int64")
+        # a pair meets in several cells: once for each batch is enough
+        pairs = np.unique(np.array([np.minimum(a_out, b_out), np.maximum(a_out, b_out)], np.int64).reshape(2, -1), axis=1)
+        yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
 
 def _leaf(points, size: int):
     doc, comp, n = (np.array([p[c] for p in points], np.int64) for c in ("doc", "comp", "n"))
-    return doc, comp, n, np.stack([fold(np.frombuffer(p["counts"], np.uint8), size) for p in points])
+    return doc, comp, n, np.stack([fold(unpack(p["counts"], np.uint8), size) for p in points])
 
 
 def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
