@@ -423,3 +423,18 @@ ORACLES = {
         SELECT event_type, CASE WHEN away > 4 * w THEN 'critical' WHEN away > w THEN 'high' ELSE 'normal' END AS priority, count(*) AS n FROM j GROUP BY ALL""",
     "balanced_selection": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r <= 3",
 }
+
+
+def split_long_timelines(spark, d):
+    """Users' event times as recordings: cut at long pauses until no part exceeds three days; events shared out."""
+    from ..operators import repair
+
+    s = _spans(spark, d).withColumn("file_id", F.col("user_id").cast("string"))
+    rec = s.groupBy("file_id").agg((F.max("t1") / DAY).alias("duration"), F.count("*").cast("int").alias("n_words"))
+    g = intervals.complement(s, ["file_id"], "t0", "t1", ["t0", "event_id"]).where(f"gap_end - gap_start >= {6 * HOUR}")
+    quiet = g.select("file_id", (F.col("gap_start") / DAY).alias("start"), (F.col("gap_end") / DAY).alias("end"))
+    r = repair.split_recordings(rec, quiet, 3.0)
+    return r.select("file_id", "segment", F.round("offset", 6).alias("offset"), F.round("duration", 6).alias("duration"), "first_word", "n_words")
+
+
+QUERIES["split_long_timelines"] = split_long_timelines

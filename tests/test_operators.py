@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import signal
 from seqloom.functions import text as T
-from seqloom.operators import align, assess, calibrate, context, evaluate, intervals, rules, scoring, severity
+from seqloom.operators import align, assess, calibrate, context, evaluate, intervals, repair, rules, scoring, severity
 from seqloom.plans import phonology
 from seqloom.sources import corpus, rule_files, textgrid
 
@@ -410,3 +410,40 @@ def test_assessors(spark):
     assert [(r.verdict, r.severity) for r in assess.assess_heavy(s).collect()] == [("tarqiq_error", "major")]
     e = {r.pos: (r.echo, r.severity) for r in assess.assess_echo(s, 2.0, 15.0).collect()}
     assert e == {9: ("absent", "major"), 10: ("weak", "style")}
+
+
+# --- repairs --------------------------------------------------------------------
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.floats(1, 300), st.lists(st.tuples(st.floats(0, 300), st.floats(0.1, 3)), max_size=12), st.floats(5, 60))
+def test_split_points_leave_no_long_part(duration, quiet, limit):
+    cuts = repair.split_points(duration, [(a, a + n) for a, n in quiet], limit)
+    edges = [0.0, *cuts, duration]
+    assert edges == sorted(edges)
+    inside = any(0.5 < a + n / 2 < duration - 0.5 for a, n in quiet)
+    if inside or duration <= limit:
+        assert all(b - a <= limit + 1e-9 for a, b in zip(edges, edges[1:]))
+    else:
+        assert cuts == [duration / 2]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 80), st.lists(st.floats(0.5, 30), min_size=1, max_size=10))
+def test_allocation_uses_every_word_once(n, durations):
+    got = repair.allocate(n, durations)
+    assert len(got) == len(durations)
+    if n >= len(durations):
+        assert sum(got) == n and min(got) >= 1
+
+
+def test_repairs_over_recordings(spark):
+    assert repair.allocate(5, [1.0, 1.0]) == [2, 3]  # 2.5 rounds to even
+    assert repair.merge_short([(0, 1), (1, 10), (10, 11)], [8.0, 8.0], 0.5) == [(0, 10, "recovered"), (10, 11, "low")]
+    rec = spark.createDataFrame([("a", 50.0, 10), ("b", 5.0, 3)], "file_id string, duration double, n_words int")
+    quiet = spark.createDataFrame([("a", 24.0, 25.0), ("a", 10.0, 10.2)], "file_id string, start double, end double")
+    got = [tuple(r) for r in repair.split_recordings(rec, quiet, 30.0).orderBy("file_id", "segment").collect()]
+    assert got == [("a", 1, 0.0, 24.5, 0, 5), ("a", 2, 24.5, 25.5, 5, 5), ("b", 1, 0.0, 5.0, 0, 3)]
+    seg = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 9.0)], "file_id string, start double, end double")
+    want = spark.createDataFrame([("a", 1, 8.0)], "file_id string, verse int, length double")
+    assert [(r.start, r.end, r.confidence) for r in repair.recover_segments(seg, want).collect()] == [(0.0, 9.0, "recovered")]
