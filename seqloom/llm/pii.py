@@ -460,13 +460,14 @@ def all_spans(base: list[tuple[int, int, str]], model: list[tuple[int, int, str]
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
     """Train on stretches of at most ``sample`` documents, taken in hash order."""
+    # ids first: every task sends its smallest ones to the driver, not their texts
+    ids = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
+    ids = ids.where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = (
-        docs.select(F.col("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, 20_000).alias("text"))
-        .where(F.col("text") != "")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample)
-        .collect()
-    )
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    )
     return train([r.text for r in rows])
 
 
