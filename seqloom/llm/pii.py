@@ -410,9 +410,8 @@ class Finder:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         at = 0
         while at < len(ranges):
-            end, held = at, 0
-            while end < len(ranges) and (end == at or held < CHUNK):
-                held += (ranges[end][2] - ranges[end][1]) // STRIDE
+            end = at + 1  # ranges ascend by length: the longest decides what padding takes
+            while end < len(ranges) and (end - at + 1) * (ranges[end][2] - ranges[end][1]) <= CHUNK * STRIDE:
                 end += 1
             self._decode(texts, ranges[at:end], out)
             at = end
