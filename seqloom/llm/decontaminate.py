@@ -47,6 +47,15 @@ def fold(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
+def line_of(data: bytes) -> str:
+    """A text's words with a space around each, a byte a character; empty without words.
+
+    One string takes a tenth of the memory of a list of words.
+    """
+    words = fold(data)
+    return f" {b' '.join(words).decode('latin-1')} " if words else ""
+
+
 def windows(item_words: list[bytes], size: int) -> Iterator[bytes]:
     if item_words:
         for i in range(max(1, len(item_words) - size + 1)):
@@ -71,19 +80,20 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def hits(self, doc_words: list[bytes]) -> list[tuple[int, int, set[str]]]:
-        """(first word, word after the last, items) of every occurrence."""
-        if self.empty or not doc_words:
+    def hits(self, line: str) -> list[tuple[int, int, set[str]]]:
+        """(first word, word after the last, items) of every occurrence in a ``line_of`` a text."""
+        if self.empty or not line:
             return []
-        line = f" {b' '.join(doc_words).decode('latin-1')} "
-        found = list(self.automaton.iter(line))
         out, at, word = [], 0, -1
-        for end, (n, ids) in found:  # ends ascend: count the spaces in between once
+        for end, (n, ids) in self.automaton.iter(line):  # ends ascend: count the spaces in between once
             word += line.count(" ", at, end + 1)
             at = end + 1
             out.append((word - n, word, ids))
         return out
 
+    def any_hit(self, line: str) -> bool:
+        return bool(line) and not self.empty and next(self.automaton.iter(line), None) is not None
+
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
@@ -122,15 +132,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         only = Scanner(parts[0].value, size) if len(parts) == 1 else None
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            folded = [fold(x) for x in texts]
+            lines = [line_of(x) for x in texts]
             found: list[list] = [[] for _ in texts]
             for part in parts:
                 scanner = only or Scanner(part.value, size)
-                for k, doc_words in enumerate(folded):
-                    found[k] += scanner.hits(doc_words)
+                for k, line in enumerate(lines):
+                    found[k] += scanner.hits(line)
             n_words, n_hit, ids, spans = [], [], [], []
-            for data, doc_words, hits in zip(texts, folded, found):
-                n_words.append(len(doc_words))
+            for data, line, hits in zip(texts, lines, found):
+                n_words.append(max(0, line.count(" ") - 1))
                 ranges = merged((a, b) for a, b, _ in hits)
                 n_hit.append(sum(b - a for a, b in ranges))
                 ids.append(sorted(set().union(*(x for _, _, x in hits))))
@@ -179,11 +189,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_
 
         only = Scanner(parts[0].value, size) if len(parts) == 1 else None
         for batch in batches:
-            texts = [fold(x) for x in as_bytes(batch.column("text"))]
-            keep = [True] * len(texts)
+            lines = [line_of(x) for x in as_bytes(batch.column("text"))]
+            keep = [True] * len(lines)
             for part in parts:
                 scanner = only or Scanner(part.value, size)
-                keep = [k and not scanner.hits(t) for k, t in zip(keep, texts)]
+                keep = [k and not scanner.any_hit(t) for k, t in zip(keep, lines)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(tidy(clean), docs.schema)
