@@ -121,21 +121,45 @@ def words(text: Column | str) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though it is used in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_offsets(text: Column | str) -> Column:
-    """Array of (word, start, end) in code points, in order."""
+    """Array of (word, start, end) in code points, in order.
+
+    Offsets are sums over blocks of about the root of the number of words: appending to an
+    array copies it, which over a whole text would take the square of its words.
+    """
+    word = lambda x: F.ltrim(x, F.lit(" \t\n\x0b\f\r"))  # noqa: E731  all that \s matches
+
+    def append(base: Column, block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(base.alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + F.length(x)).cast("int").alias("at"),
+                F.concat(a["out"], F.array(F.struct(
+                    word(x).alias("word"), (a["at"] + F.length(x) - F.length(word(x))).cast("int").alias("start"),
+                    (a["at"] + F.length(x)).cast("int").alias("end"),
+                ))).alias("out"),
+            ),
+        )["out"]
+
+    def blocks(found: Column) -> Column:
+        k = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(found))).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), k)
+        return F.transform(starts, lambda i: F.slice(found, i, k))
+
+    def sums(parts: Column) -> Column:
+        return F.aggregate(
+            parts, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array((F.element_at(a, -1) + F.length(F.array_join(b, ""))).cast("int")))
+        )
+
     found = F.regexp_extract_all(as_column(text), F.lit(r"(\s*)(\S+)"), F.lit(0))
-    lead = lambda x: F.length(x) - F.length(F.ltrim(F.regexp_replace(x, r"\s", " ")))
-    step = F.aggregate(
-        found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x)).cast("int").alias("at"),
-            F.concat(a["out"], F.array(F.struct(
-                F.regexp_replace(x, r"^\s+", "").alias("word"), (a["at"] + lead(x)).cast("int").alias("start"),
-                (a["at"] + F.length(x)).cast("int").alias("end"),
-            ))).alias("out"),
-        ),
-    )
-    return step["out"]
+    return _let(found, lambda f: _let(blocks(f), lambda parts: F.flatten(F.zip_with(
+        F.slice(sums(parts), F.lit(1), F.size(parts)), parts, append
+    ))))
 
 
 def context_window(letters: Column | str, at: Column, k: int) -> Column:

@@ -46,16 +46,21 @@ def strip_marks(spark, d):
 
 
 def token_offsets(spark, d):
-    """Words of short documents with their offsets."""
-    x = _docs(spark, d).where(F.length("text") < 300).select("doc_id", F.posexplode(T.word_offsets("text")).alias("idx", "w"))
+    """Words of all documents with their offsets."""
+    x = _docs(spark, d).select("doc_id", F.posexplode(T.word_offsets("text")).alias("idx", "w"))
     return x.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "w.word", F.col("w.start").cast("bigint").alias("start_at"), F.col("w.end").cast("bigint").alias("end_at"))
 
 
 def char_context(spark, d):
-    """Two characters before and after the middle of each short document."""
-    a, at = F.split("text", ""), F.floor(F.length("text") / 2).cast("int")
-    x = _docs(spark, d).where(F.length("text").between(10, 400)).withColumn("c", T.context_window(a, at, 2))
-    return x.select("doc_id", F.array_join("c.before", "").alias("before"), F.col("c.letter").alias("letter"), F.array_join("c.after", "").alias("after"))
+    """Two characters before and after the middle of each document; a text of fewer than two
+    characters has no middle: no letter, nothing on both sides (null for a null text)."""
+    at = F.floor(F.length("text") / 2).cast("int")
+    first = F.greatest(at - 2, F.lit(1))
+    near = F.split(F.substring(F.col("text"), first, F.lit(5)), "")
+    c = F.when(at > 0, T.context_window(near, F.greatest(at - first + 1, F.lit(1)), 2))
+    side = lambda k: F.coalesce(F.array_join(F.col("c")[k], ""), F.when(F.col("text").isNotNull(), ""))
+    x = _docs(spark, d).withColumn("c", c)
+    return x.select("doc_id", side("before").alias("before"), F.col("c.letter").alias("letter"), side("after").alias("after"))
 
 
 def mark_stats(spark, d):
