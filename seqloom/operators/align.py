@@ -38,54 +38,61 @@ def greedy_match(words: list[str], found: list[str], strict: bool = True) -> lis
     return out
 
 
-def _renewed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns as new ones: both sides of a cogroup may come from one table."""
-    return df.select(*[F.col(c).alias(f"_{c}") for c in columns]).toDF(*columns)
+def _both(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str) -> DataFrame:
+    """One row a key of either side: key, and the sides ``_l`` and ``_r`` as arrays of (order, word), sorted."""
+    one = lambda df, side: df.select(*key, F.lit(side).alias("_side"), F.struct(F.col(order).alias("o"), F.col(word).alias("w")).alias("_x"))
+    sides = [F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.col("_x")))).alias(k) for k in ("_l", "_r")]
+    return one(left, "_l").unionByName(one(right, "_r")).groupBy(*key).agg(*sides)
+
+
+def _per_key(both: DataFrame, key: Sequence[str], schema: str, rows) -> DataFrame:
+    """``rows(left, right)`` of each key behind the key's columns, many keys a batch."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = {f.name: f.dataType for f in both.schema.fields}
+    out = StructType([*[f for f in both.schema.fields if f.name in key], *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+    places = [list(kinds).index(k) for k in key]
+
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, (x, y) in enumerate(zip(batch.column("_l").to_pylist(), batch.column("_r").to_pylist())):
+                new = rows(x, y)
+                at += [i] * len(new)
+                found += new
+            held = [batch.column(p).take(pa.array(at, pa.int32())) for p in places]
+            columns = list(zip(*found)) or [()] * (len(arrow) - len(held))
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(held):])]
+            yield pa.RecordBatch.from_arrays([*held, *made], names=arrow.names)
+
+    return both.mapInArrow(run, out)
 
 
 def greedy_word_match(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str, strict: bool = True) -> DataFrame:
     """key, left_pos, right_pos (null if not found), word: greedy forward match of two word sequences.
 
-    One group is one verse, so a group is small; the scan is stateful and runs in a grouped
-    pandas function after Spark has brought both sides of a verse together.
+    One group is one verse, so a group is small and one row; the scan is stateful and runs in Python.
     """
-    import pandas as pd
 
-    fields = {f.name: f for f in left.schema.fields}
-    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in key) + ", left_pos bigint, right_pos bigint, word string"
+    def rows(a, b):
+        words = [x["w"] for x in a]
+        places = greedy_match(words, [y["w"] for y in b], strict)
+        return [(x["o"], None if p is None else b[p]["o"], x["w"]) for x, p in zip(a, places)]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if order not in a.columns:  # a side without rows has no columns
-            return pd.DataFrame({c: [] for c in [*key, "left_pos", "right_pos", "word"]}, dtype=object)
-        a = a.sort_values(order)
-        there = b.sort_values(order) if order in b.columns else None
-        words = a[word].tolist()
-        found, at = (there[word].tolist(), there[order].tolist()) if there is not None else ([], [])
-        places = greedy_match(words, found, strict)
-        out = {k: a[k].tolist() for k in key}
-        out |= {"left_pos": a[order].tolist(), "right_pos": [None if p is None else at[p] for p in places], "word": words}
-        return pd.DataFrame(out, dtype=object)
-
-    cols = [*key, order, word]
-    return left.select(*cols).groupBy(*key).cogroup(_renewed(right, cols).groupBy(*key)).applyInPandas(run, schema)
+    return _per_key(_both(left, right, key, order, word), key, "left_pos bigint, right_pos bigint, word string", rows)
 
 
 def diff_opcodes(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str) -> DataFrame:
     """Edit blocks between two word sequences: key, tag (equal, replace, delete, insert), i1, i2, j1, j2."""
     import difflib
 
-    import pandas as pd
-
-    fields = {f.name: f for f in left.schema.fields}
-    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in key) + ", tag string, i1 int, i2 int, j1 int, j2 int"
-
-    def run(group, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (s.sort_values(order)[word].tolist() if order in s.columns else [] for s in (a, b))
-        rows = [(*group, *op) for op in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()]
-        return pd.DataFrame(rows, columns=[*key, "tag", "i1", "i2", "j1", "j2"], dtype=object)
+    def rows(a, b):
+        return difflib.SequenceMatcher(None, [x["w"] for x in a], [y["w"] for y in b], autojunk=False).get_opcodes()
 
-    cols = [*key, order, word]
-    return left.select(*cols).groupBy(*key).cogroup(_renewed(right, cols).groupBy(*key)).applyInPandas(run, schema)
+    return _per_key(_both(left, right, key, order, word), key, "tag string, i1 int, i2 int, j1 int, j2 int", rows)
 
 
 def word_errors(opcodes: DataFrame) -> DataFrame:

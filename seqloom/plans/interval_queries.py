@@ -110,20 +110,20 @@ def count_mismatch(spark, d):
     return align.count_mismatch(expected, li.select("l_orderkey"), ["l_orderkey"])
 
 
+def _next_days(spark, d):
+    """Words of each user's days, and of the days after them under the same key; a day without events has no words."""
+    p = positions(spark, d).select("user_id", F.to_date("ts").alias("day"), "pos", F.col("event_type").alias("word"))
+    return p, p.withColumn("day", F.date_sub("day", 1))
+
+
 def greedy_word_match(spark, d):
-    """Event types of two consecutive days of a user matched greedily in order."""
-    p = positions(spark, d).withColumn("day", F.to_date("ts")).where("user_id < 40")
-    a = p.where("day = DATE '2024-01-10'").select("user_id", "pos", F.col("event_type").alias("word"))
-    b = p.where("day = DATE '2024-01-11'").select("user_id", "pos", F.col("event_type").alias("word"))
-    return align.greedy_word_match(a, b, ["user_id"], "pos", "word", strict=False)
+    """Event types of each day of each user matched greedily, in order, to those of the next day."""
+    return align.greedy_word_match(*_next_days(spark, d), ["user_id", "day"], "pos", "word", strict=False)
 
 
 def diff_word_errors(spark, d):
-    """Missing, added and wrong events between two days of a user, by sequence difference."""
-    p = positions(spark, d).withColumn("day", F.to_date("ts"))
-    a = p.where("day = DATE '2024-01-10'").select("user_id", "pos", F.col("event_type").alias("word"))
-    b = p.where("day = DATE '2024-01-11'").select("user_id", "pos", F.col("event_type").alias("word"))
-    return align.word_errors(align.diff_opcodes(a, b, ["user_id"], "pos", "word")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Missing, added and wrong events between each day of each user and the next, by sequence difference."""
+    return align.word_errors(align.diff_opcodes(*_next_days(spark, d), ["user_id", "day"], "pos", "word")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 _SHORT, _LONG = "event_type IN ('view', 'click')", "event_type = 'purchase'"
