@@ -85,3 +85,21 @@ def test_diff_word_errors_of_every_user_and_day(spark, tmp_path):
             if tag != "equal":
                 want.update(wrong=min(i2 - i1, j2 - j1), missing=max(i2 - i1 - (j2 - j1), 0), added=max(j2 - j1 - (i2 - i1), 0))
     assert {r.kind: r.n for r in interval_queries.diff_word_errors(spark, path).collect()} == dict(want)
+
+
+def test_sets_of_every_event(spark, tmp_path):
+    path, rows = events(spark, tmp_path)
+    sets = defaultdict(lambda: (set(), set()))
+    for u, t, _, x, _ in rows:
+        sets[u, t.date() - t.weekday() * ONE][t.day % 2].add(x)
+    want = {}
+    for k, (x, y) in sets.items():
+        p, r = len(x & y) / len(y) if y else 0, len(x & y) / len(x) if x else 0
+        want[k] = (p, r, 2 * p * r / (p + r) if p + r else 0)
+    got = {(r.user_id, r.week): r for r in interval_queries.prf_sets(spark, path).collect()}
+    assert set(got) == set(want)
+    for k, (x, y) in sets.items():
+        assert all(abs(a - b) < 1e-5 for a, b in zip((got[k].precision, got[k].recall, got[k].f1), want[k]))
+        assert (got[k].missing, got[k].extra) == (",".join(sorted(x - y)), ",".join(sorted(y - x)))
+    mean = interval_queries.macro_prf(spark, path).first()
+    assert all(abs(mean[i] - sum(w[i] for w in want.values()) / len(want)) < 1e-5 for i in range(3))
