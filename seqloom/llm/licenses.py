@@ -1,6 +1,8 @@
 """Licence scan by canonical digest.
 
-A text is brought to a canonical form: ASCII letters in lower case, copyright lines gone,
+A text is brought to a canonical form: ASCII letters in lower case, copyright lines gone
+(a line that begins with the word and a sign or, within five words, a year, or with a sign
+and a year; not one that merely begins with the word, as wrapped licence texts have),
 every run of characters other than letters and digits one space, and equivalent spellings
 one word. Texts whose whole canonical form has the digest (SHA-256) of a known licence
 are that licence; nothing is searched inside a text. The units are whole documents and
@@ -15,6 +17,8 @@ answered and matched as one document; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +58,28 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
+
+
+def _full_texts() -> tuple:
+    """(licence, text) of the whole texts beside this file; a BSD text also follows "All rights reserved."."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").iterdir()):
+        name, text = path.name.removesuffix(".regents"), path.read_text(encoding="utf-8")
+        out.append((name, text))
+        if name.startswith("BSD"):
+            out.append((name, "All rights reserved.\n\n" + text))
+    return tuple(out)
+
+
+#: The fixed list of this library: ``KNOWN``, and whole texts of common licences.
+ALL = KNOWN + _full_texts()
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+_SIGN, _YEAR = r"(\(c\)|©)", r"(19|20)\d\d(?!\d)"
+_COPYRIGHT = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*?(copyright[^\p{{L}}\p{{N}}\n]*?({_SIGN}|([\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}\n]+){{0,4}}{_YEAR})"
+    rf"|{_SIGN}[^\p{{L}}\p{{N}}\n]*{_YEAR})[^\n]*$"
+)
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -72,7 +96,7 @@ def respelt(text: Column) -> Column:
     return text
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=ALL) -> DataFrame:
     """(license, canonical, digest) of the known texts."""
     table = spark.createDataFrame(list(known), "license string, text string")
     return table.select("license", respelt(plain(F.col("text"))).alias("canonical")).select(
@@ -80,11 +104,12 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     ).dropDuplicates(["digest"])
 
 
-def license_scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def license_scan(docs: DataFrame, known=ALL) -> DataFrame:
     """Per row of ``docs``: doc_id, license (of the whole text), line_licenses, n_lines."""
     spark = docs.sparkSession
     table = known_digests(spark, known)
-    lengths = [r[0] for r in table.select(F.length("canonical")).distinct().collect()]  # the library's own list
+    listed = table.select(F.length("canonical"), F.substring_index("canonical", " ", 2)).collect()  # the library's own list
+    lengths, openings = sorted({r[0] for r in listed}), sorted({r[1] for r in listed})
     longest = max(lengths, default=0) + 64
     table = F.broadcast(table.select("license", "digest"))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -94,7 +119,9 @@ def license_scan(docs: DataFrame, known=KNOWN) -> DataFrame:
         F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), plain(x).alias("unit"))),
         F.array(F.struct(F.lit(True).alias("whole"), plain(F.col("text")).alias("unit"))),
     )).alias("u")).select("doc_id", "u.*")
-    units = units.where(F.length("unit").between(1, longest))
+    # spelling works word by word and joins two at most, so the first two come from the first four
+    opening = F.substring_index(respelt(F.substring_index("unit", " ", 4)), " ", 2)
+    units = units.where(F.length("unit").between(1, longest) & opening.isin(openings) if openings else F.lit(False))
     units = units.withColumn("unit", respelt(F.col("unit"))).where(F.length("unit").isin(lengths) if lengths else F.lit(False))
     hits = units.join(table, F.sha2("unit", 256) == F.col("digest"))
     found = hits.groupBy("doc_id").agg(
