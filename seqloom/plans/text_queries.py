@@ -129,11 +129,11 @@ def ordered_concat(spark, d):
 
 
 def json_envelope(spark, d):
-    """One JSON text a user: kind and place of its first events; null keys are left out."""
-    p = positions(spark, d).where("pos < 5")
+    """One JSON text a user and day: kind and place of all its events; null keys are left out."""
+    p = positions(spark, d).withColumn("day", F.to_date("ts"))
     e = F.struct("pos", "event_type", F.when(F.col("event_type") == "error", True).alias("bad"))
-    g = p.groupBy("user_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
-    return g.select("user_id", F.to_json(F.struct("user_id", "events")).alias("json"))
+    g = p.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(e)).alias("events"))
+    return g.select("user_id", "day", F.to_json(F.struct("user_id", "day", "events")).alias("json"))
 
 
 def display_names(spark, d):
