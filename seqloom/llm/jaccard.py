@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join with count vectors under an R-tree.
+"""N-gram Jaccard self-join by cells and a prefix filter, with count vectors in leaves (no R-tree).
 
 A document's set holds its distinct ``size``-word shingles. Two documents link when
 100 * |A & B| >= 85 * |A | B|. The result is each document's component under links.
@@ -17,7 +17,8 @@ A document's set holds its distinct ``size``-word shingles. Two documents link w
    one, bounded as in 4 and verified. Copies of one text become one component without meeting pairwise.
 4. Cells that still hold more than one component are indexed: documents are points of
    group counts, dealt by size into leaves of about ``LEAF`` points
-   with their bounding box. Two leaves, then two points, are kept apart when the sum of
+   with their bounding box; within a size the hash of the document chooses the leaf, and
+   leaves have no parents: every two near leaves of a cell meet. Two leaves, then two points, are kept apart when the sum of
    coordinate minima (of the boxes' upper corners; of the points) is below the overlap
    that a link needs. A set of n shingles has n to 2 n coordinates, a power of two, so
    the bound is close to the overlap; two points meet in the coarser one's coordinates. Pairs already in one component are skipped: a link between them
