@@ -6,19 +6,25 @@ labelled spans, adds spans written in ways that the patterns miss (a number with
 its country code, a spelt-out at-sign, broken-up card digits). Base spans always stay;
 a model span that touches one is dropped.
 
-The network reads overlapping windows of ``WINDOW`` characters at every ``STRIDE``.
-Windows without a digit, an at-sign or a bracketed or spelt-out stand-in for one hold
-none of the four kinds and are passed over; that test reads the whole text. Scores of
-a character from all windows over it are averaged, the ones near a window's middle
-weighing most, and one Viterbi pass runs over each unbroken stretch of windows, so a
-span that crosses window edges is found once.
+The network reads every text whole, in overlapping windows of ``WINDOW`` characters at
+every ``STRIDE``. Scores of a character from the windows over it are averaged, the ones
+far from a window's edge weighing most, and decoding is global: Viterbi over the whole
+text. It is computed only around characters where another tag than "outside" comes near:
+where outside leads by more than any path of transitions can win back, and for longer
+than any emissions can make good, the best path is outside (``safe``), so skipping it
+changes no tag. A text of more than ``PIECE`` characters is read in pieces that overlap
+by ``LAP``; a span belongs to the piece it starts in.
 
 Labelled spans: base matches in a bounded sample of documents (``SAMPLE_DOCS`` rows in
-hash order) and spans of made-up values written into stretches of the same documents.
+hash order, ``SAMPLE_CHARS`` characters of each at most, the only texts that are cut) and
+spans of made-up values written into stretches of the same documents.
 
 Defined cases: null and empty texts have no spans; offsets are code points, end
 exclusive; repeated rows are answered as often as they occur; other columns are
-ignored; with no documents the network trains on the made-up values alone.
+ignored; a group of more than three digits after its leading zeros is no part of an ip,
+however long; the memory of a text is bounded by ``PIECE`` beyond the text itself, also
+for one unbroken run of digits; with no documents the network trains on the made-up
+values alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +41,23 @@ from .common import bounded_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
-WINDOW, STRIDE = 96, 48
-HIDDEN, EMBED = 32, 16
+WINDOW, STRIDE = 256, 208
+#: Characters of a training window.
+SHORT = 112
+HIDDEN = 16
+ALPHABET = 130
 SAMPLE_DOCS = 400
-STEPS, BATCH = 300, 96
+SAMPLE_CHARS = 20_000
+STEPS, BATCH = 400, 96
+LOCAL = 0.5
 #: Least mean probability of a model span's tags.
 SURE = 0.8
-CHUNK = 512
+#: Windows that run through the network at once, and characters that are decoded together.
+CHUNK, TOGETHER = 768, 1 << 20
+#: Characters of a piece of a very long text, and what it shares with its neighbours.
+PIECE, LAP = 1 << 19, 208
+#: What outside must lead by, beyond what transitions can win, to be safe.
+CLEAR = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -50,7 +66,6 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot|AT|DOT)\s?[\])}>]|\x20(?:dot|DOT)\x20")
 
 
 def luhn(digits: str) -> bool:
@@ -63,6 +78,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Pattern matches, leftmost and non-overlapping for each kind, in linear time."""
     out = []
@@ -85,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             for i in range(0, len(parts) - 3, 4):
                 four = parts[i : i + 4]
                 end = place + sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                if all(map(octet, four)):
                     out.append((place, end, "ip"))
                 place = end + 1
         for m in _DIGITS.finditer(text):
@@ -119,96 +139,118 @@ def allowed() -> np.ndarray:
 
 
 class Net:
-    """Embedding, two LSTMs (forward and backward in time), emission layer, CRF transitions."""
+    """Two LSTMs over characters (from the left and from the right), emission layer, CRF transitions.
+
+    Arrays are (direction, feature, window): a gate is one contiguous block. A character's
+    share of the gates is a row of ``in``. Sigmoid gates are (tanh + 1) / 2 of half their input,
+    the halves being part of the weights. The second LSTM reads every window from its own end, so
+    the padding of a window has no influence on its scores.
+    """
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+        w = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
-            "emb": w(130, EMBED), "wx": w(2, EMBED, 4 * HIDDEN), "wh": w(2, HIDDEN, 4 * HIDDEN),
-            "b": np.zeros((2, 1, 4 * HIDDEN), np.float32), "out": w(2 * HIDDEN, TAGS),
-            "ob": np.zeros(TAGS, np.float32), "tr": np.zeros((TAGS, TAGS), np.float32),
+            "in": w(0.35, 2, 4 * HIDDEN, ALPHABET), "wh": w(HIDDEN**-0.5 * 0.7, 2, 4 * HIDDEN, HIDDEN),
+            "out": w((2 * HIDDEN) ** -0.5, TAGS, 2 * HIDDEN), "ob": np.zeros((TAGS, 1), np.float32), "tr": np.zeros((TAGS, TAGS), np.float32),
         }
-        self.p["b"][:, :, HIDDEN : 2 * HIDDEN] = 1
+        self.p["in"][:, HIDDEN : 2 * HIDDEN] += 0.5
         self.bad = allowed()
-        # one tanh for all gates: sigmoid(x) = (tanh(x / 2) + 1) / 2
-        self.half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), HIDDEN)
 
-    def run(self, x: np.ndarray):
-        """x (batch, time) codes -> emissions (time, batch, tags) and what the gradient needs."""
+    def run(self, x: np.ndarray, lens: np.ndarray, keep: bool = False):
+        """x (window, time) codes, each filled up to ``lens`` -> emissions (time, tags, window), and what the gradient needs."""
         p, h = self.p, HIDDEN
         n, t = x.shape
-        e = p["emb"][np.stack([x.T, x.T[::-1]])]
-        z = np.matmul(e.reshape(2, t * n, EMBED), p["wx"]).reshape(2, t, n, 4 * h) + p["b"][:, None]
-        hs, cs = np.zeros((t + 1, 2, n, h), np.float32), np.zeros((t + 1, 2, n, h), np.float32)
-        gates = np.empty((t, 2, n, 4 * h), np.float32)
+        back = np.maximum(lens[:, None] - 1 - np.arange(t), 0)
+        xs = np.stack([x.T, np.take_along_axis(x, back, 1).T])
+        hs = np.zeros((t + 1, 2, h, n), np.float32)
+        c = np.zeros((2, h, n), np.float32)
+        g, z = np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
+        cs, gates = ([c], np.empty((t, 2, 4 * h, n), np.float32)) if keep else (None, None)
         for i in range(t):
-            g = np.tanh((z[:, i] + np.matmul(hs[i], p["wh"])) * self.half)
-            g[..., : 3 * h] = g[..., : 3 * h] * 0.5 + 0.5
-            gates[i] = g
-            cs[i + 1] = g[..., h : 2 * h] * cs[i] + g[..., :h] * g[..., 3 * h :]
-            hs[i + 1] = g[..., 2 * h : 3 * h] * np.tanh(cs[i + 1])
-        both = np.concatenate([hs[1:, 0], hs[1:, 1][::-1]], -1)
-        return both @ p["out"] + p["ob"], (x, e, hs, cs, gates, both)
+            np.matmul(p["wh"], hs[i], out=g)
+            for d in (0, 1):
+                np.take(p["in"][d], xs[d, i], axis=1, out=z[d], mode="clip")
+            g += z
+            np.tanh(g, out=g)
+            s = g[:, : 3 * h]
+            s *= 0.5
+            s += 0.5
+            c = c * g[:, h : 2 * h]
+            c += g[:, :h] * g[:, 3 * h :]
+            np.multiply(g[:, 2 * h : 3 * h], np.tanh(c), out=hs[i + 1])
+            if keep:
+                gates[i] = g
+                cs.append(c)
+        em = np.matmul(p["out"][:, :h], hs[1:, 0]) + p["ob"]
+        right = np.matmul(p["out"][:, h:], hs[1:, 1])
+        em += np.take_along_axis(right, back.T[:, None, :], 0)
+        return em, (xs, back, lens, hs, cs, gates) if keep else None
 
     def grad(self, d_em: np.ndarray, kept) -> dict[str, np.ndarray]:
+        """d_em (time, tags, window), zero beyond each window's end."""
         p, h = self.p, HIDDEN
-        x, e, hs, cs, gates, both = kept
-        n, t = x.shape
-        g = {"out": both.reshape(t * n, -1).T @ d_em.reshape(t * n, -1), "ob": d_em.sum((0, 1))}
-        d_both = d_em @ p["out"].T
-        d_hs = np.stack([d_both[..., :h], d_both[::-1, :, h:]], 1)
-        dz = np.empty((t, 2, n, 4 * h), np.float32)
-        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        wh_t = p["wh"].transpose(0, 2, 1)
+        xs, back, lens, hs, cs, gates = kept
+        t, _, n = d_em.shape
+        d_right = np.take_along_axis(d_em, back.T[:, None, :], 0) * (np.arange(t)[:, None, None] < lens)
+        sides = (d_em, d_right)
+        out = np.concatenate([np.einsum("ian,ihn->ah", sides[d], hs[1:, d], optimize=True) for d in (0, 1)], 1)
+        d_hs = np.stack([np.matmul(p["out"][:, d * h : (d + 1) * h].T, sides[d]) for d in (0, 1)], 1)
+        dz = np.empty((t, 2, 4 * h, n), np.float32)
+        dh, dc = np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
+        wh_t = np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
         for i in range(t - 1, -1, -1):
             a = gates[i]
-            gi, gf, go, gg = a[..., :h], a[..., h : 2 * h], a[..., 2 * h : 3 * h], a[..., 3 * h :]
+            gi, gf, go, gg = a[:, :h], a[:, h : 2 * h], a[:, 2 * h : 3 * h], a[:, 3 * h :]
             tc = np.tanh(cs[i + 1])
             dh = dh + d_hs[i]
             dc = dc + dh * go * (1 - tc * tc)
-            dz[i, ..., :h] = dc * gg * gi * (1 - gi)
-            dz[i, ..., h : 2 * h] = dc * cs[i] * gf * (1 - gf)
-            dz[i, ..., 2 * h : 3 * h] = dh * tc * go * (1 - go)
-            dz[i, ..., 3 * h :] = dc * gi * (1 - gg * gg)
+            # derivatives by the inputs of tanh, which hold half of a sigmoid gate's input
+            dz[i, :, :h] = 2 * dc * gg * gi * (1 - gi)
+            dz[i, :, h : 2 * h] = 2 * dc * cs[i] * gf * (1 - gf)
+            dz[i, :, 2 * h : 3 * h] = 2 * dh * tc * go * (1 - go)
+            dz[i, :, 3 * h :] = dc * gi * (1 - gg * gg)
             dc = dc * gf
-            dh = np.matmul(dz[i], wh_t)
-        flat = dz.transpose(1, 0, 2, 3).reshape(2, t * n, 4 * h)
-        before = hs[:-1].transpose(1, 0, 2, 3).reshape(2, t * n, h)
-        g["wx"] = np.matmul(e.reshape(2, t * n, EMBED).transpose(0, 2, 1), flat)
-        g["wh"] = np.matmul(before.transpose(0, 2, 1), flat)
-        g["b"] = flat.sum(1, keepdims=True)
-        de = np.matmul(flat, p["wx"].transpose(0, 2, 1))
-        ids = np.stack([x.T, x.T[::-1]]).reshape(-1)
-        g["emb"] = np.stack([np.bincount(ids, de[..., k].reshape(-1), 130) for k in range(EMBED)], 1)
-        return g
-
-    def crf(self, em: np.ndarray, gold: np.ndarray):
-        """Mean negative log likelihood of gold (time, batch); gradients of emissions and transitions."""
+            dh = np.matmul(wh_t, dz[i])
+        wh = np.stack([np.einsum("ign,ihn->gh", dz[:, d], hs[:-1, d], optimize=True) for d in (0, 1)])
+        rows = [dz[:, d].transpose(1, 0, 2).reshape(4 * h, -1) for d in (0, 1)]
+        every = np.stack([[np.bincount(xs[d].ravel(), r, ALPHABET) for r in rows[d]] for d in (0, 1)])
+        return {"in": every, "wh": wh, "out": out, "ob": d_em.sum((0, 2))[:, None]}
+
+    def crf(self, em: np.ndarray, gold: np.ndarray, lens: np.ndarray):
+        """Mean negative log likelihood of gold (time, window); gradients of emissions and transitions.
+
+        A window ends at its own length: beyond it the only tag is outside, at no cost. To the
+        gradient of emissions comes ``LOCAL`` times that of each character's own softmax: under the
+        CRF alone, inside tags go unpunished in prose, as nothing begins there.
+        """
+        em = em.transpose(0, 2, 1).copy()  # (time, window, tags)
         t, n, k = em.shape
+        inside = np.arange(t)[:, None] < lens
+        em[~inside] = np.where(np.arange(k) == 0, 0, -1e4)
         tr = self.p["tr"] + self.bad
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        lse = lambda v, axis: np.log(np.exp(v - v.max(axis, keepdims=True)).sum(axis)) + v.max(axis)
-        first = np.where(self.bad[0] < 0, -1e4, 0)  # a window may not start inside a span of nothing
-        alpha[0] = em[0] + first
-        for i in range(1, t):
-            alpha[i] = em[i] + lse(alpha[i - 1][:, :, None] + tr, 1)
+        move = np.exp(tr)
+        local = np.exp(em - em.max(-1, keepdims=True))
+        alpha, beta, scale = np.empty_like(em), np.ones_like(em), np.empty((t, n, 1), np.float32)
+        a = local[0] * np.where(self.bad[0] < 0, 0, 1)  # a window may not start inside a span of nothing
+        for i in range(t):
+            if i:
+                a = (alpha[i - 1] @ move) * local[i]
+            scale[i] = a.sum(-1, keepdims=True)
+            alpha[i] = a / scale[i]
         for i in range(t - 2, -1, -1):
-            beta[i] = lse(tr + (em[i + 1] + beta[i + 1])[:, None, :], 2)
-        log_z = lse(alpha[-1], 1)
-        d_em = np.exp(alpha + beta - log_z[:, None])
+            beta[i] = ((local[i + 1] * beta[i + 1]) @ move.T) / scale[i + 1]
+        p = alpha * beta
+        p /= p.sum(-1, keepdims=True)
         d_tr = np.zeros((k, k))
         for i in range(1, t):
-            pair = alpha[i - 1][:, :, None] + tr + (em[i] + beta[i])[:, None, :] - log_z[:, None, None]
-            d_tr += np.exp(pair).sum(0)
-        rows = np.arange(n)
-        score = np.zeros(n)
-        for i in range(t):
-            d_em[i, rows, gold[i]] -= 1
-            score += em[i, rows, gold[i]]
-            if i:
-                np.add.at(d_tr, (gold[i - 1], gold[i]), -1)
-                score += tr[gold[i - 1], gold[i]]
+            d_tr += (alpha[i - 1].T @ (local[i] * beta[i] / scale[i])) * move
+        one = np.eye(k, dtype=np.float32)[gold]
+        np.add.at(d_tr, (gold[:-1], gold[1:]), -1)
+        score = (em * one).sum((0, 2)) + tr[gold[:-1], gold[1:]].sum(0)
+        log_z = np.log(scale[..., 0]).sum(0) + em.max(-1).sum(0)
+        own = local / local.sum(-1, keepdims=True)
+        d_em = np.where(inside[..., None], p - one + LOCAL * (own - one), 0).transpose(0, 2, 1)
         return float((log_z - score).mean()), (d_em / n).astype(np.float32), (d_tr / n).astype(np.float32)
 
 
@@ -220,13 +262,15 @@ def train(texts: list[str], seed: int = 3, steps: int = STEPS) -> dict[str, np.n
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
     for step in range(1, steps + 1):
         drawn = [labelled_window(texts, rng) for _ in range(BATCH)]
-        x = np.stack([d[0] for d in drawn])
-        gold = np.stack([d[1] for d in drawn]).T
-        em, kept = net.run(x)
-        _, d_em, d_tr = net.crf(em, gold)
+        lens = np.array([max(1, len(d[0])) for d in drawn])
+        x, gold = np.zeros((BATCH, SHORT), np.int64), np.zeros((SHORT, BATCH), np.int64)
+        for k, (part, tags) in enumerate(drawn):
+            x[k, : len(part)], gold[: len(tags), k] = part, tags
+        em, kept = net.run(x, lens, keep=True)
+        _, d_em, d_tr = net.crf(em, gold, lens)
         grads = net.grad(d_em, kept) | {"tr": d_tr}
         norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
-        rate = 0.012 * min(1, step / 20) * (1 - 0.9 * step / steps)
+        rate = 0.015 * min(1, step / 20) * (1 - 0.95 * step / steps)
         for key, g in grads.items():
             g = g * min(1.0, 5.0 / (norm + 1e-9))
             m[key] = 0.9 * m[key] + 0.1 * g
@@ -294,10 +338,10 @@ def made_up(rng: random.Random) -> tuple[str, str | None]:
 def labelled_window(texts: list[str], rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
     """Codes and tags of one window: a stretch of a document, most with a value written in."""
     text = rng.choice(texts) if texts else ""
-    at = rng.randrange(max(1, len(text) - WINDOW))
-    stretch = text[at : at + WINDOW]
+    at = rng.randrange(max(1, len(text) - SHORT))
+    stretch = text[at : at + SHORT]
     spans = base_spans(stretch)
-    if rng.random() < 0.85:
+    if rng.random() < 0.8:
         for _ in range(rng.choice((1, 1, 2))):
             value, kind = made_up(rng)
             cut = rng.randrange(len(stretch) + 1)
@@ -312,38 +356,21 @@ def labelled_window(texts: list[str], rng: random.Random) -> tuple[np.ndarray, n
             spans = [(a + grown, b + grown, k) if a >= cut else (a, b, k) for a, b, k in spans]
             if kind:
                 spans.append((cut + len(lead), cut + len(lead) + len(value), kind))
-        over = max(0, len(stretch) - WINDOW)
-        off = rng.randint(0, over)
-    else:
-        off = 0
-    x, gold = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-    part = codes(stretch[off : off + WINDOW])
-    x[: len(part)] = part
+    off = rng.randint(0, max(0, len(stretch) - SHORT))
+    x = codes(stretch[off : off + SHORT])
+    gold = np.zeros(len(x), np.int64)
     for a, b, kind in spans:
         tag = 1 + 2 * KINDS.index(kind)
-        a, b = a - off, b - off
-        if b > 0 and a < WINDOW:
-            gold[max(a, 0) : b] = tag + 1
-            gold[max(a, 0)] = tag
+        a, b = max(a - off, 0), min(b - off, len(x))
+        if b > a:
+            gold[a:b] = tag + 1
+            gold[a] = tag
     return x, gold
 
 
 # --- decoding ------------------------------------------------------------------
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Unbroken ranges covered by the windows that hold a cue; window starts are multiples of STRIDE."""
-    out: list[list[int]] = []
-    for m in _CUE.finditer(text):
-        low = max(0, (m.start() - WINDOW) // STRIDE + 1) * STRIDE
-        high = m.start() // STRIDE * STRIDE + WINDOW
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
-
-
 def viterbi(em: np.ndarray, tr: np.ndarray, first: np.ndarray) -> np.ndarray:
     """em (time, batch, tags) -> best tags (time, batch)."""
     t, n, _ = em.shape
@@ -386,7 +413,7 @@ def plausible(kind: str, value: str) -> bool:
         return ("@" in value or "at" in lower) and ("." in value or "dot" in lower) and any(c.isalpha() for c in value[:1])
     if kind == "ip":
         parts = re.findall(r"[0-9]+", value)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not value[0].isalpha()
+        return len(parts) == 4 and all(map(octet, parts)) and not value[0].isalpha()
     if any(c.isalpha() for c in value):
         return False
     if kind == "card":
@@ -394,59 +421,117 @@ def plausible(kind: str, value: str) -> bool:
     return 10 <= len(digits) <= 15 and len(value) > len(digits)
 
 
+def safe(tr: np.ndarray, out: np.ndarray) -> tuple[float, int]:
+    """(lead, length): where outside leads every other tag by ``lead`` the best path is outside,
+    unless a place without that lead is within ``length``.
+
+    A span of L characters has L + 1 transitions; ``lead`` exceeds, a character, what they can
+    gain over staying outside. A longer span could be held up by other places: cut out
+    its safe middle and begin anew after it, and it loses at most the difference of two
+    emissions and three transitions, which ``length`` leads outweigh.
+    """
+    open_ = np.where(tr[1:, 1:] > -1e3, tr[1:, 1:], -np.inf).max() - tr[0, 0]
+    begin = np.where(tr[0, 1:] > -1e3, tr[0, 1:], -np.inf).max() - tr[0, 0]
+    end = tr[1:, 0].max() - tr[0, 0]
+    lead = max(begin + end, (begin + end + open_) / 2, open_, 0.0) + CLEAR
+    spread = max(np.abs(out[a] - out[b]).sum() for a in range(TAGS) for b in range(TAGS)) + 2 * np.abs(tr[tr > -1e3]).max() * 3
+    return float(lead), int(np.ceil(spread / CLEAR))
+
+
 class Finder:
     def __init__(self, params: dict[str, np.ndarray]):
         self.net = Net()
         self.net.p = params
         self.tr = params["tr"] + self.net.bad
         self.first = np.where(self.net.bad[0] < 0, -1e4, 0).astype(np.float32)
+        self.lead, self.reach = safe(self.tr, np.concatenate([params["out"], params["ob"]], 1))
         near = 1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2)
         self.near = (near + 0.05).astype(np.float32)[:, None]
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Model spans of each text."""
-        ranges = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
-        ranges.sort(key=lambda r: r[2] - r[1])
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        at = 0
-        while at < len(ranges):
-            end = at + 1  # ranges ascend by length: the longest decides what padding takes
-            while end < len(ranges) and (end - at + 1) * (ranges[end][2] - ranges[end][1]) <= CHUNK * STRIDE:
-                end += 1
-            self._decode(texts, ranges[at:end], out)
-            at = end
+        group, held = [], 0
+        for i, text in enumerate(texts):
+            for a in range(0, len(text), PIECE):
+                low, high = max(0, a - LAP), min(len(text), a + PIECE + LAP)
+                group.append((i, a, low, text[low:high]))
+                held += high - low
+                if held >= TOGETHER:
+                    self._decode(group, out)
+                    group, held = [], 0
+        if group:
+            self._decode(group, out)
         return out
 
-    def _decode(self, texts, ranges, out) -> None:
-        longest = max(b - a for _, a, b in ranges)
-        x = np.zeros((len(ranges), longest), np.int64)
-        for k, (i, a, b) in enumerate(ranges):
-            part = codes(texts[i][a:b])
-            x[k, : len(part)] = part
-        total = np.zeros((longest, len(ranges), TAGS), np.float32)
-        weight = np.zeros((longest, len(ranges), 1), np.float32)
-        places = [(k, s) for k, (_, a, b) in enumerate(ranges) for s in range(0, b - a - WINDOW + 1, STRIDE)]
-        for at in range(0, len(places), CHUNK):
-            some = places[at : at + CHUNK]
-            em, _ = self.net.run(np.stack([x[k, s : s + WINDOW] for k, s in some]))
-            for j, (k, s) in enumerate(some):
-                total[s : s + WINDOW, k] += em[:, j] * self.near
-                weight[s : s + WINDOW, k] += self.near
-        em = total / np.maximum(weight, 1e-6)
-        em[:, :, 1:] -= 1e3 * (x.T == 0)[:, :, None]  # nothing beyond the text
-        tags = viterbi(em, self.tr, self.first)
-        sure = marginals(em, self.tr, self.first)
-        for k, (i, a, _) in enumerate(ranges):
-            column = tags[:, k]
-            for s in np.flatnonzero((column > 0) & (column % 2 == 1)):
-                tag = int(column[s])
-                e = s + 1
-                while e < longest and column[e] == tag + 1:
-                    e += 1
-                kind = KINDS[(tag - 1) // 2]
-                p = sure[s:e, k, tag] + sure[s:e, k, tag + 1]
-                if p.mean() >= SURE and plausible(kind, texts[i][a + s : a + e]):
-                    out[i].append((a + int(s), a + int(e), kind))
+    def emissions(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of all characters of the parts, where each part begins): (character, tags)."""
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        x = np.concatenate([codes(p) for p in parts])
+        starts = [np.arange(0, max(1, len(p) - (WINDOW - STRIDE)), STRIDE) + at[k] for k, p in enumerate(parts)]
+        ends = np.repeat(at[1:], [len(s) for s in starts])
+        starts = np.concatenate(starts)
+        lens = np.minimum(ends - starts, WINDOW)
+        order = np.argsort(lens, kind="stable")  # windows of a run are of like length
+        total, weight = np.zeros((len(x), TAGS), np.float32), np.zeros((len(x), 1), np.float32)
+        for i in range(0, len(order), CHUNK):
+            some = order[i : i + CHUNK]
+            longest = int(lens[some[-1]])
+            place = np.minimum(starts[some][:, None] + np.arange(longest), len(x) - 1)
+            em, _ = self.net.run(x[place], lens[some])
+            em *= self.near[:longest, :, None]
+            em = np.ascontiguousarray(em.transpose(2, 0, 1))
+            for j, k in enumerate(some):
+                total[starts[k] : starts[k] + lens[k]] += em[j, : lens[k]]
+                weight[starts[k] : starts[k] + lens[k]] += self.near[: lens[k]]
+        total /= weight
+        return total, at
+
+    def stretches(self, em: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of characters in which the best path may leave outside."""
+        weak = np.flatnonzero(em[:, 0] - em[:, 1:].max(1) < self.lead)
+        if not len(weak):
+            return []
+        part = np.searchsorted(at, weak, "right") - 1
+        new = np.concatenate([[True], (np.diff(weak) > 2 * self.reach) | (np.diff(part) > 0)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(weak)) - 1
+        low = np.maximum(weak[first] - self.reach, at[part[first]])
+        high = np.minimum(weak[last] + self.reach + 1, at[part[first] + 1])
+        return list(zip(low.tolist(), high.tolist()))
+
+    def _decode(self, group, out) -> None:
+        em, at = self.emissions([g[3] for g in group])
+        ranges = sorted(self.stretches(em, at), key=lambda r: r[1] - r[0])
+        i = 0
+        while i < len(ranges):
+            j = i + 1  # ranges ascend by length: the longest decides what padding takes
+            while j < len(ranges) and (j - i + 1) * (ranges[j][1] - ranges[j][0]) <= TOGETHER // 4:
+                j += 1
+            some, longest = ranges[i:j], ranges[j - 1][1] - ranges[j - 1][0]
+            padded = np.full((longest, len(some), TAGS), -1e3, np.float32)
+            padded[:, :, 0] = 0  # nothing beyond the text
+            for k, (a, b) in enumerate(some):
+                padded[: b - a, k] = em[a:b]
+            tags = viterbi(padded, self.tr, self.first)
+            hit = np.flatnonzero(tags.any(0))
+            sure = marginals(padded[:, hit], self.tr, self.first) if len(hit) else None
+            for h, k in enumerate(hit):
+                column, a = tags[:, k], some[k][0]
+                owner = int(np.searchsorted(at, a, "right")) - 1
+                text_no, begins, low, part = group[owner]
+                for s in np.flatnonzero((column > 0) & (column % 2 == 1)):
+                    tag = int(column[s])
+                    e = s + 1
+                    while e < longest and column[e] == tag + 1:
+                        e += 1
+                    kind = KINDS[(tag - 1) // 2]
+                    here = int(a - at[owner] + s)  # in the part
+                    e -= len(part[here : here + e - s]) - len(part[here : here + e - s].rstrip())
+                    p = sure[s:e, h, tag] + sure[s:e, h, tag + 1]
+                    if begins <= low + here < begins + PIECE and e > s and p.mean() >= SURE and plausible(kind, part[here : here + e - s]):
+                        out[text_no].append((low + here, int(low + here + e - s), kind))
+            i = j
 
 
 def all_spans(base: list[tuple[int, int, str]], model: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -463,7 +548,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
     ids = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
     ids = ids.where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
         .join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     )
