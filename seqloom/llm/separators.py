@@ -9,24 +9,31 @@ superblocks of ``SUPER`` blocks and blocks within them, so no task holds a large
 Defined cases: an empty document has 0 tokens; tokens after a file's last separator are
 a document without an end and are returned with ``ended`` false; empty blocks count
 nothing; a null block of data is empty; blocks may arrive in any order, and (file, block)
-must be unique.
+must be unique. Texts of documents: null is empty; rows that repeat a doc_id are counted
+each; a very long text crosses as many blocks as it needs; an empty table gives no
+rows; other columns are ignored. Ids have 2 bytes, or 4 where an id above 65,535 occurs.
+
+What a scan finds of each block (its length and separators) is written once to the shared
+folder, so tokenising happens once, and the numbers of files, which are numbers of
+partitions, are the same for all later steps.
 """
 
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import bounded_batches, cut, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 EOD = 50256
+#: Fixed value: the pattern that splits text before merges, which belongs to the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens in a block of a file, and blocks in a superblock.
 BLOCK = 1 << 16
 SUPER = 1024
@@ -38,12 +45,14 @@ def load_encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     """A public byte-level vocabulary; ids of special tokens never come from text."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
     with open(os.path.join(folder, vocabulary), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def kind_of(encoding, eod: int) -> str:
+    """Type of the ids in a file: the narrowest that holds every id of the vocabulary and the separator."""
+    return "uint16" if max(encoding.max_token_value, eod) < 1 << 16 else "uint32"
 
 
 def token_files(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
@@ -59,12 +68,13 @@ def token_files(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
         from pyspark import TaskContext
 
         encoding = load_encoding(folder, vocabulary)
+        kind = kind_of(encoding, eod)
         file, block = TaskContext.get().partitionId(), 0
         held, n, ends, labels = [], 0, [], []  # tokens not yet written, and where their documents end
 
         def rows(last: bool):
             nonlocal held, n, ends, labels, block
-            every = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            every = np.concatenate(held) if held else np.zeros(0, kind)
             size = n if last else n // BLOCK * BLOCK
             out, done = [], 0
             for at in range(0, size, BLOCK):
@@ -82,7 +92,7 @@ def token_files(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encoding.encode_to_numpy(text or "", disallowed_special=())
-                held.append(np.append(ids, eod).astype(np.uint16))
+                held.append(np.append(ids, eod).astype(kind))
                 n += len(ids) + 1
                 ends.append(n - 1)
                 labels.append(doc_id)
@@ -126,7 +136,7 @@ def separator_counts(blocks: DataFrame, eod: int = EOD, kind: str = "uint16") ->
     found = blocks.select("file", "block", "data", "labels").mapInArrow(
         tidy(scan), "file bigint, block bigint, n bigint, ends array<bigint>, labels array<bigint>"
     )
-    found = found.withColumn("super", F.floor(F.col("block") / SUPER))
+    found = cut(found).withColumn("super", F.floor(F.col("block") / SUPER))
     # within a superblock: what lies before a block, and the last separator before it
     inside = Window.partitionBy("file", "super").orderBy("block")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -171,4 +181,5 @@ def separator_counts(blocks: DataFrame, eod: int = EOD, kind: str = "uint16") ->
 
 def token_count_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens of every document, counted in flat token blocks."""
-    return separator_counts(token_files(docs)).select(F.col("label").alias("doc_id"), "n_tokens")
+    kind = kind_of(load_encoding(), EOD)
+    return separator_counts(token_files(docs), kind=kind).select(F.col("label").alias("doc_id"), "n_tokens")
