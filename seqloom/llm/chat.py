@@ -5,8 +5,10 @@ sums of the turns' token counts choose turn-aligned spans: a window takes as man
 turns as fit. Every window after the first begins with the system turn (the
 conversation's first turn, if its role is ``system``) and with the last turns before
 it, up to ``history`` tokens; these repeats are outside the loss mask, so each assistant
-text is a target exactly once. A turn that alone exceeds the budget gets a window of its
-own and keeps its whole text.
+text is a target exactly once. History gives way first where the next turn would not fit;
+where the system turn and the next turn together exceed the budget, that window begins
+without the system turn. A turn that alone exceeds the budget gets a window of its own and
+keeps its whole text, so a window of more than ``budget`` tokens holds one turn.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` for each turn. Inside roles and texts a
 backslash is doubled and every control string (of this template and of common others)
@@ -15,7 +17,10 @@ character undoes both, so texts come back exactly.
 
 Rows are ordered by turn (null first), then role and text. Turns stream through a
 partition sorted by conversation and only the current window, its history and the system
-turn are held, so a conversation of any length needs the memory of one window.
+turn are held, so a conversation of any length needs the memory of one window. Where a window
+begins depends on the one before it, and the digest of a conversation on all its turns in
+order, so a conversation is read by one task from end to end, streaming; null ids are one
+conversation.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own;
 repeated rows are turns of their own; an empty table gives no window; other columns are
@@ -105,7 +110,7 @@ class Windower:
 
     def _open(self, tokens: int) -> None:
         """History goes when it would keep the next turn out of the window."""
-        head = [self.system] if self.system else []
+        head = [self.system] if self.system and self.system[2] + tokens <= self.budget else []
         room = self.budget - sum(t for _, _, t in head) - tokens
         past, held = list(self.past), self.past_tokens
         while past and held > room:
@@ -243,5 +248,3 @@ def chat_report(conversations: DataFrame, spark: SparkSession) -> DataFrame:
     )
     return read_back(chat_windows(conversations.select("conv_id", "turn", "role", "text").unionByName(extra)))
 
-
-ORACLE = None
