@@ -96,6 +96,13 @@ def respelt(text: Column) -> Column:
     return text
 
 
+def longest_plain(canonical: int) -> int:
+    """Most characters of a plain text that spelling brings to ``canonical`` characters: every
+    spelling may have shortened it by as much as the one that shortens most."""
+    shorter = max([len(word) - len(other) for word, other in SPELLINGS.items()] + [0])
+    return canonical + shorter * (canonical // min(map(len, SPELLINGS.values())) + 1)
+
+
 def known_digests(spark: SparkSession, known=ALL) -> DataFrame:
     """(license, canonical, digest) of the known texts."""
     table = spark.createDataFrame(list(known), "license string, text string")
@@ -110,7 +117,7 @@ def license_scan(docs: DataFrame, known=ALL) -> DataFrame:
     table = known_digests(spark, known)
     listed = table.select(F.length("canonical"), F.substring_index("canonical", " ", 2)).collect()  # the library's own list
     lengths, openings = sorted({r[0] for r in listed}), sorted({r[1] for r in listed})
-    longest = max(lengths, default=0) + 64
+    longest = longest_plain(max(lengths, default=0))
     table = F.broadcast(table.select("license", "digest"))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a plain text that spelling makes a known one is no longer than this
