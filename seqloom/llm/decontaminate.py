@@ -6,13 +6,15 @@ words; a shorter text is one window. All windows go into a single automaton
 which reads each document once. Occurrences are mapped to word numbers and to
 code-point offsets in the original text.
 
-The automaton is sent to the executors, so its size is checked first: benchmark
-texts beyond ``SHARD_CHARS`` characters are dealt into shards of about that size,
-and a task builds the automata one after the other for each batch of documents.
+The automaton's texts are broadcast, so their size is bounded: distinct benchmark texts are
+dealt into shards of about ``SHARD_CHARS`` characters. Each shard is one pass over the
+documents with one automaton, built once in a task and broadcast for that pass alone; what
+a pass finds travels beside the text to the next one. A usual benchmark is one shard and one
+pass. A single item longer than a shard is a shard of its own.
 
 Defined cases: a null or empty document has no words and no hits; a benchmark
 text without words gives no window; rows that repeat an ``item_id`` count as one
-item; a null ``item_id`` counts as the item with the empty id; a document row is
+item (a repeated row adds nothing); a null ``item_id`` counts as the item with the empty id; a document row is
 answered as often as it occurs; other columns of both tables are ignored; with an
 empty benchmark nothing is hit.
 """
@@ -26,7 +28,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, tidy, LOWER
+from .common import LOWER, as_bytes, bounded_batches, cut, tidy
 
 SHARD_CHARS = 4_000_000
 WINDOW_WORDS = 10
@@ -105,17 +107,36 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shards_of(benchmark: DataFrame) -> list:
-    """Broadcasts of (item id, text), each of about ``SHARD_CHARS`` characters at most."""
+def shards_of(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of (item id, text), each of about ``SHARD_CHARS`` characters, one at a time."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // SHARD_CHARS))
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast([(r[0], r[1].encode()) for r in items.where(shard == i).collect()]) for i in range(n)]
+    for i in range(n):
+        yield context.broadcast([(r[0], r[1].encode()) for r in items.where(shard == i).collect()])
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, step) -> DataFrame:
+    """``step(shard)`` -> an Arrow iterator function over ``docs``; one pass for each shard.
+
+    Between passes the rows are written to the shared folder, so a task holds one automaton.
+    """
+    bounded_batches(docs.sparkSession)
+    waiting = None
+    for shard in shards_of(benchmark):
+        if waiting is not None:
+            docs = cut(docs)
+            waiting.unpersist()
+        docs, waiting = docs.mapInArrow(tidy(step(shard)), docs.schema), shard
+    return docs
+
+
+HITS = "array<struct<a:bigint,b:bigint>>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
@@ -123,41 +144,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
     ``spans`` are the merged code-point ranges of hit words in the original text.
     """
-    bounded_batches(docs.sparkSession)
-    parts = shards_of(benchmark)
 
-    def scan(batches):
+    def step(shard):
+        def scan(batches):
+            import pyarrow as pa
+
+            scanner = Scanner(shard.value, size)
+            for batch in batches:
+                hits, items = [], []
+                before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist())
+                for data, (had, owners) in zip(as_bytes(batch.column("text")), before):
+                    found = scanner.hits(line_of(data))
+                    spans = [(h["a"], h["b"]) for h in had] + [(a, b) for a, b, _ in found]
+                    hits.append([{"a": a, "b": b} for a, b in merged(spans)])
+                    items.append(sorted(set(owners).union(*(x for _, _, x in found))))
+                columns = [
+                    batch.column("doc_id"), batch.column("text"),
+                    pa.array(hits, batch.schema.field("hits").type), pa.array(items, batch.schema.field("items").type),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "hits", "items"])
+
+        return scan
+
+    def finish(batches):
         import pyarrow as pa
 
-        only = Scanner(parts[0].value, size) if len(parts) == 1 else None
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            lines = [line_of(x) for x in texts]
-            found: list[list] = [[] for _ in texts]
-            for part in parts:
-                scanner = only or Scanner(part.value, size)
-                for k, line in enumerate(lines):
-                    found[k] += scanner.hits(line)
-            n_words, n_hit, ids, spans = [], [], [], []
-            for data, line, hits in zip(texts, lines, found):
-                n_words.append(max(0, line.count(" ") - 1))
-                ranges = merged((a, b) for a, b, _ in hits)
-                n_hit.append(sum(b - a for a, b in ranges))
-                ids.append(sorted(set().union(*(x for _, _, x in hits))))
-                places = [m.span() for m in _WORD.finditer(data.translate(LOWER).decode())] if ranges else []
-                spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges])
+            n_words, n_hit, spans = [], [], []
+            for data, hits in zip(as_bytes(batch.column("text")), batch.column("hits").to_pylist()):
+                n_words.append(max(0, line_of(data).count(" ") - 1))
+                n_hit.append(sum(h["b"] - h["a"] for h in hits))
+                places = [m.span() for m in _WORD.finditer(data.translate(LOWER).decode())] if hits else []
+                spans.append([{"start": places[h["a"]][0], "end": places[h["b"] - 1][1]} for h in hits])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(ids, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, kind)],
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(scan), SCHEMA)
+    texts = docs.select(
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string"),
+        F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"),
+    )
+    return passes(texts, benchmark, step).mapInArrow(tidy(finish), SCHEMA)
 
 
 def digest(ids: list[str]) -> str:
@@ -179,24 +208,20 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, all columns kept.
 
-    One pass, without a join: the text's verdict is computed beside its columns.
+    Without a join: a text's verdict is computed beside its columns.
     """
-    bounded_batches(docs.sparkSession)
-    parts = shards_of(benchmark)
 
-    def clean(batches):
-        import pyarrow as pa
+    def step(shard):
+        def clean(batches):
+            import pyarrow as pa
 
-        only = Scanner(parts[0].value, size) if len(parts) == 1 else None
-        for batch in batches:
-            lines = [line_of(x) for x in as_bytes(batch.column("text"))]
-            keep = [True] * len(lines)
-            for part in parts:
-                scanner = only or Scanner(part.value, size)
-                keep = [k and not scanner.any_hit(t) for k, t in zip(keep, lines)]
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(tidy(clean), docs.schema)
+            scanner = Scanner(shard.value, size)
+            for batch in batches:
+                yield batch.filter(pa.array([not scanner.any_hit(line_of(x)) for x in as_bytes(batch.column("text"))], pa.bool_()))
+
+        return clean
+
+    return passes(docs, benchmark, step)
 
 
 ORACLE = r"""
