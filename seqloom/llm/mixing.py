@@ -19,8 +19,10 @@ which is the water-filling t = min(CAP * size, level * weight).
 Defined cases: a null text has size 0; a null source is a source of its own;
 documents of size 0 take 0 words; repeated rows are documents of their own; an
 empty table gives an empty result; a source of size 0 has target 0. Draws are seeded
-by source and block and rows are ordered within a block, so reruns agree however
-the input is partitioned.
+by source and block, and rows are ordered within a block by doc_id, size and the hash of
+their text, so reruns agree however the input is partitioned; rows alike in all of
+these are interchangeable. Blocks are chosen by the same three, so rows without a
+doc_id are spread by their texts; ``mix`` returns every column of its input.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def _decide(last: bool):
     def run(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "size", "frac"], kind="stable", na_position="last", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "size", "hash", "frac"], kind="stable", na_position="last", ignore_index=True)
         rng = random.Random(zlib.crc32(repr((key[0], int(key[1]), int(key[2]))).encode()))
         prob, x = pdf["frac"].tolist(), [float(v) for v in pdf["size"]]
         order = list(range(len(prob)))
@@ -160,7 +162,7 @@ def _decide(last: bool):
 
 
 def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """units(doc_id, source, size, n_docs, frac, ...) -> the same with frac 0.0 or 1.0.
+    """units(doc_id, hash, source, size, n_docs, frac, ...) -> the same with frac 0.0 or 1.0.
 
     ``n_docs`` is the number of units of the source. Levels of blocks follow each
     other until every source fits into one; each level leaves at most
@@ -172,7 +174,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         last = most <= block
         n = F.ceil(F.col("n_docs") / F.lit(block))
-        spread = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), n)
+        spread = F.pmod(F.xxhash64("doc_id", "size", "hash", F.lit(level)), n)
         keyed = units.withColumn("_b", F.lit(0).cast("bigint") if last else spread).withColumn("_l", F.lit(level))
         out = cut(
             keyed.groupBy("source", "_b", "_l")
@@ -198,12 +200,13 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     return result
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies and taken."""
+def drawn(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken and the columns ``keep``."""
     sized = cut(
         docs.select(
-            F.col("doc_id").cast("bigint"), F.col("source").cast("string").alias("source"),
+            F.col("doc_id").cast("bigint"), F.col("source").cast("string").alias("source"), *keep,
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
+            F.xxhash64("text").alias("hash"),
         )
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -219,14 +222,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         .withColumn("frac", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(0.0))
     )
     units = units.withColumn("n_docs", F.col("n_docs").cast("bigint"))
-    drawn = cube_sample(units)
     copies = (F.col("whole") + F.col("frac").cast("bigint")).cast("bigint")
-    return drawn.select(
+    return cube_sample(units).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        (copies * F.col("size")).alias("taken"), *keep,
     )
 
 
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken beside its own columns.
+
+    Rows are numbered and written once to the shared folder; the draw works on numbers and
+    sizes, and its decisions come back to the rows by number. Columns of ``docs`` of those
+    five names give way.
+    """
+    new = ("size", "source_size", "target", "copies", "taken")
+    rows = cut(docs.drop(*new).withColumn("_row", F.monotonically_increasing_id()))
+    found = drawn(rows, ("_row",), weights, share, cap).select(F.col("_row").alias("_drawn"), *new)
+    return rows.join(found, F.col("_row") == F.col("_drawn")).drop("_row", "_drawn")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """The thin result of the query."""
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return drawn(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
