@@ -2,12 +2,17 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
 what it keeps. All but the last return the columns of ``documents``; the last returns
-the mix: which documents are taken, and how often.
+the mix: the documents that are taken, their columns, and how often.
+
+A row is a document of its own in every stage: rows without a doc_id, or of one doc_id with
+different texts, are kept and dropped by their texts. Null and empty texts pass all stages
+but the mix, which takes no words from them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.llm import common, decontaminate, jaccard, mixing, pii, toxicity
 from seqloom.llm.queries import table
@@ -19,14 +24,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one of the smallest doc_id."""
-    found = common.cut(jaccard.jaccard_components(docs).where("doc_id IS NOT NULL"))
-    kept = common.with_keys(docs, "doc_id", found.where("doc_id <> component_id").select("doc_id"), "left_anti")
-    twice = common.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    once = common.with_keys(kept, "doc_id", twice, "left_anti")
-    return once.unionByName(common.with_keys(kept, "doc_id", twice).dropDuplicates(["doc_id"]))
+    """One row of each group of linked ones: that of the smallest doc_id (null last), then of
+    the smallest hash of its text. Rows without words link with nothing and stay.
+
+    Rows are numbered and written once, and the join works on numbers, so rows that share a
+    doc_id are told apart.
+    """
+    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = jaccard.jaccard_components(numbered).where("component_id IS NOT NULL")
+    order = rows.select(F.col("_row").alias("_r"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+    ranked = order.join(found.select(F.col("doc_id").alias("_f"), "component_id"), F.col("_r") == F.col("_f"))
+    best = common.cut(ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "hash", "_r")).alias("b")).select("b._r"))
+    return common.with_keys(rows, "_row", best).drop("_row")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +50,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies."""
+    """The documents that the mix takes, their columns beside the number of copies."""
     return mixing.mix(docs).where("copies > 0")
 
 
@@ -52,7 +62,7 @@ STAGES = [
     ("source_mixing", mixed),
 ]
 
-#: Trained models and sampling are not SQL; tests hold the stages against plain versions.
+#: Trained models and sampling are not SQL; tests/llm/test_stages.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
