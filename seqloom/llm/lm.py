@@ -8,28 +8,33 @@ are counted over all training texts. The model interpolates them,
     P1(w)       = (c(w) + 1) / (N + V + 1),
 
 and is run as an automaton: a state is the longest known context (t u, u or none), an
-arc carries log10 of the probability of a known n-gram, and where no arc exists the
-failure arc adds log10 L of the state and goes on from the shorter context. L2 depends on
-the count of u: it is ``NEW`` times the chance that a word drawn from the corpus is new
-after c(u) draws, taken from the counts of all words; L3 is constant.
-
-The model is as large as the corpus, so no task or driver holds it. Texts are dealt into
-blocks of about ``BLOCK`` bytes. A block asks for its distinct n-grams by sending their
-hashes and training counts to buckets (ranges of the hash); a bucket adds up the counts
-of a hash over all blocks and answers each block in the order of its question. So a
-frequent word or n-gram is one entry for each block, however often it occurs, and
-buckets are even. A block then has every arc and failure weight that its texts can meet:
-its part of the automaton. A state depends on the last two tokens alone, so the
-traversal computes the states of all positions first and then follows failure arcs for
-all positions together; ``walk`` is the same traversal token by token.
+arc carries log10 of the probability of a known n-gram and leads to the longest known
+context that ends in its token, and where no arc exists the failure arc adds log10 L of the
+state and goes on from the shorter context. L2 depends on the count of u: it is ``NEW`` times
+the chance that a word drawn from the corpus is new after c(u) draws, taken from the counts
+of all words; L3 is constant.
+
+The model is as large as the corpus, so no task or driver holds it. A task cuts the texts of
+its partition into blocks of about ``BLOCK`` bytes. A block asks for its distinct n-grams by
+sending their hashes and training counts to buckets (ranges of the hash, one for each
+``BUCKET`` characters of the input, ``BUCKETS`` at most, so a block sends a bounded number of
+rows whatever the input); a bucket adds up the counts of a hash over all blocks and answers
+each block in the order of its question. So a frequent word or n-gram is one entry for each
+block, however often it occurs, and buckets are even. A block then has every state, arc and
+failure arc that its texts can meet: its part of the automaton (``Automaton``), built for
+about ``PART`` tokens at a time. One pass reads the texts from left to right, the state
+carried along; many texts advance side by side, and a text of more than ``SEGMENT`` tokens
+enters at several places, in the state that the tokens before the place lead to.
 
 N-grams of two and three tokens are known by hashes of log2(bytes) + ``SPARE`` bits, so a few
-lookups in a million may meet another n-gram's count; words are known by 64 bits.
+lookups in a million may meet another n-gram's count (at 8 bits fewer, scores of sf0.01 move
+by README's figure); words are known by 64 bits.
 
 Defined cases: a null or empty text is its end token alone; held out are texts whose
 crc32(doc_id as text) mod 7 is 2, a null doc_id trains; repeated rows are texts of their
-own; without training texts N and V are 0 and scores follow from the formula; an empty
-table gives no rows; other columns are ignored.
+own; a very long text is a block of its own; without training texts N and V are 0 and scores
+follow from the formula; an empty table gives no rows; other columns are ignored. Rows of a
+partition stay together, so rows of one or no doc_id fill no block more than others.
 """
 
 from __future__ import annotations
@@ -45,12 +50,13 @@ from .hashing import mix64, word_hashes
 
 FOLDS, HELD = 7, 2
 BLOCK = 12_000_000
+BUCKET, BUCKETS = 4_000_000, 1 << 16
 SPARE = 16
 NEW = 0.7
 L3 = 0.5
 ORDERS = (1, 2, 3)
-#: Tokens whose automaton is built at once.
-PART = 1 << 18
+#: Tokens whose automaton is built at once, and of a text between two places of entry.
+PART, SEGMENT = 1 << 18, 256
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
@@ -62,32 +68,39 @@ ANSWERS = "block bigint, bucket bigint, answer1 binary, answer2 binary, answer3
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _block_rows(batches):
-    """Texts of a batch, packed and compressed for each block."""
-    import pyarrow as pa
+def _blocks(size: int):
+    """Texts of a partition in blocks of about ``size`` bytes, a row for each, packed and compressed."""
 
-    zstd = pa.Codec("zstd", 1)
-    for batch in batches:
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        texts = as_bytes(batch.column("text"))
-        held = np.array(batch.column("held").to_pylist(), bool)
-        raw = batch.column("doc_id").to_pylist()
-        known = np.array([i is not None for i in raw], bool)
-        ids = np.array([i or 0 for i in raw], np.int64)
-        rows = []
-        for b in np.unique(block):
-            at = np.flatnonzero(block == b)
-            mine = [texts[i] for i in at]
-            rows.append(
-                (int(b), ids[at].tobytes(), known[at].tobytes(), held[at].tobytes(),
-                 np.array([len(t) for t in mine], np.int64).tobytes(),
-                 zstd.compress(b"".join(mine), asbytes=True))
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        zstd, names = pa.Codec("zstd", 1), [x.split()[0] for x in BLOCKS.split(", ")]
+        block = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        held = 0
+
+        def packed():
+            ids, lens = [r[0] for r in rows], [len(r[2]) for r in rows]
+            values = (
+                block, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is not None for i in ids], bool).tobytes(),
+                np.array([r[1] for r in rows], bool).tobytes(), np.array(lens, np.int64).tobytes(),
+                zstd.compress(b"".join(r[2] for r in rows), asbytes=True),
             )
-        kinds = [pa.int64()] + [pa.binary()] * 5
-        columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")]
-        )
+            kinds = [pa.int64()] + [pa.binary()] * 5
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+        for batch in batches:
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), as_bytes(batch.column("text"))):
+                rows.append(row)
+                held += len(row[2]) + 16
+                if held >= size:
+                    yield packed()
+                    rows, held, block = [], 0, block + 1
+        if rows:
+            yield packed()
+
+    return run
 
 
 def _tokens(table):
@@ -136,7 +149,7 @@ def _keys(tokens: np.ndarray, first: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _request(buckets: int, bits: int):
-    def run(table):
+    def one(table):
         import pyarrow as pa
 
         block = table.column("block")[0].as_py()
@@ -146,17 +159,29 @@ def _request(buckets: int, bits: int):
         limits = [np.uint64((i << 64) // buckets) for i in range(1, buckets)]
         columns: dict[str, list] = {x.split()[0]: [] for x in REQUESTS.split(", ")}
         columns["bucket"], columns["block"] = list(range(buckets)), [block] * buckets
+        asked = np.zeros(buckets, bool)
         for k, keys in zip(ORDERS, _keys(tokens, first, bits)):
             unique, back = np.unique(keys, return_inverse=True)
             count = np.bincount(back, train, len(unique)).astype(np.uint32)
             edges = np.concatenate([[0], np.searchsorted(unique, np.array(limits, np.uint64)), [len(unique)]])
+            asked |= np.diff(edges) > 0
             shift = np.uint64(0 if k == 1 else 64 - bits)
             for a, b in zip(edges[:-1], edges[1:]):
                 columns[f"keys{k}"].append(pack(np.diff(unique[a:b] >> shift, prepend=np.uint64(0))))
                 columns[f"counts{k}"].append(pack(count[a:b]))
         kinds = [pa.int64()] * 2 + [pa.binary()] * 6
-        give_back()
-        return pa.table([pa.array(c, t) for c, t in zip(columns.values(), kinds)], names=list(columns))
+        rows = pa.array(np.flatnonzero(asked))
+        return [pa.array(c, t).take(rows) for c, t in zip(columns.values(), kinds)], list(columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                arrays, names = one(batch.slice(i, 1))
+                for at in range(0, len(arrays[0]), 1024):
+                    yield pa.RecordBatch.from_arrays([x.slice(at, 1024) for x in arrays], names=names)
+                give_back()
 
     return run
 
@@ -209,67 +234,104 @@ def new_word_chance(bins: list[tuple[int, int, int]], n: int, v: int) -> np.ndar
 
 
 class Automaton:
-    """A block's part of the model: arcs and failure weights at every position of its texts.
+    """The states, arcs and failure arcs that some texts can meet.
 
-    count1, count2, count3: training counts of the n-gram of each order that ends at the position.
+    tokens: their hashes; first: where each text begins; counts: training counts of the n-gram of
+    each order that ends at a token. State 0 is the empty context, then come known words, then
+    known pairs of words.
+
+    keys, weight, target: arcs out of words and pairs, sorted by source * words + word;
+    root_weight, root_target: arcs out of state 0, which has one for every word;
+    fail_weight, fail_target: the failure arc of each state.
     """
 
-    def __init__(self, counts: list[np.ndarray], first: np.ndarray, n: int, v: int, chance: np.ndarray):
-        self.c1, self.c2, self.c3 = (c.astype(float) for c in counts)
-        start = first[:-1]
-        # the state before a position: counts of its contexts, of one token and of two
-        self.u = np.concatenate([[0.0], self.c1[:-1]])
-        ends = self.c1[first[1:] - 1]
-        self.u[start] = ends  # a text begins after an END
-        self.tu = np.concatenate([[0.0], self.c2[:-1]])
-        self.tu[start] = 0
-        self.p1 = (self.c1 + 1) / (n + v + 1)
-        self.fail2 = chance[bin_of(self.u)]
-
-    def state(self) -> np.ndarray:
-        """Tokens of the longest known context before each position."""
-        return np.where(self.tu > 0, 2, np.where(self.u > 0, 1, 0))
-
-    def arc(self, order: int, at: np.ndarray) -> np.ndarray:
-        """log10 probability that an arc out of a context of ``order`` tokens carries; NaN: no arc."""
-        p = self.p1[at]
-        if order:
-            q = self.fail2[at]
-            p = np.where(self.u[at] > 0, (1 - q) * self.c2[at] / np.maximum(self.u[at], 1) + q * p, p)
-        if order == 2:
-            p = (1 - L3) * self.c3[at] / np.maximum(self.tu[at], 1) + L3 * p
-        there = np.array(True) if order == 0 else (self.c3[at] if order == 2 else self.c2[at]) > 0
-        return np.where(there, np.log10(p), np.nan)
-
-    def fail(self, order: int, at: np.ndarray) -> np.ndarray:
-        """log10 weight of the failure arc to the context one token shorter."""
-        return np.full(len(at), math.log10(L3)) if order == 2 else np.log10(self.fail2[at])
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of the token at each position."""
-        out, order = np.zeros(len(self.c1)), self.state()
-        at = np.arange(len(out))
-        for now in (2, 1, 0):
-            here = at[order[at] == now]
-            weight = self.arc(now, here)
-            lost = np.isnan(weight)
-            out[here] += np.where(lost, 0.0, weight)
-            out[here[lost]] += self.fail(now, here[lost]) if now else 0.0
-            order[here[lost]] = now - 1
-            at = np.concatenate([at[order[at] < now], here[lost]]) if now else at[:0]
-            at = np.unique(at)
-        return out
-
-    def walk(self, start: int, end: int) -> float:
-        """The same for one text, one token after the other, the state carried along."""
-        total, states = 0.0, self.state()
-        for i in range(start, end):
-            order, place = int(states[i]), np.array([i])
-            while math.isnan(weight := float(self.arc(order, place)[0])):
-                total += float(self.fail(order, place)[0])
-                order -= 1
-            total += weight
-        return total
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, counts: list[np.ndarray], n: int, v: int, chance: np.ndarray):
+        words, w = np.unique(tokens, return_inverse=True)
+        end, n_words = int(np.searchsorted(words, END)), len(words)
+        c1 = np.zeros(n_words)
+        c1[w] = counts[0]
+        before = np.concatenate([[end], w[:-1]])
+        before[first[:-1]] = end  # a text begins after an END
+        pairs, p = np.unique(before * n_words + w, return_inverse=True)
+        c2 = np.zeros(len(pairs))
+        c2[p] = counts[1]
+        u, x = pairs // n_words, pairs % n_words
+        c2[c1[u] == 0] = 0
+        known1, known2 = c1 > 0, c2 > 0
+        n1 = int(known1.sum())
+        word_state = np.where(known1, np.cumsum(known1), 0)
+        pair_state = np.where(known2, n1 + np.cumsum(known2), word_state[x])
+        #: the state that each token leads to, and what texts begin in
+        self.after, self.start = pair_state[p], int(word_state[end])
+        self.words, self.w = n_words, w
+
+        p1 = (c1 + 1) / (n + v + 1)
+        lost = chance[bin_of(c1)]
+        p2 = np.where(known1[u], (1 - lost[u]) * c2 / np.maximum(c1[u], 1) + lost[u] * p1[x], p1[x])
+        self.root_weight, self.root_target = np.log10(p1), word_state
+        self.fail_weight = np.concatenate([[0.0], np.log10(lost[known1]), np.full(int(known2.sum()), math.log10(L3))])
+        self.fail_target = np.concatenate([[0], np.zeros(n1, np.int64), word_state[x[known2]]])
+
+        # three tokens: a known pair and what follows it; no pair ends before a text's first token
+        inner = np.ones(len(w), bool)
+        inner[first[:-1]] = False
+        context = np.concatenate([[0], p[:-1]])
+        inner &= known2[context] & (counts[2] > 0)
+        at = np.flatnonzero(inner)
+        source = pair_state[context[at]]
+        keys, unique = np.unique(source * n_words + w[at], return_index=True)
+        at = at[unique]
+        p3 = (1 - L3) * counts[2][at] / np.maximum(c2[context[at]], 1) + L3 * p2[p[at]]
+        # the sources of two-token arcs are words, whose numbers come before those of pairs
+        two = np.flatnonzero(known2)
+        two_keys = word_state[u[two]] * n_words + x[two]
+        order = np.argsort(two_keys, kind="stable")
+        two = two[order]
+        self.keys = np.concatenate([two_keys[order], keys])
+        self.weight = np.concatenate([np.log10(p2[two]), np.log10(p3)])
+        self.target = np.concatenate([pair_state[two], self.after[at]])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of a word in each state."""
+        total, now, out = np.zeros(len(state)), state.copy(), np.empty_like(state)
+        open_ = np.arange(len(state))
+        while len(open_):
+            s, x = now[open_], word[open_]
+            root = s == 0
+            key = s * self.words + x
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            hit = ~root & (self.keys[at] == key) if len(self.keys) else np.zeros(len(s), bool)
+            i = open_[hit]
+            total[i] += self.weight[at[hit]]
+            out[i] = self.target[at[hit]]
+            i = open_[root]
+            total[i] += self.root_weight[x[root]]
+            out[i] = self.root_target[x[root]]
+            failed = ~(root | hit)
+            open_, s = open_[failed], s[failed]
+            total[open_] += self.fail_weight[s]
+            now[open_] = self.fail_target[s]
+        return total, out
+
+    def traverse(self, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of each text, read from left to right with the state carried along.
+
+        Texts are cut into segments of ``segment`` tokens at most, which advance side by side.
+        """
+        lens = np.diff(first)
+        n = -(-lens // segment)
+        owner = np.repeat(np.arange(len(lens)), n)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * segment
+        begin, size = first[:-1][owner] + place, np.minimum(lens[owner] - place, segment)
+        order = np.argsort(-size, kind="stable")
+        begin, size, owner, place = begin[order], size[order], owner[order], place[order]
+        state = np.where(place == 0, self.start, self.after[np.maximum(begin - 1, 0)])
+        total = np.zeros(len(owner))
+        for t in range(int(size[0]) if len(size) else 0):
+            k = int(np.searchsorted(-size, -t, "left"))  # segments of more than t tokens
+            gain, state[:k] = self.step(state[:k], self.w[begin[:k] + t])
+            total[:k] += gain
+        return np.bincount(owner, total, len(lens))
 
 
 def _score(n: int, v: int, chance: np.ndarray, bits: int):
@@ -284,7 +346,6 @@ def _score(n: int, v: int, chance: np.ndarray, bits: int):
         answers = answers.sort_by("bucket")
         counts = []
         every = _keys(tokens, first, bits)
-        del tokens
         for k in ORDERS:
             keys = every.pop(0)
             _, back = np.unique(keys, return_inverse=True)
@@ -292,13 +353,13 @@ def _score(n: int, v: int, chance: np.ndarray, bits: int):
             del keys, back
         base, model_score = np.empty(len(ids)), np.empty(len(ids))
         at = 0
-        while at < len(ids):  # a part of the texts at a time: the automaton's weights take several arrays
+        while at < len(ids):  # a part of the texts at a time
             end = max(at + 1, int(np.searchsorted(first, first[at] + PART, "right")) - 1)
             a, b = first[at], first[end]
-            model = Automaton([c[a:b] for c in counts], first[at : end + 1] - a, n, v, chance)
-            start = first[at:end] - a
-            base[at:end] = np.add.reduceat(np.log10(model.p1), start)
-            model_score[at:end] = np.add.reduceat(model.traverse(), start)
+            part = first[at : end + 1] - a
+            model = Automaton(tokens[a:b], part, [c[a:b] for c in counts], n, v, chance)
+            base[at:end] = np.add.reduceat(model.root_weight[model.w], part[:-1])
+            model_score[at:end] = model.traverse(part)
             at = end
         per = [base, model_score, np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])]
         give_back()
@@ -312,16 +373,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: the columns of ``SCORES``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK))
+    size = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = min(BUCKETS, max(1, -(-size // BUCKET)))
     bits = min(64, max(32, math.ceil(math.log2(size + 2)) + SPARE))
     crc = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD
-    blocks = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.coalesce(crc, F.lit(False)).alias("held"),
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"),
-    ).mapInArrow(tidy(_block_rows), BLOCKS)
-    asked = blocks.groupBy("block").applyInArrow(_request(n_blocks, bits), REQUESTS)
+    # written once: questions and scores read the same blocks
+    blocks = cut(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc, F.lit(False)).alias("held"),
+    ).mapInArrow(tidy(_blocks(BLOCK)), BLOCKS))
+    asked = blocks.mapInArrow(tidy(_request(buckets, bits)), REQUESTS)
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS))
     del asked
     bins = [
