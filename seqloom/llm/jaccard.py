@@ -1,43 +1,51 @@
-"""N-gram Jaccard self-join by cells and a prefix filter, with count vectors in leaves (no R-tree).
+"""N-gram Jaccard self-join with R-trees of count vectors.
 
 A document's set holds its distinct ``size``-word shingles. Two documents link when
 100 * |A & B| >= 85 * |A | B|. The result is each document's component under links.
 
+Shingles are hashed into groups; a document is the point of its group counts, and two
+documents share at most the sum of the minima of their coordinates. A box of points is
+bounded by its upper corner in the same way. In hundreds of coordinates, boxes over
+unlike documents prune nothing, so points are first dealt to many trees:
+
 1. Shingles become 64-bit hashes in numpy, sorted and distinct. Documents with equal sets
    collapse into one representative (the smallest doc_id).
-2. The hash range is dealt into groups. A linking pair differs in at most 15 / 85 of the
-   smaller set, and there are more non-empty groups than that, so some groups hold
-   the same shingles in both (pigeonhole); the hash of a group is a cell. Documents that share no cell
-   with another cannot link and leave here. Set sizes fall into classes of doubling size
-   with a fixed number of groups; a set near a border uses both classes. As at most k
-   groups of a set can differ from a partner's, its k + 1 rarest cells hold a common one
-   (prefix filter, the same order everywhere: number of documents, then hash), and the
-   others are left out; cells of one document alone come first and need no row.
-3. First links: in its cells each document is paired with the cell's smallest
-   one, bounded as in 4 and verified. Copies of one text become one component without meeting pairwise.
-4. Cells that still hold more than one component are indexed: documents are points of
-   group counts, dealt by size into leaves of about ``LEAF`` points
-   with their bounding box; within a size the hash of the document chooses the leaf, and
-   leaves have no parents: every two near leaves of a cell meet. Two leaves, then two points, are kept apart when the sum of
-   coordinate minima (of the boxes' upper corners; of the points) is below the overlap
-   that a link needs. A set of n shingles has n to 2 n coordinates, a power of two, so
-   the bound is close to the overlap; two points meet in the coarser one's coordinates. Pairs already in one component are skipped: a link between them
-   changes nothing.
+2. Dealing. A linking pair differs in at most 15 / 85 of the smaller set, and there are
+   more non-empty groups than that, so some groups hold the same shingles in both
+   (pigeonhole); the hash of such a group is a cell, and each cell is one tree. Documents that
+   share no cell with another cannot link and leave here. Set sizes fall into classes of
+   doubling size with a fixed number of groups; a set near a border uses both classes. As
+   at most k groups of a set can differ from a partner's, its k + 1 rarest cells hold a common
+   one (the same order everywhere: number of documents, then hash), and the others are left
+   out; cells of one document alone come first and need no row.
+3. First probe. In each tree the smallest doc_id is held against every point, bounded by
+   coordinate minima and verified. Copies of one text become one component without meeting
+   pairwise.
+4. Trees that still hold several components are bulk-loaded by sort-tile packing: a node for
+   each band of sizes (a link spans the width of a band), below it slabs by one coordinate
+   and tiles by another, cut into leaves of about ``LEAF`` points. Cuts are the quantiles that
+   counts of hashed groups have, so packing needs no sort. Slabs and leaves have boxes of
+   ``COARSE`` coordinates. The tree is joined with itself from the top: slab with slab, then
+   leaf with leaf, then point with point in all coordinates (a set of n shingles has n to 2 n, a
+   power of two; two points meet in the coarser one's). A pair goes on when the sum of minima
+   reaches the overlap that a link needs and its sides are not already one component: a link
+   inside a component changes nothing.
 5. Surviving pairs are verified on their whole shingle sets; components are taken again.
 
-Every linking pair is in one component after 3 or shares a cell in 4, so no link between
+Every linking pair is in one component after 3 or shares a tree in 4, so no link between
 different texts is lost, whatever the sizes of groups.
 
 Defined cases: null and texts without words have an empty set and are their own
-component; a text of fewer words is one shingle; rows that repeat a doc_id are one vertex
-(their sets' links join up) and each row is answered; a null doc_id links with nothing
-and gets a null component; an empty table gives no rows; other columns are ignored.
+component; a text of fewer words is one shingle; a very long text is one set, whatever its
+size; rows that repeat a doc_id are one vertex (their sets' links join up) and each row is
+answered; a null doc_id links with nothing and gets a null component; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, cut, give_back, pack, tidy, unpack, with_keys
@@ -48,12 +56,14 @@ NUM, DEN = 85, 100
 LEAF = 128
 #: Counts from here on bound nothing: they are kept in one byte.
 FULL = 255
+#: Coordinates of a box, and slabs of a node and tiles of a slab at most.
+COARSE, TILES = 16, 16
 #: Bits of a cell beyond the logarithm of the input's size.
 SPARE = 12
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
-SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, c0 bigint, c1 bigint, counts binary, cells binary"
+SETS = "doc_id bigint, n bigint, f1 bigint, f2 bigint, c0 bigint, c1 bigint, counts binary, coarse array<int>, cells binary"
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +126,7 @@ def _sets(bits: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = as_bytes(batch.column("text"))
-                ns, f1, f2, c0, c1, counts, cells = [], [], [], [], [], [], []
+                ns, f1, f2, c0, c1, counts, coarse, cells = [], [], [], [], [], [], [], []
                 at = 0
                 while at < len(texts):
                     end, held = at, 0
@@ -129,12 +139,13 @@ def _sets(bits: int):
                         mine, n = every[a:b], int(b - a)
                         ns.append(n)
                         if not n:
-                            f1.append(0), f2.append(0), c0.append(0), c1.append(0), counts.append(b""), cells.append(b"")
+                            f1.append(0), f2.append(0), c0.append(0), c1.append(0), counts.append(b""), coarse.append([]), cells.append(b"")
                             continue
                         f1.append(int(mine.sum(dtype=np.uint64).view(np.int64)))
                         f2.append(int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)))
                         g = coordinates_of(n)
                         point = np.bincount((mine & np.uint64(g - 1)).astype(np.int64), minlength=g)
+                        coarse.append(point.reshape(-1, COARSE).sum(0).tolist())
                         counts.append(pack(np.minimum(point, FULL).astype(np.uint8)))
                         # the last bit tells the two classes of a set apart
                         parts = [cells_of(mine, c) >> np.uint64(65 - bits) << np.uint64(1) | np.uint64(c & 1) for c in classes_of(n)]
@@ -147,9 +158,9 @@ def _sets(bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                        pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.binary()),
+                        pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(counts, pa.binary()), pa.array(coarse, pa.list_(pa.int32())), pa.array(cells, pa.binary()),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "c0", "c1", "counts", "cells"],
+                    names=["doc_id", "n", "f1", "f2", "c0", "c1", "counts", "coarse", "cells"],
                 )
 
     return run
@@ -361,6 +372,64 @@ def _leaf(points, size: int):
     return doc, comp, n, np.stack([fold(unpack(p["counts"], np.uint8), size) for p in points])
 
 
+def tree_leaves(inside: DataFrame) -> DataFrame:
+    """inside(cell, m, doc, comp, n, counts, coarse) -> leaves of the trees: id, place (cell, band,
+    slab), n (the least), lo and hi (components), b0, b1, ... (upper corner) and points.
+
+    ``m`` is the number of points of the cell. Of n hashed shingles, half the groups hold n / 2,
+    give or take sqrt(n) / 2, so the share of points below a count is known without sorting.
+    """
+    part = lambda places: sum((F.get("coarse", i) for i in places), F.lit(0))
+    wide = F.least(F.lit(TILES), F.ceil(F.sqrt(F.col("m") / LEAF)))
+
+    def cut_of(half: Column) -> Column:
+        z = (2 * half - F.col("n")) / F.sqrt("n")
+        return F.floor(wide / (1 + F.exp(-1.702 * z))).cast("int")  # the logistic curve follows the normal's within 0.01
+
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
+    rows = inside.withColumns({
+        "band": band, "slab": cut_of(part(range(COARSE // 2))),
+        "tile": cut_of(part([i for i in range(COARSE) if i // (COARSE // 4) in (0, 2)])),
+    })
+    place = ["cell", "band", "slab", "tile"]
+    filled = rows.groupBy(*place).agg(F.ceil(F.count("*") / LEAF).alias("pieces"))
+    rows = rows.join(filled, place).withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")))
+    leaves = rows.groupBy(*place, "piece").agg(
+        F.collect_list(F.struct("doc", "comp", "n", "counts")).alias("points"), F.min("n").alias("n"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        *[F.max(F.get("coarse", i)).alias(f"b{i}") for i in range(COARSE)],
+    )  # fmt: skip  (a leaf has about LEAF points)
+    return cut(leaves.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _meeting(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of nodes, columns ending in _a and _b, that may hold a link between two components."""
+    near = F.col("band_b").between(F.col("band_a"), F.col("band_a") + 2)  # a link spans a band's width
+    apart = (F.col("lo_a") != F.col("hi_b")) | (F.col("hi_a") != F.col("lo_b"))
+    overlap = sum((F.least(f"b{i}_a", f"b{i}_b") for i in range(COARSE)), F.lit(0))
+    return a.join(b, on).where(near & apart & (overlap * (NUM + DEN) >= NUM * (F.col("n_a") + F.col("n_b"))))
+
+
+def _side(nodes: DataFrame, c: str, keep: tuple[str, ...]) -> DataFrame:
+    return nodes.select(*[F.col(x) if x in keep else F.col(x).alias(f"{x}_{c}") for x in nodes.columns])
+
+
+def leaf_pairs(leaves: DataFrame) -> DataFrame:
+    """Pairs of leaves (leaf_a, leaf_b, same) that the boxes of slabs and then of leaves let through."""
+    heads = leaves.drop("points", "tile", "piece")
+    box = [F.max(f"b{i}").alias(f"b{i}") for i in range(COARSE)]
+    slabs = heads.groupBy("cell", "band", "slab").agg(F.min("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *box)
+    once = (F.col("band_b") > F.col("band_a")) | (F.col("slab_b") >= F.col("slab_a"))
+    above = _meeting(_side(slabs, "a", ("cell",)), _side(slabs, "b", ("cell",)), ["cell"]).where(once)
+    above = above.select("cell", "band_a", "slab_a", "band_b", "slab_b")
+    left = above.join(_side(heads, "a", ("cell",)), ["cell", "band_a", "slab_a"])
+    met = _meeting(left, _side(heads, "b", ("cell",)), ["cell", "band_b", "slab_b"])
+    same_slab = (F.col("band_a") == F.col("band_b")) & (F.col("slab_a") == F.col("slab_b"))
+    met = met.where(~same_slab | (F.col("id_b") >= F.col("id_a"))).select("id_a", "id_b")
+    points = lambda c: leaves.select(F.col("id").alias(f"id_{c}"), F.col("points").alias(f"leaf_{c}"))
+    return met.join(points("a"), "id_a").join(points("b"), "id_b").select("leaf_a", "leaf_b", (F.col("id_a") == F.col("id_b")).alias("same"))
+
+
 def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """(cell, doc) of the cells among each set's k + 1 rarest, where two documents still meet.
 
@@ -409,7 +478,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     in_cells = cut(shared.select("doc").distinct())
     points = cut(
         with_keys(usable, "doc_id", in_cells)
-        .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("doc"), "n", "counts")
+        .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("doc"), "n", "counts", "coarse")
     )
 
     # 3. first links: each document with the smallest one of its cells
@@ -418,29 +487,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     edges = cut(links(_with_texts(within_bound(first, points), texts)).unionByName(ties))
     comps = cut(components(edges))
 
-    # 4. cells of several components: leaves of points, bounded by coordinate minima
+    # 4. trees of several components, joined with themselves from the top
     placed = shared.join(comps, "doc", "left").select("cell", "doc", F.coalesce("comp", "doc").alias("comp"))
     mixed = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    inside = placed.join(mixed.select("cell", "m"), "cell").join(points, "doc")
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM))
-    inside = inside.withColumn("band", band.cast("int")).withColumn(
-        "part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / F.lit(LEAF))).cast("int")
-    )
-    leaves = inside.groupBy("cell", "band", "part").agg(
-        F.collect_list(F.struct("doc", "comp", "n", "counts")).alias("leaf"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-    )
-    leaves = cut(leaves)
-    left = leaves.select("cell", F.col("band").alias("band_a"), F.col("part").alias("part_a"), F.col("leaf").alias("leaf_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = leaves.select("cell", F.col("band").alias("band_b"), F.col("part").alias("part_b"), F.col("leaf").alias("leaf_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    near = F.col("band_b").between(F.col("band_a"), F.col("band_a") + 2)  # a link spans a band's width
-    once = (F.col("band_b") > F.col("band_a")) | (F.col("part_b") >= F.col("part_a"))
-    apart = (F.col("lo_a") != F.col("hi_b")) | (F.col("hi_a") != F.col("lo_b"))
-    work = left.join(right, "cell").where(near & once & apart)
-    pairs = (
-        work.select("leaf_a", "leaf_b", ((F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
-        .mapInPandas(tidy(_leaf_pairs), "a bigint, b bigint").distinct()
-    )
+    leaves = tree_leaves(placed.join(mixed.select("cell", "m"), "cell").join(points, "doc"))
+    pairs = leaf_pairs(leaves).mapInPandas(tidy(_leaf_pairs), "a bigint, b bigint").distinct()
 
     # 5. survivors on their whole sets, and components over all links
     edges = edges.unionByName(links(_with_texts(pairs, texts)))
