@@ -48,7 +48,7 @@ def test_word_hashes_follow_words(texts):
 # --- 1 language model -----------------------------------------------------------
 
 
-def test_lm_base_by_hand_and_traversals_agree(spark):
+def test_lm_base_by_hand(spark):
     texts = [(i, " ".join(f"w{(i * j) % 7} W{j % 3}" for j in range(i % 9))) for i in range(60)] + [(60, None), (61, ""), (None, "w1 w2"), (5, "w1 w2")]
     got = lm.lm_scores(docs(spark, texts)).collect()
     assert len(got) == len(texts)
@@ -64,17 +64,82 @@ def test_lm_base_by_hand_and_traversals_agree(spark):
     assert all(r.train_tokens == n and r.held_out == held(r.doc_id) and r.score <= 0 for r in got)
 
 
-def test_lm_is_a_distribution_and_walk_equals_traverse():
+def plain_lm(texts):
+    """Score of each text from raw counts of its n-grams, token by token."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [WORD.findall(lower(t)) + ["\0"] for _, t in texts]
+    c = Counter()
+    for (i, _), t in zip(texts, tokens):
+        if not held(i):
+            line = ["\0", *t]
+            c.update((w,) for w in t)
+            c.update(zip(line, line[1:]))
+            c.update(zip(line, line[1:], line[2:]))
+    words = {k[0]: x for k, x in c.items() if len(k) == 1}
+    n, v = sum(words.values()), len(words)
+    bins = Counter(), Counter()
+    for x in words.values():
+        b = int(lm.bin_of(np.array([x]))[0])
+        bins[0][b] += 1
+        bins[1][b] += x
+
+    def l2(x):
+        draws = 2.0 ** ((int(lm.bin_of(np.array([x]))[0]) + 0.5) / 8)
+        new = sum(bins[1][b] / n * np.exp(-bins[1][b] / bins[0][b] / n * draws) for b in bins[0]) + v / (n + v) if n else 1.0
+        return min(lm.NEW * new, 0.999)
+
+    out = []
+    for t in tokens:
+        line, total = ["\0", *t], 0.0
+        for k in range(1, len(line)):
+            w, u = line[k], line[k - 1]
+            p = (c[(w,)] + 1) / (n + v + 1)
+            q = l2(c[(u,)]) if c[(u,)] else 1.0
+            p = (1 - q) * c[(u, w)] / c[(u,)] + q * p if c[(u,)] else p
+            pair = c[(line[k - 2], u)] if k > 1 else 0
+            total += np.log10((1 - lm.L3) * c[(line[k - 2], u, w)] / pair + lm.L3 * p if pair else p)
+        out.append(total)
+    return out
+
+
+def test_lm_scores_from_raw_counts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"{'Ww'[int(x) % 2]}{int(x)}" for x in rng.zipf(1.6, int(rng.integers(0, 90))) % 40)) for i in range(90)]
+    texts += [(None, None), (None, ""), (3, texts[3][1]), (3, texts[3][1]), (91, "one two " * 1500), (92, "never seen before at all")]
+    want = Counter((str(i), round(x, 5)) for (i, _), x in zip(texts, plain_lm(texts)))
+    for block, bucket, segment in ((12_000_000, 4_000_000, 256), (700, 900, 7)):  # one block; many blocks, buckets and segments
+        for name, value in (("BLOCK", block), ("BUCKET", bucket), ("SEGMENT", segment)):
+            monkeypatch.setattr(lm, name, value)
+        got = lm.lm_scores(docs(spark, texts)).collect()
+        assert Counter((str(r.doc_id), round(r.score, 5)) for r in got) == want
+
+
+def test_lm_pass_carries_its_state():
+    """The pass in segments of any length equals one that steps through each whole text; arcs out of a state sum to no more than 1."""
     rng = np.random.default_rng(0)
-    first = np.array([0, 6, 10, 14])
-    counts = [rng.integers(0, 5, 14) for _ in range(3)]
-    counts[0] = counts[0] + 1
+    lens = rng.integers(1, 60, 20)
+    first = np.concatenate([[0], np.cumsum(lens)])
+    tokens = rng.integers(1, 9, first[-1]).astype(np.uint64)
+    tokens[first[1:] - 1] = lm.END
+    counts = []
+    for keys in lm._keys(tokens, first, 60):
+        _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+        counts.append(np.where(rng.random(len(n)) < 0.8, n, 0)[back])
+    total, types = int(counts[0].sum()), 9
     chance = lm.new_word_chance([(0, 10, 10), (8, 5, 12)], 22, 15)
-    a = lm.Automaton(counts, first, 22, 15, chance)
-    whole = a.traverse()
-    for x, y in zip(first[:-1], first[1:]):
-        assert abs(whole[x:y].sum() - a.walk(x, y)) < 1e-9
-    assert ((chance > 0) & (chance < 1)).all()
+    a = lm.Automaton(tokens, first, counts, total, types, chance)
+    whole = a.traverse(first)
+    for segment in (1, 4, 1000):
+        assert np.allclose(a.traverse(first, segment), whole)
+    for k in range(len(lens)):
+        state, score = np.array([a.start]), 0.0
+        for i in range(first[k], first[k + 1]):
+            gain, state = a.step(state, a.w[i : i + 1])
+            assert state[0] == a.after[i]
+            score += gain[0]
+        assert abs(score - whole[k]) < 1e-9
+    assert len(np.unique(a.keys)) == len(a.keys) and (np.diff(a.keys) > 0).all()
+    assert ((chance > 0) & (chance < 1)).all() and (a.fail_weight <= 0).all() and (a.fail_target <= np.arange(len(a.fail_target))).all()
 
 
 def test_lm_empty_table_and_no_training(spark):
@@ -183,14 +248,15 @@ def test_topk_against_brute_force(spark):
     rows += [(7, rows[7][1]), (500, None), (501, [None] + rows[0][1][1:]), (502, [float("nan")] * 16), (None, rows[0][1]), (503, [1.0, 2.0])]
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    rows[20] = (10, rows[11][1])  # another vector under the id of a query
+    rows += [(30, rows[30][1]), (4, rows[4][1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x")).withColumn("salt", F.lit(1))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, block=32).collect())
-    z = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows[:130]}
+    z = [(i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int))) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and v[0] == v[0]]
     want = []
-    for q in z:
-        if q % 10 == 0:
-            s = sorted((-int(z[q] @ z[c]), c) for c in z if c != q)[:5]
-            want += [(q, k + 1, c, -v) for k, (v, c) in enumerate(s)]
+    for q in {i for i, _ in z if i % 10 == 0}:
+        s = sorted((-int(np.dot(x, y)), c) for x in {v for i, v in z if i == q} for c, y in z if c != q)[:5]
+        want += [(q, k + 1, c, -v) for k, (v, c) in enumerate(s)]
     assert got == sorted(want)
     assert topk.topk_report(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
@@ -207,6 +273,39 @@ def test_topk_wide_values(spark):
     rows = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0])]
     got = topk.topk_report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+    rows = [(0, [7.5e305, 1.0]), (1, [1e308, 2.0]), (2, [-1e308, 0.0])]
+    got = topk.topk_report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+
+
+def test_topk_equals_its_sql(spark, tmp_path):
+    """Operator and SQL on repeated rows, ties and rows that take no part."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in rng.integers(0, 400, 600)]
+    rows += [rows[0], rows[1], (50, None), (100, [None] * 8), (None, [0.0] * 8), (150, [float("inf")] * 8)]
+    pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}), f"{tmp_path}/e.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e.parquet'")
+    want = sorted(con.sql("SELECT query_id, rank, vec_id, score FROM (" + topk.ORACLE + ")").fetchall())
+    got = sorted(tuple(r) for r in topk.topk_report(spark.read.parquet(f"{tmp_path}/e.parquet")).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == want
+
+
+def test_topk_prunes_blocks_and_loses_nothing():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 200, (6, 32))
+    blocks = [np.floor(c + rng.normal(0, 5, (50, 32))) for c in centres]
+    q = blocks[0][:10]
+    boxes = np.stack([topk.box_of(b) for b in blocks])
+    best = max((q @ b.T).max() for b in blocks)
+    for limit in (best, best * 0.9, -np.inf, 1e12):
+        keep = topk.box_bounds(topk.box_of(q), boxes, limit)
+        assert all(keep[i] for i, b in enumerate(blocks) if (q @ b.T).max() >= limit)
+    assert topk.box_bounds(topk.box_of(q), boxes, best).sum() < len(blocks) and not topk.box_bounds(topk.box_of(q), boxes, 1e12).any()
 
 
 # --- 6 personal data ------------------------------------------------------------
@@ -261,12 +360,12 @@ def test_pii_network_adds_spans_and_keeps_base(spark, network, monkeypatch):
 def test_pii_gradient_is_the_slope(monkeypatch):
     monkeypatch.setattr(pii, "LOCAL", 0.0)  # it is not part of the likelihood
     net = pii.Net(1)
-    x, gold, lens = np.random.default_rng(0).integers(1, 100, (2, 7)), np.zeros((7, 2), int), np.array([7, 5])
+    x, gold, lens = np.random.default_rng(0).integers(1, 100, (7, 2)), np.zeros((7, 2), int), np.array([5, 7])
     gold[2:4] = [[1, 1], [2, 2]]
     em, kept = net.run(x, lens, keep=True)
     _, d_em, d_tr = net.crf(em.astype(float), gold, lens)
     g = net.grad(d_em, kept) | {"tr": d_tr}
-    for name, at in (("wh", (1, 2, 9)), ("wh", (0, 40, 3)), ("out", (1, 4)), ("out", (2, 20)), ("in", (0, 3, int(x[0, 0]))), ("in", (1, 60, int(x[1, 2]))), ("tr", (1, 2)), ("tr", (0, 0))):
+    for name, at in (("wh", (1, 2, 9)), ("wh", (0, 40, 3)), ("out", (1, 4)), ("out", (2, 20)), ("in", (0, 3, int(x[0, 0]))), ("in", (1, 60, int(x[2, 1]))), ("tr", (1, 2)), ("tr", (0, 0))):
         old = net.p[name][at]
         values = []
         for step in (1e-2, -1e-2):
@@ -395,6 +494,40 @@ def test_jaccard_against_brute_force(spark):
     assert got == plain_components(rows)
 
 
+def test_tree_finds_every_pair_within_the_bound(spark, monkeypatch):
+    """The self-join of the trees against all pairs of points of a cell."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "COARSE", 16)
+    rng = np.random.default_rng(11)
+    rows, points = [], {}
+    for doc in range(160):
+        if doc % 4 and rng.random() < 0.8:  # near another one
+            h = points[doc - 1][0].copy()
+            h[rng.integers(0, len(h), len(h) // 30)] = rng.integers(0, 1 << 62, len(h) // 30)
+        else:
+            h = rng.integers(0, 1 << 62, int(rng.integers(30, 300)))
+        h = np.unique(h)
+        n, g = len(h), jaccard.coordinates_of(len(h))
+        point = np.bincount(h & (g - 1), minlength=g)
+        points[doc] = h, point
+        for cell in (7, 8 + doc % 3):
+            rows.append((cell, doc, int(doc // 2 % 9), n, bytearray(jaccard.pack(np.minimum(point, 255).astype(np.uint8))), point.reshape(-1, 16).sum(0).tolist()))
+    df = spark.createDataFrame(rows, "cell bigint, doc bigint, comp bigint, n bigint, counts binary, coarse array<int>")
+    inside = df.join(df.groupBy("cell").count().withColumnRenamed("count", "m"), "cell")
+    leaves = jaccard.tree_leaves(inside)
+    assert leaves.count() > 40
+    got = {(r.a, r.b) for r in jaccard.leaf_pairs(leaves).mapInPandas(jaccard._leaf_pairs, "a bigint, b bigint").collect()}
+    want = set()
+    for a in range(160):
+        for b in range(a + 1, 160):
+            (x, p), (y, q) = points[a], points[b]
+            size = min(len(p), len(q))
+            overlap = np.minimum(p.reshape(-1, size).sum(0), q.reshape(-1, size).sum(0)).sum()
+            if a // 2 % 9 != b // 2 % 9 and jaccard._able(len(x), len(y)) and overlap * 185 >= 85 * (len(x) + len(y)):
+                want.add((a, b))
+    assert got == want and want
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard.jaccard_components(docs(spark, [(None, "a b c d e"), (3, "a b c d e"), (2, "A b c d e")])).collect()
