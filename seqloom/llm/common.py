@@ -44,13 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The driver's garbage is collected at once: Spark removes the shuffle files of finished
-    jobs only when their plans are collected, and they would pile up until then.
+    Spark removes the shuffle files of a finished job when nothing refers to its plan any more,
+    which it learns from garbage collection alone; so the driver's references go at once and
+    the files do not pile up from step to step.
     """
-    shared_dir(df.sparkSession)
+    session = df.sparkSession
+    shared_dir(session)
     out = df.checkpoint(eager=True)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    session.sparkContext._jvm.System.gc()
     return out
 
 
