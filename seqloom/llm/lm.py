@@ -18,7 +18,7 @@ The model is as large as the corpus, so no task or driver holds it. A task cuts
 its partition into blocks of about ``BLOCK`` bytes. A block asks for its distinct n-grams by
 sending their hashes and training counts to buckets (ranges of the hash, one for each
 ``BUCKET`` characters of the input, ``BUCKETS`` at most, so a block sends a bounded number of
-rows whatever the input); a bucket adds up the counts of a hash over all blocks and answers
+rows whatever the input; a bucket is read by one task, so inputs of many terabytes take more ``BUCKETS``); a bucket adds up the counts of a hash over all blocks and answers
 each block in the order of its question. So a frequent word or n-gram is one entry for each
 block, however often it occurs, and buckets are even. A block then has every state, arc and
 failure arc that its texts can meet: its part of the automaton (``Automaton``), built for
@@ -50,7 +50,7 @@ from .hashing import mix64, word_hashes
 
 FOLDS, HELD = 7, 2
 BLOCK = 12_000_000
-BUCKET, BUCKETS = 4_000_000, 1 << 16
+BUCKET, BUCKETS = 1_000_000, 1 << 14
 SPARE = 16
 NEW = 0.7
 L3 = 0.5
