@@ -45,6 +45,10 @@ LEVELS = (1, 4, 16)
 #: Vectors of the sample that pivots are taken from, pivots at most, and blocks in a row of statistics.
 SAMPLE, PIVOTS, PAGE = 4096, 256, 512
 EXACT = float(1 << 53)
+#: Queries tested together, and the share of pairs from which on matrix products cost less than pairs one by one.
+STEP, SPARSE = 256, 1 / 32
+#: Tables of pivots of at most this many rows are broadcast.
+BROADCAST_PIVOTS = 100_000
 
 _PACK = "dim int, pivot int, piece bigint, n int, ids binary, vecs binary, stats binary"
 
@@ -62,9 +66,10 @@ def segment_stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]
     return mean, dev
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of paired rows or of one row with many."""
-    return np.einsum("ij,ij->i", q, c)
+def _paired(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    """Inner products of the listed pairs of rows, a slice of them at a time."""
+    parts = [np.einsum("ij,ij->i", q[qi[i : i + 65536]], c[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)]
+    return np.concatenate(parts or [np.zeros(0)])
 
 
 def box_of(x: np.ndarray) -> np.ndarray:
@@ -110,27 +115,31 @@ def block_topk(q_ids, q, c_ids, c, k: int, limits=None):
     stats_q = [segment_stats(q, s) for s in LEVELS]
     stats_c = [segment_stats(c, s) for s in LEVELS]
     out = []
-    step = 256
-    for at in range(0, len(q), step):
-        rows = slice(at, at + step)
+    for at in range(0, len(q), STEP):
+        rows = slice(at, at + STEP)
         limit = threshold[rows]
-        (mq, dq), (mc, dc) = stats_q[0], stats_c[0]
-        bound = mq[rows] @ mc.T + dq[rows] @ dc.T
-        slack = 1e-9 * np.abs(bound) + 1e-6
-        qi, ci = np.nonzero(bound + slack >= limit[:, None])
-        for (mq, dq), (mc, dc) in zip(stats_q[1:], stats_c[1:]):
-            fine = np.concatenate(
-                [
-                    _exact(mq[at + qi[i : i + 65536]], mc[ci[i : i + 65536]]) + _exact(dq[at + qi[i : i + 65536]], dc[ci[i : i + 65536]])
-                    for i in range(0, len(qi), 65536)
-                ]
-                or [np.zeros(0)]
-            )
-            keep = fine + 1e-9 * np.abs(fine) + 1e-6 >= limit[qi]
-            qi, ci = qi[keep], ci[keep]
-        own = q_ids[at + qi] == c_ids[ci]
-        qi, ci = qi[~own], ci[~own]
-        score = np.concatenate([_exact(q[at + qi[i : i + 65536]], c[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)] or [np.zeros(0)])
+        alive = q_ids[rows, None] != c_ids[None]
+        pairs = None
+        for (mq, dq), (mc, dc) in zip(stats_q, stats_c):
+            if pairs is None:  # all pairs by matrix products, while many are left
+                bound = mq[rows] @ mc.T + dq[rows] @ dc.T
+                alive &= bound + 1e-9 * np.abs(bound) + 1e-6 >= limit[:, None]
+                if alive.mean() < SPARSE:
+                    pairs = np.nonzero(alive)
+            else:
+                qi, ci = pairs
+                bound = _paired(mq[rows], mc, qi, ci) + _paired(dq[rows], dc, qi, ci)
+                keep = bound + 1e-9 * np.abs(bound) + 1e-6 >= limit[qi]
+                pairs = qi[keep], ci[keep]
+        if pairs is None:
+            every = np.where(alive, q[rows] @ c.T, -np.inf)
+            last = max(0, every.shape[1] - k)
+            least = np.partition(every, last, axis=1)[:, last]
+            qi, ci = np.nonzero((every >= least[:, None]) & alive)
+            score = every[qi, ci]
+        else:
+            qi, ci = pairs
+            score = _paired(q[rows], c, qi, ci)
         best = np.lexsort((c_ids[ci], -score, qi))
         qi, ci, score = qi[best], ci[best], score[best]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
@@ -231,9 +240,13 @@ def packed(vectors: DataFrame, block: int, scale: float) -> DataFrame:
         values = (key[0], key[1], key[2], len(ids), ids.tobytes(), x.tobytes(), box_of(x).tobytes())
         return pd.DataFrame([values], columns=[c.split()[0] for c in _PACK.split(", ")])
 
-    counts = vectors.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / block).alias("pieces"))
+    counts = cut(vectors.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / block).alias("pieces")))
+    if counts.count() <= BROADCAST_PIVOTS:  # a row for each pivot and length of vectors
+        counts = F.broadcast(counts)
     keyed = vectors.join(counts, ["dim", "pivot"]).withColumn("piece", F.pmod("salt", "pieces"))
-    return keyed.select("dim", "pivot", "piece", "vec_id", "vec", "salt").groupBy("dim", "pivot", "piece").applyInPandas(pack, _PACK)
+    keyed = keyed.select("dim", "pivot", "piece", "vec_id", "vec", "salt")
+    # a shuffle by pivot alone would do for the grouping, and put a common pivot into one task
+    return keyed.repartition("dim", "pivot", "piece").groupBy("dim", "pivot", "piece").applyInPandas(pack, _PACK)
 
 
 def _arrays(r, side: str):
