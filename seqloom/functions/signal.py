@@ -52,42 +52,180 @@ def nasality(x: np.ndarray, rate: int = RATE, size: int = 160, fft: int = 512) -
 
 
 def longest_run(flags: np.ndarray, least: int = 3, gap: int = 2) -> tuple[int, int] | None:
-    """(first, last) of the longest run of true flags, gaps of up to ``gap`` closed; the first on ties."""
-    at = np.flatnonzero(flags)
-    if not len(at):
+    """(first, last) of the longest stretch of runs of ``least`` true flags; runs that begin at most
+    ``gap`` places after one's end join it; the first stretch on ties."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    runs = [(a, b - 1) for a, b in edges.reshape(-1, 2) if b - a >= least]
+    if not runs:
         return None
-    groups = np.split(at, np.flatnonzero(np.diff(at) > gap + 1) + 1)
-    best = max(groups, key=lambda g: g[-1] - g[0])
-    return (int(best[0]), int(best[-1])) if best[-1] - best[0] + 1 >= least else None
+    starts = [k for k in range(len(runs)) if not k or runs[k][0] - runs[k - 1][1] > gap]
+    joined = [(runs[a][0], runs[b - 1][1]) for a, b in zip(starts, [*starts[1:], len(runs)])]
+    first, last = max(joined, key=lambda r: r[1] - r[0])
+    return int(first), int(last)
 
 
-def nasal_span_ms(x: np.ndarray, threshold: float = 0.15, frame_ms: float = 10.0) -> float | None:
-    """Length of the longest nasal stretch in milliseconds; None below 50 ms of sound."""
-    if len(x) / RATE * 1000 < 50:
+#: A nasal stretch begins above this share; its least length, frame and search margin.
+NASAL_FROM, NASAL_LEAST_MS, NASAL_FRAME_MS, NASAL_MARGIN_MS = 0.12, 50.0, 10.0, 100.0
+
+
+def nasal_stretch(x: np.ndarray, rate: int = RATE, aligned_ms: float | None = None, threshold: float = NASAL_FROM) -> dict[str, float] | None:
+    """The longest stretch of three or more frames above ``threshold``: where it starts, its length,
+    peak and mean share, whether it is long enough (``found``), and whether its length differs from the
+    aligner's by more than a frame. ``x`` is the sound with its search margin; None without a frame."""
+    share = nasality(x, rate)
+    if not len(share):
         return None
-    run = longest_run(nasality(x) >= threshold)
-    return None if run is None else (run[1] - run[0] + 1) * frame_ms
+    run = longest_run(share > threshold)
+    if run is None:
+        return {"start_ms": 0.0, "acoustic_ms": aligned_ms or 0.0, "peak_nasality": float(share.max()), "mean_nasality": float(share.mean()), "found": False, "corrected": False}
+    inside, length = share[run[0] : run[1] + 1], (run[1] - run[0] + 1) * NASAL_FRAME_MS
+    long_enough = length >= NASAL_LEAST_MS
+    corrected = not long_enough or aligned_ms is not None and abs(length - aligned_ms) > NASAL_FRAME_MS
+    return {
+        "start_ms": run[0] * NASAL_FRAME_MS, "acoustic_ms": length, "peak_nasality": float(inside.max()), "mean_nasality": float(inside.mean()),
+        "found": bool(long_enough), "corrected": bool(corrected),
+    }
+
+
+def nasal_span_ms(x: np.ndarray, rate: int = RATE) -> float | None:
+    """Length of the nasal stretch in milliseconds; None where none is long enough."""
+    got = nasal_stretch(x, rate)
+    return got["acoustic_ms"] if got and got["found"] else None
+
 
+#: Fixed values of the echo test: frame, tail after the sound, quiet window, search window after the
+#: release, rise of a release, closure that is none, peak and sustain over the baseline.
+ECHO_FRAME_MS, ECHO_TAIL_MS, ECHO_QUIET_MS = 5.0, 100.0, 20.0
+ECHO_SEARCH_MS, ECHO_RISE, ECHO_NO_CLOSURE, ECHO_PEAK, ECHO_SUSTAIN = (20.0, 80.0), 2.0, 0.5, 1.5, 1.2
 
-def echo(x: np.ndarray, rate: int = RATE, frame_ms: float = 5.0) -> dict[str, float] | None:
-    """Closure, rise and release of a stop: quietest four frames, then two frames above twice that level."""
+
+def echo(x: np.ndarray, rate: int = RATE, length_ms: float | None = None, closure_ms: float | None = None) -> dict | None:
+    """Echo of a stop: closure, release, and the peak in the search window after the release.
+
+    ``x`` is the sound and its tail; ``length_ms`` the sound's own length (all but the tail), and
+    ``closure_ms`` the end of its closure (half of it). The baseline is the quietest window of the
+    closure. ``skip`` says why nothing can be measured; None: fewer than four frames.
+    """
+    level = rms(x, int(rate * ECHO_FRAME_MS / 1000))
+    n = len(level)
+    if n < 4:
+        return None
+    own = max(2, int((len(x) / rate * 1000 - ECHO_TAIL_MS if length_ms is None else length_ms) / ECHO_FRAME_MS))
+    own = min(own, n)
+    closure = own // 2 if closure_ms is None else min(int(closure_ms / ECHO_FRAME_MS), own)
+    closure = max(1, closure)
+    quiet = min(int(ECHO_QUIET_MS / ECHO_FRAME_MS), closure)
+    base = float(np.convolve(level[:closure], np.ones(quiet) / quiet, "valid").min())
+    top = float(level.max())
+    out = {"baseline": base, "peak_ratio": top / base, "sustain_ms": 0.0, "release_ms": 0.0, "skip": None}
+    high = level > ECHO_RISE * base
+    rises = np.flatnonzero(high[closure:-1] & high[closure + 1 :])
+    if base >= ECHO_NO_CLOSURE * top or not len(rises):
+        return out | {"skip": "no_closure_detected"}
+    release = closure + int(rises[0])
+    out["release_ms"] = release * ECHO_FRAME_MS
+    low, up = (release + int(ms / ECHO_FRAME_MS) for ms in ECHO_SEARCH_MS)
+    if low >= n:
+        return out | {"skip": "echo_window_overflow"}
+    peak = low + int(level[low : min(up, n)].argmax())
+    # the stretch around the peak that stays above the sustain level, back to the release at most
+    lower = np.flatnonzero(level <= ECHO_SUSTAIN * base)
+    left = max([release, *(lower[lower < peak] + 1)])
+    right = min([n - 1, *(lower[lower > peak] - 1)])
+    return out | {"peak_ratio": float(level[peak]) / base, "sustain_ms": float((right - left + 1) * ECHO_FRAME_MS)}
+
+
+def voice_activity(x: np.ndarray, rate: int = RATE, frame_ms: int = 30, share: float = 0.1, floor: float = 1e-4) -> list[tuple[int, int]]:
+    """(start_ms, end_ms) of speech: frames whose level exceeds ``share`` of the loudest frame's (and
+    a floor). An energy test in place of a trained detector, so results are defined here."""
     level = rms(x, int(rate * frame_ms / 1000))
-    if len(level) < 6:
+    if not len(level):
+        return []
+    on = level > max(share * float(level.max()), floor)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8))).reshape(-1, 2)
+    end = int(len(x) / rate * 1000)
+    return [(int(a * frame_ms), end if b == len(on) else int(b * frame_ms)) for a, b in edges]
+
+
+#: A pause that may hide a restart, and loudness that a fresh start keeps to.
+RESTART_PAUSE_MS, RESTART_RATIO, RESTART_SLACK_MS = 2000, (0.2, 5.0), 50
+#: Correlation above which a segment repeats its predecessor, and the least length of a segment.
+REPEAT_CORR, REPEAT_LEAST = 0.85, 160
+
+
+def _part(x: np.ndarray, rate: int, span: tuple[int, int]) -> np.ndarray:
+    return x[int(span[0] / 1000 * rate) : int(span[1] / 1000 * rate)]
+
+
+def restart_ms(x: np.ndarray, rate: int = RATE) -> int | None:
+    """Where the last attempt begins: the speech after the last long pause, if it is about as loud as the opening."""
+    speech = voice_activity(x, rate)
+    pauses = [b[0] for a, b in zip(speech, speech[1:]) if b[0] - a[1] >= RESTART_PAUSE_MS]
+    end = int(len(x) / rate * 1000)
+    tail = [end] if speech and end - speech[-1][1] >= RESTART_PAUSE_MS else []
+    if len(speech) < 2 or not [*pauses, *tail]:
         return None
-    quiet = np.convolve(level, np.ones(4) / 4, "valid")
-    at = int(quiet.argmin())
-    base = float(quiet[at])
-    high = level > 2 * base
-    rise = next((i for i in range(at + 1, len(level) - 1) if high[i] and high[i + 1]), None)
-    if rise is None:
-        return {"closure": float(at), "baseline": base, "rise": -1.0, "peak": float(level[at:].max()), "sustain_ms": 0.0}
-    peak = rise + int(level[rise:].argmax())
-    a = b = peak
-    while a > rise and level[a - 1] > 1.5 * base:
-        a -= 1
-    while b + 1 < len(level) and level[b + 1] > 1.5 * base:
-        b += 1
-    return {"closure": float(at), "baseline": base, "rise": float(rise), "peak": float(level[peak]), "sustain_ms": (b - a + 1) * frame_ms}
+    after = [s for s in speech if s[0] >= [*pauses, *tail][-1] - RESTART_SLACK_MS]
+    loud = lambda s: float(np.sqrt((_part(x, rate, s).astype(np.float64) ** 2).mean()))
+    first = max(loud(speech[0]), 1e-10)
+    return next((s[0] for s in after if RESTART_RATIO[0] < loud(s) / first < RESTART_RATIO[1]), None)
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Pearson's; 0 where it is not defined."""
+    if len(a) < 2 or len(b) < 2 or a.std() < 1e-10 or b.std() < 1e-10:
+        return 0.0
+    return float(np.corrcoef(a, b)[0, 1])
+
+
+def repetitions(x: np.ndarray, rate: int = RATE, above: float = REPEAT_CORR) -> list[tuple[int, int]]:
+    """Speech that the next speech repeats: neighbours of at most twofold length whose levels, at the
+    shorter one's resolution, correlate above ``above``."""
+    speech, out = voice_activity(x, rate), []
+    for one, two in zip(speech, speech[1:]):
+        parts = [_part(x, rate, s) for s in (one, two)]
+        if min(map(len, parts)) < REPEAT_LEAST:
+            continue
+        levels = [np.sqrt(np.maximum(rms(p, int(rate * 0.02)) ** 2 - 1e-12, 0)) for p in parts]
+        n = min(map(len, levels))
+        if n and max(map(len, levels)) <= 2 * n:
+            grid = np.linspace(0, 1, n)
+            same = [np.interp(grid, np.linspace(0, 1, len(v)), v) for v in levels]
+            if correlation(*same) > above:
+                out.append(one)
+    return out
+
+
+def dual_silences(x: np.ndarray, rate: int = RATE, least_frames: int = 10, share: float = 0.05, expected: int | None = None, frame_ms: int = 30) -> list[int]:
+    """Middles (ms) of stretches of at least ``least_frames`` frames that are neither speech nor above
+    ``share`` of the loudest level, away from the edges; the longest ``expected`` of them, in order of time."""
+    level = rms(x, int(rate * frame_ms / 1000))
+    if not len(level) or level.max() < 1e-10:
+        return []
+    speech = np.zeros(len(level), bool)
+    for a, b in voice_activity(x, rate, frame_ms):
+        speech[a // frame_ms : -(-b // frame_ms)] = True
+    quiet = ~speech & (level < share * level.max())
+    runs = np.flatnonzero(np.diff(np.concatenate([[False], quiet, [False]]).astype(np.int8))).reshape(-1, 2)
+    total = len(level) * frame_ms
+    margin = max(200, int(total * 0.01))
+    found = [(int((a + b) / 2 * frame_ms), b - a) for a, b in runs if b - a >= least_frames]
+    found = [f for f in found if margin < f[0] < total - margin]
+    if expected is not None:
+        found = sorted(found, key=lambda f: -f[1])[:expected]
+    return sorted(f[0] for f in found)
+
+
+def cut_wav(content: bytes, start_ms: float, end_ms: float, padding_ms: float = 0.0) -> bytes:
+    """A 16-bit mono file of a time range, with silence before and after it."""
+    x, rate = decode_wav(content)
+    part = _part(x, rate, (int(max(0, start_ms)), int(end_ms)))
+    pad = np.zeros(int(rate * padding_ms / 1000), np.float32)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((np.concatenate([pad, part, pad]) * 32768).clip(-32768, 32767).astype(np.int16).tobytes())
+    return out.getvalue()
 
 
 def pitch(x: np.ndarray, rate: int = RATE, low: float = 60.0, high: float = 400.0) -> tuple[float, float, float]:

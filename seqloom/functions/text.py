@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Unicode characters of Arabic script and its marks.
@@ -20,8 +20,15 @@ SHORT_MARKS = {"fatha": "\u064e", "damma": "\u064f", "kasra": "\u0650"}
 TANWEEN_MARKS = {"tanween_fath": "\u064b", "tanween_damm": "\u064c", "tanween_kasr": "\u064d"}
 OTHER_MARKS = {"shaddah": "\u0651", "sukoon": "\u0652", "dagger_alif": "\u0670"}
 MARK_NAMES = SHORT_MARKS | TANWEEN_MARKS | OTHER_MARKS
+#: The sign of each mark in an encoded sequence; any other is a question mark.
+MARK_SIGNS = {
+    "fatha": "a", "damma": "u", "kasra": "i", "sukoon": "0", "shaddah": "~", "tanween_fath": "an", "tanween_damm": "un", "tanween_kasr": "in",
+}
+WASLA, MARBUTA = "\u0671", "\u0629"
 STRIPPED_MARKS = "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652\u0654\u0655\u0670\u06e5"
 LETTERS = "\u0621-\u064a\u0750-\u077f"
+WORD_SIGNS = "\u0621-\u064a\u064b-\u0652\u0670\u0671"
+ALL_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
 COMPARED_MARKS = "\u0610-\u061a\u064b-\u065f\u0670"
 
 
@@ -63,9 +70,14 @@ def strip_tatweel(text: Column | str) -> Column:
     return F.translate(as_column(text), TATWEEL, "")
 
 
+def fold(text: Column | str, letters: str, others: str) -> Column:
+    """Letters folded to others by a fixed table."""
+    return F.translate(as_column(text), letters, others)
+
+
 def fold_hamza(text: Column | str) -> Column:
     """Hamza on any carrier becomes the letter hamza."""
-    return F.translate(as_column(text), "أإؤئ", "ء" * 4)
+    return fold(text, "أإؤئ", "ء" * 4)
 
 
 def comparable(text: Column | str) -> Column:
@@ -88,13 +100,14 @@ def is_arabic(text: Column | str) -> Column:
 
 
 def letter_count(text: Column | str, letters: str = LETTERS) -> Column:
-    return F.length(F.regexp_replace(as_column(text), f"[^{letters}]", ""))
+    """How many characters of a class a text has."""
+    return F.regexp_count(as_column(text), F.lit(f"[{letters}]"))
 
 
 def letter_units(text: Column | str, letters: str = LETTERS + "ٱ") -> Column:
     """Array of (letter, marks): base letters with the marks that follow them."""
     units = F.regexp_extract_all(as_column(text), F.lit(f"([{letters}][^{letters}\\s]*)"), F.lit(1))
-    return F.transform(units, lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), F.substring(u, 2, 1 << 20).alias("marks")))
+    return F.transform(units, lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), F.substring(u, F.lit(2), F.length(u)).alias("marks")))
 
 
 def has_mark(marks: Column | str, name: str) -> Column:
@@ -115,6 +128,157 @@ def mark_name(char: Column | str) -> Column:
     return F.create_map(*[F.lit(x) for name, mark in MARK_NAMES.items() for x in (mark, name)])[as_column(char)]
 
 
+def is_letter(char: Column | str) -> Column:
+    return as_column(char).rlike(f"^[{LETTERS}]$")
+
+
+def is_mark(char: Column | str) -> Column:
+    return as_column(char).rlike(f"^[{ALL_MARKS}]$")
+
+
+def arabic_words(text: Column | str) -> Column:
+    """Runs of letters and vowel marks, whatever stands between them."""
+    return F.regexp_extract_all(as_column(text), F.lit(f"[{WORD_SIGNS}]+"), F.lit(0))
+
+
+def is_silent(marks: Column | str) -> Column:
+    """Whether a letter with these marks has no vowel: sukoon, or none of the vowel marks."""
+    return has_mark(marks, "sukoon") | vowel_of(marks).isNull()
+
+
+def doubling_and_vowel(marks: Column | str) -> Column:
+    return F.struct(has_mark(marks, "shaddah").alias("doubled"), vowel_of(marks).alias("vowel"))
+
+
+def _known_marks(text: Column | str) -> Column:
+    """The named marks of a text in canonical order, nothing else."""
+    return F.regexp_replace(normalize(text, "NFD"), "[^" + "".join(MARK_NAMES.values()) + "]", "")
+
+
+def mark_sequence(text: Column | str) -> Column:
+    """The text's marks as a string of signs."""
+    marks = _known_marks(text)
+    for name, mark in MARK_NAMES.items():
+        marks = F.replace(marks, F.lit(mark), F.lit(MARK_SIGNS.get(name, "?")))
+    return marks
+
+
+def marked_letters(text: Column | str) -> Column:
+    """Array of (letter, marks) of a text in decomposed form: letters with the marks right behind them."""
+    units = F.regexp_extract_all(normalize(text, "NFD"), F.lit(f"[{LETTERS}][{ALL_MARKS}]*"), F.lit(0))
+    return F.transform(units, lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), F.substring(u, F.lit(2), F.length(u)).alias("marks")))
+
+
+def letters_with(units: Column | str, name: str) -> Column:
+    """Ordinals (from 0) of the letters of ``marked_letters`` that have a mark."""
+    at = F.transform(as_column(units), lambda u, i: F.when(has_mark(u["marks"], name), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def mark_statistics(text: Column | str) -> Column:
+    """Number of marks in total and by name, what kinds occur, and where sukoon and shaddah stand."""
+    marks, units = _known_marks(text), marked_letters(text)
+    count = lambda name: F.regexp_count(marks, F.lit(MARK_NAMES[name]))
+    any_of = lambda names: marks.rlike("[" + "".join(MARK_NAMES[n] for n in names) + "]")
+    return F.struct(
+        F.length(marks).alias("total"), *[count(n).alias(n) for n in MARK_NAMES],
+        any_of(SHORT_MARKS).alias("has_vowels"), any_of(["sukoon"]).alias("has_sukoon"), any_of(["shaddah"]).alias("has_shaddah"),
+        any_of(TANWEEN_MARKS).alias("has_tanween"), letters_with(units, "sukoon").alias("sukoon_at"), letters_with(units, "shaddah").alias("shaddah_at"),
+    )
+
+
+def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, position, mark, name, base (the letter before, empty if none), at (code point in the decomposed text), letter (ordinal of the base)."""
+    chars = texts.select(*key, F.posexplode(F.split(normalize(text, "NFD"), "")).alias("at", "char")).where("char <> ''")
+    w = Window.partitionBy(*key).orderBy("at")
+    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chars = chars.withColumns({
+        "base": F.coalesce(F.last(F.when(is_letter("char"), F.col("char")), ignorenulls=True).over(before), F.lit("")),
+        "letter": F.sum(F.when(is_letter("char"), 1).otherwise(0)).over(before) - 1, "name": mark_name("char"),
+    }).where("name IS NOT NULL")
+    return chars.select(*key, (F.row_number().over(w) - 1).alias("position"), F.col("char").alias("mark"), "name", "base", "at", "letter")
+
+
+def word_analysis(word: Column | str) -> Column:
+    """Letters of a word, its marks and vowels, letter by letter."""
+    units, w = marked_letters(word), as_column(word)
+    return F.struct(
+        F.transform(units, lambda u: u["letter"]).alias("letters"), F.size(units).alias("n_letters"), F.length(_known_marks(word)).alias("n_marks"),
+        letters_with(units, "sukoon").alias("sukoon_at"), letters_with(units, "shaddah").alias("shaddah_at"),
+        F.transform(units, lambda u: F.coalesce(vowel_of(u["marks"]), F.lit("none"))).alias("vowels"),
+        F.contains(w, F.lit(WASLA)).alias("has_wasla"), F.contains(w, F.lit(MARBUTA)).alias("has_marbuta"),
+    )
+
+
+def text_statistics(text: Column | str) -> Column:
+    """Characters, letters, words, letters a word, marks, and whether the text can be processed."""
+    t = as_column(text)
+    n = F.size(words(t))
+    return F.struct(
+        F.length(t).alias("n_chars"), letter_count(t).alias("n_letters"), n.alias("n_words"),
+        F.when(n > 0, letter_count(t) / n).otherwise(0.0).alias("letters_a_word"), F.length(_known_marks(t)).alias("n_marks"), validate(t).isNull().alias("is_valid"),
+    )
+
+
+def label_script(text: Column | str) -> Column:
+    """Composed text for a label file: no tatweel, no pause signs."""
+    return F.translate(normalize(text, "NFC"), TATWEEL + PAUSE_SIGNS, "")
+
+
+def verses(text: Column | str, separator: str) -> Column:
+    """Parts of a text between separators, trimmed, empty ones left out."""
+    parts = F.split(as_column(text), F.lit("\\Q" + separator + "\\E"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def letter_spans(word: Column | str) -> Column:
+    """Array of (start, end): each base character of a word with the marks behind it."""
+    w = as_column(word)
+    lead = F.length(F.regexp_extract(w, f"^[{ALL_MARKS}]*", 0))
+    units = F.regexp_extract_all(w, F.lit(f"[^{ALL_MARKS}][{ALL_MARKS}]*"), F.lit(0))
+    ends = F.aggregate(units, F.array(lead), lambda a, u: F.concat(a, F.array((F.element_at(a, -1) + F.length(u)).cast("int"))))
+    return F.zip_with(F.slice(ends, F.lit(1), F.size(units)), F.slice(ends, F.lit(2), F.size(units)), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def nearest_span(word: Column | str, targets: str, hint: Column) -> Column:
+    """The span that holds one of the characters ``targets``, nearest to letter ``hint``, the first on ties; null if none does."""
+    w = as_column(word)
+    scored = F.transform(letter_spans(w), lambda s, i: F.struct(
+        F.abs(i - hint).alias("far"), i.alias("i"), s.alias("span"), F.substring(w, s["start"] + 1, s["end"] - s["start"]).alias("part")
+    ))
+    return F.array_min(F.filter(scored, lambda x: x["part"].rlike(f"[{targets}]")))["span"]
+
+
+def highlight(word: Column | str, span: Column, left: str = "<b>", right: str = "</b>") -> Column:
+    """The word with a span between two marks; the whole word between them where there is no span."""
+    w = as_column(word)
+    part = lambda a, n: F.substring(w, a, n)
+    inner = F.concat(
+        part(F.lit(1), span["start"]), F.lit(left), part(span["start"] + 1, span["end"] - span["start"]), F.lit(right), part(span["end"] + 1, F.length(w))
+    )
+    return F.when(span.isNull(), F.concat(F.lit(left), w, F.lit(right))).otherwise(inner)
+
+
+def advice(rule: Column | str, description: Column | str, expected: Column, actual: Column, unit: Column | str) -> Column:
+    """What to do about an error, by its unit, then by its rule, longer or shorter as it is too little or too much."""
+    r, short = as_column(rule), actual < expected
+    goal = lambda lead: F.concat(F.lit(lead), F.format_string("%.1f", expected.cast("double")), F.lit(" counts"))
+    has = lambda *names: F.greatest(*[F.instr(r, n) for n in names], F.lit(0)) > 0
+    return (
+        F.when(as_column(unit) == "counts", F.when(short, goal("Hold the sound longer — aim for ")).otherwise(goal("Shorten the sound — aim for ")))
+        .when(has("backing", "tafkhim"), F.when(short, "Pronounce with more emphasis — raise the back of the tongue").otherwise("Reduce emphasis — lower the back of the tongue slightly"))
+        .when(has("ghunnah"), F.when(short, goal("Sustain the nasal sound longer — aim for ")).otherwise(goal("Shorten the nasal sound — aim for ")))
+        .when(has("qalqalah"), "Add a slight bounce/echo when releasing the letter")
+        .when(has("ikhfa"), "Blend the noon/meem sound partially into the next letter with nasalization")
+        .otherwise(as_column(description))
+    )
+
+
+def word_of_position(position: Column, boundaries: Column | str) -> Column:
+    """Ordinal of the word that a position lies in, from the ends of words: how many of them it has reached."""
+    return F.size(F.filter(as_column(boundaries), lambda b: b <= position))
+
+
 def words(text: Column | str) -> Column:
     """Words between white space; none for an empty text."""
     t = F.trim(F.regexp_replace(as_column(text), r"\s+", " "))
@@ -181,13 +345,14 @@ def validate(text: Column | str) -> Column:
     )
 
 
-def split_prefix(text: Column | str, prefix: str) -> Column:
-    """(found, prefix, rest) of a fixed opening; leading space of the rest goes."""
+def split_prefix(text: Column | str, prefix: str, never: Column | None = None) -> Column:
+    """(found, prefix, rest) of a fixed opening; leading space of the rest goes. ``never``: rows
+    whose opening is part of the text (the first chapter's)."""
     t = as_column(text)
-    found = t.startswith(prefix)
+    found = t.startswith(prefix) if never is None else t.startswith(prefix) & ~never
     return F.struct(
         found.alias("found"), F.when(found, prefix).alias("prefix"),
-        F.when(found, F.ltrim(F.substring(t, len(prefix) + 1, 1 << 30))).otherwise(t).alias("rest"),
+        F.when(found, F.ltrim(F.substring(t, F.lit(len(prefix) + 1), F.length(t)))).otherwise(t).alias("rest"),
     )
 
 

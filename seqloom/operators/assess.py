@@ -120,9 +120,28 @@ def assess_backing(sounds: DataFrame) -> DataFrame:
     return _measured(sounds, BACKED, "f2_hz", backing_verdict(F.col("f2_hz")), low_counts=False)
 
 
-def assess_echo(sounds: DataFrame, ratio_from: float, sustain_from_ms: float) -> DataFrame:
-    """Needs ``peak_ratio`` and ``sustain_ms``; labels present, weak and absent."""
-    skipped = F.col("peak_ratio").isNull() | unusable()
+def assess_echo(sounds: DataFrame, ratio_from: float = 1.5, sustain_from_ms: float = 20.0, least_ms: float = 30.0) -> DataFrame:
+    """Needs ``peak_ratio``, ``sustain_ms`` and, where ``functions.signal.echo`` gave one, ``skip_reason``;
+    labels present, weak and absent. Sounds shorter than ``least_ms`` cannot hold a closure and a release."""
+    if "skip_reason" not in sounds.columns:
+        sounds = sounds.withColumn("skip_reason", F.lit(None).cast("string"))
+    skipped = F.col("peak_ratio").isNull() | F.col("skip_reason").isNotNull() | unusable() | (F.coalesce("geminate_total_ms", "duration_ms") < least_ms)
     label = F.when(F.col("peak_ratio") < ratio_from, "absent").when(F.col("sustain_ms") < sustain_from_ms, "weak").otherwise("present")
     s = by_rule(sounds, ECHOED).withColumns({"status": F.when(skipped, "skipped").otherwise("assessed"), "echo": F.when(~skipped, label)})
     return s.withColumn("severity", F.when(~skipped, echo_severity(F.col("rule"), F.col("echo"))))
+
+
+def majority_vote(labels: Column, priority: Sequence[str]) -> Column:
+    """The most frequent label of an array; of equally frequent ones the first in ``priority``."""
+    def count(label: str) -> Column:
+        return F.size(F.filter(labels, lambda x: x == label))
+
+    best = F.array_max(F.array(*[F.struct(count(v).alias("n"), F.lit(-i).alias("rank"), F.lit(v).alias("label")) for i, v in enumerate(priority)]))
+    return F.when(best["n"] > 0, best["label"])
+
+
+def eligible_for_unit(long_rules: Sequence[str] = ("madd_", "ghunnah_", "qalqalah"), least_ms: float = 30.0) -> Column:
+    """Sounds that may tell the length of one count: sure, short, of no rule that lengthens, not paired and not last."""
+    free = ~F.exists("rules", lambda r: F.greatest(*[r.startswith(p) for p in long_rules]))
+    sure = (F.col("confidence") == "high") & ~F.col("skip") & ~F.col("is_final") & F.col("geminate_position").isNull()
+    return sure & F.col("ipa").isin("a", "i", "u") & (F.col("duration_ms") >= least_ms) & free

@@ -81,6 +81,40 @@ def calibrate(df: DataFrame, key: Sequence[str], value: str, short: Column, long
     )
 
 
+def _within_quartiles(df: DataFrame, key: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
+    """``iqr_filter`` for groups of any size, by a ranking window that spills."""
+    n, r = F.count("*").over(Window.partitionBy(*key)), F.row_number().over(Window.partitionBy(*key).orderBy(value)) - 1
+    rows = df.withColumns({"_n": n, "_r": r})
+    at = lambda i: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * i / 4), F.col(value))).over(Window.partitionBy(*key))
+    rows = rows.withColumns({"_q1": at(1), "_q3": at(3)})
+    reach = k * (F.col("_q3") - F.col("_q1"))
+    inside = F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)
+    return rows.where((F.col("_n") < 4) | inside).drop("_n", "_r", "_q1", "_q3")
+
+
+def calibrate_any_size(df: DataFrame, key: Sequence[str], value: str, short: Column, long: Column) -> DataFrame:
+    """``calibrate`` without arrays of a group's values, for groups of any size: windows and medians."""
+    low, high = SHORT_BAND
+    v = df.select(*key, F.col(value).cast("double").alias("_v"), short.alias("_s"), long.alias("_l"))
+    shorts = _within_quartiles(v.where("_s").where(F.col("_v").between(low, high)).select(*key, "_v"), key, "_v")
+    middle = shorts.groupBy(*key).agg(F.median("_v").alias("_m"))
+    longs = v.where("_l").where(F.col("_v") >= low).select(*key, "_v").join(middle, list(key), "left")
+    longs = _within_quartiles(longs.where(F.col("_m").isNull() | (F.col("_v") > F.col("_m"))).select(*key, "_v"), key, "_v")
+    pool = shorts.select(*key, F.lit("s").alias("_k"), "_v").unionByName(longs.select(*key, F.lit("m").alias("_k"), "_v"))
+    of = lambda k: F.when(F.col("_k") == k, F.col("_v"))
+    g = pool.groupBy(*key).agg(
+        F.median(F.coalesce(of("s"), of("m") / 2)).alias("_unit"), F.count("*").alias("_n"), F.median(of("s")).alias("_sm"), F.median(of("m")).alias("_mm"),
+        F.count(of("s")).alias("n_short"), F.count(of("m")).alias("n_long"),
+    )
+    j = df.select(*key).distinct().join(g, list(key), "left")
+    enough = F.coalesce("_n", F.lit(0)) >= LEAST
+    return j.select(
+        *key, F.when(enough, F.col("_unit")).otherwise(DEFAULT_UNIT_MS).alias("unit_ms"), F.coalesce("_sm", F.lit(0.0)).alias("short_median_ms"),
+        F.coalesce("_mm", F.lit(0.0)).alias("long_median_ms"), F.coalesce("n_short", F.lit(0)).alias("n_short"), F.coalesce("n_long", F.lit(0)).alias("n_long"),
+        (~enough).alias("is_default"), F.when(enough, 1.0).otherwise(DEFAULT_TOLERANCE).alias("tolerance"),
+    )
+
+
 def pooled_unit(df: DataFrame, key: Sequence[str], value: str, eligible: Column, least_ms: float = 30.0) -> DataFrame:
     """The plain estimate for continuous recordings: median of eligible values from ``least_ms`` on."""
     v = F.when(eligible & (F.col(value) >= least_ms), F.col(value).cast("double"))

@@ -6,50 +6,47 @@ recording has at most a few thousand segments, and recordings spread over all ta
 
 from __future__ import annotations
 
-import heapq
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def split_points(duration: float, silences: Sequence[tuple[float, float]], limit: float) -> list[float]:
     """Times to cut at until no part exceeds ``limit`` seconds.
 
-    The longest part is cut at its best silence (long, and near the middle), at least one
-    second from its ends; a part without one is cut in the middle. Without any silence
-    half a second inside the recording there is one cut, in the middle.
+    A part that is too long is cut at its best silence (long, and near the middle), at least one
+    second from its ends, or in the middle where it has none, and so are its halves. Without any
+    silence half a second inside the recording there is one cut, in the middle.
     """
-    if duration <= limit:
-        return []
-    usable = [((a + b) / 2, b - a) for a, b in silences if 0.5 < (a + b) / 2 < duration - 0.5]
-    if not usable:
+    quiet = np.array([((a + b) / 2, b - a) for a, b in sorted(silences) if 0.5 < (a + b) / 2 < duration - 0.5]).reshape(-1, 2)
+    if duration > limit and not len(quiet):
         return [duration / 2]
-    cuts: list[float] = []
-    parts = [(-duration, 0, 0.0, duration)]  # longest first, then the one made first
-    made = 0
-    while -parts[0][0] > limit:
-        _, _, low, high = heapq.heappop(parts)
-        middle, length = (low + high) / 2, high - low
-        scored = [(size * (1 - abs(at - middle) / length), -at, at) for at, size in usable if low + 1 < at < high - 1]
-        cut = max(scored)[2] if scored else middle
-        cuts.append(cut)
-        for a, b in ((low, cut), (cut, high)):
-            made += 1
-            heapq.heappush(parts, (a - b, made, a, b))
-    return sorted(cuts)
+
+    def cuts(low: float, high: float) -> list[float]:
+        if high - low <= limit:
+            return []
+        at = (low + high) / 2
+        here = quiet[(quiet[:, 0] > low + 1) & (quiet[:, 0] < high - 1)]
+        if len(here):
+            at = float(here[(here[:, 1] * (1 - np.abs(here[:, 0] - at) / (high - low))).argmax(), 0])
+        return [*cuts(low, at), at, *cuts(at, high)]
+
+    return cuts(0.0, duration)
 
 
 def allocate(n_words: int, durations: Sequence[float]) -> list[int]:
     """Words of each segment in proportion to its length (rounded half to even), one at least,
     one left for each segment to come; the last takes the rest."""
-    total, used, out = sum(durations), 0, []
-    for i, d in enumerate(durations[:-1]):
-        left = len(durations) - i - 1
-        n = max(1, min(round(d / total * n_words), n_words - used - left))
-        out.append(n)
-        used += n
-    return [*out, max(0, n_words - used)] if durations else []
+    if not len(durations):
+        return []
+    shares = np.rint(np.asarray(durations, float) / sum(durations) * n_words).astype(int)
+    most = n_words - np.arange(len(durations) - 1, 0, -1)  # words used up to a segment leave one for each after it
+    edges = list(itertools.accumulate(zip(shares, most), lambda used, s: used + max(1, min(s[0], s[1] - used)), initial=0))
+    return np.diff([*edges, max(n_words, edges[-1])]).tolist()
 
 
 def merge_short(segments: Sequence[tuple[float, float]], expected: Sequence[float], least: float) -> list[tuple[float, float, str]]:
@@ -58,19 +55,27 @@ def merge_short(segments: Sequence[tuple[float, float]], expected: Sequence[floa
     The i-th segment is held against the i-th expected length, the last of them for any more;
     0 means unknown. A short last segment stays, with low confidence.
     """
-    out, i = [], 0
-    while i < len(segments):
-        start, end = segments[i]
-        want = expected[min(i, len(expected) - 1)] if expected else 0
-        if want > 0 and end - start < want * least:
-            if i + 1 < len(segments):
-                out.append((start, segments[i + 1][1], "recovered"))
-                i += 2
-                continue
-            out.append((start, end, "low"))
-        else:
-            out.append((start, end, "high"))
-        i += 1
+    out, rest = [], iter(enumerate(segments))
+    for i, (start, end) in rest:
+        short = end - start < least * want_of(expected, i)
+        follower = next(rest, None) if short else None
+        out.append((start, follower[1][1], "recovered") if follower else (start, end, "low" if short else "high"))
+    return out
+
+
+def want_of(expected: Sequence[float], i: int) -> float:
+    return expected[min(i, len(expected) - 1)] if len(expected) else 0.0
+
+
+def split_long(segments: Sequence[tuple[float, float, str]], expected: Sequence[float], most: float, marks: Sequence[float]) -> list[tuple[float, float, str]]:
+    """The second pass: a segment longer than ``most`` times its expected length is cut at the marks
+    (middles of silences, found more readily than before) inside it; without one it stays."""
+    out = []
+    for i, (start, end, state) in enumerate(segments):
+        want = want_of(expected, i)
+        inside = [m for m in sorted(marks) if start < m < end] if 0 < want * most < end - start else []
+        edges = [start, *inside, end]
+        out += [(a, b, "recovered" if inside else state) for a, b in zip(edges, edges[1:])]
     return out
 
 
@@ -99,18 +104,18 @@ def split_recordings(recordings: DataFrame, silences: DataFrame, limit: float) -
     )
 
 
-def recover_segments(segments: DataFrame, expected: DataFrame, least: float = 0.5) -> DataFrame:
-    """segments(file_id, start, end), expected(file_id, verse, length) -> file_id, ordinal, start, end, confidence."""
+def recover_segments(segments: DataFrame, expected: DataFrame, least: float = 0.5, marks: DataFrame | None = None, most: float = 2.0) -> DataFrame:
+    """segments(file_id, start, end), expected(file_id, verse, length), marks(file_id, at) ->
+    file_id, ordinal, start, end, confidence: short segments merged, then long ones cut at marks."""
+    side = lambda df, kind, *cols: df.select("file_id", F.lit(kind).alias("kind"), *[c.cast("double").alias(n) for c, n in zip(cols, "xy")])
+    rows = side(segments, 0, F.col("start"), F.col("end")).unionByName(side(expected, 1, F.col("verse"), F.col("length")))
+    if marks is not None:
+        rows = rows.unionByName(side(marks, 2, F.col("at"), F.lit(None)))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["file_id", "ordinal", "start", "end", "confidence"]
-        if "start" not in a.columns or not len(a):
-            return pd.DataFrame({c: [] for c in columns}, dtype=object)
-        want = b.sort_values("verse")["length"].tolist() if "verse" in b.columns else []
-        merged = merge_short(sorted(zip(a["start"], a["end"])), want, least)
-        return pd.DataFrame([(a["file_id"].iloc[0], k + 1, *m) for k, m in enumerate(merged)], columns=columns, dtype=object)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = lambda k: sorted(zip(pdf.x[pdf.kind == k], pdf.y[pdf.kind == k]))
+        want = [length for _, length in part(1)]
+        found = split_long(merge_short(part(0), want, least), want, most, [at for at, _ in part(2)])
+        return pd.DataFrame([(pdf.file_id.iloc[0], k + 1, *f) for k, f in enumerate(found)], columns=["file_id", "ordinal", "start", "end", "confidence"], dtype=object)
 
-    left = segments.select("file_id", "start", "end").groupBy("file_id")
-    return left.cogroup(expected.select("file_id", "verse", "length").groupBy("file_id")).applyInPandas(
-        run, "file_id string, ordinal int, start double, end double, confidence string"
-    )
+    return rows.groupBy("file_id").applyInPandas(run, "file_id string, ordinal int, start double, end double, confidence string")

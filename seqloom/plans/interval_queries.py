@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, calibrate, evaluate, intervals, scoring, severity
+from ..operators import align, calibrate, evaluate, intervals, report, rules, scoring, severity
+from . import acoustics
+from .sequence_queries import RULES, SQL_CONTEXT, SQL_MATCH, _context
 from .tables import KEY, ORDER, SQL_MICROS, SQL_POS, W, micros, positions, table
 
 HOUR = 3_600_000_000
@@ -278,20 +280,21 @@ def uneven_histogram(spark, d):
 
 
 def duration_outliers(spark, d):
-    """Values outside 1-250 and the coverage of the rest, by kind, most outliers first."""
-    e = table(spark, d, "events")
-    out = (F.col("value") < 1) | (F.col("value") > 250)
-    return e.groupBy("event_type").agg(
-        F.count_if(out).alias("n_outliers"), F.round(100 * F.sum(F.when(~out, F.col("value"))) / F.sum("value"), 4).alias("coverage")
-    )
+    """Values below 1 and above 250 by kind of event and reason, most first."""
+    return report.duration_outliers(table(spark, d, "events"), "event_type", "value", 1, 250).select("event_type", "reason", "n", F.col("rank").cast("bigint").alias("rank"))
+
+
+def value_coverage(spark, d):
+    """Share of the sum of values that lies in 1-250, by kind."""
+    inside = F.when(F.col("value").between(1, 250), F.col("value"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(100 * evaluate.safe_ratio(F.sum(inside), F.sum("value")), 4).alias("coverage"))
 
 
 def grouped_report_rows(spark, d):
     """One row a user and day: its kinds as one sorted list, and the first event."""
-    e = table(spark, d, "events").withColumn("day", F.dayofmonth("ts").cast("bigint"))
-    return e.groupBy("user_id", "day").agg(
-        F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"), F.min("event_id").alias("first_event")
-    )
+    e = table(spark, d, "events").select("user_id", F.dayofmonth("ts").cast("bigint").alias("day"), "event_type", "event_id")
+    r = report.one_row_a_place(e.withColumn("first_event", F.col("event_id")), ["user_id", "day"], "event_type", "event_id")
+    return r.select("user_id", "day", F.array_join("rules", ",").alias("kinds"), "first_event")
 
 
 def patch_upsert(spark, d):
@@ -303,27 +306,26 @@ def patch_upsert(spark, d):
 
 
 def skip_flags(spark, d):
-    """Flags of faulty user-days carried to all their events."""
+    """Flags of faulty user-days carried to all their events, with the kind of the first fault."""
     e = table(spark, d, "events").withColumn("day", F.dayofmonth("ts"))
-    bad = e.where("event_type = 'error' AND value > 100").select("user_id", "day").distinct().withColumn("skip", F.lit(True))
-    j = e.join(bad, ["user_id", "day"], "left").withColumn("skip", F.coalesce("skip", F.lit(False)))
-    return j.groupBy("event_type").agg(F.count_if("skip").alias("n_skipped"), F.count("*").alias("n"))
+    bad = e.where("event_type = 'error' AND value > 100").select("user_id", "day", "event_id", F.when(F.col("value") > 200, "grave").otherwise("plain").alias("fault"))
+    j = report.skip_flags(e, bad, ["user_id", "day"], "fault", "event_id")
+    return j.groupBy("event_type", F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count_if("skip").alias("n_skipped"), F.count("*").alias("n"))
 
 
 def verification_targets(spark, d):
-    """Expected value, tolerance and priority of each event from its kind's defaults and rules."""
-    defaults = spark.createDataFrame([("view", 40.0, 10.0), ("click", 30.0, 5.0), ("purchase", 60.0, 20.0)], "event_type string, expected double, tolerance double")
-    e = table(spark, d, "events").join(F.broadcast(defaults), "event_type", "left")
-    w = F.coalesce("tolerance", F.lit(50.0))
-    away = F.abs(F.col("value") - F.coalesce("expected", F.lit(50.0)))
-    pr = F.when(away > 4 * w, "critical").when(away > w, "high").otherwise("normal")
-    return e.groupBy("event_type", pr.alias("priority")).agg(F.count("*").alias("n"))
+    """Priority, error and severity of every event from the rules that match at its place."""
+    c = _context(spark, d)
+    expected = c.select("user_id", "pos", "symbol", F.col("value").alias("expected_ms"), (F.col("value") / 4).alias("tolerance_ms"))
+    apps = rules.match(c, RULES).select("user_id", "pos", "rule")
+    t = acoustics.verification_targets(expected, apps, KEY, {r.name: r.category for r in RULES})
+    return t.groupBy("symbol", F.array_join("rules", ",").alias("rules"), "priority", "error", "severity").agg(F.count("*").alias("n"))
 
 
 def balanced_selection(spark, d):
-    """At most three events a kind and user, smallest id first."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 3").select("user_id", "event_type", "event_id")
+    """At most three users a kind of event, by their first event; kinds in order of appearance, a user once over all."""
+    c = table(spark, d, "events").select(F.col("event_type").alias("class"), "user_id", "event_id")
+    return report.balanced_selection(c, report.class_order(c, "event_id"), "user_id", "event_id", 3)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -331,18 +333,25 @@ QUERIES = {f.__name__: f for f in (
     ordinal_align, count_mismatch, greedy_word_match, diff_word_errors, calibrate_group, calibrate_all, calibrate_rollup, severity_bands,
     severity_downgrade, long_vowel_bands, weighted_score, chapter_summary, score_unweighted, category_counts_zero_fill, top1_first_tie,
     category_pivot, multiset_confusion, micro_prf, prf_sets, macro_prf, detection_status, quantile_summary, uneven_histogram,
-    duration_outliers, grouped_report_rows, patch_upsert, skip_flags, verification_targets, balanced_selection,
+    duration_outliers, value_coverage, grouped_report_rows, patch_upsert, skip_flags, verification_targets, balanced_selection,
 )}
 
-_SETS = """SELECT user_id, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE day(ts) % 2 = 0)), []) AS x, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE day(ts) % 2 = 1)), []) AS y
-    FROM events WHERE event_id % 5 < 2 GROUP BY user_id"""
-_SETM = f"""SELECT user_id, CASE WHEN len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(y) END AS p, CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(x) END AS r,
+_SETS = """SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE day(ts) % 2 = 0)), []) AS x, coalesce(list_sort(list(DISTINCT event_type) FILTER (WHERE day(ts) % 2 = 1)), []) AS y
+    FROM events GROUP BY ALL"""
+_SETM = f"""SELECT user_id, week, CASE WHEN len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(y) END AS p, CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(x) END AS r,
     list_sort(list_filter(x, lambda v: NOT list_contains(y, v))) AS miss, list_sort(list_filter(y, lambda v: NOT list_contains(x, v))) AS extra FROM ({_SETS})"""
 _CONF = """WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE day(ts) % 2 = 0 GROUP BY ALL), f AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE day(ts) % 2 = 1 GROUP BY ALL),
     m AS (SELECT user_id, event_type, coalesce(e.n, 0) AS n_expected, coalesce(f.n, 0) AS n_found FROM e FULL JOIN f USING (user_id, event_type)),
     c AS (SELECT *, least(n_expected, n_found) AS tp, n_expected - least(n_expected, n_found) AS fn, n_found - least(n_expected, n_found) AS fp FROM m)"""
 _SEV = "count(*) FILTER (WHERE severity = 'major') AS major, count(*) FILTER (WHERE severity = 'minor') AS minor, count(*) FILTER (WHERE severity = 'style') AS style"
 _Q = "list_sort(list({0}))"
+#: One step for each of the five kinds, in order of appearance.
+_BALANCED = """WITH k AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id), event_type) AS r FROM events GROUP BY event_type),
+    c AS (SELECT event_type AS class, r, user_id, min(event_id) AS event_id FROM events JOIN k USING (event_type) GROUP BY ALL)""" + "".join(
+    f""", s{i} AS (SELECT * FROM c WHERE r = {i}""" + "".join(f" AND user_id NOT IN (SELECT user_id FROM s{j})" for j in range(1, i)) + " ORDER BY event_id, user_id LIMIT 3)"
+    for i in range(1, 6)
+) + " " + " UNION ALL ".join(f"SELECT class, user_id, event_id FROM s{i}" for i in range(1, 6))
+
 ORACLES = {
     "overlap_pairs": f"""SELECT s.user_id, event_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(least(t1, w1) - greatest(t0, w0) AS BIGINT) AS overlap
         FROM ({SQL_SPANS}) s JOIN ({SQL_WINDOWS}) w ON s.user_id = w.user_id AND least(t1, w1) - greatest(t0, w0) > 600000000""",
@@ -403,7 +412,7 @@ ORACLES = {
     "multiset_confusion": f"{_CONF} SELECT user_id, event_type, n_expected, n_found, tp, fn, fp FROM c",
     "micro_prf": f"""{_CONF}, g AS (SELECT event_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM c GROUP BY event_type)
         SELECT event_type, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM g""",
-    "prf_sets": f"""SELECT user_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1,
+    "prf_sets": f"""SELECT user_id, week, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1,
         array_to_string(miss, ',') AS missing, array_to_string(extra, ',') AS extra FROM ({_SETM})""",
     "macro_prf": f"SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 6) AS f1 FROM ({_SETM})",
     "detection_status": """SELECT name, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_hits, CASE WHEN coalesce(sum(n), 0) >= 2000 THEN 'VERIFIED' WHEN coalesce(sum(n), 0) > 0 THEN 'PARTIAL' ELSE 'NOT DETECTED' END AS status
@@ -413,16 +422,27 @@ ORACLES = {
         FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)""",
     "uneven_histogram": """SELECT CASE WHEN value <= 10 THEN '0-10' WHEN value >= 11 AND value <= 50 THEN '11-50' WHEN value >= 51 AND value <= 100 THEN '51-100' WHEN value >= 100.01 THEN 'over 100' END AS bucket,
         count(*) AS n FROM events GROUP BY ALL""",
-    "duration_outliers": """SELECT event_type, count(*) FILTER (WHERE value < 1 OR value > 250) AS n_outliers, round(100 * sum(value) FILTER (WHERE NOT (value < 1 OR value > 250)) / sum(value), 4) AS coverage
-        FROM events GROUP BY event_type""",
+    "duration_outliers": """WITH o AS (SELECT event_type, CASE WHEN value < 1 THEN 'too_short' WHEN value > 250 THEN 'too_long' END AS reason, count(*) AS n FROM events WHERE value < 1 OR value > 250 GROUP BY ALL)
+        SELECT *, row_number() OVER (ORDER BY n DESC, event_type, reason) AS rank FROM o""",
     "grouped_report_rows": "SELECT user_id, CAST(day(ts) AS BIGINT) AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, min(event_id) AS first_event FROM events GROUP BY user_id, day(ts)",
     "patch_upsert": """SELECT t AS event_type, count(*) AS n, count(*) FILTER (WHERE t <> event_type) AS n_changed FROM (SELECT event_type, CASE WHEN event_id % 20 = 3 THEN 'view' ELSE event_type END AS t FROM events) GROUP BY t""",
-    "skip_flags": """SELECT event_type, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'error' AND b.value > 100 AND b.user_id = e.user_id AND day(b.ts) = day(e.ts))) AS n_skipped, count(*) AS n
-        FROM events e GROUP BY event_type""",
-    "verification_targets": """WITH k(event_type, x, w) AS (VALUES ('view', 40.0, 10.0), ('click', 30.0, 5.0), ('purchase', 60.0, 20.0)),
-        j AS (SELECT event_type, abs(value - coalesce(x, 50.0)) AS away, coalesce(w, 50.0) AS w FROM events LEFT JOIN k USING (event_type))
-        SELECT event_type, CASE WHEN away > 4 * w THEN 'critical' WHEN away > w THEN 'high' ELSE 'normal' END AS priority, count(*) AS n FROM j GROUP BY ALL""",
-    "balanced_selection": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r <= 3",
+    "skip_flags": """WITH b AS (SELECT user_id, day(ts) AS day, arg_min(CASE WHEN value > 200 THEN 'grave' ELSE 'plain' END, event_id) AS fault FROM events WHERE event_type = 'error' AND value > 100 GROUP BY ALL)
+        SELECT event_type, coalesce(fault, 'none') AS fault, count(fault) AS n_skipped, count(*) AS n FROM events e LEFT JOIN b ON b.user_id = e.user_id AND b.day = day(e.ts) GROUP BY ALL""",
+    "verification_targets": f"""WITH c AS ({SQL_CONTEXT}), m AS ({SQL_MATCH}), k AS (SELECT DISTINCT user_id, pos, rule FROM m),
+        g AS (SELECT user_id, pos, string_agg(rule, ',' ORDER BY rule) AS rules, min(rule) AS one FROM k GROUP BY user_id, pos),
+        cat(rule, category) AS (VALUES {", ".join(f"('{r.name}', '{r.category}')" for r in RULES)})
+        SELECT symbol, coalesce(rules, '') AS rules, CAST(CASE WHEN rules IS NULL THEN 0.7 ELSE 1.0 END AS DOUBLE) AS priority, CASE WHEN rules IS NULL THEN 'duration_mismatch' ELSE category || '_error' END AS error,
+        CASE WHEN rules IS NULL THEN 'minor' ELSE 'major' END AS severity, count(*) AS n FROM c LEFT JOIN g USING (user_id, pos) LEFT JOIN cat ON cat.rule = one GROUP BY ALL""",
+    "balanced_selection": _BALANCED,
+    "value_coverage": "SELECT event_type, round(100 * sum(value) FILTER (WHERE value BETWEEN 1 AND 250) / sum(value), 4) AS coverage FROM events GROUP BY event_type",
+    "greedy_word_match": f"""WITH RECURSIVE p AS (SELECT user_id, CAST(ts AS DATE) AS day, pos, event_type AS word FROM ({SQL_POS})),
+        l AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY pos) AS k FROM p),
+        r AS (SELECT user_id, day - 1 AS day, list(struct_pack(p := pos, w := word) ORDER BY pos) AS rl FROM p GROUP BY ALL),
+        g AS (SELECT DISTINCT user_id, day, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS left_pos, CAST(NULL AS BIGINT) AS right_pos, CAST(NULL AS VARCHAR) AS word, CAST(-1 AS BIGINT) AS used FROM p
+            UNION ALL SELECT user_id, day, k, left_pos, hit, word, coalesce(hit, used) FROM (
+                SELECT l.user_id, l.day, l.k, l.pos AS left_pos, l.word, g.used, list_min(list_transform(list_filter(rl, lambda x: x.w = l.word AND x.p > g.used), lambda x: x.p)) AS hit
+                FROM g JOIN l ON l.user_id = g.user_id AND l.day = g.day AND l.k = g.k + 1 LEFT JOIN r ON r.user_id = l.user_id AND r.day = l.day))
+        SELECT user_id, day, left_pos, right_pos, word FROM g WHERE k > 0""",
 }
 
 

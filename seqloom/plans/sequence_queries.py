@@ -239,8 +239,8 @@ ORACLES = {
         FROM c WHERE symbol IN ('view', 'click', 'error') GROUP BY event_type""",
     "rule_explain": f"""WITH c AS ({SQL_CONTEXT})
         SELECT symbol IN ('view', 'click', 'error') AS test_target, coalesce(is_repeat, true) AS test_is_repeat, count(*) AS n FROM c GROUP BY ALL""",
-    "specific_suppresses_general": f"""{_M} SELECT user_id, pos, rule FROM m WHERE rule <> 'general_view' OR NOT EXISTS (
-        SELECT 1 FROM m s WHERE s.user_id = m.user_id AND s.pos = m.pos AND s.rule IN ('view_then_buy', 'repeat'))""",
+    "specific_suppresses_general": f"""{_M}, w AS (SELECT *, max(CASE WHEN rule IN ('view_then_buy', 'repeat') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, pos) AS beaten FROM m)
+        SELECT user_id, pos, rule FROM w WHERE rule <> 'general_view' OR beaten = 0""",
     "rules_at_position": f"""{_M} SELECT user_id, pos, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, count(DISTINCT rule) AS n_rules
         FROM m GROUP BY user_id, pos""",
     "inject_rules": f"""{_M}, i AS (SELECT user_id, pos, 'repeat' AS rule FROM c WHERE pos % 14 = 0),

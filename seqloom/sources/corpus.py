@@ -11,7 +11,7 @@ CORPUS = (
 )
 PHONE = (
     "struct<ipa:string,mfa:string,start:double,end:double,duration_ms:double,tajweed_rules:array<string>,alignment_confidence:string,"
-    "skip_assessment:boolean,is_verse_final:boolean,geminate_pair:boolean,geminate_total_ms:double,geminate_position:string>"
+    "skip_assessment:boolean,is_verse_final:boolean,verse_final_silence_trimmed:boolean,original_duration_ms:double,trimmed_duration_ms:double,geminate_pair:boolean,geminate_total_ms:double,geminate_position:string>"
 )
 ALIGNED = (
     "surah int, num_ayahs int, verses array<struct<surah:int,ayah:int,text:string,file_id:string,duration:double,words:array<struct<text:string,"
@@ -19,45 +19,79 @@ ALIGNED = (
 )
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """chapter, name, verse, text, juz, manzil, page."""
-    c = spark.read.schema(CORPUS).option("multiLine", True).json(path)
-    s = c.select(F.explode("surahs").alias("s")).select("s.number", "s.name", F.explode("s.ayahs").alias("a"))
+    """chapter, name, verse, text, juz, manzil, page of the JSON files at a path."""
+    return parse_corpus(_whole(spark, path))
+
+
+def parse_corpus(files: DataFrame) -> DataFrame:
+    """The same from rows of JSON text in ``value``."""
+    s = files.select(F.explode(F.from_json("value", CORPUS)["surahs"]).alias("s")).select("s.number", "s.name", F.explode("s.ayahs").alias("a"))
     return s.select(
         F.col("number").alias("chapter"), "name", F.col("a.number").alias("verse"), F.col("a.text").alias("text"), "a.juz", "a.manzil", "a.page"
     )
 
 
+def with_verses(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Rows of (chapter, verse, ...) with the verse's text; null where the corpus has none."""
+    return rows.join(corpus.select("chapter", "verse", "text"), ["chapter", "verse"], "left")
+
+
 def lookup(corpus: DataFrame, chapter: int, verse: int) -> DataFrame:
     """One verse by its key: the filter reaches the scan of a stored corpus."""
     return corpus.where((F.col("chapter") == chapter) & (F.col("verse") == verse))
 
 
 def read_aligned(spark: SparkSession, path: str) -> DataFrame:
-    """Phones of aligned chapters, one row each; optional keys have their defaults."""
-    a = spark.read.schema(ALIGNED).option("multiLine", True).json(path)
+    """Phones of the aligned chapters at a path, one row each; optional keys have their defaults."""
+    return parse_aligned(_whole(spark, path))
+
+
+def parse_aligned(files: DataFrame) -> DataFrame:
+    """The same from rows of JSON text in ``value``."""
+    a = files.select(F.from_json("value", ALIGNED).alias("a")).select("a.*")
     v = a.select(F.col("surah").alias("chapter"), F.explode("verses").alias("v"))
-    w = v.select("chapter", F.col("v.ayah").alias("verse"), "v.file_id", F.posexplode("v.words").alias("word_idx", "w"))
-    p = w.select("chapter", "verse", "file_id", "word_idx", F.col("w.text").alias("word"), F.col("w.duration_ms").alias("word_ms"), F.posexplode("w.phones").alias("k", "p"))
+    of_verse = ["chapter", "verse", "file_id", "verse_text", "duration"]
+    w = v.select(
+        "chapter", F.col("v.ayah").alias("verse"), "v.file_id", F.col("v.text").alias("verse_text"), "v.duration", F.posexplode("v.words").alias("k", "w")
+    )
+    p = w.select(
+        *of_verse, F.coalesce("w.word_index", "k").alias("word_idx"), F.col("w.text").alias("word"), F.col("w.start").alias("word_start"),
+        F.col("w.end").alias("word_end"), F.col("w.duration_ms").alias("word_ms"), F.posexplode("w.phones").alias("phone_idx", "p"),
+    )
     flag = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit(False)).alias(c)
     return p.select(
-        "chapter", "verse", "file_id", "word_idx", "word", "word_ms", F.col("k").alias("phone_idx"), "p.ipa", "p.mfa", "p.start", "p.end", "p.duration_ms",
+        *of_verse, "word_idx", "word", "word_start", "word_end", "word_ms", "phone_idx", "p.ipa", "p.mfa", "p.start", "p.end", "p.duration_ms",
         F.coalesce("p.tajweed_rules", F.array().cast("array<string>")).alias("rules"), F.coalesce("p.alignment_confidence", F.lit("high")).alias("confidence"),
-        flag("skip_assessment"), flag("is_verse_final"), flag("geminate_pair"), "p.geminate_total_ms", "p.geminate_position",
+        flag("skip_assessment"), flag("is_verse_final"), flag("verse_final_silence_trimmed"), "p.original_duration_ms", "p.trimmed_duration_ms",
+        flag("geminate_pair"), "p.geminate_total_ms", "p.geminate_position",
     )
 
 
 def aligned_json(phones: DataFrame) -> DataFrame:
-    """chapter, value: one JSON text a chapter; to_json leaves null and, here, false keys out."""
+    """chapter, value: one JSON text a chapter in the form that ``read_aligned`` reads; to_json leaves
+    null and, here, false keys out, and what belongs to a false key."""
     yes = lambda c: F.when(F.col(c), True).alias(c)
+    only = lambda flag, c: F.when(F.col(flag), F.col(c)).alias(c)
     phone = F.struct(
-        "phone_idx", "ipa", "mfa", "start", "end", "duration_ms", F.col("rules").alias("tajweed_rules"), F.col("confidence").alias("alignment_confidence"),
-        yes("skip_assessment"), yes("is_verse_final"), yes("geminate_pair"), "geminate_total_ms", "geminate_position",
+        "ipa", "mfa", "start", "end", "duration_ms", F.col("rules").alias("tajweed_rules"), F.col("confidence").alias("alignment_confidence"),
+        yes("skip_assessment"), yes("is_verse_final"), yes("verse_final_silence_trimmed"), only("verse_final_silence_trimmed", "original_duration_ms"),
+        only("verse_final_silence_trimmed", "trimmed_duration_ms"), yes("geminate_pair"), only("geminate_pair", "geminate_total_ms"), only("geminate_pair", "geminate_position"),
+    )
+    in_order = lambda order, x: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), x.alias("x")))), lambda e: e["x"])
+    w = phones.groupBy("chapter", "verse", "file_id", "verse_text", "duration", "word_idx", "word", "word_start", "word_end", "word_ms").agg(in_order("phone_idx", phone).alias("phones"))
+    word = F.struct(
+        F.col("word").alias("text"), F.col("word_idx").alias("word_index"), F.col("word_start").alias("start"), F.col("word_end").alias("end"),
+        F.col("word_ms").alias("duration_ms"), "phones",
     )
-    w = phones.groupBy("chapter", "verse", "file_id", "word_idx", "word").agg(F.array_sort(F.collect_list(phone)).alias("phones"))
-    v = w.groupBy("chapter", "verse", "file_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.col("word").alias("text"), "phones"))).alias("words"))
-    c = v.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "file_id", "words"))).alias("verses"))
-    return c.select("chapter", F.to_json(F.struct("chapter", F.size("verses").alias("num_ayahs"), "verses")).alias("value"))
+    v = w.groupBy("chapter", "verse", "file_id", "verse_text", "duration").agg(in_order("word_idx", word).alias("words"))
+    verse = F.struct(F.col("chapter").alias("surah"), F.col("verse").alias("ayah"), F.col("verse_text").alias("text"), "file_id", "duration", "words")
+    c = v.groupBy("chapter").agg(in_order("verse", verse).alias("verses"))
+    return c.select("chapter", F.to_json(F.struct(F.col("chapter").alias("surah"), F.size("verses").alias("num_ayahs"), "verses")).alias("value"))
 
 
 def transcripts(texts: DataFrame, key: list[str], order: str, text: str = "text") -> DataFrame:
@@ -92,9 +126,21 @@ def annotated(sounds: DataFrame, apps: DataFrame, key: list[str], order: str = "
     return s.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), " ").alias("value"))
 
 
-def missing_words(words: DataFrame, entries: DataFrame) -> DataFrame:
-    """Words without an entry in the dictionary."""
-    return words.select("word").distinct().join(entries.select("word").distinct(), "word", "left_anti")
+def missing_words(words: DataFrame, entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct words (with the columns ``keep``) without an entry in the dictionary."""
+    return words.select(*keep, "word").distinct().join(entries.select("word").distinct(), "word", "left_anti")
+
+
+def variants(forms: DataFrame, word: str, form: str) -> DataFrame:
+    """word, variants, n: the distinct forms of each word, sorted."""
+    g = forms.select(word, form).distinct().groupBy(word).agg(F.sort_array(F.collect_list(form)).alias("variants"))
+    return g.withColumn("n", F.size("variants").cast("bigint"))
+
+
+def json_per_key(rows: DataFrame, key: list[str], items: str, *columns) -> DataFrame:
+    """key, json: one JSON text a key with its rows as a sorted list; null keys are left out."""
+    g = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(items))
+    return g.select(*key, F.to_json(F.struct(*key, items)).alias("json"))
 
 
 def is_audio(content: Column) -> Column:
@@ -104,3 +150,26 @@ def is_audio(content: Column) -> Column:
         F.when((start(4) == "52494646") & (start(4, 9) == "57415645"), "wav").when(start(3) == "494433", "mp3").when(start(2).isin("FFFB", "FFF3", "FFF2"), "mp3")
         .when(start(4) == "4F676753", "ogg").when(start(4) == "664C6143", "flac").when(start(4, 5) == "66747970", "m4a").when(start(4) == "1A45DFA3", "webm")
     )
+
+
+def audio_path(base: str, chapter: Column, verse: Column) -> Column:
+    """Where the recording of a verse lies: a folder for each chapter, keys of three digits."""
+    return F.concat(F.lit(base.rstrip("/") + "/surah_"), chapter.cast("string"), F.lit("_wav16k/"), F.format_string("%03d_%03d.wav", chapter, verse))
+
+
+def segment_files(segments: DataFrame, files: DataFrame, padding_ms: float = 0.0) -> DataFrame:
+    """segments(file_id, segment, start_ms, end_ms), files(file_id, content) -> file_id, segment, content: a
+    16-bit file of each segment with silence around it; a recording is read once, an absent one gives none."""
+    import pandas as pd
+
+    from ..functions.signal import cut_wav
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        columns = ["file_id", "segment", "content"]
+        if "segment" not in a.columns or "content" not in b.columns or not len(b):
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
+        rows = [(r.file_id, r.segment, cut_wav(b["content"].iloc[0], r.start_ms, r.end_ms, padding_ms)) for r in a.itertuples(index=False)]
+        return pd.DataFrame(rows, columns=columns, dtype=object)
+
+    left = segments.select("file_id", "segment", "start_ms", "end_ms").groupBy("file_id")
+    return left.cogroup(files.select("file_id", "content").groupBy("file_id")).applyInPandas(run, "file_id string, segment int, content binary")

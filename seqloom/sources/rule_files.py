@@ -45,16 +45,21 @@ def rule_from(entry: dict) -> Rule:
     )
 
 
-def read_rules(*paths: str | Path) -> tuple[list[Rule], list[str]]:
-    """Rules in file order, and what was wrong with those that were left out."""
+def parse_rules(text: str, name: str = "") -> tuple[list[Rule], list[str]]:
+    """Rules of one YAML text in its order, and what was wrong with those that were left out."""
     import yaml
 
     rules, problems = [], []
-    for path in paths:
-        data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-        for entry in data.get("rules", []) if isinstance(data, dict) else data:
-            try:
-                rules.append(rule_from(entry))
-            except (BadRule, KeyError, TypeError, ValueError) as problem:
-                problems.append(f"{path}: {problem}")
+    data = yaml.safe_load(text) or {}
+    for entry in data.get("rules", []) if isinstance(data, dict) else data:
+        try:
+            rules.append(rule_from(entry))
+        except (BadRule, KeyError, TypeError, ValueError) as problem:
+            problems.append(f"{name}: {problem}")
     return rules, problems
+
+
+def read_rules(*paths: str | Path) -> tuple[list[Rule], list[str]]:
+    """Rules in file order, and what was wrong with those that were left out."""
+    parts = [parse_rules(Path(path).read_text(encoding="utf-8"), str(path)) for path in paths]
+    return [r for rules, _ in parts for r in rules], [x for _, problems in parts for x in problems]

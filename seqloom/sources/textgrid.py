@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TIER = r'(?s)name = "([^"]*)"(.*?)(?=item \[\d+\]:|\z)'
-_INTERVAL = r'(?s)xmin = ([-\d.]+)\s*xmax = ([-\d.]+)\s*text = "([^"]*)"'
+#: A text ends at a quote that is not doubled; a doubled one stands for one quote.
+_TEXT = r'"((?:[^"]|"")*+)"'
+_TIER = rf'(?s)name = {_TEXT}(.*?)(?=item \[\d+\]:\s*class = |\z)'
+_INTERVAL = rf'(?s)xmin = ([-\d.]+)\s*xmax = ([-\d.]+)\s*text = {_TEXT}'
 
 
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +27,7 @@ def parse_textgrids(files: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract_all("body", F.lit(_INTERVAL), F.lit(k))
     rows = tiers.select("file_id", "tier", F.posexplode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))).alias("idx", "i"))
     return rows.select(
-        "file_id", "tier", "idx", F.col("i.a").cast("double").alias("xmin"), F.col("i.b").cast("double").alias("xmax"), F.col("i.c").alias("text")
+        "file_id", "tier", "idx", F.col("i.a").cast("double").alias("xmin"), F.col("i.b").cast("double").alias("xmax"), F.replace("i.c", F.lit('""'), F.lit('"')).alias("text")
     )
 
 
@@ -65,7 +67,7 @@ def textgrid_text(intervals: DataFrame, tiers: tuple[str, ...] = ("words", "phon
     number = lambda x: F.format_string("%.6f", x)
     one = F.concat(
         F.lit("        intervals ["), (F.col("n")).cast("string"), F.lit("]:\n            xmin = "), number(F.col("xmin")),
-        F.lit("\n            xmax = "), number(F.col("xmax")), F.lit('\n            text = "'), F.col("text"), F.lit('"'),
+        F.lit("\n            xmax = "), number(F.col("xmax")), F.lit('\n            text = "'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'),
     )
     rows = intervals.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "tier").orderBy("idx")))
     per = rows.groupBy("file_id", "tier").agg(

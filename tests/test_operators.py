@@ -304,14 +304,14 @@ def test_general_rule_gives_way(spark):
 
 
 def test_textgrid_round_trip(spark, tmp_path):
-    rows = [("f1", "words", 0, 0.0, 0.5, ""), ("f1", "words", 1, 0.5, 1.0, "ab"), ("f1", "words", 2, 1.0, 1.5, "c"), ("f1", "phones", 0, 0.5, 0.7, "a"), ("f1", "phones", 1, 0.7, 1.0, "b"), ("f1", "phones", 2, 1.0, 1.5, "c"), ("f1", "phones", 3, 1.5, 1.6, "z")]
+    rows = [("f1", "words", 0, 0.0, 0.5, ""), ("f1", "words", 1, 0.5, 1.0, 'a"b'), ("f1", "words", 2, 1.0, 1.5, "c"), ("f1", "phones", 0, 0.5, 0.7, "a"), ("f1", "phones", 1, 0.7, 1.0, "b"), ("f1", "phones", 2, 1.0, 1.5, "c"), ("f1", "phones", 3, 1.5, 1.6, "z")]
     df = spark.createDataFrame(rows, "file_id string, tier string, idx int, xmin double, xmax double, text string")
     value = textgrid.textgrid_text(df).first().value
     (tmp_path / "f1.TextGrid").write_text(value, encoding="utf-8")
     back = textgrid.read_textgrids(spark, str(tmp_path))
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     got = [(r.word, r.phone) for r in textgrid.phones_in_words(back).orderBy("phone_idx").collect()]
-    assert got == [("ab", "a"), ("ab", "b"), ("c", "c")]
+    assert got == [('a"b', "a"), ('a"b', "b"), ("c", "c")]
 
 
 def test_corpus_dictionary_and_json(spark, tmp_path):
@@ -330,7 +330,9 @@ def test_corpus_dictionary_and_json(spark, tmp_path):
     p = corpus.read_aligned(spark, str(a)).orderBy("phone_idx").collect()
     assert p[0].confidence == "high" and p[0].rules == ["r"] and p[1].is_verse_final and p[1].rules == []
     out = corpus.aligned_json(corpus.read_aligned(spark, str(a))).first().value
-    assert '"is_verse_final":true' in out and '"is_verse_final":false' not in out
+    assert '"is_verse_final":true' in out and '"is_verse_final":false' not in out and '"surah":1' in out and '"word_index":0' in out
+    back = corpus.parse_aligned(spark.createDataFrame([(out,)], "value string"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, p))
     kinds = spark.createDataFrame([(b"RIFF0000WAVEx",), (b"OggSxxxx",), (b"nothing!",)], "content binary").select(corpus.is_audio(F.col("content")).alias("k"))
     assert [r.k for r in kinds.collect()] == ["wav", "ogg", None]
 
@@ -354,12 +356,17 @@ def test_signal_kernels():
     assert signal.nasality(np.zeros(1600, np.float32)).max() == 0
     assert signal.nasal_span_ms(np.concatenate([tone(2000), tone(300, 0.2), tone(2000)])) == pytest.approx(200, abs=20)
     assert signal.nasal_span_ms(tone(300, 0.02)) is None
-    burst = np.concatenate([tone(500, 0.1), np.zeros(1600, np.float32) + 1e-4, tone(500, 0.05)])
-    e = signal.echo(burst)
-    assert e["rise"] > e["closure"] and e["sustain_ms"] >= 40
+    assert signal.nasal_stretch(np.zeros(100, np.float32)) is None
+    burst = np.concatenate([tone(500, 0.05) * 0.01, tone(500, 0.05), tone(500, 0.1) * 0.5, np.zeros(1600, np.float32)])
+    e = signal.echo(burst, length_ms=100)
+    assert e["release_ms"] == 50 and e["sustain_ms"] == 150 and e["peak_ratio"] > 40 and e["skip"] is None
+    assert signal.echo(tone(500, 0.2), length_ms=100)["skip"] == "no_closure_detected" and signal.echo(tone(500, 0.01)) is None
+    late = np.concatenate([tone(500, 0.09) * 0.01, tone(500, 0.015)])
+    assert signal.echo(late, length_ms=100)["skip"] == "echo_window_overflow"
     mean, sd, voiced = signal.pitch(tone(120))
     assert abs(mean - 120) < 3 and sd < 5 and voiced > 0.9
-    assert signal.longest_run(np.array([1, 1, 0, 0, 1, 0, 0, 0, 1, 1, 1, 1], bool)) == (0, 4)
+    assert signal.longest_run(np.array([1, 1, 1, 0, 1, 1, 1, 0, 0, 1, 1, 1], bool)) == (0, 6)
+    assert signal.longest_run(np.array([1, 1, 0, 0, 1, 1, 0], bool)) is None
 
 
 def test_measure_decodes_each_recording_once(spark):
@@ -408,7 +415,7 @@ def test_assessors(spark):
     assert c == {6: ("assessed", "minor"), 7: ("skipped", None)}
     assert [(r.status, r.severity) for r in assess.assess_backing(s).collect()] == [("assessed", "minor")]
     assert [(r.verdict, r.severity) for r in assess.assess_heavy(s).collect()] == [("tarqiq_error", "major")]
-    e = {r.pos: (r.echo, r.severity) for r in assess.assess_echo(s, 2.0, 15.0).collect()}
+    e = {r.pos: (r.echo, r.severity) for r in assess.assess_echo(s).collect()}
     assert e == {9: ("absent", "major"), 10: ("weak", "style")}
 
 
@@ -447,3 +454,5 @@ def test_repairs_over_recordings(spark):
     seg = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 9.0)], "file_id string, start double, end double")
     want = spark.createDataFrame([("a", 1, 8.0)], "file_id string, verse int, length double")
     assert [(r.start, r.end, r.confidence) for r in repair.recover_segments(seg, want).collect()] == [(0.0, 9.0, "recovered")]
+    assert repair.split_long([(0.0, 30.0, "high"), (30.0, 31.0, "low")], [8.0], 2.0, [10.0, 40.0]) == [(0.0, 10.0, "recovered"), (10.0, 30.0, "recovered"), (30.0, 31.0, "low")]
+    assert repair.split_long([(0.0, 30.0, "high")], [8.0], 2.0, []) == [(0.0, 30.0, "high")] and repair.split_long([(0.0, 30.0, "high")], [], 2.0, [5.0]) == [(0.0, 30.0, "high")]
