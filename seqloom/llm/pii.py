@@ -44,9 +44,7 @@ TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 WINDOW, STRIDE = 512, 464
 #: Characters of a training window.
 SHORT = 112
-HIDDEN = 16
-#: Unused columns of a row of input weights: rows of a power of two would share few places of the cache.
-PAD = 8
+HIDDEN, EMBED = 16, 8
 ALPHABET = 130
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -126,7 +124,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def codes(text: str) -> np.ndarray:
     """ASCII as it is, other letters 128, the rest 129, padding 0."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(raw < 128, np.maximum(raw, 1), np.where(raw < 0x2000, 128, 129)).astype(np.int64)
+    return _CODES[np.minimum(raw, len(_CODES) - 1)]
+
+
+_CODES = np.array([max(c, 1) if c < 128 else 128 for c in range(0x2000)] + [129])
 
 
 def allowed() -> np.ndarray:
@@ -143,8 +144,8 @@ def allowed() -> np.ndarray:
 class Net:
     """Two LSTMs over characters (from the left and from the right), emission layer, CRF transitions.
 
-    Arrays are (direction, feature, window): a gate is one contiguous block. A character's
-    share of the gates is a row of ``in``. Sigmoid gates are (tanh + 1) / 2 of half their input,
+    Arrays are (direction, feature, window): a gate is one contiguous block. One product a step
+    gives the gates from the hidden state and the character's embedding. Sigmoid gates are (tanh + 1) / 2 of half their input,
     the halves being part of the weights. Windows come in order of length; the second LSTM is
     held at its start in what pads a window, so padding has no influence on scores.
     """
@@ -153,10 +154,12 @@ class Net:
         rng = np.random.default_rng(seed)
         w = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
-            "in": w(0.35, 2, 4 * HIDDEN, ALPHABET), "wh": w(HIDDEN**-0.5 * 0.7, 2, 4 * HIDDEN, HIDDEN),
+            "emb": w(0.7, EMBED + 1, ALPHABET), "wx": w(EMBED**-0.5 * 0.5, 2, 4 * HIDDEN, EMBED + 1), "wh": w(HIDDEN**-0.5 * 0.7, 2, 4 * HIDDEN, HIDDEN),
             "out": w((2 * HIDDEN) ** -0.5, TAGS, 2 * HIDDEN), "ob": np.zeros((TAGS, 1), np.float32), "tr": np.zeros((TAGS, TAGS), np.float32),
         }
-        self.p["in"][:, HIDDEN : 2 * HIDDEN] += 0.5
+        self.p["emb"][-1] = 1  # what it is multiplied with is a bias
+        self.p["wx"][:, :, -1] = 0
+        self.p["wx"][:, HIDDEN : 2 * HIDDEN, -1] = 0.5
         self.bad = allowed()
 
     def run(self, x: np.ndarray, lens: np.ndarray, keep: bool = False):
@@ -164,19 +167,27 @@ class Net:
         p, h = self.p, HIDDEN
         t, n = x.shape
         waits = np.searchsorted(lens, t - 1 - np.arange(t), "right")  # windows that the second has not entered
-        rows = np.zeros((2, ALPHABET, 4 * h + PAD), np.float32)
-        rows[:, :, : 4 * h] = p["in"].transpose(0, 2, 1)
-        wh = p["wh"] * np.float32(0.5)  # what is carried is twice the hidden state: o + 1 times tanh, o a tanh
-        hs = np.zeros((t + 1, 2, h, n), np.float32)
-        c, u = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
-        g, z = np.empty((2, 4 * h, n), np.float32), np.empty((2, n, 4 * h + PAD), np.float32)
-        share = z[:, :, : 4 * h].transpose(0, 2, 1)
-        cs, gates = (np.zeros((t + 1, 2, h, n), np.float32), np.empty((t, 2, 4 * h, n), np.float32)) if keep else (None, None)
-        for i in range(t):
-            np.matmul(wh, hs[i], out=g)
-            np.take(rows[0], x[i], axis=0, out=z[0], mode="clip")
-            np.take(rows[1], x[t - 1 - i], axis=0, out=z[1], mode="clip")
-            g += share
+        # what is carried is twice the hidden state (o + 1 times tanh, o a tanh); the emissions of a
+        # step come out of the same product as the gates of the next one
+        half = np.concatenate([p["wh"], np.stack([p["out"][:, :h], p["out"][:, h:]])], 1) * np.float32(0.5)
+        both = np.concatenate([half, np.pad(p["wx"], ((0, 0), (0, TAGS), (0, 0)))], 2)
+        letters = np.take(p["emb"], x, axis=1, mode="clip")
+        em = np.empty((t, TAGS, n), np.float32)
+        em[:] = p["ob"]
+        full, (c, u) = np.zeros((2, h + EMBED + 1, n), np.float32), np.zeros((2, 2, h, n), np.float32)
+        product = np.empty((2, 4 * h + TAGS, n), np.float32)
+        g, state = product[:, : 4 * h], full[:, :h]
+        if keep:
+            hs, cs, gates = np.zeros((t + 1, 2, h, n), np.float32), np.zeros((t + 1, 2, h, n), np.float32), np.empty((t, 2, 4 * h, n), np.float32)
+        for i in range(t + 1):
+            if i < t:
+                full[0, h:], full[1, h:] = letters[:, i], letters[:, t - 1 - i]
+            np.matmul(both, full, out=product)
+            if i:
+                em[i - 1] += product[0, 4 * h :]
+                em[t - i] += product[1, 4 * h :]
+            if i == t:
+                break
             np.tanh(g, out=g)
             g[:, : 3 * h] += 1
             c *= g[:, h : 2 * h]
@@ -184,18 +195,16 @@ class Net:
             c += u
             c *= 0.5
             np.tanh(c, out=u)
-            np.multiply(g[:, 2 * h : 3 * h], u, out=hs[i + 1])
+            np.multiply(g[:, 2 * h : 3 * h], u, out=state)
             if waits[i]:
-                c[1, :, : waits[i]] = hs[i + 1, 1, :, : waits[i]] = 0
+                c[1, :, : waits[i]] = state[1, :, : waits[i]] = 0
             if keep:
-                gates[i], cs[i + 1] = g, c
+                gates[i], cs[i + 1], hs[i + 1] = g, c, state
+        if not keep:
+            return em, None
         hs *= 0.5
-        if keep:
-            gates[:, :, : 3 * h] *= 0.5
-        em = np.matmul(np.ascontiguousarray(p["out"][:, :h]), hs[1:, 0])
-        em += np.matmul(np.ascontiguousarray(p["out"][:, h:]), hs[:0:-1, 1])
-        em += p["ob"]
-        return em, (x, waits, hs, cs, gates) if keep else None
+        gates[:, :, : 3 * h] *= 0.5
+        return em, (x, waits, hs, cs, gates)
 
     def grad(self, d_em: np.ndarray, kept) -> dict[str, np.ndarray]:
         """d_em (time, tags, window), zero beyond each window's end."""
@@ -225,7 +234,9 @@ class Net:
         wh = np.stack([np.einsum("ign,ihn->gh", dz[:, d], hs[:-1, d], optimize=True) for d in (0, 1)])
         rows = [dz[:, d].transpose(1, 0, 2).reshape(4 * h, -1) for d in (0, 1)]
         every = np.stack([[np.bincount((x, x[::-1])[d].ravel(), r, ALPHABET) for r in rows[d]] for d in (0, 1)])
-        return {"in": every, "wh": wh, "out": out, "ob": d_em.sum((0, 2))[:, None]}
+        emb = np.einsum("dge,dga->ea", p["wx"], every)
+        emb[-1] = 0
+        return {"emb": emb, "wx": np.matmul(every, p["emb"].T), "wh": wh, "out": out, "ob": d_em.sum((0, 2))[:, None]}
 
     def crf(self, em: np.ndarray, gold: np.ndarray, lens: np.ndarray):
         """Mean negative log likelihood of gold (time, window); gradients of emissions and transitions.

@@ -365,7 +365,7 @@ def test_pii_gradient_is_the_slope(monkeypatch):
     em, kept = net.run(x, lens, keep=True)
     _, d_em, d_tr = net.crf(em.astype(float), gold, lens)
     g = net.grad(d_em, kept) | {"tr": d_tr}
-    for name, at in (("wh", (1, 2, 9)), ("wh", (0, 40, 3)), ("out", (1, 4)), ("out", (2, 20)), ("in", (0, 3, int(x[0, 0]))), ("in", (1, 60, int(x[2, 1]))), ("tr", (1, 2)), ("tr", (0, 0))):
+    for name, at in (("wh", (1, 2, 9)), ("wh", (0, 40, 3)), ("out", (1, 4)), ("out", (2, 20)), ("emb", (3, int(x[0, 0]))), ("wx", (0, 3, 5)), ("wx", (1, 60, 8)), ("tr", (1, 2)), ("tr", (0, 0))):
         old = net.p[name][at]
         values = []
         for step in (1e-2, -1e-2):
