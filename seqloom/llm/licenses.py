@@ -106,9 +106,8 @@ def longest_plain(canonical: int) -> int:
 def known_digests(spark: SparkSession, known=ALL) -> DataFrame:
     """(license, canonical, digest) of the known texts."""
     table = spark.createDataFrame(list(known), "license string, text string")
-    return table.select("license", respelt(plain(F.col("text"))).alias("canonical")).select(
-        "license", "canonical", F.sha2("canonical", 256).alias("digest")
-    ).dropDuplicates(["digest"])
+    canonical = table.select("license", respelt(plain(F.col("text"))).alias("canonical"))
+    return canonical.groupBy("canonical").agg(F.min("license").alias("license")).withColumn("digest", F.sha2("canonical", 256))
 
 
 def license_scan(docs: DataFrame, known=ALL) -> DataFrame:
@@ -151,23 +150,26 @@ def _sql_text(text: str) -> str:
 
 
 def oracle() -> str:
+    """The whole list and the rule for copyright lines, line by line (DuckDB's patterns have no look-ahead)."""
+    year = r"(19|20)[0-9][0-9]([^0-9]|$)"
+    line = rf"^[^\p{{L}}\p{{N}}]*(copyright[^\p{{L}}\p{{N}}]*({_SIGN}|([\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]+){{0,4}}{year})|{_SIGN}[^\p{{L}}\p{{N}}]*{year})"
+
     def canon(column: str) -> str:
-        # DuckDB's patterns have no (?m) anchors across versions alike; lines are cleaned one by one
         lower = f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
-        kept = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]*(copyright|\\(c\\)|©)')), ' ')"
+        kept = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: NOT regexp_matches(x, '{line}')), ' ')"
         text = f"trim(regexp_replace({kept}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for word, other in SPELLINGS.items():
             text = f"regexp_replace({text}, '\\b{word}\\b', '{other}', 'g')"
         return text
 
-    values = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in KNOWN)
+    values = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in ALL)
     return f"""
 WITH known AS (SELECT min(license) AS license, c FROM (SELECT license, {canon('text')} AS c FROM (VALUES {values}) AS k(license, text)) GROUP BY c),
 units AS (
   SELECT doc_id, true AS whole, text AS unit FROM documents
   UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents),
-short AS (SELECT doc_id, whole, {canon('unit')} AS c FROM units WHERE length(unit) < 20000),
-hits AS (SELECT doc_id, whole, license FROM short JOIN known USING (c) WHERE c <> ''),
+every AS (SELECT doc_id, whole, {canon('unit')} AS c FROM units),
+hits AS (SELECT doc_id, whole, license FROM every JOIN known USING (c) WHERE c <> ''),
 found AS (
   SELECT doc_id, min(license) FILTER (WHERE whole) AS license,
          coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole), '') AS line_licenses,
