@@ -51,26 +51,29 @@ def contains_join(
 
 
 def assign_midpoint(
-    items: DataFrame, windows: DataFrame, key: Sequence[str], item: str, mid: Column, start: str, end: str, ordinal: str
+    items: DataFrame, windows: DataFrame, key: Sequence[str], item: str, mid: Column, start: str, end: str, ordinal: str, width: float
 ) -> DataFrame:
     """Each item's window: the first (by ``ordinal``) that holds its midpoint in closed bounds,
-    otherwise the one of the nearest centre, the earliest on ties. Windows of a key are few
-    (verses of a recording), so they travel as one array beside its items.
+    otherwise the one of the nearest centre, the earliest on ties; items of a key without windows
+    go. ``item`` tells the rows of a key apart.
+
+    Windows that hold a midpoint are found by bins of ``width``, the nearest centres by one walk
+    over centres and midpoints in order, so neither side of a key is gathered.
     """
-    w = windows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(ordinal, start, end))).alias("_w"))
-    j = items.withColumn("_m", mid).join(w, list(key))
-    scored = F.transform(
-        "_w",
-        lambda x: F.struct(
-            F.when((F.col("_m") >= x[start]) & (F.col("_m") <= x[end]), 0).otherwise(1).alias("miss"),
-            F.when((F.col("_m") >= x[start]) & (F.col("_m") <= x[end]), 0.0).otherwise(F.abs(F.col("_m") - (x[start] + x[end]) / 2)).alias("far"),
-            x[ordinal].alias("ordinal"),
-        ),
-    )
-    best = F.array_min(scored)
-    return j.withColumn("_best", best).select(
-        *items.columns, F.col("_best.ordinal").alias("window"), (F.col("_best.miss") == 0).alias("inside")
-    )
+    w = windows.select(*key, F.col(ordinal).alias("_o"), F.col(start).alias("_a"), F.col(end).alias("_b"))
+    m = items.withColumn("_m", mid)
+    inside = contains_join(m.select(*key, item, "_m"), w, key, "_m", "_a", "_b", width).groupBy(*key, item).agg(F.min("_o").alias("_in"))
+    centre = (F.col("_a") + F.col("_b")) / 2
+    centres = w.select(*key, centre.cast("double").alias("_at"), F.lit(0).alias("_k"), F.struct(centre.alias("c"), F.col("_o").alias("o")).alias("_w"))
+    walk = m.select("*", F.col("_m").cast("double").alias("_at"), F.lit(1).alias("_k")).unionByName(centres, allowMissingColumns=True)
+    # of equal centres the earliest is the last before an item, and the first after one
+    back = Window.partitionBy(*key).orderBy("_at", "_k", F.desc("_w.o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*key).orderBy("_at", F.desc("_k"), "_w.o").rowsBetween(1, Window.unboundedFollowing)
+    near = walk.withColumns({"_p": F.last("_w", ignorenulls=True).over(back), "_n": F.first("_w", ignorenulls=True).over(ahead)}).where("_k = 1")
+    far = lambda c: F.struct(F.abs(F.col("_m") - F.col(f"{c}.c")).alias("d"), F.col(f"{c}.o").alias("o"))
+    best = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), far(c)) for c in ("_p", "_n")])))
+    j = near.withColumn("_best", best["o"]).where("_best IS NOT NULL").join(inside, [*key, item], "left")
+    return j.select(*items.columns, F.coalesce("_in", "_best").alias("window"), F.col("_in").isNotNull().alias("inside"))
 
 
 def complement(df: DataFrame, key: Sequence[str], start: str, end: str, order: Sequence[str], total: Column | None = None) -> DataFrame:

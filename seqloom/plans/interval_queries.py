@@ -53,7 +53,7 @@ def containment(spark, d):
 def midpoint_assign_nearest(spark, d):
     """Each event's working day: the one that holds its midpoint, else the nearest centre."""
     s = _spans(spark, d)
-    a = intervals.assign_midpoint(s, _windows(spark, d), KEY, "event_id", (F.col("t0") + F.col("t1")) / 2, "w0", "w1", "ordinal")
+    a = intervals.assign_midpoint(s, _windows(spark, d), KEY, "event_id", (F.col("t0") + F.col("t1")) / 2, "w0", "w1", "ordinal", DAY)
     return a.select("user_id", "event_id", F.col("window").alias("window_ordinal"), "inside")
 
 

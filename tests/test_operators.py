@@ -105,7 +105,7 @@ def test_complement_covers_the_axis(spark):
 def test_midpoint_ties_and_nearest(spark):
     w = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0), (1, 2, 40.0, 50.0)], "k int, ordinal int, a double, b double")
     items = spark.createDataFrame([(1, 1, 10.0), (1, 2, 30.0), (1, 3, 90.0)], "k int, item int, m double")
-    got = intervals.assign_midpoint(items, w, ["k"], "item", F.col("m"), "a", "b", "ordinal").orderBy("item").collect()
+    got = intervals.assign_midpoint(items, w, ["k"], "item", F.col("m"), "a", "b", "ordinal", 10.0).orderBy("item").collect()
     assert [(r.window, r.inside) for r in got] == [(0, True), (1, False), (2, False)]  # first window wins; 30 is as far from both
 
 
