@@ -146,6 +146,21 @@ def rebase(items: DataFrame, segments: DataFrame, on: Sequence[str], columns: Se
     return j.withColumns({c: F.col(c) - F.col(padding) + F.col(offset) for c in columns})
 
 
+def with_adaptive_limit(df: DataFrame, key: Sequence[str], value: str, tie: str, share: int = 10, factor: float = 1.5, least: float = 100.0) -> DataFrame:
+    """``limit``: ``factor`` times the nearest-rank 1/``share`` quantile of the key's values, at least ``least``."""
+    w = Window.partitionBy(*key)
+    rows = df.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(value, tie)) - 1})
+    low = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / share), F.col(value))).over(w)
+    return rows.withColumn("limit", F.greatest(low * factor, F.lit(least))).drop("_n", "_r")
+
+
+def adjacent_correlation(df: DataFrame, key: Sequence[str], block: str, place: str, value: str) -> DataFrame:
+    """key, block, r: correlation of each block's values with the next block's, place by place; 0 where it is undefined."""
+    after = df.select(*key, (F.col(block) - 1).alias(block), place, F.col(value).alias("_next"))
+    g = df.join(after, [*key, block, place]).groupBy(*key, block).agg(F.corr(value, "_next").alias("_r"), F.count("*").alias("_n"))
+    return g.select(*key, block, F.when(F.col("_n") < 2, 0.0).otherwise(F.coalesce("_r", F.lit(0.0))).alias("r"))
+
+
 def moving_mean(value: str, key: Sequence[str], order: Sequence[str | Column], before: int, after: int) -> Column:
     return F.avg(value).over(ordered(key, order).rowsBetween(-before, after))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import signal
 from ..operators import assess, repair, rules, severity
 from ..sources import corpus, rule_files, textgrid
+from . import recitation
 
 RATE = signal.RATE
 
@@ -296,10 +297,35 @@ def unit_pool(spark, d):
     return spark.createDataFrame(rows, _PHONES).where(assess.eligible_for_unit()).select("pos", "duration_ms")
 
 
+_ALL = recitation.Config(find_restarts=True, flag_repetitions=True, recover_segments=True, trim_finals=True, pair_geminates=True, grade_confidence=True)
+
+
+def preprocessed(spark, d):
+    """Start of the last attempt, length and number of repeated phrases of each recording, with every step on and off."""
+    f = _files(spark).where(F.col("file_id").isin("restart", "repeat", "pauses"))
+    both = [recitation.preprocess(f, c).withColumn("steps", F.lit(n)) for n, c in (("all", _ALL), ("none", recitation.Config()))]
+    return both[0].unionByName(both[1]).select("file_id", "steps", "from_ms", "length_ms", F.size("repeated").cast("bigint").alias("n_repeated"))
+
+
+def segmented(spark, d):
+    """A recording of three verses cut at its two pauses, and one whose second attempt alone counts."""
+    f = _files(spark).where(F.col("file_id").isin("restart", "pauses"))
+    want = spark.createDataFrame([("pauses", 1, 1000.0), ("pauses", 2, 1500.0), ("pauses", 3, 1300.0), ("restart", 1, 1500.0)], "file_id string, verse int, length double")
+    return recitation.segment(f, recitation.preprocess(f, _ALL), want, _ALL)
+
+
+def postprocessed(spark, d):
+    """A long last sound trimmed, a pair of equal sounds, and confidence lowered beside a failed one."""
+    rows = [("a", 90.0, "high"), ("n", 60.0, "high"), ("n", 70.0, "high"), ("i", 30.2, "high"), ("b", 80.0, "failed"), ("u", 95.0, "high"), ("m", 900.0, "high")]
+    s = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "verse int, pos int, symbol string, duration_ms double, confidence string")
+    p = recitation.postprocess(s, ["verse"], _ALL)
+    return p.select("pos", "symbol", F.round("trimmed", 2).alias("trimmed"), "pair", "pair_total", "confidence")
+
+
 QUERIES = {f.__name__: f for f in (
     nasal_stretches, echoes, voice_activity, restarts, repeated_phrases, silent_boundaries, segment_files, audio_files, textgrid_round_trip, phones_in_words,
     aligned_round_trip, corpus_scan, dictionary_lines, rule_file_scan, recovered_segments, allocated_words, long_vowels, nasal_sounds, echoed_sounds, timbre,
-    frame_votes, unit_pool,
+    frame_votes, unit_pool, preprocessed, segmented, postprocessed,
 )}
 
 
@@ -329,6 +355,10 @@ ORACLES = {
     "dictionary_lines": rows("value", "'v' || chr(9) || 'c'", "'w' || chr(9) || 'a'", "'w' || chr(9) || 'a b'", "'missing q'"),
     "rule_file_scan": rows("pos, symbol, rule, category, priority, n_problems", "0, 'a', 'one', 'madd', 5, 1", "1, 'a', NULL, NULL, NULL, NULL") + " WHERE rule IS NOT NULL",
     "recovered_segments": rows('file_id, ordinal, start, "end", confidence', "'a', 1, 0.0::DOUBLE, 9.0::DOUBLE, 'recovered'", "'a', 2, 9.0, 15.0, 'recovered'", "'a', 3, 15.0, 30.0, 'recovered'", "'a', 4, 30.0, 31.0, 'low'", "'b', 1, 0.0, 5.0, 'high'"),
+    "preprocessed": rows("file_id, steps, from_ms, length_ms, n_repeated", "'restart', 'all', 3600, 5100, 0", "'restart', 'none', 0, 5100, 0", "'repeat', 'all', 0, 2400, 1", "'repeat', 'none', 0, 2400, 0", "'pauses', 'all', 0, 4050, 0", "'pauses', 'none', 0, 4050, 0"),
+    "segmented": rows('file_id, ordinal, start, "end", confidence', "'pauses', 1, 0.0::DOUBLE, 1125.0::DOUBLE, 'high'", "'pauses', 2, 1125.0, 2700.0, 'high'", "'pauses', 3, 2700.0, 4050.0, 'high'", "'restart', 1, 3600.0, 5100.0, 'high'"),
+    "postprocessed": rows("pos, symbol, trimmed, pair, pair_total, confidence", "0, 'a', NULL::DOUBLE, NULL, NULL::DOUBLE, 'high'", "1, 'n', NULL, 'first', 130.0, 'high'", "2, 'n', NULL, 'second', 130.0, 'high'", "3, 'i', NULL, NULL, NULL, 'low'", "4, 'b', NULL, NULL, NULL, 'failed'",
+        "5, 'u', NULL, NULL, NULL, 'low'", "6, 'm', 70.87, NULL, NULL, 'low'"),
     "frame_votes": rows("k, vote", "0, 'b'", "1, 'a'", "2, NULL", "3, 'c'"),
     "unit_pool": rows("pos, duration_ms", "0, 90.0::DOUBLE", "6, 30.0"),
     "echoed_sounds": rows("pos, rule, status, echo, severity", "0, 'qalqalah_major', 'assessed', 'absent', 'major'", "1, 'qalqalah_major', 'assessed', 'weak', 'minor'", "2, 'qalqalah_major', 'assessed', 'present', NULL", "3, 'qalqalah_minor', 'assessed', 'absent', 'minor'",

@@ -158,14 +158,7 @@ def top_n_then_time(spark, d):
 
 def adaptive_threshold(spark, d):
     """Runs below a threshold of the user's own: 1.5 x nearest-rank p10, at least 5."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    p = positions(spark, d).withColumns(
-        {"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("value", "event_id")) - 1}
-    )
-    low = F.max(F.when(F.col("rank") == F.floor(F.col("n") / 10), F.col("value"))).over(w)
-    p = p.withColumn("limit", F.greatest(low * 1.5, F.lit(5.0)))
+    p = intervals.with_adaptive_limit(positions(spark, d), KEY, "value", "event_id", least=5.0)
     r = intervals.runs(p, KEY, ORDER, F.col("value") < F.col("limit"))
     return r.groupBy("user_id").agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"))
 
@@ -199,9 +192,7 @@ def sustained_rise(spark, d):
 def adjacent_corr(spark, d):
     """Correlation of consecutive blocks of eight values; undefined ones are 0."""
     p = positions(spark, d).select("user_id", F.floor(F.col("pos") / 8).alias("block"), (F.col("pos") % 8).alias("k"), "value")
-    nxt = p.select("user_id", (F.col("block") - 1).alias("block"), "k", F.col("value").alias("other"))
-    j = p.join(nxt, ["user_id", "block", "k"]).groupBy("user_id", "block").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n"))
-    return j.select("user_id", "block", F.round(F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("r", F.lit(0.0))), 4).alias("r"))
+    return intervals.adjacent_correlation(p, KEY, "block", "k", "value").withColumn("r", F.round("r", 4))
 
 
 def session_gaps(spark, d):
