@@ -58,6 +58,8 @@ LEAF = 128
 FULL = 255
 #: Coordinates of a box, and slabs of a node and tiles of a slab at most.
 COARSE, TILES = 16, 16
+#: Buckets of cells at most, and so rows that a batch of documents sends.
+BUCKETS = 1 << 14
 #: Bits of a cell beyond the logarithm of the input's size.
 SPARE = 12
 #: Bytes of text hashed at once.
@@ -470,7 +472,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     # 2. cells that more than one representative has
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // 32_000_000) + 1)
+    buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // 32_000_000) + 1))
     reps = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells"))
     packed = reps.select("rep", "cells").mapInArrow(tidy(_deal(buckets, bits)), PACKED)
     shared = cut(packed.groupBy("bucket").applyInPandas(_meet, "cell bigint, doc bigint"))
