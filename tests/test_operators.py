@@ -14,7 +14,7 @@ from seqloom.functions import signal
 from seqloom.functions import text as T
 from seqloom.operators import align, assess, calibrate, context, evaluate, intervals, repair, rules, scoring, severity
 from seqloom.plans import phonology
-from seqloom.sources import corpus, rule_files, textgrid
+from seqloom.sources import corpus, inventory, rule_files, textgrid
 
 
 def seq(spark, symbols, key=1):
@@ -344,6 +344,18 @@ def test_rule_files(tmp_path):
     assert got == [rules.Rule("one", ("a", "b"), priority=5, not_next=("m", "b"), conditions={"x": True})] and len(problems) == 1
 
 
+def test_inventory_files(spark, tmp_path):
+    f = tmp_path / "sounds.yaml"
+    f.write_text("consonants:\n- {symbol: b, features: {manner: stop}}\nvowels:\n- {symbol: a, formants: {f1: 700, f2: 1200}}\n")
+    g = tmp_path / "more.yaml"
+    g.write_text("consonants:\n- {symbol: b, features: {manner: nasal}}\n")
+    got = {r.symbol: r for r in inventory.read_sounds(spark, f, g).collect()}
+    assert got["b"].manner == "nasal" and got["a"].f2 == 1200.0 and got["a"].f3 is None and len(got) == 2
+    assert inventory.read_defaults(tmp_path / "none.yaml") == {} and inventory.setting({"a": {"b": 0}}, "a.b", 5) == 0
+    f.write_text("consonant_mappings: {x: y, z: {no: 1}}")
+    assert inventory.read_spelling(f) == {"x": "y"}
+
+
 # --- signals --------------------------------------------------------------------
 
 
@@ -456,3 +468,13 @@ def test_repairs_over_recordings(spark):
     assert [(r.start, r.end, r.confidence) for r in repair.recover_segments(seg, want).collect()] == [(0.0, 9.0, "recovered")]
     assert repair.split_long([(0.0, 30.0, "high"), (30.0, 31.0, "low")], [8.0], 2.0, [10.0, 40.0]) == [(0.0, 10.0, "recovered"), (10.0, 30.0, "recovered"), (30.0, 31.0, "low")]
     assert repair.split_long([(0.0, 30.0, "high")], [8.0], 2.0, []) == [(0.0, 30.0, "high")] and repair.split_long([(0.0, 30.0, "high")], [], 2.0, [5.0]) == [(0.0, 30.0, "high")]
+
+
+def test_calibration_of_any_size_equals_arrays(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v), kind) for k in range(12) for kind in "sm" for v in rng.uniform(20, 500, int(rng.integers(0, 12)))]
+    rows += [(99, 70.0, "s"), (98, 10.0, "m")]
+    df = spark.createDataFrame(rows, "k int, v double, kind string")
+    cols = ["k", "unit_ms", "short_median_ms", "long_median_ms", "n_short", "n_long", "is_default", "tolerance"]
+    one, two = (f(df, ["k"], "v", F.col("kind") == "s", F.col("kind") == "m").select(*cols).orderBy("k").collect() for f in (calibrate.calibrate, calibrate.calibrate_any_size))
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
