@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -41,19 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, settle: float = 0.0) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     Spark removes the shuffle files of a finished job when nothing refers to its plan any more,
     which it learns from garbage collection alone; so the driver's references go at once and
-    the files do not pile up from step to step.
+    the files do not pile up from step to step. The events of the job refer to its plan until
+    Spark's listeners have seen them: after a large shuffle, ``settle`` seconds are waited and
+    the rest is collected then, otherwise at the next cut.
     """
     session = df.sparkSession
     shared_dir(session)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
+    for pause in (0.0, settle) if settle else (0.0,):
+        time.sleep(pause)
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
     return out
 
 

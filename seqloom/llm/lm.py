@@ -382,7 +382,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc, F.lit(False)).alias("held"),
     ).mapInArrow(tidy(_blocks(BLOCK)), BLOCKS))
     asked = blocks.mapInArrow(tidy(_request(buckets, bits)), REQUESTS)
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS))
+    answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS), settle=3.0)  # the requests are three times the answers
     del asked
     bins = [
         tuple(r)
