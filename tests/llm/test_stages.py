@@ -222,3 +222,55 @@ def test_mixing_spreads_rows_without_ids(spark, monkeypatch):
     got = mixing.mix_report(docs(spark, rows)).collect()
     assert len(got) == 240 and all(0 <= r.taken <= 2 * r.size for r in got)
     assert abs(sum(r.taken for r in got) - got[0].target) <= 20
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes beside short ones, for the operators that read texts."""
+    from seqloom.llm import jaccard, lm
+
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    table = docs(spark, [(1, long + " " + item + " end", "a"), (2, "short text here", "a"), (3, long + " " + item + " end of it", "b")])
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    c = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contamination_report(table, bench).collect()}
+    assert c == {1: (300_011, 10), 2: (3, 0), 3: (300_013, 10)}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(table).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_tokens for r in lm.lm_scores(table).collect()} == {1: 300_012, 2: 4, 3: 300_014}
+    assert {r.doc_id: r.size for r in mixing.mix_report(table).collect()} == {1: 300_011, 2: 3, 3: 300_013}
+    model = (np.zeros(1 << toxicity.BITS, np.float32), 0.0)
+    assert all(r.score == 0.5 for r in toxicity.score(table, model).collect())
+    enc = separators.load_encoding()
+    assert {r.doc_id: r.n_tokens for r in separators.token_count_report(table).collect()} == {r.doc_id: len(enc.encode_ordinary(r.text)) for r in table.collect()}
+
+
+def test_empty_tables(spark):
+    empty = docs(spark, [])
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert decontaminate.contamination_report(empty, bench).count() == 0 and decontaminate.drop_contaminated(empty, bench).count() == 0
+    assert toxicity.toxicity_report(empty, labels).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, folder, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "fit", lambda d: {k: np.zeros_like(v) for k, v in pii.Net().p.items()})
+    table = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    for c in ("_r", "b", "none", "hash", "component_id", "hits", "items", "score", "block", "held", "copies", "_key"):
+        table = table.withColumn(c, F.lit("x"))
+    table = table.cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table, folder).columns == table.columns, name
+        assert stage(spark, table, folder).count() > 0
+    mixed = corpus_pipeline.mixed(spark, table, folder)
+    assert mixed.columns.count("copies") == 1 and mixed.count() > 0
+
+
+def test_labels_repeat(spark, monkeypatch):
+    """A repeated label counts as often as it occurs."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((texts, y)))
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    toxicity.fit(docs(spark, [(1, "one", "a")]), labels)
+    assert seen[-1] == ([b"one"] * 3, [0, 1, 1])
