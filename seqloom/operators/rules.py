@@ -61,10 +61,8 @@ def predicates(rule: Rule, symbol: str, prev: str, next: str, strict: bool = Fal
     return parts
 
 
-def match(
-    positions: DataFrame, rules: Sequence[Rule], symbol: str = "symbol", prev: str = "symbol_p1", next: str = "symbol_n1", strict: bool = False
-) -> DataFrame:
-    """A row for each (position, rule) that matches: rule, category, priority, rule_order and all columns."""
+def hits(rules: Sequence[Rule], symbol: str = "symbol", prev: str = "symbol_p1", next: str = "symbol_n1", strict: bool = False) -> Column:
+    """Array of (rule, category, priority, rule_order) of the rules that match at a position, by priority."""
     found = [
         F.when(
             _all(list(predicates(r, symbol, prev, next, strict).values())),
@@ -72,8 +70,14 @@ def match(
         )
         for i, r in enumerate(by_priority(rules))
     ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return positions.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def match(
+    positions: DataFrame, rules: Sequence[Rule], symbol: str = "symbol", prev: str = "symbol_p1", next: str = "symbol_n1", strict: bool = False
+) -> DataFrame:
+    """A row for each (position, rule) that matches: rule, category, priority, rule_order and all columns."""
+    return positions.withColumn("_hit", F.explode(hits(rules, symbol, prev, next, strict))).select("*", "_hit.*").drop("_hit")
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:

@@ -259,13 +259,13 @@ COUNT_MS, WORD_FINAL, VERSE_FINAL = 200.0, 1.3, 1.5
 
 
 def apply_rules(sounds: DataFrame) -> DataFrame:
-    """chapter, verse, pos, rule: scanned matches, injected specs, and the general rule suppressed."""
-    context = with_context(sounds)
-    at = [*VERSE, "pos"]
-    found = rules.match(context, RULES, "symbol", "s_1", "s1").select(*at, "rule")
-    injected = context.where("spec IS NOT NULL").select(*at, F.col("spec").alias("rule"))
-    every = found.unionByName(injected).distinct()
-    return rules.suppress_in_place(every, at, "madd_tabii", OVER_PLAIN)
+    """chapter, verse, pos, rule: scanned matches, injected specs, and the general rule suppressed; a projection of each position."""
+    scanned = F.transform(rules.hits(RULES, "symbol", "s_1", "s1"), lambda h: h["rule"])
+    injected = F.when(F.col("spec").isNotNull(), F.array("spec")).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(scanned, injected))
+    over = F.arrays_overlap(F.col("_rules"), F.array(*[F.lit(r) for r in OVER_PLAIN]))
+    kept = F.when(over, F.array_remove("_rules", "madd_tabii")).otherwise(F.col("_rules"))
+    return with_context(sounds).withColumn("_rules", every).select(*VERSE, "pos", F.explode(kept).alias("rule"))
 
 
 def expected_durations(sounds: DataFrame, apps: DataFrame) -> DataFrame:
