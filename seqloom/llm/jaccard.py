@@ -18,9 +18,11 @@ unlike documents prune nothing, so points are first dealt to many trees:
    at most k groups of a set can differ from a partner's, its k + 1 rarest cells hold a common
    one (the same order everywhere: number of documents, then hash), and the others are left
    out; cells of one document alone come first and need no row.
-3. First probe. In each tree the smallest doc_id is held against every point, bounded by
-   coordinate minima and verified. Copies of one text become one component without meeting
-   pairwise.
+3. First probe. In each tree one point is held against every other, bounded by coordinate minima
+   and verified: the one with the fewest groups of its own, as a text has that others were made
+   from. Copies of one text become one component without meeting pairwise. While trees hold more
+   pairs of components than points, another point of each is held against the points of other
+   components: a dense group becomes one component in a few such turns.
 4. Trees that still hold several components are bulk-loaded by sort-tile packing: a node for
    each band of sizes (a link spans the width of a band), below it slabs by one coordinate
    and tiles by another, cut into leaves of about ``LEAF`` points. Cuts are the quantiles that
@@ -58,6 +60,8 @@ LEAF = 128
 FULL = 255
 #: Coordinates of a box, and slabs of a node and tiles of a slab at most.
 COARSE, TILES = 16, 16
+#: Probes of a tree after the first, at most.
+PROBES = 6
 #: Buckets of cells at most, and so rows that a batch of documents sends.
 BUCKETS = 1 << 14
 #: Bits of a cell beyond the logarithm of the input's size.
@@ -433,9 +437,9 @@ def leaf_pairs(leaves: DataFrame) -> DataFrame:
 
 
 def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cell, doc) of the cells among each set's k + 1 rarest, where two documents still meet.
+    """(cell, doc, alone) of the cells among each set's k + 1 rarest, where two documents still meet.
 
-    A set has c0 and c1 cells of its two classes; those it shares with nobody are the rarest.
+    A set has c0 and c1 cells of its two classes; those it shares with nobody, ``alone`` of them, are the rarest.
     """
     sizes = sets.groupBy(F.col("doc_id").alias("doc")).agg(
         F.max("n").alias("n"), F.max("c0").alias("c0"), F.max("c1").alias("c1"),
@@ -447,7 +451,8 @@ def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
     alone = F.greatest(F.when(F.col("odd") == 1, F.col("c1")).otherwise(F.col("c0")) - F.col("mine"), F.lit(0))
     differ = F.floor(F.col("n") * (DEN - NUM) / NUM)
     # rows of one doc_id with several sets keep all cells: their ranks are of both together
-    kept = cut(ranked.where((F.col("rank") <= differ + 1 - alone) | F.col("several")).select("cell", "doc"))
+    ranked = ranked.withColumn("alone", alone)
+    kept = cut(ranked.where((F.col("rank") <= differ + 1 - F.col("alone")) | F.col("several")).select("cell", "doc", "alone"))
     met = kept.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell")
     return kept.join(met, "cell", "left_semi")
 
@@ -483,15 +488,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("doc"), "n", "counts", "coarse")
     )
 
-    # 3. first links: each document with the smallest one of its cells
-    hubs = shared.groupBy("cell").agg(F.min("doc").alias("hub"))
+    # 3. first links: each document with the most common one of its cells
+    hubs = shared.groupBy("cell").agg(F.min(F.struct("alone", "doc"))["doc"].alias("hub"))
     first = shared.join(hubs, "cell").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     edges = cut(links(_with_texts(within_bound(first, points), texts)).unionByName(ties))
     comps = cut(components(edges))
 
+    # more probes, while trees hold so many components that pairs of them outnumber the points
+    turn = 0
+
+    def in_trees():
+        placed = shared.join(comps, "doc", "left").select("cell", "doc", F.coalesce("comp", "doc").alias("comp"))
+        trees = placed.groupBy("cell").agg(F.countDistinct("comp").alias("n"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "comp")).alias("hub"))
+        return placed, trees.where("n > 1").select("cell", "n", "m", F.col("hub.doc").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+
+    for turn in range(PROBES):
+        placed, mixed = in_trees()
+        mixed = cut(mixed)
+        pairs, many = mixed.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("m")).first()
+        if (pairs or 0) <= (many or 0):
+            break
+        again = placed.join(mixed, "cell").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+        found = cut(links(_with_texts(within_bound(again, points), texts)))
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+        comps = cut(components(edges))
+
     # 4. trees of several components, joined with themselves from the top
-    placed = shared.join(comps, "doc", "left").select("cell", "doc", F.coalesce("comp", "doc").alias("comp"))
-    mixed = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    placed, mixed = in_trees()
     leaves = tree_leaves(placed.join(mixed.select("cell", "m"), "cell").join(points, "doc"))
     pairs = leaf_pairs(leaves).mapInPandas(tidy(_leaf_pairs), "a bigint, b bigint").distinct()
 
