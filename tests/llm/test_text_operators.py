@@ -528,6 +528,22 @@ def test_tree_finds_every_pair_within_the_bound(spark, monkeypatch):
     assert got == want and want
 
 
+def test_jaccard_dense_group_without_an_original(spark):
+    """Copies of a text that is not there, some linked and some not, beside texts that share a passage with them."""
+    rng = np.random.default_rng(12)
+    base = [f"t{i}" for i in range(600)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for i in rng.choice(600, 3 + k % 6, replace=False):
+            w[i] = f"e{k}x{i}"
+        rows.append((1000 - k, " ".join(w)))
+    rows += [(k, " ".join(base[:200] + [f"o{k}y{i}" for i in range(30)])) for k in range(20)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows)).collect())
+    want = plain_components(rows)
+    assert got == want and 2 < len({c for _, _, c in want}) < 100
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard.jaccard_components(docs(spark, [(None, "a b c d e"), (3, "a b c d e"), (2, "A b c d e")])).collect()
