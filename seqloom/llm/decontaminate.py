@@ -151,18 +151,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
             scanner = Scanner(shard.value, size)
             for batch in batches:
-                hits, items = [], []
+                hits, items, n_words = [], [], []
                 before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist())
                 for data, (had, owners) in zip(as_bytes(batch.column("text")), before):
-                    found = scanner.hits(line_of(data))
+                    line = line_of(data)
+                    n_words.append(max(0, line.count(" ") - 1))
+                    found = scanner.hits(line)
                     spans = [(h["a"], h["b"]) for h in had] + [(a, b) for a, b, _ in found]
                     hits.append([{"a": a, "b": b} for a, b in merged(spans)])
                     items.append(sorted(set(owners).union(*(x for _, _, x in found))))
                 columns = [
-                    batch.column("doc_id"), batch.column("text"),
+                    batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()),
                     pa.array(hits, batch.schema.field("hits").type), pa.array(items, batch.schema.field("items").type),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "hits", "items"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "hits", "items"])
 
         return scan
 
@@ -170,21 +172,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         import pyarrow as pa
 
         for batch in batches:
-            n_words, n_hit, spans = [], [], []
+            n_hit, spans = [], []
             for data, hits in zip(as_bytes(batch.column("text")), batch.column("hits").to_pylist()):
-                n_words.append(max(0, line_of(data).count(" ") - 1))
                 n_hit.append(sum(h["b"] - h["a"] for h in hits))
                 places = [m.span() for m in _WORD.finditer(data.translate(LOWER).decode())] if hits else []
                 spans.append([{"start": places[h["a"]][0], "end": places[h["b"] - 1][1]} for h in hits])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, kind)],
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, kind)],
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
     texts = docs.select(
         F.col("doc_id").cast("bigint"), F.col("text").cast("string"),
-        F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"),
+        F.lit(0).cast("bigint").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"),
     )
     return passes(texts, benchmark, step).mapInArrow(tidy(finish), SCHEMA)
 
