@@ -34,9 +34,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     numbered = rows.select(F.col("_row").alias("doc_id"), "text")
     found = jaccard.jaccard_components(numbered).where("component_id IS NOT NULL")
     order = rows.select(F.col("_row").alias("_r"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
-    ranked = order.join(found.select(F.col("doc_id").alias("_f"), "component_id"), F.col("_r") == F.col("_f"))
-    best = common.cut(ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "hash", "_r")).alias("b")).select("b._r"))
-    return common.with_keys(rows, "_row", best).drop("_row")
+    ranked = common.cut(order.join(found.select(F.col("doc_id").alias("_f"), "component_id"), F.col("_r") == F.col("_f")).drop("_f"))
+    best = ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "hash", "_r"))["_r"].alias("_best"))
+    lost = common.cut(ranked.select("_r", "component_id").join(best, "component_id").where("_r <> _best").select("_r"))
+    return common.with_keys(rows, "_row", lost, "left_anti").drop("_row")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
