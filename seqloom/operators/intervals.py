@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from .context import ordered
 
 
+#: Bins that an interval may touch: beyond, the width is wrong for the data and the join says so.
+MOST_BINS = 100_000
+
+
 def _binned(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
     low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    return df.withColumn("_bin", F.explode(F.sequence(low, F.greatest(low, high))))
+    bins = F.sequence(low, F.greatest(low, high))
+    wrong = F.raise_error(F.lit(f"an interval from {start} to {end} touches more than {MOST_BINS} bins of {width}: a larger width is needed"))
+    return df.withColumn("_bin", F.explode(F.when(high - low > MOST_BINS, wrong.cast("array<bigint>")).otherwise(bins)))
 
 
 def overlap_join(
