@@ -197,8 +197,11 @@ READ = (
 )
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """One row a conversation, from formatted text, masks and ``repeated`` alone."""
+def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """One row a conversation, from formatted text, masks and ``repeated`` alone.
+
+    ``in_order``: the rows come straight from ``chat_windows``, conversations whole and windows in order.
+    """
     bounded_batches(windows.sparkSession)
 
     def run(batches) -> Iterator:
@@ -237,7 +240,9 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield batch_of([result(state)])
 
-    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(tidy(run), READ)
+    if not in_order:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return windows.mapInArrow(tidy(run), READ)
 
 
 def chat_report(conversations: DataFrame, spark: SparkSession) -> DataFrame:
@@ -246,5 +251,6 @@ def chat_report(conversations: DataFrame, spark: SparkSession) -> DataFrame:
     extra = spark.createDataFrame(
         [(-1, 0, "user", trial), (-1, 1, "assistant", trial)], "conv_id bigint, turn bigint, role string, text string"
     )
-    return read_back(chat_windows(conversations.select("conv_id", "turn", "role", "text").unionByName(extra)))
+    windows = chat_windows(conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
+    return read_back(windows, in_order=True)
 

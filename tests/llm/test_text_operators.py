@@ -224,6 +224,7 @@ def test_chat_windows_and_read_back(spark):
         if r.conv_id == 1:
             assert turns[0] == ("system", "be kind")
     got = {r.conv_id: r for r in chat.read_back(w).collect()}
+    assert sorted(map(str, got.values())) == sorted(map(str, chat.read_back(w, in_order=True).collect()))
     by = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0)):
         by[c].append((role or "", text or ""))
