@@ -36,7 +36,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     order = rows.select(F.col("_row").alias("_r"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
     ranked = common.cut(order.join(found.select(F.col("doc_id").alias("_f"), "component_id"), F.col("_r") == F.col("_f")).drop("_f"))
     best = ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "hash", "_r"))["_r"].alias("_best"))
-    lost = common.cut(ranked.select("_r", "component_id").join(best, "component_id").where("_r <> _best").select("_r"))
+    lost = common.cut(ranked.select("_r").join(best.select("_best"), F.col("_r") == F.col("_best"), "left_anti"))
     return common.with_keys(rows, "_row", lost, "left_anti").drop("_row")
 
 
