@@ -49,7 +49,7 @@ from .common import as_bytes, bounded_batches, cut, give_back, pack, tidy, unpac
 from .hashing import mix64, word_hashes
 
 FOLDS, HELD = 7, 2
-BLOCK = 6_000_000
+BLOCK = 12_000_000
 BUCKET, BUCKETS = 1_000_000, 1 << 14
 SPARE = 16
 NEW = 0.7
