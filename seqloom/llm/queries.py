@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, licenses, lm, mixing, pii, separators, topk, toxicity
+from . import chat, decontaminate, importance, infill, jaccard, licenses, lm, mixing, neighbours, pii, separators, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLES = {
@@ -69,4 +84,7 @@ ORACLES = {
     "op5_exact_topk": topk.ORACLE,
     "op7_ngram_jaccard": jaccard.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
+    "op13_nearest_neighbours": neighbours.ORACLE,
 }
