@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import acoustic_queries, fixture_queries, interval_queries, mark_queries, recorded_rows, report_queries, sequence_queries, text_queries
+from .plans import acoustic_queries, fixture_queries, interval_queries, long_queries, mark_queries, recorded_rows, report_queries, sequence_queries, text_queries
 
-MODULES = (sequence_queries, interval_queries, text_queries, mark_queries, acoustic_queries, report_queries, fixture_queries)
+MODULES = (sequence_queries, interval_queries, long_queries, text_queries, mark_queries, acoustic_queries, report_queries, fixture_queries)
 
 
 def queries() -> dict:

@@ -1,9 +1,12 @@
 """Interval algebra on (key, start, end) tables.
 
-Joins on overlap or containment are made equi-joins by time bins: each interval is
-repeated over the bins it touches, rows meet on (key, bin), and a pair is kept only in the
-bin where its common part starts, so it comes once. The bin width is a parameter; a width
-near the usual interval length keeps both repetition and candidate pairs low.
+Joins on overlap or containment are made equi-joins by cells of dyadic levels: cells of level l
+are ``width * 2 ** l`` long, and an interval lives on the level whose cells are just as long as
+itself or longer, so it touches one or two of them whatever its length. A pair meets on the level
+of its longer interval: the shorter one is repeated on the levels that the other side has (at
+most 64, usually a few), once or twice each. A pair is kept only in the cell where its common part
+starts, so it comes once. ``width`` is the length of the finest cells and need not fit the data: it
+saves levels where it is near the shortest intervals.
 """
 
 from __future__ import annotations
@@ -15,45 +18,76 @@ from pyspark.sql import functions as F
 
 from .context import ordered
 
+#: Levels beyond the finest at most.
+TOP = 63
 
-#: Bins that an interval may touch: beyond, the width is wrong for the data and the join says so.
-MOST_BINS = 100_000
 
+def _cell(at: Column, level: Column, width: float) -> Column:
+    return F.floor(at / (F.lit(float(width)) * F.pow(F.lit(2.0), level)))
 
-def _binned(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
-    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    bins = F.sequence(low, F.greatest(low, high))
-    wrong = F.raise_error(F.lit(f"an interval from {start} to {end} touches more than {MOST_BINS} bins of {width}: a larger width is needed"))
-    return df.withColumn("_bin", F.explode(F.when(high - low > MOST_BINS, wrong.cast("array<bigint>")).otherwise(bins)))
+
+def _levelled(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
+    """``_own``: the finest level of which the interval touches two cells at most. Rows without bounds go."""
+    length = F.greatest(end - start, F.lit(0)).cast("double")
+    level = F.least(F.greatest(F.ceil(F.log2(length / width)), F.lit(0)), F.lit(TOP))
+    level = F.when(length > width, level).otherwise(0).cast("int")
+    rows = df.where(start.isNotNull() & end.isNotNull()).withColumn("_own", level)
+    # rounding of logarithms
+    return rows.withColumn("_own", F.when(_cell(end, F.col("_own"), width) - _cell(start, F.col("_own"), width) > 1, F.col("_own") + 1).otherwise(F.col("_own")))
+
+
+def _celled(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
+    """A row for each cell of ``_level`` that the interval touches, one or two."""
+    low, high = _cell(start, F.col("_level"), width), _cell(F.greatest(start, end), F.col("_level"), width)
+    return df.withColumn("_cell", F.explode(F.array_distinct(F.array(low, high))))
+
+
+def _on_levels(df: DataFrame, levels: DataFrame, above: bool) -> DataFrame:
+    """Each row on the levels of the other side from its own on (``above``: beyond its own)."""
+    other = levels.select(F.col("_own").alias("_level")).distinct()  # at most TOP + 2 rows
+    fits = F.col("_level") > F.col("_own") if above else F.col("_level") >= F.col("_own")
+    return df.join(F.broadcast(other), fits)
 
 
 def overlap_join(
     left: DataFrame, right: DataFrame, key: Sequence[str], l_start: str, l_end: str, r_start: str, r_end: str, width: float,
-    more_than: float = 0.0, how: str = "inner",
+    more_than: float = 0.0, how: str = "inner", row: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of one key whose common length exceeds ``more_than``; ``how``: inner or left_semi.
 
-    Adds ``overlap`` to inner pairs.
+    Adds ``overlap`` to inner pairs. ``left_semi`` needs ``row``, columns that tell the left rows of
+    a key apart (rows equal in all of them are kept or go together); without them all columns of
+    ``left`` do.
     """
     if how == "left_semi":
-        tagged = left.withColumn("_id", F.monotonically_increasing_id())
-        hit = overlap_join(tagged.select(*key, l_start, l_end, "_id"), right, key, l_start, l_end, r_start, r_end, width, more_than)
-        return tagged.join(hit.select("_id").distinct(), "_id", "left_semi").drop("_id")
-    a, b = _binned(left, l_start, l_end, width), _binned(right, r_start, r_end, width)
-    low = F.greatest(F.col(l_start), F.col(r_start))
-    common = F.least(F.col(l_end), F.col(r_end)) - low
-    pairs = a.join(b, [*key, "_bin"]).where((common > more_than) & (F.floor(low / width) == F.col("_bin")))
-    return pairs.withColumn("overlap", common).drop("_bin")
+        same = [*key, *(row or [c for c in left.columns if c not in key])]
+        mine = left.select(*dict.fromkeys([*same, l_start, l_end]))
+        hit = overlap_join(mine, right.select(*key, r_start, r_end), key, l_start, l_end, r_start, r_end, width, more_than)
+        hit = hit.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(same))).distinct()
+        equal = [left[c].eqNullSafe(hit[f"_s{i}"]) for i, c in enumerate(same)]
+        return left.join(hit, equal, "left_semi")
+    ls, le, rs, re = (F.col(c) for c in (l_start, l_end, r_start, r_end))
+    a, b = _levelled(left, ls, le, width), _levelled(right, rs, re, width)
+    low = F.greatest(ls, rs)
+    common = F.least(le, re) - low
+    on = [*key, "_level", "_cell"]
+    a_own, b_own = (_celled(x.withColumn("_level", F.col("_own")), s, e, width).drop("_own") for x, s, e in ((a, ls, le), (b, rs, re)))
+    a_up = _celled(_on_levels(a, b, False), ls, le, width).drop("_own")
+    b_up = _celled(_on_levels(b, a, True), rs, re, width).drop("_own")
+    pairs = a_up.join(b_own, on).unionByName(a_own.join(b_up, on))
+    pairs = pairs.where((common > more_than) & (_cell(low, F.col("_level"), width) == F.col("_cell")))
+    return pairs.withColumn("overlap", common).drop("_level", "_cell")
 
 
 def contains_join(
     points: DataFrame, windows: DataFrame, key: Sequence[str], at: str, start: str, end: str, width: float, closed: bool = True
 ) -> DataFrame:
     """Points inside windows of their key; ``closed``: the end counts as inside."""
-    p = points.withColumn("_bin", F.floor(F.col(at) / width))
-    w = _binned(windows, start, end, width)
+    w = _levelled(windows, F.col(start), F.col(end), width)
+    p = _on_levels(points.withColumn("_own", F.lit(0)), w, False).withColumn("_cell", _cell(F.col(at), F.col("_level"), width)).drop("_own")
+    w = _celled(w.withColumn("_level", F.col("_own")), F.col(start), F.col(end), width).drop("_own")
     upper = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
-    return p.join(w, [*key, "_bin"]).where((F.col(at) >= F.col(start)) & upper).drop("_bin")
+    return p.join(w, [*key, "_level", "_cell"]).where((F.col(at) >= F.col(start)) & upper).drop("_level", "_cell")
 
 
 def assign_midpoint(
