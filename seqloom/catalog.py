@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import acoustic_queries, fixture_queries, interval_queries, long_queries, mark_queries, recorded_rows, report_queries, sequence_queries, text_queries
+from .plans import (
+    acoustic_queries, assess_queries, format_queries, interval_queries, long_queries, mark_queries, recording_queries, report_queries, sequence_queries,
+    text_queries,
+)
 
-MODULES = (sequence_queries, interval_queries, long_queries, text_queries, mark_queries, acoustic_queries, report_queries, fixture_queries)
+MODULES = (sequence_queries, interval_queries, long_queries, text_queries, mark_queries, acoustic_queries, report_queries, recording_queries, assess_queries, format_queries)
 
 
 def queries() -> dict:
@@ -12,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return recorded_rows.ORACLES | {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

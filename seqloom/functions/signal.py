@@ -143,7 +143,7 @@ def voice_activity(x: np.ndarray, rate: int = RATE, frame_ms: int = 30, share: f
         return []
     on = level > max(share * float(level.max()), floor)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8))).reshape(-1, 2)
-    end = int(len(x) / rate * 1000)
+    end = len(x) * 1000 // rate
     return [(int(a * frame_ms), end if b == len(on) else int(b * frame_ms)) for a, b in edges]
 
 
@@ -161,7 +161,7 @@ def restart_ms(x: np.ndarray, rate: int = RATE) -> int | None:
     """Where the last attempt begins: the speech after the last long pause, if it is about as loud as the opening."""
     speech = voice_activity(x, rate)
     pauses = [b[0] for a, b in zip(speech, speech[1:]) if b[0] - a[1] >= RESTART_PAUSE_MS]
-    end = int(len(x) / rate * 1000)
+    end = len(x) * 1000 // rate
     tail = [end] if speech and end - speech[-1][1] >= RESTART_PAUSE_MS else []
     if len(speech) < 2 or not [*pauses, *tail]:
         return None

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from .scoring import passed_share, unclamped_score
 
-#: Rules of each category of a recording's report.
+#: Rules of each category of a recording's report; the names that ``plans.phonology`` emits stand beside the report's own.
 CATEGORIES = {
-    "madd": ("madd_tabii", "madd_muttasil", "madd_munfasil", "madd_lazim", "madd_aarid", "madd_leen", "madd_badal", "madd_silah_kubra", "madd_silah_sughra"),
-    "ghunnah": ("ghunnah_mushaddadah_noon", "ghunnah_mushaddadah_meem", "ghunnah_idgham_with_ghunnah"),
-    "qalqalah": ("qalqalah", "qalqalah_with_shaddah"),
-    "ikhfa": ("ikhfa_haqiqi", "ikhfa_shafawi", "ikhfa_meem_saakin"),
-    "vowel_backing": ("emphatic_backing", "pharyngeal_backing"),
+    "madd": (
+        "madd_tabii", "madd_muttasil", "madd_munfasil", "madd_lazim", "madd_lazim_kalimi", "madd_lazim_muthaqqal_kalimi", "madd_aarid", "madd_arid_lissukun", "madd_leen", "madd_badal",
+        "madd_silah_kubra", "madd_silah_sughra",
+    ),
+    "ghunnah": ("ghunnah", "ghunnah_mushaddadah_noon", "ghunnah_mushaddadah_meem", "ghunnah_idgham_with_ghunnah", "idgham_ghunnah_noon", "idgham_shafawi_meem", "iqlab"),
+    "qalqalah": ("qalqalah", "qalqalah_minor", "qalqalah_major", "qalqalah_with_shaddah", "qalqalah_emphatic", "qalqalah_non_emphatic"),
+    "ikhfa": ("ikhfa_haqiqi", "ikhfaa_light", "ikhfaa_heavy", "ikhfa_shafawi", "ikhfaa_shafawi", "ikhfa_meem_saakin"),
+    "vowel_backing": (
+        "emphatic_backing", "pharyngeal_backing", "vowel_backing_after_emphatic_short", "vowel_backing_after_emphatic_long", "vowel_backing_before_emphatic_short",
+        "vowel_backing_before_emphatic_long",
+    ),
     "tafkhim": ("tafkhim",),
 }
 
@@ -42,13 +48,16 @@ def roll_up(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def recording_report(rows: DataFrame, verse: Sequence[str], metadata: DataFrame, rule: str = "rule") -> DataFrame:
     """Per verse: counts, passed (assessed without major and minor, at least 0), errors of each category, and the
-    confidence of its segment ("low" where none is known)."""
+    confidence of its segment ("low" where none is known; where ``metadata`` repeats a verse, that of its greatest
+    ``ordinal``, or without that column the greatest in order of text, so a verse is one row)."""
     bad = (F.col("status") == "assessed") & F.col("severity").isNotNull()
     by = rows.groupBy(*verse).agg(
         *[c.alias(n) for n, c in _sums().items()], *[F.count_if(bad & F.col(rule).isin(*names)).alias(f"n_{c}") for c, names in CATEGORIES.items()]
     )
     by = by.withColumn("passed", F.greatest(F.col("assessed") - F.col("major") - F.col("minor"), F.lit(0)))
-    return by.join(metadata.select(*verse, "confidence"), list(verse), "left").withColumn("confidence", F.coalesce("confidence", F.lit("low")))
+    latest = F.col("ordinal") if "ordinal" in metadata.columns else F.col("confidence")
+    one = metadata.groupBy(*verse).agg(F.max_by("confidence", F.struct(latest, "confidence")).alias("confidence"))
+    return by.join(one, list(verse), "left").withColumn("confidence", F.coalesce("confidence", F.lit("low")))
 
 
 def overall_score(verses: DataFrame, key: Sequence[str]) -> DataFrame:

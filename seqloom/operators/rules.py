@@ -132,7 +132,7 @@ def suppress_in_place(apps: DataFrame, at: Sequence[str], general: str, specific
 def inject(apps: DataFrame, specs: DataFrame, known: DataFrame, positions: DataFrame, at: Sequence[str]) -> DataFrame:
     """Add rule applications given as (place, rule): only known rules, existing places, and not yet there."""
     new = (
-        specs.join(F.broadcast(known.select("rule")), "rule", "left_semi")
+        specs.join(known.select("rule"), "rule", "left_semi")
         .join(positions.select(*at), list(at), "left_semi")
         .join(apps.select(*at, "rule"), [*at, "rule"], "left_anti")
         .select(*at, "rule").distinct()

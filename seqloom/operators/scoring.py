@@ -52,7 +52,7 @@ def rollup_scores(df: DataFrame, levels: Sequence[str], severity: str = "severit
 def counts_with_zeros(df: DataFrame, column: str, domain: DataFrame, name: str = "n") -> DataFrame:
     """Counts for every value of a small fixed domain, 0 where none occurs."""
     counts = df.groupBy(column).agg(F.count("*").alias(name))
-    return F.broadcast(domain).join(counts, column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return domain.join(counts, column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def most_common(df: DataFrame, key: Sequence[str], value: str, order: str) -> DataFrame:

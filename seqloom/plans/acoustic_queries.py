@@ -1,4 +1,4 @@
-"""Expected acoustics, statistics and ranges over literal sounds and the fixture verses, with their SQL."""
+"""Expected acoustics, statistics and ranges over sounds made of events and verses made of benchmark texts, with their SQL."""
 
 from __future__ import annotations
 
@@ -9,18 +9,8 @@ from ..sources import inventory
 from . import acoustics as A
 from . import phonology
 from .tables import KEY, positions, table
-from .text_queries import _verses
-
-#: Verse, place, sound, word.
-SOUNDS = (
-    (1, 0, "q", 0), (1, 1, "u", 0), (1, 2, "l", 0), (1, 3, "sˤ", 1), (1, 4, "aː", 1), (1, 5, "n", 1), (1, 6, "ʔ", 2), (1, 7, "a", 2), (1, 8, "n", 2), (1, 9, "n", 2),
-    (2, 0, "m", 0), (2, 1, "iː", 0), (2, 2, "tˤ", 0), (2, 3, "ɑ", 1), (2, 4, "b", 1), (2, 5, "a", 1), (2, 6, "ħ", 1),
-)
-#: Verse, first place, last place, rule.
-APPLICATIONS = (
-    (1, 4, 4, "vowel_backing_after_emphatic_long"), (1, 4, 4, "madd_tabii"), (1, 5, 5, "iqlab"), (1, 8, 9, "ghunnah_mushaddadah_noon"), (1, 8, 8, "idgham_ghunnah_noon"),
-    (2, 1, 1, "madd_tabii"), (2, 3, 3, "vowel_backing_after_emphatic_short"), (2, 5, 5, "raa_tafkheem_with_fatha"), (2, 0, 0, "ikhfaa_shafawi"),
-)
+from .scripted import SQL_DOCUMENT_VERSES, SQL_RANGES, SQL_SOUNDS, benchmark_verses, document_verses, event_ranges, event_sounds
+
 INVENTORY = """
 consonants:
 - {symbol: q, arabic: "ق", features: {manner: stop, place: uvular, voicing: false, emphatic: false}, duration_factor: 1.0}
@@ -36,41 +26,31 @@ DEFAULTS = "pitch: {baseline: {male: 130}, tolerance: {max_deviation: 20}}"
 FINAL = ["verse", "pos"]
 
 
-def _sounds(spark):
-    s = spark.createDataFrame(list(SOUNDS), "verse int, pos int, symbol string, word_idx int")
-    from ..operators.context import ordered
-
-    w = ordered(["verse"], ["pos"])
-    last = F.lead(F.lit(1)).over(w).isNull()
-    return s.withColumns({"verse_final": last, "word_final": last | (F.lead("word_idx").over(w) != F.col("word_idx"))})
-
-
-def _apps(spark):
-    a = spark.createDataFrame(list(APPLICATIONS), "verse int, start_pos int, end_pos int, rule string")
-    return A.applications_by_place(a, ["verse"])
+def _apps(spark, d):
+    return A.applications_by_place(event_ranges(spark, d), ["verse"])
 
 
 def applications_by_place(spark, d):
     """Rules at each sound from applications over ranges of places."""
-    return _apps(spark).join(_sounds(spark), FINAL).select("verse", "pos", "symbol", "rule")
+    return _apps(spark, d).join(event_sounds(spark, d), FINAL).select("verse", "pos", "symbol", "rule")
 
 
 def expected_pitch(spark, d):
-    p = A.expected_pitch(_sounds(spark), _apps(spark), ["verse"], inventory.parse(DEFAULTS))
+    p = A.expected_pitch(event_sounds(spark, d), _apps(spark, d), ["verse"], inventory.parse(DEFAULTS))
     return p.select("verse", "pos", "symbol", *[F.round(c, 4).alias(c) for c in ("f0", "f0_end", "f0_low", "f0_high")], "contour")
 
 
 def expected_formants(spark, d):
-    return A.expected_formants(_sounds(spark), _apps(spark), ["verse"])
+    return A.expected_formants(event_sounds(spark, d), _apps(spark, d), ["verse"])
 
 
 def expected_nasality(spark, d):
-    return A.expected_nasality(_sounds(spark), _apps(spark), ["verse"])
+    return A.expected_nasality(event_sounds(spark, d), _apps(spark, d), ["verse"])
 
 
 def sound_statistics(spark, d):
     """Words and classes of sounds of each verse."""
-    return A.sequence_statistics(_sounds(spark), ["verse"], [*A.FORMANTS, "aw", "aj"])
+    return A.sequence_statistics(event_sounds(spark, d), ["verse"], [*A.FORMANTS, "aw", "aj"])
 
 
 def feature_statistics(spark, d):
@@ -102,28 +82,23 @@ def tolerance_tests(spark, d):
 
 
 def sound_inventory(spark, d):
-    """Sounds of an inventory file, beside the sounds of the fixture; what the inventory lacks is a plain consonant."""
+    """Sounds of an inventory file beside the sounds of events; what the inventory lacks is a plain consonant."""
     i = inventory.sounds_of(spark, inventory.parse(INVENTORY))
-    s = inventory.with_dimensions(spark.createDataFrame(list(SOUNDS), "verse int, pos int, symbol string, word_idx int"), i)
+    s = inventory.with_dimensions(event_sounds(spark, d), i)
     return s.select("verse", "pos", "symbol", "kind", "place", "emphatic", "duration_factor", "f2")
 
 
 def spelling_map(spark, d):
-    """Sounds of letters by a spelling file; only plain entries count."""
+    """Letters of all verses by the sounds of a spelling file; only its plain entries count."""
     m = inventory.spelling_of(inventory.parse(SPELLING))
-    return spark.createDataFrame(sorted(m.items()), "letter string, sound string")
-
-
-def acoustic_settings(spark, d):
-    """Settings of a defaults file, built-in values where it has none."""
-    given = inventory.parse(DEFAULTS)
-    rows = [(p, float(inventory.setting(given, p, b))) for p, b in (("pitch.baseline.male", 120), ("pitch.baseline.female", 220), ("pitch.tolerance.max_deviation", 30))]
-    return spark.createDataFrame(rows, "path string, value double")
+    of = spark.createDataFrame(sorted(m.items()), "letter string, sound string")
+    letters = document_verses(spark, d).select(F.explode(F.split("text", "")).alias("letter"))
+    return letters.groupBy("letter").agg(F.count("*").alias("n")).join(of, "letter").select("letter", "sound", "n")
 
 
 def verse_targets(spark, d):
-    """Priority, error and severity of every sound of the fixture verses."""
-    s = phonology.phonemize(_verses(spark))
+    """Priority, error and severity of every sound of the verses."""
+    s = phonology.phonemize(benchmark_verses(spark, d))
     apps = phonology.apply_rules(s)
     categories = {r.name: r.category for r in phonology.RULES}
     t = A.verification_targets(phonology.expected_durations(s, apps), apps, phonology.VERSE, categories)
@@ -131,19 +106,18 @@ def verse_targets(spark, d):
 
 
 def request_problems(spark, d):
-    r = spark.createDataFrame([(0, 1, 2), (114, 1, 6), (115, 1, 1), (2, 0, 3), (2, 5, 4), (2, 1, 21), (2, 1, 22)], "chapter int, first int, last int")
-    return r.withColumn("problem", report.request_problem(F.col("chapter"), F.col("first"), F.col("last")))
+    """What is wrong with requests made of lines: how often."""
+    li = table(spark, d, "lineitem").select((F.col("l_partkey") % 130).alias("chapter"), (F.col("l_linenumber") - 1).alias("first"), (F.col("l_quantity").cast("int") - 10).alias("last"))
+    return li.groupBy(report.request_problem(F.col("chapter"), F.col("first"), F.col("last")).alias("problem")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
     applications_by_place, expected_pitch, expected_formants, expected_nasality, sound_statistics, feature_statistics, sequence_slices, tolerance_tests,
-    sound_inventory, spelling_map, acoustic_settings, verse_targets, request_problems,
+    sound_inventory, spelling_map, verse_targets, request_problems,
 )}
 
-_S = "SELECT *, lead(1) OVER w IS NULL AS verse_final, lead(1) OVER w IS NULL OR lead(word_idx) OVER w <> word_idx AS word_final, lag(symbol) OVER w AS b, lead(symbol) OVER w AS a FROM (VALUES " + ", ".join(
-    f"({v}, {p}, '{s}', {w})" for v, p, s, w in SOUNDS
-) + ") AS s(verse, pos, symbol, word_idx) WINDOW w AS (PARTITION BY verse ORDER BY pos)"
-_A = "SELECT verse, unnest(range(i, j + 1)) AS pos, rule FROM (VALUES " + ", ".join(str(a) for a in APPLICATIONS) + ") AS a(verse, i, j, rule)"
+_S = SQL_SOUNDS
+_A = f"SELECT verse, unnest(range(start_pos, end_pos + 1)) AS pos, rule FROM ({SQL_RANGES})"
 _IN = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
 _F = "(VALUES " + ", ".join(f"('{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for k, v in A.FORMANTS.items()) + ") AS f(symbol, f1, f2, f3)"
 _N = "(VALUES " + ", ".join(f"('{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for k, v in A.NASALITY.items()) + ") AS n(rule, strength, counts)"
@@ -151,12 +125,12 @@ _N = "(VALUES " + ", ".join(f"('{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for k, v
 ORACLES = {
     "applications_by_place": f"SELECT s.verse, CAST(s.pos AS BIGINT) AS pos, symbol, rule FROM ({_S}) s JOIN ({_A}) a ON a.verse = s.verse AND a.pos = s.pos",
     "expected_pitch": f"""WITH p AS (SELECT s.*, 130.0 * CASE WHEN symbol IN {_IN(A.EMPHATIC)} THEN 0.9 ELSE 1.0 END * CASE WHEN symbol IN {_IN(A.THROAT)} THEN 0.85 ELSE 1.0 END
-            * CASE WHEN symbol IN {_IN(A.HIGH_VOWELS)} THEN 1.1 ELSE 1.0 END * CASE WHEN EXISTS (SELECT 1 FROM ({_A}) a WHERE a.verse = s.verse AND a.pos = s.pos AND rule LIKE 'raa_tafkheem%') THEN 0.9 ELSE 1.0 END AS f0 FROM ({_S}) s)
+            * CASE WHEN symbol IN {_IN(A.HIGH_VOWELS)} THEN 1.1 ELSE 1.0 END * pow(0.9::DOUBLE, coalesce(n, 0)) AS f0 FROM ({_S}) s LEFT JOIN (SELECT verse, pos, count(*) AS n FROM ({_A}) WHERE rule LIKE 'raa_tafkheem%' GROUP BY verse, pos) a ON a.verse = s.verse AND a.pos = s.pos)
         SELECT verse, pos, symbol, round(f0, 4)::DOUBLE AS f0, round(f0 - CASE WHEN verse_final THEN 50 WHEN word_final THEN 30 ELSE 0 END, 4)::DOUBLE AS f0_end, round(f0 - 20, 4)::DOUBLE AS f0_low, round(f0 + 20, 4)::DOUBLE AS f0_high,
         CASE WHEN word_final THEN 'falling' ELSE 'level' END AS contour FROM p""",
     "expected_formants": f"""WITH s AS (SELECT *, coalesce(a IN {_IN(A.EMPHATIC)}, false) OR coalesce(b IN {_IN(A.EMPHATIC)}, false) AS near FROM ({_S}))
-        SELECT verse, pos, symbol, f1 + CASE WHEN near THEN 50 ELSE 0 END AS f1, f2 - CASE WHEN near THEN 200 ELSE 0 END - 200 * (SELECT count(*) FROM ({_A}) x WHERE x.verse = s.verse AND x.pos = s.pos AND rule IN {_IN(A.LOWER_F2)}) AS f2, f3
-        FROM s JOIN {_F} USING (symbol)""",
+        SELECT verse, pos, symbol, f1 + CASE WHEN near THEN 50 ELSE 0 END AS f1, f2 - CASE WHEN near THEN 200 ELSE 0 END - 200 * coalesce(n, 0) AS f2, f3
+        FROM s JOIN {_F} USING (symbol) LEFT JOIN (SELECT verse, pos, count(*) AS n FROM ({_A}) WHERE rule IN {_IN(A.LOWER_F2)} GROUP BY verse, pos) x USING (verse, pos)""",
     "expected_nasality": f"""WITH g AS (SELECT verse, pos, max(strength) AS top, arg_max(counts, rule) AS counts,
             arg_max(CASE WHEN contains(rule, 'idgham') THEN 0.9 WHEN contains(rule, 'iqlab') THEN 0.85 WHEN contains(rule, 'ikhfaa') THEN 0.75 END, rule) FILTER (WHERE regexp_matches(rule, 'idgham|iqlab|ikhfaa')) AS kind
             FROM ({_A}) JOIN {_N} USING (rule) GROUP BY verse, pos)
@@ -171,8 +145,9 @@ ORACLES = {
     "sound_inventory": f"""SELECT verse, pos, symbol, coalesce(kind, 'consonants') AS kind, place, coalesce(emphatic, false) AS emphatic, coalesce(f, 1.0::DOUBLE) AS duration_factor, f2 FROM ({_S}) LEFT JOIN (VALUES
         ('q', 'consonants', 'uvular', false, 1.0::DOUBLE, NULL::DOUBLE), ('n', 'consonants', 'dental', false, 1.1, NULL), ('sˤ', 'consonants', 'dental', true, 1.0, NULL), ('aː', 'vowels', NULL, false, 2.0, 1200), ('u', 'vowels', NULL, false, 1.0, 800))
         AS i(symbol, kind, place, emphatic, f, f2) USING (symbol)""",
-    "spelling_map": "SELECT * FROM (VALUES ('ب', 'b'), ('ت', 't'), ('ث', 'θ')) AS v(letter, sound)",
-    "acoustic_settings": "SELECT * FROM (VALUES ('pitch.baseline.male', 130.0::DOUBLE), ('pitch.baseline.female', 220.0), ('pitch.tolerance.max_deviation', 20.0)) AS v(path, value)",
-    "request_problems": """SELECT * FROM (VALUES (0, 1, 2, 'chapter must be between 1 and 114'), (114, 1, 6, NULL), (115, 1, 1, 'chapter must be between 1 and 114'), (2, 0, 3, 'the first verse must be at least 1'),
-        (2, 5, 4, 'the last verse must not be before the first'), (2, 1, 21, NULL), (2, 1, 22, 'no more than 20 verses at once')) AS v(chapter, first, last, problem)""",
+    "spelling_map": f"""SELECT letter, CASE letter WHEN 'ب' THEN 'b' WHEN 'ت' THEN 't' WHEN 'ث' THEN 'θ' END AS sound, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS letter FROM ({SQL_DOCUMENT_VERSES}))
+        WHERE letter IN ('ب', 'ت', 'ث') GROUP BY letter""",
+    "request_problems": """WITH r AS (SELECT l_partkey % 130 AS chapter, l_linenumber - 1 AS first, CAST(trunc(l_quantity) AS INTEGER) - 10 AS last FROM lineitem)
+        SELECT CASE WHEN chapter NOT BETWEEN 1 AND 114 THEN 'chapter must be between 1 and 114' WHEN first < 1 THEN 'the first verse must be at least 1' WHEN last < first THEN 'the last verse must not be before the first'
+        WHEN last - first > 20 THEN 'no more than 20 verses at once' END AS problem, count(*) AS n FROM r GROUP BY ALL""",
 }

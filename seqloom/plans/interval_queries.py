@@ -87,7 +87,7 @@ def rebase_timestamps(spark, d):
     s = _spans(spark, d).withColumn("day", F.floor(F.col("t0") / DAY))
     local = s.select("user_id", "event_id", "day", (F.col("t0") - F.col("day") * DAY + 500_000).alias("start_us"), (F.col("t1") - F.col("day") * DAY + 500_000).alias("end_us"))
     seg = s.select("day").distinct().withColumns({"offset": F.col("day") * DAY, "padding": F.lit(500_000)})
-    return intervals.rebase(local, F.broadcast(seg), ["day"], ["start_us", "end_us"], "offset", "padding").select("user_id", "event_id", "start_us", "end_us")
+    return intervals.rebase(local, seg, ["day"], ["start_us", "end_us"], "offset", "padding").select("user_id", "event_id", "start_us", "end_us")
 
 
 def suffix_align(spark, d):
@@ -161,7 +161,7 @@ def calibrate_rollup(spark, d):
 def _graded(spark, d):
     e = table(spark, d, "events")
     unit = calibrate.pooled_unit(e, ["event_type"], "value", F.lit(True)).select("event_type", "unit_ms")
-    g = e.join(F.broadcast(unit), "event_type").withColumn("counts", F.col("value") / F.col("unit_ms"))
+    g = e.join(unit, "event_type").withColumn("counts", F.col("value") / F.col("unit_ms"))
     band = severity.range_band(F.col("counts"), F.lit(0.5), F.lit(2.0))
     return g.withColumn("severity", band)
 

@@ -1,4 +1,4 @@
-"""Letters, marks and spans of the fixture verses and words, with their SQL."""
+"""Letters, marks and spans of verses and words made of all documents, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,45 +7,47 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import patterns
 from .tables import table
-from .text_queries import SQL_DECOMPOSED, SQL_VERSES, _verses
+from .scripted import ARTICLE, choice, choice_sql
+from .scripted import SQL_DOCUMENT_VERSES as SQL_VERSES
+from .scripted import document_verses as _verses
 
 VERSE = ["chapter", "verse"]
 _NAMES = ", ".join(f"('{mark}', '{name}', '{T.MARK_SIGNS.get(name, '?')}')" for name, mark in T.MARK_NAMES.items())
-#: Every code point of the decomposed verses: place, whether it is a letter, and its mark.
+#: Every code point of the verses, which are in decomposed form: place, whether it is a letter, and its mark.
 SQL_CHARS = f"""SELECT c.*, name, sign FROM (
     SELECT chapter, verse, i - 1 AS place, substring(text, i, 1) AS ch, regexp_matches(substring(text, i, 1), '^[ء-يݐ-ݿ]$') AS is_letter
-    FROM ({SQL_DECOMPOSED}), unnest(range(1, length(text) + 1)) AS t(i)) c LEFT JOIN (VALUES {_NAMES}) AS n(mark, name, sign) ON n.mark = c.ch"""
+    FROM ({SQL_VERSES}), unnest(range(1, length(text) + 1)) AS t(i)) c LEFT JOIN (VALUES {_NAMES}) AS n(mark, name, sign) ON n.mark = c.ch"""
 SQL_MARKS = f"""SELECT *, row_number() OVER (PARTITION BY chapter, verse ORDER BY place) - 1 AS position FROM (
     SELECT *, last_value(CASE WHEN is_letter THEN ch END IGNORE NULLS) OVER w AS base, sum(CASE WHEN is_letter THEN 1 ELSE 0 END) OVER w - 1 AS letter
     FROM ({SQL_CHARS}) WINDOW w AS (PARTITION BY chapter, verse ORDER BY place ROWS UNBOUNDED PRECEDING)) WHERE name IS NOT NULL"""
-WORDS = (("رَبِّ", "ب", 1), ("قُلْ", "لق", 0), ("يُولَدْ", "و", 2), ("وَإِيَّاكَ", "ا", 4), ("أَحَدٌ", "ن", 0))
-#: Rule, description, expected, actual, unit.
-ERRORS = (
-    ("madd_tabii", "too short", 2.0, 1.2, "counts"), ("madd_tabii", "too long", 2.0, 3.1, "counts"), ("vowel_backing_after_emphatic_short", "front", 3.0, 1.0, "hz"),
-    ("tafkhim", "heavy", 1.0, 2.0, "hz"), ("ghunnah_mushaddadah_noon", "weak", 2.0, 1.0, "ratio"), ("ghunnah", "long", 2.0, 4.0, "ratio"),
-    ("qalqalah_major", "none", 1.0, 0.0, "ratio"), ("ikhfaa_light", "clear", 1.0, 0.0, "ratio"), ("idgham", "as it is [x]", 1.0, 0.0, "ratio"),
-)
+#: Letters to find in words, by the rest of the word's length.
+TARGETS = ("ل", "بن", "و", "ا")
+#: Rules of errors by kind of event, and what the error is called.
+ERRORS = {
+    "click": ("madd_tabii", "too short or long", "counts"), "view": ("tafkhim", "heavy", "hz"), "purchase": ("ghunnah_mushaddadah_noon", "weak", "ratio"),
+    "error": ("qalqalah_major", "none", "ratio"), "signup": ("ikhfaa_light", "clear", "ratio"),
+}
 
 
 def verse_marks(spark, d):
     """Every named mark with the letter before it and its place."""
-    m = T.extract_marks(_verses(spark), VERSE)
+    m = T.extract_marks(_verses(spark, d), VERSE)
     return m.select(*VERSE, *[F.col(c).cast("bigint").alias(c) for c in ("position", "at", "letter")], "mark", "name", "base")
 
 
 def verse_mark_counts(spark, d):
-    return T.extract_marks(_verses(spark), VERSE).groupBy("name").agg(F.count("*").alias("n"))
+    return T.extract_marks(_verses(spark, d), VERSE).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def verse_mark_sequences(spark, d):
     """Marks as signs, and which letters have sukoon and shaddah."""
     units = T.marked_letters("text")
     at = lambda name: F.array_join(T.letters_with(units, name).cast("array<string>"), ",")
-    return _verses(spark).select(*VERSE, T.mark_sequence("text").alias("signs"), at("sukoon").alias("sukoon_at"), at("shaddah").alias("shaddah_at"))
+    return _verses(spark, d).select(*VERSE, T.mark_sequence("text").alias("signs"), at("sukoon").alias("sukoon_at"), at("shaddah").alias("shaddah_at"))
 
 
 def verse_mark_statistics(spark, d):
-    s = _verses(spark).select(*VERSE, T.mark_statistics("text").alias("s"))
+    s = _verses(spark, d).select(*VERSE, T.mark_statistics("text").alias("s"))
     return s.select(
         *VERSE, F.col("s.total").cast("bigint").alias("total"), *[F.col(f"s.{n}").cast("bigint").alias(n) for n in T.MARK_NAMES],
         *[F.col(f"s.{c}").alias(c) for c in ("has_vowels", "has_sukoon", "has_shaddah", "has_tanween")],
@@ -54,7 +56,7 @@ def verse_mark_statistics(spark, d):
 
 def word_analyses(spark, d):
     """Letters and vowels of every word of the verses."""
-    w = _verses(spark).select(*VERSE, F.posexplode(T.words("text")).alias("idx", "word")).withColumn("a", T.word_analysis("word"))
+    w = _verses(spark, d).select(*VERSE, F.posexplode(T.words("text")).alias("idx", "word")).withColumn("a", T.word_analysis("word"))
     return w.select(
         *VERSE, F.col("idx").cast("bigint").alias("idx"), F.array_join("a.letters", "").alias("letters"), F.col("a.n_letters").cast("bigint").alias("n_letters"),
         F.col("a.n_marks").cast("bigint").alias("n_marks"), F.array_join("a.vowels", ",").alias("vowels"), "a.has_wasla", "a.has_marbuta",
@@ -62,21 +64,21 @@ def word_analyses(spark, d):
 
 
 def text_statistics(spark, d):
-    s = _verses(spark).select(*VERSE, T.text_statistics(T.normalize("text", "NFC")).alias("s"))
+    s = _verses(spark, d).select(*VERSE, T.text_statistics(T.normalize("text", "NFC")).alias("s"))
     n = [F.col(f"s.{c}").cast("bigint").alias(c) for c in ("n_chars", "n_letters", "n_words", "n_marks")]
     return s.select(*VERSE, *n, F.round("s.letters_a_word", 4).alias("letters_a_word"), "s.is_valid")
 
 
 def character_classes(spark, d):
     """How many letters, marks and others the verses have."""
-    c = _verses(spark).select(F.explode(F.split(T.normalize("text", "NFD"), "")).alias("c")).where("c <> ''")
+    c = _verses(spark, d).select(F.explode(F.split(T.normalize("text", "NFD"), "")).alias("c")).where("c <> ''")
     kind = F.when(T.is_letter("c"), "letter").when(T.is_mark("c"), "mark").otherwise("other")
     return c.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def verse_text_forms(spark, d):
     """Stripped and folded forms of each verse."""
-    return _verses(spark).select(
+    return _verses(spark, d).select(
         *VERSE, T.strip_tatweel("text").alias("no_tatweel"), T.fold_hamza("text").alias("one_hamza"), T.comparable("text").alias("comparable"),
         T.strip_pauses("text").alias("no_pauses"), T.label_script("text").alias("label"), T.strip_category_mn("text").alias("no_mn"),
         F.array_join(T.arabic_words("text"), "|").alias("words"), T.before_bracket(F.concat("text", F.lit(" [note]"))).alias("bare"),
@@ -85,15 +87,14 @@ def verse_text_forms(spark, d):
 
 
 def opening_formula(spark, d):
-    """The opening formula split off, but for the first chapter."""
-    opening = _verses(spark).where("chapter = 1 AND verse = 1").select("text").first().text
-    v = _verses(spark).withColumn("text", F.concat(F.lit(opening + " "), "text"))
-    return v.withColumn("s", T.split_prefix("text", opening, F.col("chapter") == 1)).select(*VERSE, "s.found", "s.prefix", "s.rest")
+    """The article at a verse's beginning split off, but for every seventh document."""
+    v = _verses(spark, d).withColumn("s", T.split_prefix("text", ARTICLE, F.col("chapter") % 7 == 1))
+    return v.select(*VERSE, "s.found", "s.prefix", "s.rest")
 
 
 def letter_units(spark, d):
     """Base letters with their marks, whether they are doubled or silent, and their vowel."""
-    u = _verses(spark).select(*VERSE, F.posexplode(T.letter_units("text")).alias("idx", "u"))
+    u = _verses(spark, d).select(*VERSE, F.posexplode(T.letter_units("text")).alias("idx", "u"))
     return u.select(
         *VERSE, F.col("idx").cast("bigint").alias("idx"), "u.letter", "u.marks", T.is_silent("u.marks").alias("is_silent"),
         T.doubling_and_vowel("u.marks")["doubled"].alias("doubled"), T.vowel_of("u.marks").alias("vowel"),
@@ -101,9 +102,10 @@ def letter_units(spark, d):
 
 
 def highlight_spans(spark, d):
-    """The span of a letter nearest to a hint, and the word with it marked."""
-    w = spark.createDataFrame(list(WORDS), "word string, targets string, hint int")
-    span = F.coalesce(*[F.when(F.col("targets") == t, T.nearest_span("word", t, F.col("hint"))) for t in sorted({x[1] for x in WORDS})])
+    """Of every distinct word, the span of a letter nearest to a hint, and the word with it marked."""
+    w = _verses(spark, d).select(F.explode(T.words("text")).alias("word")).distinct()
+    w = w.withColumns({"hint": F.length("word") % 3, "targets": choice(TARGETS, F.length("word") % len(TARGETS))})
+    span = F.coalesce(*[F.when(F.col("targets") == t, T.nearest_span("word", t, F.col("hint"))) for t in TARGETS])
     w = w.withColumn("span", span)
     return w.select(
         "word", "hint", F.col("span.start").cast("bigint").alias("start_at"), F.col("span.end").cast("bigint").alias("end_at"),
@@ -112,8 +114,11 @@ def highlight_spans(spark, d):
 
 
 def error_advice(spark, d):
-    e = spark.createDataFrame(list(ERRORS), "rule string, description string, expected double, actual double, unit string")
-    return e.select("rule", "actual", T.advice("rule", "description", F.col("expected"), F.col("actual"), "unit").alias("advice"), T.before_bracket("description").alias("mistake"))
+    """What to do about each event as an error of its kind, 40 expected: how often which advice is given."""
+    of = lambda i: F.coalesce(*[F.when(F.col("event_type") == k, v[i]) for k, v in ERRORS.items()], F.lit("other [x]"))
+    e = table(spark, d, "events").withColumns({"rule": of(0), "description": of(1), "unit": of(2)})
+    told = T.advice("rule", "description", F.lit(40.0), F.col("value"), "unit")
+    return e.groupBy("rule", told.alias("advice"), T.before_bracket("description").alias("mistake")).agg(F.count("*").alias("n"))
 
 
 def word_of_position(spark, d):
@@ -125,7 +130,7 @@ def word_of_position(spark, d):
 
 def verse_candidates(spark, d):
     """Verses that may hold each kind of rule, by ten tests of their text and adjacent words."""
-    return patterns.candidates(_verses(spark)).select("class", *VERSE)
+    return patterns.candidates(_verses(spark, d)).select("class", *VERSE)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -138,9 +143,10 @@ _P = T.PAUSE_SIGNS
 _M = T.MARK_NAMES
 _VOWEL = "CASE regexp_extract({0}, '[" + "".join((T.SHORT_MARKS | T.TANWEEN_MARKS).values()) + "]') " + " ".join(f"WHEN '{m}' THEN '{n}'" for n, m in (T.SHORT_MARKS | T.TANWEEN_MARKS).items()) + " END"
 #: Letters of the decomposed verses with the marks right behind them.
-_UNITS = f"SELECT chapter, verse, unnest(u) AS u, generate_subscripts(u, 1) - 1 AS i FROM (SELECT chapter, verse, regexp_extract_all(text, '[ء-يݐ-ݿ][{_ALL}]*') AS u FROM ({SQL_DECOMPOSED}))"
-_WORDS = f"SELECT chapter, verse, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS idx FROM (SELECT chapter, verse, string_split(text, ' ') AS w FROM ({SQL_DECOMPOSED}))"
-_SPAN_WORDS = "(VALUES " + ", ".join(f"('{w}', '{t}', {h})" for w, t, h in WORDS) + ") AS v(word, targets, hint)"
+_UNITS = f"SELECT chapter, verse, unnest(u) AS u, generate_subscripts(u, 1) - 1 AS i FROM (SELECT chapter, verse, regexp_extract_all(text, '[ء-يݐ-ݿ][{_ALL}]*') AS u FROM ({SQL_VERSES}))"
+_WORDS = f"SELECT chapter, verse, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS idx FROM (SELECT chapter, verse, string_split(text, ' ') AS w FROM ({SQL_VERSES}))"
+_SPAN_WORDS = f"(SELECT DISTINCT word, {choice_sql(TARGETS, f'length(word) % {len(TARGETS)}')} AS targets, length(word) % 3 AS hint FROM ({_WORDS}))"
+_ERROR = lambda i: "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in ERRORS.items()) + " ELSE 'other [x]' END"
 
 ORACLES = {
     "verse_marks": f'''SELECT chapter, verse, position, place AS "at", CAST(letter AS BIGINT) AS letter, ch AS mark, name, coalesce(base, '') AS base FROM ({SQL_MARKS})''',
@@ -166,8 +172,8 @@ ORACLES = {
         regexp_replace(regexp_replace(regexp_replace(text, '[{_P}] ', '', 'g'), ' [{_P}]', '', 'g'), '[{_P}]', '', 'g') AS no_pauses,
         regexp_replace(nfc_normalize(text), '[ـ{_P}]', '', 'g') AS label, regexp_replace(text, '\\p{{Mn}}', '', 'g') AS no_mn,
         array_to_string(regexp_extract_all(text, '[{T.WORD_SIGNS}]+'), '|') AS words, text AS bare, text || '|' || text AS twice FROM ({SQL_VERSES})""",
-    "opening_formula": f"""WITH o AS (SELECT text AS p FROM ({SQL_VERSES}) WHERE chapter = 1 AND verse = 1)
-        SELECT chapter, verse, chapter <> 1 AS found, CASE WHEN chapter <> 1 THEN p END AS prefix, CASE WHEN chapter <> 1 THEN text ELSE p || ' ' || text END AS rest FROM ({SQL_VERSES}), o""",
+    "opening_formula": f"""SELECT chapter, verse, f AS found, CASE WHEN f THEN '{ARTICLE}' END AS prefix, CASE WHEN f THEN ltrim(substring(text, {len(ARTICLE) + 1})) ELSE text END AS rest
+        FROM (SELECT *, starts_with(text, '{ARTICLE}') AND chapter % 7 <> 1 AS f FROM ({SQL_VERSES}))""",
     "letter_units": f"""WITH u AS (SELECT chapter, verse, unnest(u) AS u, generate_subscripts(u, 1) - 1 AS idx FROM (SELECT chapter, verse, regexp_extract_all(text, '[ء-يݐ-ݿٱ][^ء-يݐ-ݿٱ\\s]*') AS u FROM ({SQL_VERSES})))
         SELECT chapter, verse, idx, substring(u, 1, 1) AS letter, substring(u, 2) AS marks, contains(u, '{_M["sukoon"]}') OR {_VOWEL.format("u")} IS NULL AS is_silent,
         contains(u, '{_M["shaddah"]}') AS doubled, {_VOWEL.format("u")} AS vowel FROM u""",
@@ -177,12 +183,12 @@ ORACLES = {
             len(list_filter(range(1, length(part) + 1), lambda k: contains(targets, substring(part, k, 1)))) > 0 AS hit FROM s)
         SELECT word, hint, CASE WHEN hit THEN CAST(e - length(part) AS BIGINT) END AS start_at, CASE WHEN hit THEN CAST(e AS BIGINT) END AS end_at, n_spans,
         CASE WHEN hit THEN substring(word, 1, CAST(e AS BIGINT) - length(part)) || '<b>' || part || '</b>' || substring(word, CAST(e AS BIGINT) + 1) ELSE '<b>' || word || '</b>' END AS marked FROM b WHERE b = 1""",
-    "error_advice": """SELECT * FROM (VALUES
-        ('madd_tabii', 1.2::DOUBLE, 'Hold the sound longer — aim for 2.0 counts', 'too short'), ('madd_tabii', 3.1, 'Shorten the sound — aim for 2.0 counts', 'too long'),
-        ('vowel_backing_after_emphatic_short', 1.0, 'Pronounce with more emphasis — raise the back of the tongue', 'front'),
-        ('tafkhim', 2.0, 'Reduce emphasis — lower the back of the tongue slightly', 'heavy'), ('ghunnah_mushaddadah_noon', 1.0, 'Sustain the nasal sound longer — aim for 2.0 counts', 'weak'),
-        ('ghunnah', 4.0, 'Shorten the nasal sound — aim for 2.0 counts', 'long'), ('qalqalah_major', 0.0, 'Add a slight bounce/echo when releasing the letter', 'none'),
-        ('ikhfaa_light', 0.0, 'Blend the noon/meem sound partially into the next letter with nasalization', 'clear'), ('idgham', 0.0, 'as it is [x]', 'as it is')) AS v(rule, actual, advice, mistake)""",
+    "error_advice": f"""WITH e AS (SELECT {_ERROR(0)} AS rule, {_ERROR(1)} AS description, {_ERROR(2)} AS unit, value < 40 AS short FROM events)
+        SELECT rule, CASE WHEN unit = 'counts' THEN CASE WHEN short THEN 'Hold the sound longer — aim for 40.0 counts' ELSE 'Shorten the sound — aim for 40.0 counts' END
+        WHEN rule = 'tafkhim' THEN CASE WHEN short THEN 'Pronounce with more emphasis — raise the back of the tongue' ELSE 'Reduce emphasis — lower the back of the tongue slightly' END
+        WHEN contains(rule, 'ghunnah') THEN CASE WHEN short THEN 'Sustain the nasal sound longer — aim for 40.0 counts' ELSE 'Shorten the nasal sound — aim for 40.0 counts' END
+        WHEN contains(rule, 'qalqalah') THEN 'Add a slight bounce/echo when releasing the letter' WHEN contains(rule, 'ikhfa') THEN 'Blend the noon/meem sound partially into the next letter with nasalization'
+        ELSE description END AS advice, replace(description, ' [x]', '') AS mistake, count(*) AS n FROM e GROUP BY ALL""",
     "word_of_position": "SELECT l_linenumber, CAST(CASE WHEN l_linenumber < 2 THEN 0 WHEN l_linenumber < 3 THEN 1 WHEN l_linenumber < 5 THEN 2 ELSE 3 END AS BIGINT) AS word_idx, count(*) AS n FROM lineitem GROUP BY ALL",
     "verse_candidates": patterns.sql(SQL_VERSES),
 }

@@ -43,7 +43,7 @@ def preprocess(files: DataFrame, config: Config) -> DataFrame:
                 x, rate = signal.decode_wav(r.content)
                 start = (signal.restart_ms(x, rate) if config.find_restarts else None) or 0
                 spans = signal.repetitions(x, rate) if config.flag_repetitions else []
-                rows.append((r.file_id, start, int(len(x) / rate * 1000), [{"start_ms": a, "end_ms": b} for a, b in spans if a >= start]))
+                rows.append((r.file_id, start, len(x) * 1000 // rate, [{"start_ms": a, "end_ms": b} for a, b in spans if a >= start]))
             yield pd.DataFrame(rows, columns=["file_id", "from_ms", "length_ms", "repeated"])
 
     return files.select("file_id", "content").mapInPandas(run, "file_id string, from_ms bigint, length_ms bigint, repeated array<struct<start_ms:bigint,end_ms:bigint>>")

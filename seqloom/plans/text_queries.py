@@ -1,9 +1,7 @@
-"""Text functions, dictionaries, exports and fixtures of verses."""
+"""Text functions, dictionaries, exports, and the sounds of verses made of benchmark texts."""
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,26 +9,10 @@ from ..functions import text as T
 from ..operators import align
 from ..sources import corpus
 from . import phonology
+from .scripted import SQL_DOCUMENT_VERSES, benchmark_verses, document_verses
 from .tables import positions, table
 
 LETTERS_ANY = "A-Za-z\\u00c0-\\u017f"
-#: A few verses in full script, for the operators that need it.
-VERSES = (
-    (1, 1, "بِسْمِ ٱللَّهِ ٱلرَّحْمَٰنِ ٱلرَّحِيمِ"),
-    (1, 2, "ٱلْحَمْدُ لِلَّهِ رَبِّ ٱلْعَٰلَمِينَ"),
-    (1, 5, "إِيَّاكَ نَعْبُدُ وَإِيَّاكَ نَسْتَعِينُ"),
-    (2, 1, "الٓمٓ"),
-    (112, 1, "قُلْ هُوَ ٱللَّهُ أَحَدٌ"),
-    (112, 3, "لَمْ يَلِدْ وَلَمْ يُولَدْ"),
-    (113, 1, "قُلْ أَعُوذُ بِرَبِّ ٱلْفَلَقِ"),
-)
-
-
-#: The same verses for SQL, as they are and decomposed.
-SQL_VERSES = "SELECT * FROM (VALUES " + ", ".join(f"({c}, {v}, '{t}')" for c, v, t in VERSES) + ") AS v(chapter, verse, text)"
-SQL_DECOMPOSED = "SELECT * FROM (VALUES " + ", ".join(f"({c}, {v}, '{unicodedata.normalize('NFD', t)}')" for c, v, t in VERSES) + ") AS v(chapter, verse, text)"
-
-
 def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang")
 
@@ -89,7 +71,7 @@ def letter_frequencies(spark, d):
 
 def validate_text_reason(spark, d):
     """Reason why a text cannot be processed, over all documents and the fixture verses."""
-    texts = _docs(spark, d).select("text").unionByName(_verses(spark).select("text"))
+    texts = _docs(spark, d).select("text").unionByName(document_verses(spark, d).select("text"))
     return texts.groupBy(F.coalesce(T.validate("text"), F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -161,31 +143,27 @@ def similarity_ratio(spark, d):
     return pairs.where("other IS NOT NULL").select("p_name", "other", F.round(T.similarity("p_name", "other"), 4).alias("ratio"))
 
 
-def _verses(spark):
-    return spark.createDataFrame(list(VERSES), "chapter int, verse int, text string")
-
-
 def verse_sounds(spark, d):
-    """Sounds of the fixture verses, in order."""
-    s = phonology.phonemize(_verses(spark))
+    """Sounds of every verse, in order."""
+    s = phonology.phonemize(benchmark_verses(spark, d))
     return corpus.transcripts(s, ["chapter", "verse"], "pos", "symbol").select("chapter", "verse", F.col("value").alias("sounds"))
 
 
 def verse_rules(spark, d):
-    """Rule applications of the fixture verses, inline."""
-    s = phonology.phonemize(_verses(spark))
+    """Rule applications of every verse, inline."""
+    s = phonology.phonemize(benchmark_verses(spark, d))
     return corpus.annotated(s, phonology.apply_rules(s), ["chapter", "verse"]).select("chapter", "verse", F.col("value").alias("annotated"))
 
 
 def verse_durations(spark, d):
-    """Expected total duration of each fixture verse."""
-    s = phonology.phonemize(_verses(spark))
+    """Expected total duration of every verse."""
+    s = phonology.phonemize(benchmark_verses(spark, d))
     e = phonology.expected_durations(s, phonology.apply_rules(s))
     return e.groupBy("chapter", "verse").agg(F.count("*").alias("n_sounds"), F.round(F.sum("expected_ms"), 3).alias("expected_ms"))
 
 
 def verse_dictionary(spark, d):
-    s = phonology.phonemize(_verses(spark)).withColumn("mfa", phonology.aligner_symbol("symbol"))
+    s = phonology.phonemize(benchmark_verses(spark, d)).withColumn("mfa", phonology.aligner_symbol("symbol"))
     return corpus.dictionary(s, ["chapter", "verse", "word_idx"], "word", "pos", "mfa")
 
 
@@ -209,7 +187,7 @@ ORACLES = {
     "mark_stats": """WITH c AS (SELECT lang, len(regexp_extract_all(text, '[À-ſ]')) AS c FROM documents)
         SELECT lang, CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (WHERE c > 0) AS n_docs, max(c) AS most FROM c GROUP BY lang""",
     "letter_frequencies": "SELECT c, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM documents) WHERE regexp_matches(c, '^[a-z]$') GROUP BY c",
-    "validate_text_reason": f"""WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM ({SQL_VERSES}))
+    "validate_text_reason": f"""WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM ({SQL_DOCUMENT_VERSES}))
         SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty text' WHEN NOT regexp_matches(text, '[ء-يݐ-ݿ]') THEN 'no Arabic text' WHEN NOT regexp_matches(text, '[{"".join(T.MARK_NAMES.values())}]') THEN 'no diacritics'
         WHEN NOT regexp_matches(text, '[{"".join((T.SHORT_MARKS | T.TANWEEN_MARKS).values())}]') THEN 'no vowel marks' ELSE 'fine' END AS reason, count(*) AS n FROM t GROUP BY ALL""",
     "prefix_split": "SELECT doc_id, 'The ' AS prefix, length(ltrim(substring(text, 5), ' ')) AS n_rest FROM documents WHERE starts_with(text, 'The ')",

@@ -143,12 +143,31 @@ def json_per_key(rows: DataFrame, key: list[str], items: str, *columns) -> DataF
     return g.select(*key, F.to_json(F.struct(*key, items)).alias("json"))
 
 
+#: Fixed values: (kind, place from 0, first bytes in hex) of accepted files, and endings of their names.
+SIGNATURES = (
+    ("wav", 0, "52494646"), ("mp3", 0, "494433"), ("mp3", 0, "FFFB"), ("mp3", 0, "FFF3"), ("mp3", 0, "FFF2"), ("aac", 0, "FFF1"), ("aac", 0, "FFF9"),
+    ("ogg", 0, "4F676753"), ("m4a", 4, "66747970"),
+)
+ENDINGS = ("wav", "m4a", "mp3", "aac", "mp4", "ogg")
+MOST_BYTES = 50 * 1024 * 1024
+
+
 def is_audio(content: Column) -> Column:
     """Kind of an uploaded file by its first bytes; null: none that is accepted."""
-    start = lambda n, at=1: F.hex(F.substring(content, at, n))
+    out = None
+    for kind, at, head in SIGNATURES:
+        hit = F.hex(F.substring(content, at + 1, len(head) // 2)) == head
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
+
+
+def upload_problem(name: Column, content: Column, most: int = MOST_BYTES) -> Column:
+    """Why an upload is turned away, the first of its name, its size and its first bytes; null: it is not."""
+    ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./\\]+)$", 1))
+    size = F.coalesce(F.octet_length(content), F.lit(0))
     return (
-        F.when((start(4) == "52494646") & (start(4, 9) == "57415645"), "wav").when(start(3) == "494433", "mp3").when(start(2).isin("FFFB", "FFF3", "FFF2"), "mp3")
-        .when(start(4) == "4F676753", "ogg").when(start(4) == "664C6143", "flac").when(start(4, 5) == "66747970", "m4a").when(start(4) == "1A45DFA3", "webm")
+        F.when(~ending.isin(*ENDINGS), "format is not supported").when(size == 0, "file is empty").when(size > most, "file is too large")
+        .when(is_audio(content).isNull(), "format is not supported")
     )
 
 

@@ -1,4 +1,4 @@
-"""Signals, file formats, rule files, repairs and assessors over literal fixtures.
+"""Cases of signals, file formats, rule files, repairs and assessors over literal fixtures, for ``test_fixtures.py``.
 
 Expected rows are worked out from the fixtures' design (tones of known place and length, known
 bands) and stand in the SQL as VALUES.
@@ -12,10 +12,10 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import signal
-from ..operators import assess, repair, rules, severity
-from ..sources import corpus, rule_files, textgrid
-from . import recitation
+from seqloom.functions import signal
+from seqloom.operators import assess, repair, rules, severity
+from seqloom.sources import corpus, rule_files, textgrid
+from seqloom.plans import recitation
 
 RATE = signal.RATE
 
@@ -206,7 +206,7 @@ SYMBOLS = (("a", "m", True), ("a", "c", True), ("b", "a", False), ("c", "c", Non
 
 def rule_file_scan(spark, d):
     """Rules of a file, the faulty one left out, matched over a sequence."""
-    from ..operators import context
+    from seqloom.operators import context
 
     found, problems = rule_files.parse_rules(RULE_FILE)
     s = spark.createDataFrame([(1, i, x, long) for i, (x, _, long) in enumerate(SYMBOLS)], "k int, pos int, symbol string, long boolean")
