@@ -154,7 +154,7 @@ REPEAT_CORR, REPEAT_LEAST = 0.85, 160
 
 
 def _part(x: np.ndarray, rate: int, span: tuple[int, int]) -> np.ndarray:
-    return x[int(span[0] / 1000 * rate) : int(span[1] / 1000 * rate)]
+    return x[int(span[0] * rate / 1000) : int(span[1] * rate / 1000)]
 
 
 def restart_ms(x: np.ndarray, rate: int = RATE) -> int | None:

@@ -93,12 +93,11 @@ def opening_formula(spark, d):
 
 
 def letter_units(spark, d):
-    """Base letters with their marks, whether they are doubled or silent, and their vowel."""
-    u = _verses(spark, d).select(*VERSE, F.posexplode(T.letter_units("text")).alias("idx", "u"))
-    return u.select(
-        *VERSE, F.col("idx").cast("bigint").alias("idx"), "u.letter", "u.marks", T.is_silent("u.marks").alias("is_silent"),
-        T.doubling_and_vowel("u.marks")["doubled"].alias("doubled"), T.vowel_of("u.marks").alias("vowel"),
-    )
+    """Base letters with their marks, whether they are doubled or silent, and their vowel: how often each is."""
+    u = _verses(spark, d).select(F.explode(T.letter_units("text")).alias("u"))
+    return u.groupBy(
+        "u.letter", "u.marks", T.is_silent("u.marks").alias("is_silent"), T.doubling_and_vowel("u.marks")["doubled"].alias("doubled"), T.vowel_of("u.marks").alias("vowel"),
+    ).agg(F.count("*").alias("n"))
 
 
 def highlight_spans(spark, d):
@@ -174,9 +173,9 @@ ORACLES = {
         array_to_string(regexp_extract_all(text, '[{T.WORD_SIGNS}]+'), '|') AS words, text AS bare, text || '|' || text AS twice FROM ({SQL_VERSES})""",
     "opening_formula": f"""SELECT chapter, verse, f AS found, CASE WHEN f THEN '{ARTICLE}' END AS prefix, CASE WHEN f THEN ltrim(substring(text, {len(ARTICLE) + 1})) ELSE text END AS rest
         FROM (SELECT *, starts_with(text, '{ARTICLE}') AND chapter % 7 <> 1 AS f FROM ({SQL_VERSES}))""",
-    "letter_units": f"""WITH u AS (SELECT chapter, verse, unnest(u) AS u, generate_subscripts(u, 1) - 1 AS idx FROM (SELECT chapter, verse, regexp_extract_all(text, '[ء-يݐ-ݿٱ][^ء-يݐ-ݿٱ\\s]*') AS u FROM ({SQL_VERSES})))
-        SELECT chapter, verse, idx, substring(u, 1, 1) AS letter, substring(u, 2) AS marks, contains(u, '{_M["sukoon"]}') OR {_VOWEL.format("u")} IS NULL AS is_silent,
-        contains(u, '{_M["shaddah"]}') AS doubled, {_VOWEL.format("u")} AS vowel FROM u""",
+    "letter_units": f"""WITH u AS (SELECT unnest(regexp_extract_all(text, '[ء-يݐ-ݿٱ][^ء-يݐ-ݿٱ\\s]*')) AS u FROM ({SQL_VERSES}))
+        SELECT substring(u, 1, 1) AS letter, substring(u, 2) AS marks, contains(u, '{_M["sukoon"]}') OR {_VOWEL.format("u")} IS NULL AS is_silent,
+        contains(u, '{_M["shaddah"]}') AS doubled, {_VOWEL.format("u")} AS vowel, count(*) AS n FROM u GROUP BY u""",
     "highlight_spans": f"""WITH u AS (SELECT word, targets, hint, unnest(u) AS part, generate_subscripts(u, 1) - 1 AS i, len(u) AS n_spans FROM (SELECT *, regexp_extract_all(word, '[^{_ALL}][{_ALL}]*') AS u FROM {_SPAN_WORDS})),
         s AS (SELECT *, sum(length(part)) OVER (PARTITION BY word ORDER BY i) AS e FROM u),
         b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN len(list_filter(range(1, length(part) + 1), lambda k: contains(targets, substring(part, k, 1)))) > 0 THEN 0 ELSE 1 END, abs(i - hint), i) AS b,

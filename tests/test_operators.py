@@ -102,14 +102,6 @@ def test_complement_covers_the_axis(spark):
     assert [(r.gap_start, r.gap_end) for r in g] == [(0.0, 2.0), (5.0, 7.0), (8.0, 10.0)]
 
 
-def test_an_interval_of_too_many_bins_is_an_error(spark):
-    a = spark.createDataFrame([(1, 0.0, 1e9)], "k int, a double, b double")
-    b = spark.createDataFrame([(1, 0.0, 1.0)], "k int, c double, d double")
-    assert intervals.overlap_join(a, b, ["k"], "a", "b", "c", "d", 1e8).count() == 1
-    with pytest.raises(Exception, match="larger width"):
-        intervals.overlap_join(a, b, ["k"], "a", "b", "c", "d", 1.0).count()
-
-
 def test_midpoint_ties_and_nearest(spark):
     w = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0), (1, 2, 40.0, 50.0)], "k int, ordinal int, a double, b double")
     items = spark.createDataFrame([(1, 1, 10.0), (1, 2, 30.0), (1, 3, 90.0)], "k int, item int, m double")
