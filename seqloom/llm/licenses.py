@@ -11,8 +11,8 @@ text. Only units of a known canonical length are digested, which loses none.
 
 The list of known texts is a fixed table of the library (or one passed in) and is
 broadcast. Defined cases: null and empty texts match nothing; a document's licences are
-distinct and sorted; rows that repeat a doc_id share their matches; a null doc_id is
-answered and matched as one document; other columns are ignored.
+distinct and sorted; every row is matched by its own text, whatever rows share its doc_id
+or have none, so a namesake's licence is never taken over; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,27 +118,26 @@ def license_scan(docs: DataFrame, known=ALL) -> DataFrame:
     lengths, openings = sorted({r[0] for r in listed}), sorted({r[1] for r in listed})
     longest = longest_plain(max(lengths, default=0))
     table = F.broadcast(table.select("license", "digest"))
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a plain text that spelling makes a known one is no longer than this
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
-    units = texts.select("doc_id", F.explode(F.concat(
+    units = texts.select("_row", "doc_id", F.explode(F.concat(
         F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), plain(x).alias("unit"))),
         F.array(F.struct(F.lit(True).alias("whole"), plain(F.col("text")).alias("unit"))),
-    )).alias("u")).select("doc_id", "u.*")
+    )).alias("u")).select("_row", "doc_id", "u.*")
     # spelling works word by word and joins two at most, so the first two come from the first four
     opening = F.substring_index(respelt(F.substring_index("unit", " ", 4)), " ", 2)
-    units = units.where(F.length("unit").between(1, longest) & opening.isin(openings) if openings else F.lit(False))
-    units = units.withColumn("unit", respelt(F.col("unit"))).where(F.length("unit").isin(lengths) if lengths else F.lit(False))
-    hits = units.join(table, F.sha2("unit", 256) == F.col("digest"))
-    found = hits.groupBy("doc_id").agg(
+    maybe = F.length("unit").between(1, longest) & opening.isin(openings) if openings else F.lit(False)
+    units = units.withColumn("maybe", maybe).where("maybe OR whole")  # the whole text stands for its row
+    units = units.withColumn("unit", F.when(F.col("maybe"), respelt(F.col("unit"))))
+    digest = F.when(F.length("unit").isin(lengths), F.sha2("unit", 256)) if lengths else F.lit(None).cast("string")
+    hits = units.select("_row", "doc_id", "whole", digest.alias("_digest")).join(table, F.col("_digest") == F.col("digest"), "left")
+    # a row's units are in one task, so they are summed there
+    return hits.groupBy("_row", "doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
         F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("line_licenses"),
-        F.count_if(~F.col("whole")).alias("n_lines"),
-    ).withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
-        F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
-    )
+        F.count_if(~F.col("whole") & F.col("license").isNotNull()).alias("n_lines"),
+    ).drop("_row")
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -165,16 +164,17 @@ def oracle() -> str:
     values = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in ALL)
     return f"""
 WITH known AS (SELECT min(license) AS license, c FROM (SELECT license, {canon('text')} AS c FROM (VALUES {values}) AS k(license, text)) GROUP BY c),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 units AS (
-  SELECT doc_id, true AS whole, text AS unit FROM documents
-  UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents),
-every AS (SELECT doc_id, whole, {canon('unit')} AS c FROM units),
-hits AS (SELECT doc_id, whole, license FROM every JOIN known USING (c) WHERE c <> ''),
+  SELECT r, true AS whole, text AS unit FROM d
+  UNION ALL SELECT r, false, unnest(string_split(text, chr(10))) FROM d),
+every AS (SELECT r, whole, {canon('unit')} AS c FROM units),
+hits AS (SELECT r, whole, license FROM every JOIN known USING (c) WHERE c <> ''),
 found AS (
-  SELECT doc_id, min(license) FILTER (WHERE whole) AS license,
+  SELECT r, min(license) FILTER (WHERE whole) AS license,
          coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole), '') AS line_licenses,
          count(*) FILTER (WHERE NOT whole) AS n_lines
-  FROM hits GROUP BY doc_id)
+  FROM hits GROUP BY r)
 SELECT d.doc_id, f.license, coalesce(f.line_licenses, '') AS line_licenses, CAST(coalesce(f.n_lines, 0) AS BIGINT) AS n_lines
-FROM documents d LEFT JOIN found f USING (doc_id)
+FROM d LEFT JOIN found f USING (r)
 """
