@@ -337,6 +337,18 @@ def components(edges: DataFrame) -> DataFrame:
     return vertices.unionByName(roots).groupBy("doc").agg(F.min("comp").alias("comp"))
 
 
+def _one_row_each(texts: DataFrame, usable: DataFrame) -> DataFrame:
+    """``texts`` with equal rows of one doc_id once, so that a pair of documents is not a pair of all their rows.
+
+    Only ids of several rows are gathered, equal rows before they are shuffled.
+    """
+    repeated = cut(usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return texts
+    once = with_keys(texts, "doc_id", repeated).select("doc_id", "text").dropDuplicates()
+    return with_keys(texts, "doc_id", repeated, "left_anti").select("doc_id", "text").unionByName(once)
+
+
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs(a, b) with both texts; only documents of a pair are read on."""
     pairs = cut(pairs)
@@ -466,6 +478,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bits = min(62, max(32, int(size + 2).bit_length() + SPARE))
     sets = cut(texts.mapInArrow(tidy(_sets(bits)), SETS))
     usable = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    texts = _one_row_each(texts, usable)
 
     # 1. equal sets: one representative; rows of one doc_id with several sets are tied together
     same = ["n", "f1", "f2"]
