@@ -369,3 +369,50 @@ ORACLES = {
     "nasal_sounds": rows("pos, rule, status, severity", "0, 'iqlab', 'assessed', NULL", "1, 'iqlab', 'assessed', 'style'", "2, 'iqlab', 'assessed', 'style'", "3, 'iqlab', 'assessed', 'minor'", "5, 'ghunnah_mushaddadah_noon', 'assessed', NULL",
         "6, 'ikhfaa_light', 'assessed', NULL", "7, 'ikhfaa_heavy', 'assessed', 'major'", "8, 'iqlab', 'skipped', NULL", "9, 'iqlab', 'assessed', 'style'"),
 }
+
+
+#: A few verses in full script.
+VERSES = (
+    (1, 1, "بِسْمِ ٱللَّهِ ٱلرَّحْمَٰنِ ٱلرَّحِيمِ"),
+    (1, 2, "ٱلْحَمْدُ لِلَّهِ رَبِّ ٱلْعَٰلَمِينَ"),
+    (1, 5, "إِيَّاكَ نَعْبُدُ وَإِيَّاكَ نَسْتَعِينُ"),
+    (2, 1, "الٓمٓ"),
+    (112, 1, "قُلْ هُوَ ٱللَّهُ أَحَدٌ"),
+    (112, 3, "لَمْ يَلِدْ وَلَمْ يُولَدْ"),
+    (113, 1, "قُلْ أَعُوذُ بِرَبِّ ٱلْفَلَقِ"),
+)
+
+
+def _verse_sounds(spark):
+    from seqloom.plans import phonology
+
+    return phonology.phonemize(spark.createDataFrame(list(VERSES), "chapter int, verse int, text string"))
+
+
+def verse_sounds(spark, d):
+    return corpus.transcripts(_verse_sounds(spark), ["chapter", "verse"], "pos", "symbol").select("chapter", "verse", F.col("value").alias("sounds"))
+
+
+def verse_rules(spark, d):
+    from seqloom.plans import phonology
+
+    s = _verse_sounds(spark)
+    return corpus.annotated(s, phonology.apply_rules(s), ["chapter", "verse"]).select("chapter", "verse", F.col("value").alias("annotated"))
+
+
+def verse_durations(spark, d):
+    from seqloom.plans import phonology
+
+    s = _verse_sounds(spark)
+    e = phonology.expected_durations(s, phonology.apply_rules(s))
+    return e.groupBy("chapter", "verse").agg(F.count("*").alias("n_sounds"), F.round(F.sum("expected_ms"), 3).alias("expected_ms"))
+
+
+def verse_dictionary(spark, d):
+    from seqloom.plans import phonology
+
+    s = _verse_sounds(spark).withColumn("mfa", phonology.aligner_symbol("symbol"))
+    return corpus.dictionary(s, ["chapter", "verse", "word_idx"], "word", "pos", "mfa")
+
+
+QUERIES |= {f.__name__: f for f in (verse_sounds, verse_rules, verse_durations, verse_dictionary)}
