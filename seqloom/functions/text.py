@@ -6,12 +6,12 @@ Arrow-batched functions, since Spark has no built-in for them.
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import ratios
+
 #: Unicode characters of Arabic script and its marks.
 TATWEEL = "\u0640"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
@@ -368,10 +368,11 @@ def before_bracket(text: Column | str) -> Column:
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff/Obershelp ratio of two strings."""
+    """Ratio of matching blocks of two strings; null if one is null. A whole batch is matched together."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+        both = x.notna() & y.notna()
+        return pd.Series(ratios(x[both].tolist(), y[both].tolist()), index=x.index[both], dtype="float64").reindex(x.index)
 
     return run(as_column(a), as_column(b))
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import edit_script, matching_blocks
+
+#: Columns of an edit block.
+EDITS = "tag string, i1 int, i2 int, j1 int, j2 int"
+
 
 def suffix_align(left: DataFrame, right: DataFrame, key: Sequence[str], l_order: str, r_order: str) -> DataFrame:
     """Rows paired from the end of both sequences; the surplus at the longer one's head stays out.
@@ -46,7 +51,7 @@ def _both(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, wor
 
 
 def _per_key(both: DataFrame, key: Sequence[str], schema: str, rows) -> DataFrame:
-    """``rows(left, right)`` of each key behind the key's columns, many keys a batch."""
+    """The key's columns before each row of its pair; ``rows`` gets the pairs of a batch and returns a list for each."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -59,8 +64,7 @@ def _per_key(both: DataFrame, key: Sequence[str], schema: str, rows) -> DataFram
     def run(batches):
         for batch in batches:
             at, found = [], []
-            for i, (x, y) in enumerate(zip(batch.column("_l").to_pylist(), batch.column("_r").to_pylist())):
-                new = rows(x, y)
+            for i, new in enumerate(rows(list(zip(batch.column("_l").to_pylist(), batch.column("_r").to_pylist())))):
                 at += [i] * len(new)
                 found += new
             held = [batch.column(p).take(pa.array(at, pa.int32())) for p in places]
@@ -77,22 +81,63 @@ def greedy_word_match(left: DataFrame, right: DataFrame, key: Sequence[str], ord
     One group is one verse, so a group is small and one row; the scan is stateful and runs in Python.
     """
 
-    def rows(a, b):
-        words = [x["w"] for x in a]
-        places = greedy_match(words, [y["w"] for y in b], strict)
+    def one(a, b):
+        places = greedy_match([x["w"] for x in a], [y["w"] for y in b], strict)
         return [(x["o"], None if p is None else b[p]["o"], x["w"]) for x, p in zip(a, places)]
 
+    def rows(pairs):
+        return [one(a, b) for a, b in pairs]
+
     return _per_key(_both(left, right, key, order, word), key, "left_pos bigint, right_pos bigint, word string", rows)
 
 
 def diff_opcodes(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, word: str) -> DataFrame:
     """Edit blocks between two word sequences: key, tag (equal, replace, delete, insert), i1, i2, j1, j2."""
-    import difflib
 
-    def rows(a, b):
-        return difflib.SequenceMatcher(None, [x["w"] for x in a], [y["w"] for y in b], autojunk=False).get_opcodes()
+    def rows(pairs):
+        words = [[[x["w"] for x in side] for side in pair] for pair in pairs]
+        blocks = matching_blocks([a for a, _ in words], [b for _, b in words])
+        return [edit_script(m, len(a), len(b)) for m, (a, b) in zip(blocks, words)]
+
+    return _per_key(_both(left, right, key, order, word), key, EDITS, rows)
+
+
+class EditScript:
+    """Table function ``edit_script(TABLE(t), 'key', 'side', 'order', 'word')``: the edit blocks of each key's two sequences.
+
+    ``side`` 0 is the left one, anything else the right one. The key keeps its type; rows of a key
+    come together and sorted by the function's own demand, whatever the caller's table looks like.
+    A null word equals a null word; a null key is a key.
+    """
+
+    def __init__(self):
+        self.key, self.words = None, ([], [])
+
+    @staticmethod
+    def analyze(rows, key, side, order, word):
+        from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+        from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitioningColumn
+
+        names = [x.value for x in (key, side, order, word)]
+        if lacking := [n for n in names if n not in rows.dataType.names]:
+            raise ValueError(f"no column {lacking[0]} in the table")
+        kinds = {"string": StringType(), "int": IntegerType()}
+        schema = StructType([rows.dataType[names[0]], *[StructField(n, kinds[k]) for n, k in (x.split() for x in EDITS.split(", "))]])
+        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn(names[0])], orderBy=[OrderingColumn(names[1]), OrderingColumn(names[2])])
+
+    def eval(self, row, key, side, order, word):
+        self.key = row[key]
+        self.words[row[side] != 0].append(row[word])
+
+    def terminate(self):
+        left, right = self.words
+        for edit in edit_script(matching_blocks([left], [right])[0], len(left), len(right)):
+            yield self.key, *edit
+
 
-    return _per_key(_both(left, right, key, order, word), key, "tag string, i1 int, i2 int, j1 int, j2 int", rows)
+def register_edit_script(spark: SparkSession, name: str = "edit_script") -> None:
+    """Make ``EditScript`` callable from SQL."""
+    spark.udtf.register(name, F.udtf(EditScript))
 
 
 def word_errors(opcodes: DataFrame) -> DataFrame:

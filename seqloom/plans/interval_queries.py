@@ -128,6 +128,15 @@ def diff_word_errors(spark, d):
     return align.word_errors(align.diff_opcodes(*_next_days(spark, d), ["user_id", "day"], "pos", "word")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def edit_script(spark, d):
+    """The edit blocks between each day of each user and the next, by the table function in SQL."""
+    align.register_edit_script(spark)
+    left, right = _next_days(spark, d)
+    one = lambda df, side: df.select(F.struct("user_id", "day").alias("k"), F.lit(side).alias("side"), "pos", "word")
+    blocks = spark.sql("SELECT * FROM edit_script(TABLE({rows}), 'k', 'side', 'pos', 'word')", rows=one(left, 0).unionByName(one(right, 1)))
+    return blocks.select("k.user_id", "k.day", "tag", "i1", "i2", "j1", "j2")
+
+
 _SHORT, _LONG = "event_type IN ('view', 'click')", "event_type = 'purchase'"
 
 
@@ -330,7 +339,7 @@ def balanced_selection(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     overlap_pairs, overlap_semi, containment, midpoint_assign_nearest, silence_complement, pauses, split_segments, rebase_timestamps, suffix_align,
-    ordinal_align, count_mismatch, greedy_word_match, diff_word_errors, calibrate_group, calibrate_all, calibrate_rollup, severity_bands,
+    ordinal_align, count_mismatch, greedy_word_match, diff_word_errors, edit_script, calibrate_group, calibrate_all, calibrate_rollup, severity_bands,
     severity_downgrade, long_vowel_bands, weighted_score, chapter_summary, score_unweighted, category_counts_zero_fill, top1_first_tie,
     category_pivot, multiset_confusion, micro_prf, prf_sets, macro_prf, detection_status, quantile_summary, uneven_histogram,
     duration_outliers, value_coverage, grouped_report_rows, patch_upsert, skip_flags, verification_targets, balanced_selection,
