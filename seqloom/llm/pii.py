@@ -15,8 +15,9 @@ than any emissions can make good, the best path is outside (``safe``), so skippi
 changes no tag. A text of more than ``PIECE`` characters is read in pieces that overlap
 by ``LAP``; a span belongs to the piece it starts in.
 
-Labelled spans: base matches in a bounded sample of documents (``SAMPLE_DOCS`` rows in
-hash order, ``SAMPLE_CHARS`` characters of each at most, the only texts that are cut) and
+Labelled spans: base matches in a bounded sample of documents (``sample`` rows in hash
+order, of a longer text a stretch of ``chars`` characters from a place that a hash of its
+doc_id chooses; both are parameters of ``fit``, and these are the only texts that are cut) and
 spans of made-up values written into stretches of the same documents.
 
 Defined cases: null and empty texts have no spans; offsets are code points, end
@@ -34,7 +35,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidy
@@ -584,13 +585,22 @@ def all_spans(base: list[tuple[int, int, str]], model: list[tuple[int, int, str]
     return sorted(kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Train on stretches of at most ``sample`` documents, taken in hash order."""
+def stretch(text: Column, key: Column, chars: int) -> Column:
+    """At most ``chars`` characters of a text, from a place anywhere in it that a hash of the key chooses."""
+    places = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(text, F.pmod(F.xxhash64(key), places).cast("int") + 1, F.lit(chars))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
+    """Train on stretches of at most ``chars`` characters of at most ``sample`` documents, taken in hash order.
+
+    Rows without a doc_id are not drawn; of the rows of one doc_id the least stretch is taken.
+    """
     # ids first: every task sends its smallest ones to the driver, not their texts
     ids = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
     ids = ids.where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), stretch(F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint"), chars).alias("text"))
         .join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     )

@@ -445,6 +445,17 @@ def test_pii_empty_table_and_clashing_columns(spark, network, monkeypatch):
     assert pii.redact(more, network).columns == more.columns
 
 
+def test_pii_learns_from_any_part_of_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    rows = docs(spark, [(k, text) for k in range(200)] + [(-1, "short"), (-2, ""), (-3, None)])
+    got = rows.select("doc_id", pii.stretch(F.coalesce("text", F.lit("")), F.col("doc_id"), 1000).alias("s")).collect()
+    places = [text.index(r.s) for r in got if r.doc_id >= 0]
+    assert all(len(r.s) == 1000 for r in got if r.doc_id >= 0) and min(places) < 400 and max(places) > 3600 and max(places) <= 4000
+    assert {r.doc_id: r.s for r in got if r.doc_id < 0} == {-1: "short", -2: "", -3: ""}
+
+
 def test_pii_fit_without_documents(spark, monkeypatch):
     monkeypatch.setattr(pii, "train", lambda texts: texts)
     assert pii.fit(docs(spark, [])) == [] and pii.fit(docs(spark, [(1, "a"), (1, "b"), (None, "c")])) == ["a"]
