@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align
+from ..operators import align, contain
 from ..sources import corpus
 from . import phonology
 from .scripted import SQL_DOCUMENT_VERSES, benchmark_verses, document_verses
@@ -130,6 +130,12 @@ def display_names(spark, d):
     return p.select("rule", T.display_name("rule", {"red_widget": "The red one"}).alias("title"), T.file_key(F.length("rule"), F.lit(7)).alias("file_key"))
 
 
+def words_in_words(spark, d):
+    """Words of four letters or more of benchmark texts, and the longer words of documents that they are in."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word"))
+    return contain.containments(words("benchmark"), words("documents"), "word", "word").where("needle <> text").withColumnRenamed("text", "word")
+
+
 def similarity_ratio(spark, d):
     """Neighbours among sorted part names, and how alike they are by the ratio of matching blocks.
 
@@ -169,11 +175,14 @@ def verse_dictionary(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_clean, text_fold, strip_marks, token_offsets, char_context, mark_stats, letter_frequencies, validate_text_reason, prefix_split,
-    pattern_candidates, ranked_lookup, oov_anti, dictionary_variants, ordered_concat, json_envelope, display_names, similarity_ratio,
+    pattern_candidates, ranked_lookup, oov_anti, dictionary_variants, ordered_concat, json_envelope, display_names, similarity_ratio, words_in_words,
     verse_sounds, verse_rules, verse_durations, verse_dictionary,
 )}
 
 ORACLES = {
+    "words_in_words": """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS needle FROM benchmark),
+        w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS word FROM documents)
+        SELECT needle, word FROM n JOIN w ON contains(word, needle) AND needle <> word""",
     "text_clean": r"""WITH c AS (SELECT doc_id, nfc_normalize(regexp_replace(text, '[\x{0640}\x{200B}-\x{200D}\x{FEFF}\x{06D6}-\x{06E0}\x{06E2}\x{06ED}]', '', 'g')) AS c FROM documents)
         SELECT doc_id, length(c) AS n_chars, nullif(string_split(trim(regexp_replace(c, '\s+', ' ', 'g')), ' ')[1], '') AS first_word FROM c""",
     "text_fold": """WITH c AS (SELECT doc_id, translate(lower(text), 'äöüáéíóúàèìòùâêîôûçñ', 'aouaeiouaeiouaeioucn') AS c FROM documents)
