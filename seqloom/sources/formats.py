@@ -12,9 +12,10 @@ into byte ranges, of ``split`` bytes (32 MB) both. Conditions on ``file_id`` pru
 exists; those on ``tier`` and ``frame`` limit what a task decodes. Interval files are read line by
 line, recordings a few frames at a time, so a file of any length takes little memory.
 
-A write appears as a whole or not at all: tasks fill folders of their own under ``_temporary``, and the
-commit renames one folder a task and then writes ``_SUCCESS``; a failed job, or a second attempt of a
-task, leaves nothing behind. Readers pass over names that begin with ``_`` or ``.``. The file system must be
+Tasks fill folders of their own under ``_temporary``, and the commit renames one folder a task and
+then writes ``_SUCCESS``; a failed job, or a second attempt of a task, leaves nothing that a reader
+sees. A driver that is lost during the renames leaves some of them done: a fresh folder is whole
+once it has ``_SUCCESS``. Readers pass over names that begin with ``_`` or ``.``. The file system must be
 able to rename a folder. Names are unique within a job by the caller; a second one in one
 task is an error, as is an empty, absolute or climbing (``..``) name.
 """
