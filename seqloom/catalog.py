@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from .plans import (
     acoustic_queries, assess_queries, format_queries, interval_queries, long_queries, mark_queries, recording_queries, report_queries, sequence_queries,
-    storage_queries, text_queries,
+    spelling_queries, storage_queries, text_queries,
 )
 
-MODULES = (sequence_queries, interval_queries, long_queries, text_queries, mark_queries, acoustic_queries, report_queries, recording_queries, assess_queries, format_queries, storage_queries)
+MODULES = (sequence_queries, interval_queries, long_queries, text_queries, mark_queries, acoustic_queries, report_queries, recording_queries, assess_queries, format_queries, storage_queries, spelling_queries)
 
 
 def queries() -> dict:
