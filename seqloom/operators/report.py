@@ -151,26 +151,46 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.withColumn("draw", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).orderBy("draw", key).limit(n)
 
 
-def balanced_selection(candidates: DataFrame, classes: Sequence[str], item: str, order: str, each: int) -> DataFrame:
-    """At most ``each`` items a class, classes in the given order; an item is used once over all classes.
-
-    A class takes its first items that no class before it took, so classes are gone through one
-    by one; there are few (kinds of rules), and what was taken is a few rows.
+def class_ranks(candidates: DataFrame, order: str) -> DataFrame:
+    """class, rank (from 1): classes in order of their first candidate, of equal ones by name."""
+    first = candidates.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("_o"))
+    return first.select("class", F.row_number().over(Window.orderBy("_o", "class")).alias("rank"))  # a row a class
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder of checkpoints; on one machine that names none, in one of the warehouse."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_selections")
+    return df.checkpoint()
+
+
+def balanced_selection(candidates: DataFrame, ranks: DataFrame, item: str, order: str, each: int) -> DataFrame:
+    """At most ``each`` items a class, by ``order`` and item; an item is used once over all classes, by the class of the lowest ``rank``.
+
+    The same as if classes chose one after another, but all of them choose at once: each takes its
+    first items, an item keeps the best class that takes it, and is closed to all classes behind
+    that one; this repeats until no item is taken twice. After k rounds the first k classes are
+    settled, mostly many more. A class of rank r can lose each * (r - 1) items, so more than
+    each * r of its candidates are never looked at. Rows without a class, an item or a rank take no part.
     """
-    taken, out = None, None
-    for name in classes:
-        mine = candidates.where(F.col("class") == name).groupBy("class", item).agg(F.min(order).alias(order))
-        if taken is not None:
-            mine = mine.join(F.broadcast(taken), item, "left_anti")  # each x classes items
-        mine = mine.orderBy(order, item).limit(each)
-        new = mine.select(item)
-        taken, out = (new, mine) if taken is None else (taken.unionByName(new), out.unionByName(mine.select(*out.columns)))
-    return out
-
-
-def class_order(candidates: DataFrame, order: str) -> list[str]:
-    """Classes in order of their first candidate (a row a class on the driver)."""
-    return [r[0] for r in candidates.groupBy("class").agg(F.min(order).alias("o")).orderBy("o", "class").collect()]
+    n = ranks.count()
+    place = F.row_number().over(Window.partitionBy("class").orderBy(order, item))
+    best = candidates.where(F.col("class").isNotNull() & F.col(item).isNotNull()).groupBy("class", item).agg(F.min(order).alias(order))
+    # the literal bound cuts a large class before it is exchanged
+    best = best.withColumn("_k", place).where(F.col("_k") <= each * n)
+    pool = _cut(best.join(ranks.select("class", "rank"), "class").where(F.col("_k") <= each * F.col("rank")).drop("_k"))
+    left = pool.count()
+    while True:
+        taken = pool.withColumn("_k", place).where(F.col("_k") <= each).drop("_k")
+        held = taken.groupBy(item).agg(F.min("rank").alias("_held"))
+        pool = _cut(pool.join(held, item, "left").where("_held IS NULL OR rank <= _held").select("class", item, order, "rank"))
+        before, left = left, pool.count()
+        if left == before:
+            return taken.select("class", item, order)
 
 
 def passed(verses: DataFrame) -> DataFrame:

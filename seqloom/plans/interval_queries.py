@@ -334,7 +334,7 @@ def verification_targets(spark, d):
 def balanced_selection(spark, d):
     """At most three users a kind of event, by their first event; kinds in order of appearance, a user once over all."""
     c = table(spark, d, "events").select(F.col("event_type").alias("class"), "user_id", "event_id")
-    return report.balanced_selection(c, report.class_order(c, "event_id"), "user_id", "event_id", 3)
+    return report.balanced_selection(c, report.class_ranks(c, "event_id"), "user_id", "event_id", 3)
 
 
 QUERIES = {f.__name__: f for f in (
