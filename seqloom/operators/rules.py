@@ -13,7 +13,7 @@ A condition whose context value is null (not known at this position) passes, unl
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,6 +61,12 @@ def predicates(rule: Rule, symbol: str, prev: str, next: str, strict: bool = Fal
     return parts
 
 
+def known_conditions(rules: Sequence[Rule], columns: Sequence[str]) -> list[Rule]:
+    """Rules without conditions on context that is known nowhere, as such a condition passes."""
+    have = set(columns)
+    return [replace(r, conditions={c: v for c, v in r.conditions.items() if c in have}) for r in rules]
+
+
 def hits(rules: Sequence[Rule], symbol: str = "symbol", prev: str = "symbol_p1", next: str = "symbol_n1", strict: bool = False) -> Column:
     """Array of (rule, category, priority, rule_order) of the rules that match at a position, by priority."""
     found = [

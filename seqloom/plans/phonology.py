@@ -7,6 +7,8 @@ verses(chapter, verse, text) -> letters -> sounds(chapter, verse, pos, word_idx,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,6 +244,20 @@ RULES = (
     rules.Rule("cross_word_emphasis_continuation", ("a",), "general", 45),
     rules.Rule("madd_lazim_muthaqqal_kalimi", _LONG3, "madd", 85, next=("geminate",), conditions=_yes("is_long_vowel")),
 )
+#: The optional rules of r, as a file; what they ask of vowels around is not told by the context, and the one without a target never fires.
+R_RULES = """
+rules:
+- {name: raa_tafkheem_with_fatha, category: raa, priority: 90, pattern: {target: r, conditions: {has_fatha: true}}}
+- {name: raa_tafkheem_with_damma, category: raa, priority: 90, pattern: {target: r, conditions: {has_damma: true}}}
+- {name: raa_tarqeeq_with_kasra, category: raa, priority: 91, pattern: {target: r, conditions: {has_kasra: true, no_emphatic_after: true}}}
+- {name: raa_tafkheem_sakinah_after_fatha, category: raa, priority: 85, pattern: {target: r, conditions: {has_sukoon: true, preceded_by_fatha: true}}}
+- {name: raa_tafkheem_sakinah_after_damma, category: raa, priority: 85, pattern: {target: r, conditions: {has_sukoon: true, preceded_by_damma: true}}}
+- {name: raa_tarqeeq_sakinah_after_kasra, category: raa, priority: 86, pattern: {target: r, conditions: {has_sukoon: true, preceded_by_kasra: true, not_followed_by_emphatic_in_word: true, not_followed_by_fatha_or_damma: true}}}
+- {name: raa_after_yaa_sakinah, category: raa, priority: 87, pattern: {target: r, conditions: {preceded_by_yaa_sakinah: true}}}
+- {name: raa_misr_exception, category: raa, priority: 100, pattern: {word: مِصْر, target_position: -1}}
+- {name: raa_after_hamzat_wasl_kasra, category: raa, priority: 88, pattern: {target: r, conditions: {preceded_by_hamzat_wasl: true, hamzat_wasl_has_kasra: true}}}
+- {name: raa_emphatic_context_override, category: raa, priority: 95, pattern: {target: r, conditions: {in_same_word_as_emphatic: true, emphatic_influences_raa: true}}}
+"""
 #: Rules that fire by injection alone.
 INJECTED = ("madd_lazim", "ghunnah")
 #: Rules that suppress the plain long vowel at the same place.
@@ -258,23 +274,28 @@ BASE_MS, BASE_TOLERANCE = {"consonant": 80.0, "short": 100.0, "long": 200.0}, {"
 COUNT_MS, WORD_FINAL, VERSE_FINAL = 200.0, 1.3, 1.5
 
 
-def apply_rules(sounds: DataFrame) -> DataFrame:
-    """chapter, verse, pos, rule: scanned matches, injected specs, and the general rule suppressed; a projection of each position."""
-    scanned = F.transform(rules.hits(RULES, "symbol", "s_1", "s1"), lambda h: h["rule"])
+def apply_rules(sounds: DataFrame, table: Sequence[rules.Rule] = RULES) -> DataFrame:
+    """chapter, verse, pos, rule: scanned matches, injected specs, and the general rule suppressed; a projection of each position.
+
+    ``table`` are the rules, built in or of files (``sources.rule_files``); a condition on context
+    that ``with_context`` does not give passes.
+    """
+    placed = with_context(sounds)
+    scanned = F.transform(rules.hits(rules.known_conditions(table, placed.columns), "symbol", "s_1", "s1"), lambda h: h["rule"])
     injected = F.when(F.col("spec").isNotNull(), F.array("spec")).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.concat(scanned, injected))
     over = F.arrays_overlap(F.col("_rules"), F.array(*[F.lit(r) for r in OVER_PLAIN]))
     kept = F.when(over, F.array_remove("_rules", "madd_tabii")).otherwise(F.col("_rules"))
-    return with_context(sounds).withColumn("_rules", every).select(*VERSE, "pos", F.explode(kept).alias("rule"))
+    return placed.withColumn("_rules", every).select(*VERSE, "pos", F.explode(kept).alias("rule"))
 
 
-def expected_durations(sounds: DataFrame, apps: DataFrame) -> DataFrame:
+def expected_durations(sounds: DataFrame, apps: DataFrame, table: Sequence[rules.Rule] = RULES) -> DataFrame:
     """chapter, verse, pos, symbol, expected_ms, tolerance_ms.
 
     The rule of the lowest priority sets the base (counts of 200 ms before milliseconds), all
     rules' multipliers and the word- and verse-final factors apply.
     """
-    order = {r.name: i for i, r in enumerate(rules.by_priority(RULES))} | {name: 1000 + i for i, name in enumerate(INJECTED)}
+    order = {r.name: i for i, r in enumerate(rules.by_priority(table))} | {name: 1000 + i for i, name in enumerate(INJECTED)}
     pairs = [x for name, v in EXPECTED.items() for x in (F.lit(name), F.struct(*[F.lit(y).cast("double").alias(c) for c, y in zip("cmtb", v)]))]
     effect = F.create_map(*pairs)[F.col("rule")]
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("rule")]

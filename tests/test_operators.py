@@ -478,3 +478,22 @@ def test_calibration_of_any_size_equals_arrays(spark):
     cols = ["k", "unit_ms", "short_median_ms", "long_median_ms", "n_short", "n_long", "is_default", "tolerance"]
     one, two = (f(df, ["k"], "v", F.col("kind") == "s", F.col("kind") == "m").select(*cols).orderBy("k").collect() for f in (calibrate.calibrate, calibrate.calibrate_any_size))
     assert [tuple(r) for r in one] == [tuple(r) for r in two]
+
+
+def test_rule_files_drive_the_scan(spark, tmp_path):
+    """Rules read from files fire beside the built-in ones; conditions on context that is not known pass, as the one without a target does not."""
+    f = tmp_path / "r.yaml"
+    f.write_text(phonology.R_RULES, encoding="utf-8")
+    optional, problems = rule_files.read_rules(f)
+    assert len(optional) == 10 and not problems
+    verses = spark.createDataFrame([(1, 1, "رَبِّ"), (1, 2, "بِرْ تَ"), (1, 3, "بَتَ"), (1, 4, None)], "chapter int, verse int, text string")
+    sounds = phonology.phonemize(verses)
+    built_in = sorted(map(tuple, phonology.apply_rules(sounds).collect()))
+    both = sorted(map(tuple, phonology.apply_rules(sounds, [*phonology.RULES, *optional]).collect()))
+    always = {"raa_tafkheem_with_fatha", "raa_tafkheem_with_damma", "raa_tarqeeq_with_kasra", "raa_after_yaa_sakinah", "raa_after_hamzat_wasl_kasra", "raa_emphatic_context_override"}
+    silent = {"raa_tafkheem_sakinah_after_fatha", "raa_tafkheem_sakinah_after_damma", "raa_tarqeeq_sakinah_after_kasra"}
+    more = set(both) - set(built_in)
+    assert set(built_in) <= set(both) and len(both) == len(set(both))
+    assert more == {(1, 1, 0, r) for r in always} | {(1, 2, 2, r) for r in always | silent}
+    only = phonology.apply_rules(sounds, optional).collect()
+    assert {tuple(r) for r in only} == more
