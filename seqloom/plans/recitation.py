@@ -31,52 +31,41 @@ class Config:
     long: float = 2.0
 
 
-def preprocess(files: DataFrame, config: Config) -> DataFrame:
-    """files(file_id, content) -> file_id, from_ms (start of the last attempt), length_ms, repeated (spans that are said again)."""
+def preprocess(files: DataFrame, config: Config, read=signal.content) -> DataFrame:
+    """files(file_id, content) -> file_id, from_ms (start of the last attempt), length_ms, repeated (spans that are said again).
 
-    def run(batches):
-        import pandas as pd
+    ``read`` makes a recording's bytes from a row, here and below.
+    """
 
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x, rate = signal.decode_wav(r.content)
-                start = (signal.restart_ms(x, rate) if config.find_restarts else None) or 0
-                spans = signal.repetitions(x, rate) if config.flag_repetitions else []
-                rows.append((r.file_id, start, len(x) * 1000 // rate, [{"start_ms": a, "end_ms": b} for a, b in spans if a >= start]))
-            yield pd.DataFrame(rows, columns=["file_id", "from_ms", "length_ms", "repeated"])
+    def rows(r, x, rate):
+        start = (signal.restart_ms(x, rate) if config.find_restarts else None) or 0
+        spans = signal.repetitions(x, rate) if config.flag_repetitions else []
+        yield r["file_id"], start, len(x) * 1000 // rate, [{"start_ms": a, "end_ms": b} for a, b in spans if a >= start]
 
-    return files.select("file_id", "content").mapInPandas(run, "file_id string, from_ms bigint, length_ms bigint, repeated array<struct<start_ms:bigint,end_ms:bigint>>")
+    return signal.over_files(files, rows, "file_id string, from_ms bigint, length_ms bigint, repeated array<struct<start_ms:bigint,end_ms:bigint>>", read)
 
 
-def boundaries(files: DataFrame, expected: DataFrame, least_frames: int, limit: bool) -> DataFrame:
+def boundaries(files: DataFrame, expected: DataFrame, least_frames: int, limit: bool, read=signal.content) -> DataFrame:
     """file_id, at: middles of silences; with ``limit`` no more than the recording's verses (``expected``) leave between them."""
-    n = expected.groupBy("file_id").agg((F.count("*") - 1).cast("int").alias("n"))
-    asked = files.select("file_id", "content").join(n, "file_id")
 
-    def run(batches):
-        import pandas as pd
+    def rows(r, x, rate):
+        for at in signal.dual_silences(x, rate, least_frames, expected=len(r["segments"]) - 1 if limit else None):
+            yield r["file_id"], float(at)
 
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x, rate = signal.decode_wav(r.content)
-                rows += [(r.file_id, float(at)) for at in signal.dual_silences(x, rate, least_frames, expected=int(r.n) if limit else None)]
-            yield pd.DataFrame(rows, columns=["file_id", "at"]).astype({"at": "float64"})
+    asked = signal.with_segments(expected, files, ["file_id"]).where("file IS NOT NULL")
+    return signal.over_files(asked, rows, "file_id string, at double", lambda r: read(r["file"]))
 
-    return asked.mapInPandas(run, "file_id string, at double")
 
-
-def segment(files: DataFrame, prepared: DataFrame, expected: DataFrame, config: Config) -> DataFrame:
+def segment(files: DataFrame, prepared: DataFrame, expected: DataFrame, config: Config, read=signal.content) -> DataFrame:
     """expected(file_id, verse, length) in ms -> file_id, ordinal, start, end, confidence: a recording cut between its verses."""
     total = prepared.select("file_id", F.col("from_ms").cast("double").alias("from_ms"), F.col("length_ms").cast("double").alias("length_ms"))
-    cuts = boundaries(files, expected, config.silence_frames, True)
+    cuts = boundaries(files, expected, config.silence_frames, True, read)
     parts = intervals.segments_from_splits(cuts, ["file_id"], "at", total, "length_ms").join(total, "file_id")
     parts = parts.where(F.col("end") > F.col("from_ms")).select("file_id", F.greatest("start", "from_ms").alias("start"), "end")
     if not config.recover_segments:
         w = Window.partitionBy("file_id").orderBy("start")
         return parts.select("file_id", F.row_number().over(w).alias("ordinal"), "start", "end", F.lit("high").alias("confidence"))
-    return repair.recover_segments(parts, expected, config.short, boundaries(files, expected, config.tight_frames, False), config.long)
+    return repair.recover_segments(parts, expected, config.short, boundaries(files, expected, config.tight_frames, False, read), config.long)
 
 
 def postprocess(sounds: DataFrame, key: Sequence[str], config: Config) -> DataFrame:

@@ -7,10 +7,11 @@ of whole periods, so SQL can tell from the events alone what a kernel must find.
 from __future__ import annotations
 
 import io
+import math
 import wave
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,60 +50,78 @@ SQL_RUNS = f"""SELECT file_id, quiet, total, min(first) AS a, max(first + frames
     GROUP BY file_id, quiet, total, CASE WHEN quiet THEN s ELSE q END"""
 
 
-def wav(parts: list[np.ndarray]) -> bytes:
+@lru_cache(4096)
+def _tone(hz: float, level: float) -> np.ndarray:
+    """The samples after which a tone of whole Hz repeats."""
+    return (np.sin(2 * np.pi * hz * np.arange(RATE // math.gcd(RATE, int(hz))) / RATE) * level * 32767).astype(np.int16)
+
+
+def made(row: dict) -> bytes:
+    """A 16-bit file of the tones of a row's pieces (idx, frames, level, hz), each frame ``frame_ms`` long."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
-        w.writeframes((np.concatenate(parts) * 32767).astype(np.int16).tobytes())
+        parts = sorted(row["pieces"], key=lambda p: p["idx"])
+        w.writeframes(np.concatenate([np.resize(_tone(p["hz"], p["level"]), p["frames"] * RATE * row["frame_ms"] // 1000) for p in parts]).tobytes())
     return out.getvalue()
 
 
+def scores(pieces: DataFrame, frame_ms: int = FRAME) -> DataFrame:
+    """file_id, pieces, frame_ms: what ``made`` turns into a recording, where it is read; twenty pieces or so.
+
+    A second of sound is 32,000 bytes and its piece a few, so scores are what is shuffled and joined.
+    """
+    g = signal.spread(pieces).groupBy("file_id").agg(F.collect_list(F.struct("idx", "frames", F.col("level").cast("double").alias("level"), "hz")).alias("pieces"))
+    return g.withColumn("frame_ms", F.lit(frame_ms))
+
+
 def recordings(pieces: DataFrame, frame_ms: int = FRAME) -> DataFrame:
-    """file_id, content: a 16-bit file of each file's tones (idx, frames, level, hz), twenty pieces or so."""
+    """file_id, content: the recordings themselves, a few at a time."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.sin(2 * np.pi * p.hz * np.arange(int(p.frames) * RATE * frame_ms // 1000) / RATE) * p.level for p in pdf.sort_values("idx").itertuples()]
-        return pd.DataFrame({"file_id": [pdf.file_id.iloc[0]], "content": [wav(parts)]})
+        for batch in batches:
+            for k in range(0, batch.num_rows, 16):
+                rows = batch.slice(k, 16).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([r["file_id"] for r in rows], pa.string()), pa.array(map(made, rows), pa.binary())], names=["file_id", "content"])
 
-    return pieces.select("file_id", "idx", "frames", "level", "hz").groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+    return scores(pieces, frame_ms).mapInArrow(run, "file_id string, content binary")
 
 
 def _files(spark, d) -> DataFrame:
     return recordings(_pieces(spark, d))
 
 
-def _numbers(files: DataFrame, rows) -> DataFrame:
+def _numbers(spark, d, rows) -> DataFrame:
     """A row for each number that ``rows(samples, rate)`` gives of each recording."""
-
-    def run(batches):
-        for pdf in batches:
-            out = [(r.file_id, k, int(v)) for r in pdf.itertuples(index=False) for k, v in enumerate(rows(*signal.decode_wav(r.content)))]
-            yield pd.DataFrame(out, columns=["file_id", "ordinal", "ms"])
-
-    return files.mapInPandas(run, "file_id string, ordinal bigint, ms bigint")
+    each = lambda r, x, rate: [(r["file_id"], k, int(v)) for k, v in enumerate(rows(x, rate))]
+    return signal.over_files(scores(_pieces(spark, d)), each, "file_id string, ordinal bigint, ms bigint", made)
 
 
 def voice_activity(spark, d):
     """Starts and ends of speech, in order."""
-    return _numbers(_files(spark, d), lambda x, rate: [v for s in signal.voice_activity(x, rate) for v in s])
+    return _numbers(spark, d, lambda x, rate: [v for s in signal.voice_activity(x, rate) for v in s])
 
 
 def restarts(spark, d):
     """Where the last attempt begins; recordings without a long pause, or that end in one, have none."""
-    return _numbers(_files(spark, d), lambda x, rate: [v for v in [signal.restart_ms(x, rate)] if v is not None])
+    return _numbers(spark, d, lambda x, rate: [v for v in [signal.restart_ms(x, rate)] if v is not None])
 
 
 def repeated_phrases(spark, d):
     """Phrases that the next one repeats."""
-    return _numbers(_files(spark, d), lambda x, rate: [v for s in signal.repetitions(x, rate) for v in s])
+    return _numbers(spark, d, lambda x, rate: [v for s in signal.repetitions(x, rate) for v in s])
 
 
 def silent_boundaries(spark, d):
     """Middles of the pauses, and of the longest of them."""
-    f = _files(spark, d)
-    every = _numbers(f, lambda x, rate: signal.dual_silences(x, rate))
-    one = _numbers(f, lambda x, rate: signal.dual_silences(x, rate, expected=1))
-    return every.withColumn("expected", F.lit(0)).unionByName(one.withColumn("expected", F.lit(1)))
+
+    def rows(r, x, rate):
+        for expected in (None, 1):
+            yield from ((r["file_id"], k, at, expected or 0) for k, at in enumerate(signal.dual_silences(x, rate, expected=expected)))
+
+    return signal.over_files(scores(_pieces(spark, d)), rows, "file_id string, ordinal bigint, ms bigint, expected int", made)
 
 
 def nasal_stretches(spark, d):
@@ -111,7 +130,7 @@ def nasal_stretches(spark, d):
         "frames": (6 + F.col("event_id") % 4 * 3).cast("int"), "level": F.lit(0.5), "hz": F.when(F.col("event_type") == "view", 300.0).otherwise(2000.0),
     })
     seg = p.select("file_id").distinct().select("file_id", F.lit(0.0).alias("start_ms"), F.lit(WHOLE_MS).alias("end_ms"))
-    m = signal.measure(seg, recordings(p, 10), lambda x, rate: signal.nasal_stretch(x, rate, 200.0), "acoustic_ms double, found boolean, corrected boolean")
+    m = signal.measure(seg, scores(p, 10), lambda x, rate: signal.nasal_stretch(x, rate, 200.0), "acoustic_ms double, found boolean, corrected boolean", made)
     return m.select("file_id", "acoustic_ms", "found", "corrected")
 
 
@@ -131,7 +150,7 @@ def echoes(spark, d):
         got = signal.echo(x, rate, 100.0)
         return got and got | {"skip_reason": got["skip"]}
 
-    m = signal.measure(seg, recordings(p, 5), kernel, "peak_ratio double, sustain_ms double, release_ms double, skip_reason string")
+    m = signal.measure(seg, scores(p, 5), kernel, "peak_ratio double, sustain_ms double, release_ms double, skip_reason string", made)
     return m.select("event_id", F.round("peak_ratio").alias("peak_ratio"), "sustain_ms", "release_ms", "skip_reason")
 
 
@@ -144,10 +163,12 @@ def segment_files(spark, d):
         (F.min("first") * float(FRAME)).alias("start_ms"), (F.max(F.col("first") + F.col("frames")) * float(FRAME)).alias("end_ms")
     ).withColumn("segment", F.col("_q").cast("int"))
     absent = seg.limit(1).withColumn("file_id", F.lit("absent"))
-    parts = corpus.segment_files(seg.unionByName(absent), recordings(p), 100.0).withColumn("file_id", F.concat_ws("/", "file_id", "segment"))
-    whole = parts.select("file_id", F.lit(0.0).alias("start_ms"), F.lit(WHOLE_MS).alias("end_ms"))
-    m = signal.measure(whole, parts, lambda x, rate: {"ms": len(x) / rate * 1000, "quiet": float(np.abs(x[: rate // 10]).max() == 0)}, "ms double, quiet double")
-    return m.select("file_id", "ms", "quiet")
+    parts = corpus.segment_files(seg.unionByName(absent), scores(p), 100.0, made)
+
+    def rows(r, x, rate):
+        yield f"{r['file_id']}/{r['segment']}", len(x) / rate * 1000, float(np.abs(x[: rate // 10]).max() == 0)
+
+    return signal.over_files(parts, rows, "file_id string, ms double, quiet double")
 
 
 _STEPS = recitation.Config(find_restarts=True)
@@ -155,18 +176,18 @@ _STEPS = recitation.Config(find_restarts=True)
 
 def preprocessed(spark, d):
     """Start of the last attempt and length of each recording, with and without the step."""
-    f = _files(spark, d)
-    both = [recitation.preprocess(f, c).withColumn("steps", F.lit(n)) for n, c in (("all", _STEPS), ("none", recitation.Config()))]
+    f = scores(_pieces(spark, d))
+    both = [recitation.preprocess(f, c, made).withColumn("steps", F.lit(n)) for n, c in (("all", _STEPS), ("none", recitation.Config()))]
     return both[0].unionByName(both[1]).select("file_id", "steps", "from_ms", "length_ms", F.size("repeated").cast("bigint").alias("n_repeated"))
 
 
 def segmented(spark, d):
     """Recordings cut at their longest silences, one to three verses each, where the last attempt alone counts."""
     p = _pieces(spark, d)
-    f = recordings(p)
+    f = scores(p)
     n = p.groupBy("file_id").agg(F.count("*").alias("n"))
     want = n.select("file_id", F.explode(F.sequence(F.lit(1), (1 + F.col("n") % 3).cast("int"))).alias("verse"), F.lit(1000.0).alias("length"))
-    return recitation.segment(f, recitation.preprocess(f, _STEPS), want, _STEPS)
+    return recitation.segment(f, recitation.preprocess(f, _STEPS, made), want, _STEPS, made)
 
 
 QUERIES = {f.__name__: f for f in (

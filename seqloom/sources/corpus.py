@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import signal
+
 CORPUS = (
     "metadata struct<source:string,edition:string,version:string>, surahs array<struct<number:int,name:string,name_arabic:string,"
     "revelation_type:string,ayahs:array<struct<number:int,text:string,juz:int,manzil:int,page:int>>>>"
@@ -176,19 +178,20 @@ def audio_path(base: str, chapter: Column, verse: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/surah_"), chapter.cast("string"), F.lit("_wav16k/"), F.format_string("%03d_%03d.wav", chapter, verse))
 
 
-def segment_files(segments: DataFrame, files: DataFrame, padding_ms: float = 0.0) -> DataFrame:
+def segment_files(segments: DataFrame, files: DataFrame, padding_ms: float = 0.0, read=signal.content) -> DataFrame:
     """segments(file_id, segment, start_ms, end_ms), files(file_id, content) -> file_id, segment, content: a
     16-bit file of each segment with silence around it; a recording is read once, an absent one gives none."""
-    import pandas as pd
 
-    from ..functions.signal import cut_wav
+    def run(batches):
+        import pyarrow as pa
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["file_id", "segment", "content"]
-        if "segment" not in a.columns or "content" not in b.columns or not len(b):
-            return pd.DataFrame({c: [] for c in columns}, dtype=object)
-        rows = [(r.file_id, r.segment, cut_wav(b["content"].iloc[0], r.start_ms, r.end_ms, padding_ms)) for r in a.itertuples(index=False)]
-        return pd.DataFrame(rows, columns=columns, dtype=object)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                file, parts = batch.column("file")[k].as_py(), batch.column("segments")[k].as_py()
+                if file is not None:
+                    cut = signal.cut_wavs(read(file), [(p["start_ms"], p["end_ms"]) for p in parts], padding_ms)
+                    columns = [pa.array([p["file_id"] for p in parts], pa.string()), pa.array([p["segment"] for p in parts], pa.int32()), pa.array(cut, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file_id", "segment", "content"])
 
-    left = segments.select("file_id", "segment", "start_ms", "end_ms").groupBy("file_id")
-    return left.cogroup(files.select("file_id", "content").groupBy("file_id")).applyInPandas(run, "file_id string, segment int, content binary")
+    joined = signal.with_segments(segments, files, ["file_id", "segment", "start_ms", "end_ms"])
+    return joined.mapInArrow(run, "file_id string, segment int, content binary")
