@@ -8,7 +8,8 @@
 - ``named_files`` writes a file for each row (name, value: text or binary; null is an empty file).
 
 Readers plan by the sizes of files alone: small files share a partition, and a recording is cut
-into byte ranges, of ``split`` bytes (32 MB) both. Conditions on ``file_id`` prune files before a task
+into byte ranges, of ``split`` bytes (32 MB) both; where that makes more than ``TASKS`` partitions, pieces share
+one, up to 32 MB. Conditions on ``file_id`` prune files before a task
 exists; those on ``tier`` and ``frame`` limit what a task decodes. Interval files are read line by
 line, recordings a few frames at a time, so a file of any length takes little memory.
 
@@ -36,6 +37,8 @@ from pyspark.sql.datasource import (
 )
 
 SPLIT = 32 << 20
+#: Partitions that a reader makes before they get larger than ``split``, up to ``SPLIT``.
+TASKS = 256
 #: Rows of a batch, and frames decoded at once.
 ROWS, FRAMES = 8192, 4096
 
@@ -60,7 +63,7 @@ class Pieces(InputPartition):
 
 
 def plan(path: str, ending: str, names: set[str] | None, split: int, cut: bool) -> list[Pieces]:
-    """Pieces of all files with the ending, packed into partitions of ``split`` bytes; ``cut``: files may be cut into ranges."""
+    """Pieces of all files with the ending, packed into partitions of ``split`` bytes, more where they would be many; ``cut``: files may be cut into ranges."""
     from pyarrow import fs
 
     system, root = storage(path)
@@ -69,16 +72,16 @@ def plan(path: str, ending: str, names: set[str] | None, split: int, cut: bool)
     else:
         hidden = re.compile(r"/[_.]")
         files = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and not hidden.search(f.path[len(root) :])]
+    files = [f for f in files if f.path.lower().endswith(ending) and (names is None or stem(f.path) in names)]
+    most = max(split, min(SPLIT, sum(f.size for f in files) // TASKS))
     out: list[Pieces] = []
     room = 0
     for f in sorted(files, key=lambda f: f.path):
-        if not f.path.lower().endswith(ending) or (names is not None and stem(f.path) not in names):
-            continue
         for a in range(0, max(f.size, 1), split if cut else max(f.size, 1)):
             b = min(a + split, f.size) if cut else f.size
             if not out or b - a > room:
                 out.append(Pieces([]))
-                room = split
+                room = most
             out[-1].pieces.append((f.path, a, b))
             room -= b - a
     return out
@@ -251,7 +254,7 @@ class FileWriter(DataSourceArrowWriter):
 
         system, root = storage(self.path)
         folder = f"{self._temporary(root)}/{uuid.uuid4().hex}"
-        any_row = False
+        any_row, known = False, set()
         for batch in batches:
             for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
                 if not name or name.startswith("/") or name.endswith("/") or ".." in name.split("/"):
@@ -259,7 +262,9 @@ class FileWriter(DataSourceArrowWriter):
                 target = f"{folder}/{name}"
                 if system.get_file_info(target).type != fs.FileType.NotFound:
                     raise ValueError(f"written twice: {name!r}")
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (parent := target.rsplit("/", 1)[0]) not in known:
+                    system.create_dir(parent, recursive=True)
+                    known.add(parent)
                 with system.open_output_stream(target) as out:
                     out.write(value.encode() if isinstance(value, str) else value or b"")
                 any_row = True

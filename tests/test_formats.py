@@ -114,3 +114,13 @@ def test_append_overwrite_empty_and_binary(spark, tmp_path):
     assert named() == {"d": "é".encode()}
     with pytest.raises(Exception, match="are needed"):
         spark.range(1).write.format("named_files").mode("append").save(path)
+
+
+def test_partitions_do_not_grow_with_small_pieces(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "TASKS", 4)
+    for k in range(40):
+        (tmp_path / f"{k:02d}.wav").write_bytes(b"x" * 1000)
+    parts = formats.plan(str(tmp_path), ".wav", None, 100, cut=True)
+    pieces = [p for x in parts for p in x.pieces]
+    assert len(parts) <= 5 and len(pieces) == 400 and all(b - a == 100 for _, a, b in pieces)
+    assert sorted({p for p, _, _ in pieces}) == sorted(str(tmp_path / f"{k:02d}.wav") for k in range(40))
