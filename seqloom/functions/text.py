@@ -1,11 +1,16 @@
 """Text normalisation, segmentation and letter analysis as column functions.
 
-All but Unicode normalisation and the similarity ratio are JVM expressions; those two are
-Arrow-batched functions, since Spark has no built-in for them.
+All but Unicode normalisation, the extraction of marks and the similarity ratio are JVM expressions;
+these are Arrow-batched functions, since Spark has no built-in for them. Texts that are normal by a
+look at their characters are not sent to one.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,21 +35,38 @@ LETTERS = "\u0621-\u064a\u0750-\u077f"
 WORD_SIGNS = "\u0621-\u064a\u064b-\u0652\u0670\u0671"
 ALL_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
 COMPARED_MARKS = "\u0610-\u061a\u064b-\u065f\u0670"
+#: Characters that stay as they are in every normal form, that do so in composed form, and marks
+#: that do so where no mark is beside them.
+NORMAL, NORMAL_NFC, NORMAL_ALONE = "\x00-\x7f\u0621\u0627-\u063a\u0641-\u064a\u0671", "\xa0-\u02ff", "\u064b-\u0652\u0670"
+#: Code points of a step of the functions that work on code points.
+CODES = 1 << 19
 
 
 def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def normalize(text: Column | str, form: str = "NFC") -> Column:
-    """Unicode normal form; a form that does not exist raises."""
+def _needs(text: Column, form: str) -> Column:
+    """Whether a text may change in a normal form: false only where it cannot."""
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"no Unicode normal form: {form}")
+    return text.rlike(f"[^{NORMAL}{NORMAL_NFC if form == 'NFC' else ''}{NORMAL_ALONE}]|[{NORMAL_ALONE}][{NORMAL_ALONE}]")
+
+
+def _where(needs: Column, text: Column, change) -> Column:
+    """``change`` (str -> str) of the texts that need it; only these are sent to Python."""
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.str.normalize(form)
+        return pd.Series([None if v is None else change(v) for v in s], index=s.index, dtype=object)
 
-    return run(as_column(text))
+    return F.when(needs, run(F.when(needs, text))).otherwise(text)
+
+
+def normalize(text: Column | str, form: str = "NFC") -> Column:
+    """Unicode normal form; a form that does not exist raises."""
+    t = as_column(text)
+    return _where(_needs(t, form), t, lambda v: unicodedata.normalize(form, v))
 
 
 def strip_invisible(text: Column | str) -> Column:
@@ -54,7 +76,8 @@ def strip_invisible(text: Column | str) -> Column:
 
 def clean(text: Column | str, form: str = "NFC") -> Column:
     """Decomposed, stripped, and composed again in the asked form."""
-    return normalize(strip_invisible(normalize(text, "NFD")), form)
+    t, gone = as_column(text), dict.fromkeys(map(ord, TATWEEL + ZERO_WIDTH + PAUSE_SIGNS))
+    return _where(_needs(t, form), t, lambda v: unicodedata.normalize(form, unicodedata.normalize("NFD", v).translate(gone)))
 
 
 def strip_marks(text: Column | str, marks: str = STRIPPED_MARKS) -> Column:
@@ -118,10 +141,9 @@ def vowel_of(marks: Column | str) -> Column:
     """Name of the first short vowel or tanween among marks, by place; null if none."""
     names = SHORT_MARKS | TANWEEN_MARKS
     first = F.regexp_extract(as_column(marks), "[" + "".join(names.values()) + "]", 0)
-    out = None
-    for name, mark in names.items():
-        out = F.when(first == mark, name) if out is None else out.when(first == mark, name)
-    return out
+    # nothing is found at place 1, a mark behind it
+    place = F.position(first, F.lit(" " + "".join(names.values())))
+    return F.get(F.array(F.lit(None).cast("string"), *[F.lit(n) for n in names]), place - 1)
 
 
 def mark_name(char: Column | str) -> Column:
@@ -150,9 +172,14 @@ def doubling_and_vowel(marks: Column | str) -> Column:
     return F.struct(has_mark(marks, "shaddah").alias("doubled"), vowel_of(marks).alias("vowel"))
 
 
+def _marks_of(text: Column) -> Column:
+    """The named marks of a decomposed text, nothing else."""
+    return F.regexp_replace(text, "[^" + "".join(MARK_NAMES.values()) + "]", "")
+
+
 def _known_marks(text: Column | str) -> Column:
     """The named marks of a text in canonical order, nothing else."""
-    return F.regexp_replace(normalize(text, "NFD"), "[^" + "".join(MARK_NAMES.values()) + "]", "")
+    return _marks_of(normalize(text, "NFD"))
 
 
 def mark_sequence(text: Column | str) -> Column:
@@ -165,7 +192,11 @@ def mark_sequence(text: Column | str) -> Column:
 
 def marked_letters(text: Column | str) -> Column:
     """Array of (letter, marks) of a text in decomposed form: letters with the marks right behind them."""
-    units = F.regexp_extract_all(normalize(text, "NFD"), F.lit(f"[{LETTERS}][{ALL_MARKS}]*"), F.lit(0))
+    return _marked(normalize(text, "NFD"))
+
+
+def _marked(text: Column) -> Column:
+    units = F.regexp_extract_all(text, F.lit(f"[{LETTERS}][{ALL_MARKS}]*"), F.lit(0))
     return F.transform(units, lambda u: F.struct(F.substring(u, 1, 1).alias("letter"), F.substring(u, F.lit(2), F.length(u)).alias("marks")))
 
 
@@ -187,23 +218,73 @@ def mark_statistics(text: Column | str) -> Column:
     )
 
 
+def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts of an Arrow array, one after the other, and where each text begins and the last one ends."""
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def steps(batches, text: str) -> Iterator:
+    """Parts of Arrow batches whose texts have about ``CODES`` code points, or one text."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CODES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, position, mark, name, base (the letter before, empty if none), at (code point in the decomposed text), letter (ordinal of the base)."""
-    chars = texts.select(*key, F.posexplode(F.split(normalize(text, "NFD"), "")).alias("at", "char")).where("char <> ''")
-    w = Window.partitionBy(*key).orderBy("at")
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chars = chars.withColumns({
-        "base": F.coalesce(F.last(F.when(is_letter("char"), F.col("char")), ignorenulls=True).over(before), F.lit("")),
-        "letter": F.sum(F.when(is_letter("char"), 1).otherwise(0)).over(before) - 1, "name": mark_name("char"),
-    }).where("name IS NOT NULL")
-    return chars.select(*key, (F.row_number().over(w) - 1).alias("position"), F.col("char").alias("mark"), "name", "base", "at", "letter")
+    """key, position, mark, name, base (the letter before, empty if none), at (code point in the decomposed text), letter (ordinal of the base).
+
+    A text is looked at where its row is, so no row a character is made and none is moved.
+    """
+    names, marks = list(MARK_NAMES), list(MARK_NAMES.values())
+    number, letter = np.full(0x780, -1, np.int8), np.zeros(0x780, bool)
+    number[[ord(m) for m in marks]] = range(len(marks))
+    letter[0x621:0x64B], letter[0x750:0x780] = True, True
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in steps(batches, "_t"):
+            codes, starts = code_points(batch.column("_t"))
+            codes = np.minimum(codes, 0x77E + 0x2)  # all others as one that is neither
+            codes = np.where(codes == 0x780, 0, codes)
+            is_letter, place = letter[codes], np.arange(len(codes))
+            at = np.flatnonzero(number[codes] >= 0)
+            row = np.searchsorted(starts, at, "right") - 1
+            first = starts[row]
+            last = np.maximum.accumulate(np.where(is_letter, place, -1))[at] if len(at) else at
+            passed = np.concatenate([[0], np.cumsum(is_letter)])
+            base = np.where(last >= first, codes[np.maximum(last, 0)] if len(at) else 0, 0)
+            kinds, which = np.unique(base, return_inverse=True)
+            n = number[codes[at]]
+            columns = [
+                *(batch.column(k).take(pa.array(row)) for k in key), pa.array((np.arange(len(at)) - np.searchsorted(row, row)).astype(np.int32)),
+                pa.array(marks).take(pa.array(n)), pa.array(names).take(pa.array(n)), pa.array([chr(k) if k else "" for k in kinds], pa.string()).take(pa.array(which.ravel())),
+                pa.array((at - first).astype(np.int32)), pa.array((passed[at] - passed[first] - 1).astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "position", "mark", "name", "base", "at", "letter"])
+
+    chars = texts.select(*key, normalize(text, "NFD").alias("_t"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields[:-1])
+    return chars.mapInArrow(run, f"{kept}, position int, mark string, name string, base string, at int, letter bigint")
 
 
 def word_analysis(word: Column | str) -> Column:
     """Letters of a word, its marks and vowels, letter by letter."""
-    units, w = marked_letters(word), as_column(word)
+    w = as_column(word)
+    t = normalize(w, "NFD")
+    units = _marked(t)
     return F.struct(
-        F.transform(units, lambda u: u["letter"]).alias("letters"), F.size(units).alias("n_letters"), F.length(_known_marks(word)).alias("n_marks"),
+        F.transform(units, lambda u: u["letter"]).alias("letters"), F.size(units).alias("n_letters"), F.length(_marks_of(t)).alias("n_marks"),
         letters_with(units, "sukoon").alias("sukoon_at"), letters_with(units, "shaddah").alias("shaddah_at"),
         F.transform(units, lambda u: F.coalesce(vowel_of(u["marks"]), F.lit("none"))).alias("vowels"),
         F.contains(w, F.lit(WASLA)).alias("has_wasla"), F.contains(w, F.lit(MARBUTA)).alias("has_marbuta"),

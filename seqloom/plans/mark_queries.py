@@ -94,10 +94,8 @@ def opening_formula(spark, d):
 
 def letter_units(spark, d):
     """Base letters with their marks, whether they are doubled or silent, and their vowel: how often each is."""
-    u = _verses(spark, d).select(F.explode(T.letter_units("text")).alias("u"))
-    return u.groupBy(
-        "u.letter", "u.marks", T.is_silent("u.marks").alias("is_silent"), T.doubling_and_vowel("u.marks")["doubled"].alias("doubled"), T.vowel_of("u.marks").alias("vowel"),
-    ).agg(F.count("*").alias("n"))
+    u = _verses(spark, d).select(F.explode(T.letter_units("text")).alias("u")).groupBy("u.letter", "u.marks").agg(F.count("*").alias("n"))
+    return u.select("letter", "marks", T.is_silent("marks").alias("is_silent"), T.doubling_and_vowel("marks")["doubled"].alias("doubled"), T.vowel_of("marks").alias("vowel"), "n")
 
 
 def highlight_spans(spark, d):

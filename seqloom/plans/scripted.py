@@ -7,9 +7,11 @@ final t is tied. Events become sounds and rule applications of a sequence for ea
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import context
 from .tables import KEY, ORDER, SQL_POS, positions, table
 
@@ -40,10 +42,87 @@ def _script_sql(text: str) -> str:
     return f"regexp_replace(regexp_replace({t}, '(^| )تهِ ', '\\1{ARTICLE}', 'g'), 'ت( |$)', 'ة\\1', 'g')"
 
 
+_ENDS = [ord(c) for c in ".!?\n"]
+#: By code point: the letter that it is or becomes, the mark that it becomes behind one, what it becomes elsewhere; 0: nothing.
+_LETTER, _MARK, _ELSE = (np.zeros(0x671, np.uint32) for _ in range(3))
+_LETTER[0x621:0x64B] = range(0x621, 0x64B)
+_LETTER[[ord(c) for c in PLAIN]] = [ord(c) for c in SCRIPT]
+for _plain, _mark in MARKS:
+    _MARK[[ord(c) for c in _plain]] = ord(_mark)
+_ELSE[[*range(0x64B, 0x653), 0x670, 0x20]] = [*range(0x64B, 0x653), 0x670, 0x20]
+_ELSE[[ord(c) for c in CARRIED]] = [ord(c) for c in CARRIERS]
+_T, _H, _I, _TIED, _SPACE = *map(ord, "تهِة"), 0x20
+
+
+def _scripts(codes: np.ndarray, starts: np.ndarray):
+    """What ``script`` makes of all sentences of lower-case texts: text's number, sentence's number, and the scripts as an Arrow array."""
+    import pyarrow as pa
+
+    codes = np.where(codes < 0x671, codes, 0)
+    ends = np.isin(codes, _ENDS)
+    letter = _LETTER[codes]
+    behind = np.concatenate([[False], letter[:-1] > 0])[: len(codes)]
+    behind[starts[:-1][starts[:-1] < len(codes)]] = False
+    out = np.where(letter > 0, letter, np.where(behind & (_MARK[codes] > 0), _MARK[codes], _ELSE[codes]))
+    # sentences by number, over all texts; a text's first one has the number of ends before it and of its own
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    passed = np.concatenate([[0], np.cumsum(ends)])
+    whole = passed[:-1] + text
+    keep = (out > 0) & ~ends
+    c, s = out[keep], whole[keep]
+
+    def near(by: int, value: int) -> np.ndarray:
+        """Whether the character ``by`` places on belongs to the same sentence and is ``value``."""
+        hit = np.zeros(len(c), bool)
+        if by > 0:
+            hit[:-by] = (c[by:] == value) & (s[by:] == s[:-by])
+        else:
+            hit[-by:] = (c[:by] == value) & (s[:by] == s[-by:])
+        return hit
+
+    def new() -> np.ndarray:
+        return np.concatenate([[True], s[1:] != s[:-1]])[: len(c)]
+
+    keep = (c != _SPACE) | ~(near(-1, _SPACE) | new())
+    c, s = c[keep], s[keep]
+    keep = (c != _SPACE) | ~np.concatenate([new()[1:], [True]])[: len(c)]
+    c, s = c[keep], s[keep]
+    # the article takes the space behind it, so of articles in a row every second one has none before it
+    at = np.flatnonzero((c == _T) & near(1, _H) & near(2, _I) & near(3, _SPACE) & (new() | near(-1, _SPACE)))
+    starts_row = np.concatenate([[True], np.diff(at) != 4])[: len(at)]
+    rank = np.arange(len(at)) - np.maximum.accumulate(np.where(starts_row, np.arange(len(at)), 0)) if len(at) else at
+    at = at[rank % 2 == 0]
+    for k, a in enumerate(ARTICLE):
+        c[at + k] = ord(a)
+    keep = np.ones(len(c), bool)
+    keep[at + 3] = False
+    c, s = c[keep], s[keep]
+    c[(c == _T) & (near(1, _SPACE) | np.concatenate([new()[1:], [True]])[: len(c)])] = _TIED
+    first = np.flatnonzero(new())
+    bytes_ = np.concatenate([[0], np.cumsum(np.where(c < 0x80, 1, 2))])
+    offsets = bytes_[np.append(first, len(c))].astype(np.int32)
+    data = c.astype(np.uint32).tobytes().decode("utf-32-le").encode()
+    scripts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+    of = text[np.searchsorted(whole, s[first])] if len(first) else first
+    return of, s[first] - of - passed[starts[of]], scripts
+
+
 def verses(texts: DataFrame, key: str) -> DataFrame:
-    """chapter (the text's key), verse (its sentence), text; sentences without letters are left out."""
-    parts = texts.select(F.col(key).alias("chapter"), F.posexplode(F.split("text", SENTENCE_END)).alias("verse", "_s"))
-    return parts.select("chapter", F.col("verse").cast("bigint").alias("verse"), script(F.col("_s")).alias("text")).where("text <> ''")
+    """chapter (the text's key), verse (its sentence), text; sentences without letters are left out.
+
+    ``script`` takes a dozen passes of regular expressions over each sentence; here all sentences of
+    a batch are made at once by tables of code points.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in T.steps(batches, "_t"):
+            of, verse, scripts = _scripts(*T.code_points(batch.column("_t")))
+            yield pa.RecordBatch.from_arrays([batch.column("chapter").take(pa.array(of)), pa.array(verse, pa.int64()), scripts], names=["chapter", "verse", "text"])
+
+    lower = texts.select(F.col(key).alias("chapter"), F.lower("text").alias("_t"))
+    return lower.mapInArrow(run, f"chapter {lower.schema['chapter'].dataType.simpleString()}, verse bigint, text string")
 
 
 def document_verses(spark, d) -> DataFrame:
