@@ -1,17 +1,19 @@
 """Text normalisation, segmentation and letter analysis as column functions.
 
 All but Unicode normalisation, the extraction of marks and the similarity ratio are JVM expressions;
-these are Arrow-batched functions, since Spark has no built-in for them. Texts that are normal by a
-look at their characters are not sent to one.
+these are functions of Arrow arrays, a part of a batch at a time, since Spark has no built-in for them.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,6 @@ LETTERS = "\u0621-\u064a\u0750-\u077f"
 WORD_SIGNS = "\u0621-\u064a\u064b-\u0652\u0670\u0671"
 ALL_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
 COMPARED_MARKS = "\u0610-\u061a\u064b-\u065f\u0670"
-#: Characters that stay as they are in every normal form, that do so in composed form, and marks
-#: that do so where no mark is beside them.
-NORMAL, NORMAL_NFC, NORMAL_ALONE = "\x00-\x7f\u0621\u0627-\u063a\u0641-\u064a\u0671", "\xa0-\u02ff", "\u064b-\u0652\u0670"
 #: Code points of a step of the functions that work on code points.
 CODES = 1 << 19
 
@@ -46,27 +45,36 @@ def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _needs(text: Column, form: str) -> Column:
-    """Whether a text may change in a normal form: false only where it cannot."""
-    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
-        raise ValueError(f"no Unicode normal form: {form}")
-    return text.rlike(f"[^{NORMAL}{NORMAL_NFC if form == 'NFC' else ''}{NORMAL_ALONE}]|[{NORMAL_ALONE}][{NORMAL_ALONE}]")
+def slices(texts) -> Iterator[tuple[int, int]]:
+    """(first, length) of parts of an Arrow array that have about ``CODES`` code points, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CODES, "right")))
+        yield a, b - a
+        a = b
+
 
+def _changed(text: Column, change) -> Column:
+    """``change`` (str -> str) of each text."""
 
-def _where(needs: Column, text: Column, change) -> Column:
-    """``change`` (str -> str) of the texts that need it; only these are sent to Python."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        part = lambda p: pa.array([None if v is None else change(v) for v in p.to_pylist()], pa.string())
+        return pa.concat_arrays([part(texts.slice(*at)) for at in slices(texts)] or [part(texts)])
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else change(v) for v in s], index=s.index, dtype=object)
+    return run(text)
 
-    return F.when(needs, run(F.when(needs, text))).otherwise(text)
+
+def _normal(text: str, form: str) -> str:
+    return text if unicodedata.is_normalized(form, text) else unicodedata.normalize(form, text)
 
 
 def normalize(text: Column | str, form: str = "NFC") -> Column:
     """Unicode normal form; a form that does not exist raises."""
-    t = as_column(text)
-    return _where(_needs(t, form), t, lambda v: unicodedata.normalize(form, v))
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"no Unicode normal form: {form}")
+    return _changed(as_column(text), lambda v: _normal(v, form))
 
 
 def strip_invisible(text: Column | str) -> Column:
@@ -76,8 +84,10 @@ def strip_invisible(text: Column | str) -> Column:
 
 def clean(text: Column | str, form: str = "NFC") -> Column:
     """Decomposed, stripped, and composed again in the asked form."""
-    t, gone = as_column(text), dict.fromkeys(map(ord, TATWEEL + ZERO_WIDTH + PAUSE_SIGNS))
-    return _where(_needs(t, form), t, lambda v: unicodedata.normalize(form, unicodedata.normalize("NFD", v).translate(gone)))
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"no Unicode normal form: {form}")
+    gone = re.compile(f"[{TATWEEL}{ZERO_WIDTH}{PAUSE_SIGNS}]+")
+    return _changed(as_column(text), lambda v: _normal(gone.sub("", _normal(v, "NFD")), form))
 
 
 def strip_marks(text: Column | str, marks: str = STRIPPED_MARKS) -> Column:
@@ -220,24 +230,16 @@ def mark_statistics(text: Column | str) -> Column:
 
 def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts of an Arrow array, one after the other, and where each text begins and the last one ends."""
-    import pyarrow.compute as pc
-
     texts = pc.fill_null(texts, "")
     codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     return codes, np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
 def steps(batches, text: str) -> Iterator:
-    """Parts of Arrow batches whose texts have about ``CODES`` code points, or one text."""
-    import pyarrow.compute as pc
-
+    """Parts of Arrow batches, as ``slices`` cuts them by a column of texts."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CODES, "right")))
-            yield batch.slice(a, b - a)
-            a = b
+        for at in slices(batch.column(text)):
+            yield batch.slice(*at)
 
 
 def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -251,12 +253,9 @@ def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataF
     letter[0x621:0x64B], letter[0x750:0x780] = True, True
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in steps(batches, "_t"):
-            codes, starts = code_points(batch.column("_t"))
-            codes = np.minimum(codes, 0x77E + 0x2)  # all others as one that is neither
-            codes = np.where(codes == 0x780, 0, codes)
+            codes, starts = code_points(pa.array([_normal(v or "", "NFD") for v in batch.column("_t").to_pylist()], pa.string()))
+            codes = np.where(codes < 0x780, codes, 0)  # all others are neither
             is_letter, place = letter[codes], np.arange(len(codes))
             at = np.flatnonzero(number[codes] >= 0)
             row = np.searchsorted(starts, at, "right") - 1
@@ -273,7 +272,7 @@ def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataF
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*key, "position", "mark", "name", "base", "at", "letter"])
 
-    chars = texts.select(*key, normalize(text, "NFD").alias("_t"))
+    chars = texts.select(*key, F.col(text).alias("_t"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields[:-1])
     return chars.mapInArrow(run, f"{kept}, position int, mark string, name string, base string, at int, letter bigint")
 
