@@ -197,7 +197,9 @@ def with_adaptive_limit(df: DataFrame, key: Sequence[str], value: str, tie: str,
 def adjacent_correlation(df: DataFrame, key: Sequence[str], block: str, place: str, value: str) -> DataFrame:
     """key, block, r: correlation of each block's values with the next block's, place by place; 0 where it is undefined."""
     after = df.select(*key, (F.col(block) - 1).alias(block), place, F.col(value).alias("_next"))
-    g = df.join(after, [*key, block, place]).groupBy(*key, block).agg(F.corr(value, "_next").alias("_r"), F.count("*").alias("_n"))
+    # corr divides by zero, which is an error, where all values of a block are the same
+    r = F.try_divide(F.covar_pop(value, "_next"), F.sqrt(F.var_pop(value) * F.var_pop("_next")))
+    g = df.join(after, [*key, block, place]).groupBy(*key, block).agg(r.alias("_r"), F.count("*").alias("_n"))
     return g.select(*key, block, F.when(F.col("_n") < 2, 0.0).otherwise(F.coalesce("_r", F.lit(0.0))).alias("r"))
 
 

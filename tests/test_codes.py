@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
+from seqloom.operators import intervals
 from seqloom.plans import scripted
 
 ODD = [
@@ -58,3 +59,10 @@ def test_normal_forms_in_parts(spark, monkeypatch):
     cleaned = df.select("k", T.clean("t").alias("t"))
     assert [r[0] for r in cleaned.orderBy("k").select("t").collect()] == [t and unicodedata.normalize("NFC", gone(t)) for _, t in rows]
     assert cleaned._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+
+
+def test_correlation_of_equal_values_is_no_error(spark):
+    rows = [(b, k, v) for b, block in enumerate([(1.0, 2.0, 4.0), (2.0, 4.0, 8.0), (0.1, 0.1, 0.1), (5.0, 1.0, 2.0)]) for k, v in enumerate(block)]
+    df = spark.createDataFrame(rows, "b int, k int, v double").withColumn("u", F.lit(1))
+    got = {r.b: round(r.r, 9) for r in intervals.adjacent_correlation(df, ["u"], "b", "k", "v").collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.0}
