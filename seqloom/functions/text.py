@@ -242,29 +242,78 @@ def steps(batches, text: str) -> Iterator:
             yield batch.slice(*at)
 
 
+#: By code point, the last one standing for all above: number of a named mark or -1, and whether it is a letter, or any mark.
+_NUMBER = np.full(0x781, -1, np.int8)
+_NUMBER[[ord(m) for m in MARK_NAMES.values()]] = range(len(MARK_NAMES))
+_IS_LETTER, _IS_MARK = (np.array([bool(re.match(f"[{c}]", chr(k))) for k in range(0x781)]) for c in (LETTERS, ALL_MARKS))
+
+
+def _decomposed(texts) -> tuple[np.ndarray, np.ndarray]:
+    """``code_points`` of the decomposed texts, in 16 bits: those above 0x780, which are neither letters nor marks, as 0x780."""
+    values = pc.fill_null(texts, "").to_pylist()
+    if not unicodedata.is_normalized("NFD", "".join(values)):  # of a decomposed text all parts are
+        texts = pa.array([_normal(v, "NFD") for v in values], pa.string())
+    codes, starts = code_points(texts)
+    return np.minimum(codes, 0x780).astype(np.uint16), starts
+
+
+def mark_sequences(texts: DataFrame, key: list[str], names: tuple[str, ...] = ("sukoon", "shaddah"), text: str = "text") -> DataFrame:
+    """key, signs (those of ``mark_sequence``), and for each of ``names`` the ordinals that ``letters_with`` gives, in ``<name>_at``.
+
+    As columns, these take a string a mark and a pass of regular expressions a name; here a part of a batch is looked at as a whole.
+    """
+    signs = np.array([MARK_SIGNS.get(n, "?").encode() for n in MARK_NAMES], "S2").view(np.uint8).reshape(-1, 2)
+    widths = (signs > 0).sum(1)
+
+    def letters(codes, starts, hits, passed, others):
+        """Ordinals of the letters that the marks at ``hits`` stand behind, with nothing but marks between."""
+        found = np.searchsorted(others, hits) - 1
+        hits, found = hits[found >= 0], others[found[found >= 0]]
+        first = starts[np.searchsorted(starts, hits, "right") - 1]
+        mine = (found >= first) & _IS_LETTER[codes[found]]
+        found, which = np.unique(found[mine], return_index=True)
+        ordinals = (passed[found] - passed[first[mine][which]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(found, starts).astype(np.int32)), pa.array(ordinals))
+
+    def run(batches):
+        for batch in steps(batches, "_t"):
+            given = batch.column("_t").is_valid()
+            codes, starts = _decomposed(batch.column("_t"))
+            at = np.flatnonzero(_NUMBER[codes] >= 0)
+            n = _NUMBER[codes[at]]
+            ends = np.concatenate([[0], np.cumsum(widths[n])])[np.searchsorted(at, starts)].astype(np.int32)
+            data = signs[n].ravel()
+            passed = np.concatenate([[0], np.cumsum(_IS_LETTER[codes])])
+            others = np.flatnonzero(~_IS_MARK[codes])
+            made = [pa.StringArray.from_buffers(len(given), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[data > 0].tobytes()))]
+            made += [letters(codes, starts, at[n == list(MARK_NAMES).index(name)], passed, others) for name in names]
+            made = [m if given.true_count == len(m) else pc.if_else(given, m, pa.scalar(None, m.type)) for m in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *made], names=[*key, "signs", *[f"{name}_at" for name in names]])
+
+    chars = texts.select(*key, F.col(text).alias("_t"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields[:-1])
+    return chars.mapInArrow(run, ", ".join([kept, "signs string", *[f"{name}_at array<int>" for name in names]]))
+
+
 def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, position, mark, name, base (the letter before, empty if none), at (code point in the decomposed text), letter (ordinal of the base).
 
     A text is looked at where its row is, so no row a character is made and none is moved.
     """
     names, marks = list(MARK_NAMES), list(MARK_NAMES.values())
-    number, letter = np.full(0x780, -1, np.int8), np.zeros(0x780, bool)
-    number[[ord(m) for m in marks]] = range(len(marks))
-    letter[0x621:0x64B], letter[0x750:0x780] = True, True
 
     def run(batches):
         for batch in steps(batches, "_t"):
-            codes, starts = code_points(pa.array([_normal(v or "", "NFD") for v in batch.column("_t").to_pylist()], pa.string()))
-            codes = np.where(codes < 0x780, codes, 0)  # all others are neither
-            is_letter, place = letter[codes], np.arange(len(codes))
-            at = np.flatnonzero(number[codes] >= 0)
+            codes, starts = _decomposed(batch.column("_t"))
+            is_letter, place = _IS_LETTER[codes], np.arange(len(codes))
+            at = np.flatnonzero(_NUMBER[codes] >= 0)
             row = np.searchsorted(starts, at, "right") - 1
             first = starts[row]
             last = np.maximum.accumulate(np.where(is_letter, place, -1))[at] if len(at) else at
             passed = np.concatenate([[0], np.cumsum(is_letter)])
             base = np.where(last >= first, codes[np.maximum(last, 0)] if len(at) else 0, 0)
             kinds, which = np.unique(base, return_inverse=True)
-            n = number[codes[at]]
+            n = _NUMBER[codes[at]]
             columns = [
                 *(batch.column(k).take(pa.array(row)) for k in key), pa.array((np.arange(len(at)) - np.searchsorted(row, row)).astype(np.int32)),
                 pa.array(marks).take(pa.array(n)), pa.array(names).take(pa.array(n)), pa.array([chr(k) if k else "" for k in kinds], pa.string()).take(pa.array(which.ravel())),

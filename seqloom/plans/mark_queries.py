@@ -41,9 +41,8 @@ def verse_mark_counts(spark, d):
 
 def verse_mark_sequences(spark, d):
     """Marks as signs, and which letters have sukoon and shaddah."""
-    units = T.marked_letters("text")
-    at = lambda name: F.array_join(T.letters_with(units, name).cast("array<string>"), ",")
-    return _verses(spark, d).select(*VERSE, T.mark_sequence("text").alias("signs"), at("sukoon").alias("sukoon_at"), at("shaddah").alias("shaddah_at"))
+    m = T.mark_sequences(_verses(spark, d), VERSE)
+    return m.select(*VERSE, "signs", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("sukoon_at", "shaddah_at")])
 
 
 def verse_mark_statistics(spark, d):

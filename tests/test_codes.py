@@ -66,3 +66,18 @@ def test_correlation_of_equal_values_is_no_error(spark):
     df = spark.createDataFrame(rows, "b int, k int, v double").withColumn("u", F.lit(1))
     got = {r.b: round(r.r, 9) for r in intervals.adjacent_correlation(df, ["u"], "b", "k", "v").collect()}
     assert got == {0: 1.0, 1: 0.0, 2: 0.0}
+
+
+def test_mark_sequences_are_the_columns_in_bounded_parts(spark, monkeypatch):
+    odd = ["\u064eب", None, "", "ب\u0651\u064eك\u0650\u0652 x \u0652", "آ\u064b", "ݐ\u0658\u0653\u0651\u0651 \u0651", "a\U0001f600ب\u0670", "\u0652", "ب\u0652\u0652", "\u0652\u0651ب"]
+    r = random.Random(3)
+    odd += ["".join(r.choice("بكآa \u0651\u0652\u064e\u064b\u0670\u06d6\u0653") for _ in range(r.randrange(30))) for _ in range(300)]
+    texts = spark.createDataFrame(list(enumerate(odd)), "k bigint, text string").repartition(3)
+    units = T.marked_letters("text")
+    want = texts.select("k", T.mark_sequence("text").alias("signs"), *[T.letters_with(units, n).alias(f"{n}_at") for n in ("sukoon", "shaddah")]).orderBy("k").collect()
+    got = T.mark_sequences(texts, ["k"])
+    assert got.orderBy("k").collect() == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "EvalPython" not in plan
+    monkeypatch.setattr(T, "CODES", 3)
+    assert T.mark_sequences(texts, ["k"]).orderBy("k").collect() == want
