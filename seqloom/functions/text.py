@@ -248,15 +248,39 @@ _NUMBER[[ord(m) for m in MARK_NAMES.values()]] = range(len(MARK_NAMES))
 _IS_LETTER, _IS_MARK = (np.array([bool(re.match(f"[{c}]", chr(k))) for k in range(0x781)]) for c in (LETTERS, ALL_MARKS))
 
 
+def _in_normal_form(texts, form: str):
+    """An Arrow array of texts, null as empty, in a normal form."""
+    values = pc.fill_null(texts, "").to_pylist()
+    if unicodedata.is_normalized(form, "".join(values)):  # so are its parts
+        return texts
+    return pa.array([_normal(v, form) for v in values], pa.string())
+
+
 def _decomposed(texts) -> tuple[np.ndarray, np.ndarray]:
     """``code_points`` of the decomposed texts, in 16 bits: those above 0x780, which are neither letters nor marks, as 0x780."""
-    values = pc.fill_null(texts, "").to_pylist()
-    if not unicodedata.is_normalized("NFD", "".join(values)):  # of a decomposed text all parts are
-        texts = pa.array([_normal(v, "NFD") for v in values], pa.string())
-    codes, starts = code_points(texts)
+    codes, starts = code_points(_in_normal_form(texts, "NFD"))
     return np.minimum(codes, 0x780).astype(np.uint16), starts
 
 
+def character_counts(texts: DataFrame, text: str = "text", decomposed: bool = False) -> DataFrame:
+    """ch, n: how often each character of the texts, or of their decomposed forms, occurs.
+
+    A partition is counted where it is and gives one row a character that it has, not one for each place.
+    """
+
+    def run(batches):
+        total = np.zeros(0x110000, np.int64)
+        for batch in steps(batches, "_t"):
+            values = batch.column("_t")
+            n = np.bincount(code_points(_in_normal_form(values, "NFD") if decomposed else values)[0])
+            total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(k) for k in at], pa.string()), pa.array(total[at])], names=["ch", "n"])
+
+    counted = texts.select(F.col(text).alias("_t")).mapInArrow(run, "ch string, n bigint")
+    return counted.groupBy("ch").agg(F.sum("n").alias("n"))
+
+
 def mark_sequences(texts: DataFrame, key: list[str], names: tuple[str, ...] = ("sukoon", "shaddah"), text: str = "text") -> DataFrame:
     """key, signs (those of ``mark_sequence``), and for each of ``names`` the ordinals that ``letters_with`` gives, in ``<name>_at``.
 

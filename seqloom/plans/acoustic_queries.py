@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import report
 from ..sources import inventory
 from . import acoustics as A
@@ -92,8 +93,8 @@ def spelling_map(spark, d):
     """Letters of all verses by the sounds of a spelling file; only its plain entries count."""
     m = inventory.spelling_of(inventory.parse(SPELLING))
     of = spark.createDataFrame(sorted(m.items()), "letter string, sound string")
-    letters = document_verses(spark, d).select(F.explode(F.split("text", "")).alias("letter"))
-    return letters.groupBy("letter").agg(F.count("*").alias("n")).join(of, "letter").select("letter", "sound", "n")
+    letters = T.character_counts(document_verses(spark, d)).withColumnRenamed("ch", "letter")
+    return letters.join(of, "letter").select("letter", "sound", "n")
 
 
 def verse_targets(spark, d):

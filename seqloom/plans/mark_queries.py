@@ -70,9 +70,8 @@ def text_statistics(spark, d):
 
 def character_classes(spark, d):
     """How many letters, marks and others the verses have."""
-    c = _verses(spark, d).select(F.explode(F.split(T.normalize("text", "NFD"), "")).alias("c")).where("c <> ''")
-    kind = F.when(T.is_letter("c"), "letter").when(T.is_mark("c"), "mark").otherwise("other")
-    return c.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    kind = F.when(T.is_letter("ch"), "letter").when(T.is_mark("ch"), "mark").otherwise("other")
+    return T.character_counts(_verses(spark, d), decomposed=True).groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"))
 
 
 def verse_text_forms(spark, d):

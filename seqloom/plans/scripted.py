@@ -42,69 +42,53 @@ def _script_sql(text: str) -> str:
     return f"regexp_replace(regexp_replace({t}, '(^| )تهِ ', '\\1{ARTICLE}', 'g'), 'ت( |$)', 'ة\\1', 'g')"
 
 
-_ENDS = [ord(c) for c in ".!?\n"]
-#: By code point: the letter that it is or becomes, the mark that it becomes behind one, what it becomes elsewhere; 0: nothing.
-_LETTER, _MARK, _ELSE = (np.zeros(0x671, np.uint32) for _ in range(3))
-_LETTER[0x621:0x64B] = range(0x621, 0x64B)
-_LETTER[[ord(c) for c in PLAIN]] = [ord(c) for c in SCRIPT]
+#: The end of a sentence or text among code points of script.
+_END, _SPACE = ord("\n"), ord(" ")
+#: By code point, the last one standing for all above: the mark that it becomes behind a letter, and what it is or becomes elsewhere (0: nothing).
+_MARK, _ELSE = (np.zeros(0x672, np.uint16) for _ in range(2))
+_ELSE[[*range(0x621, 0x653), 0x670, _SPACE]] = [*range(0x621, 0x653), 0x670, _SPACE]
+_ELSE[[ord(c) for c in PLAIN]] = [ord(c) for c in SCRIPT]
+_IS_LETTER = (_ELSE >= 0x621) & (_ELSE < 0x64B)
 for _plain, _mark in MARKS:
     _MARK[[ord(c) for c in _plain]] = ord(_mark)
-_ELSE[[*range(0x64B, 0x653), 0x670, 0x20]] = [*range(0x64B, 0x653), 0x670, 0x20]
 _ELSE[[ord(c) for c in CARRIED]] = [ord(c) for c in CARRIERS]
-_T, _H, _I, _TIED, _SPACE = *map(ord, "تهِة"), 0x20
+_ELSE[[ord(c) for c in ".!?\n"]] = _END
+_T, _H, _I, _TIED = map(ord, "تهِة")
 
 
 def _scripts(codes: np.ndarray, starts: np.ndarray):
     """What ``script`` makes of all sentences of lower-case texts: text's number, sentence's number, and the scripts as an Arrow array."""
     import pyarrow as pa
 
-    codes = np.where(codes < 0x671, codes, 0)
-    ends = np.isin(codes, _ENDS)
-    letter = _LETTER[codes]
-    behind = np.concatenate([[False], letter[:-1] > 0])[: len(codes)]
-    behind[starts[:-1][starts[:-1] < len(codes)]] = False
-    out = np.where(letter > 0, letter, np.where(behind & (_MARK[codes] > 0), _MARK[codes], _ELSE[codes]))
-    # sentences by number, over all texts; a text's first one has the number of ends before it and of its own
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    passed = np.concatenate([[0], np.cumsum(ends)])
-    whole = passed[:-1] + text
-    keep = (out > 0) & ~ends
-    c, s = out[keep], whole[keep]
-
-    def near(by: int, value: int) -> np.ndarray:
-        """Whether the character ``by`` places on belongs to the same sentence and is ``value``."""
-        hit = np.zeros(len(c), bool)
-        if by > 0:
-            hit[:-by] = (c[by:] == value) & (s[by:] == s[:-by])
-        else:
-            hit[-by:] = (c[:by] == value) & (s[:by] == s[-by:])
-        return hit
-
-    def new() -> np.ndarray:
-        return np.concatenate([[True], s[1:] != s[:-1]])[: len(c)]
-
-    keep = (c != _SPACE) | ~(near(-1, _SPACE) | new())
-    c, s = c[keep], s[keep]
-    keep = (c != _SPACE) | ~np.concatenate([new()[1:], [True]])[: len(c)]
-    c, s = c[keep], s[keep]
+    # an end stands behind each text, so each sentence has its end, and what follows on an end belongs to another one
+    codes = np.insert(np.minimum(codes, 0x671).astype(np.uint16), starts[1:], _END)
+    c = _ELSE[codes]
+    mark = _MARK[codes]
+    np.copyto(c[1:], mark[1:], where=_IS_LETTER[codes[:-1]] & (mark[1:] > 0))
+    last = np.searchsorted(np.flatnonzero(c == _END), starts[1:] + np.arange(len(starts) - 1)) + 1
+    c = c[c > 0]
+    c = c[np.concatenate([[True], (c[1:] != _SPACE) | (c[:-1] > _SPACE)])] if len(c) else c
+    c = c[1:] if len(c) and c[0] == _SPACE else c
+    c = c[np.concatenate([(c[:-1] != _SPACE) | (c[1:] != _END), [True]])] if len(c) else c
     # the article takes the space behind it, so of articles in a row every second one has none before it
-    at = np.flatnonzero((c == _T) & near(1, _H) & near(2, _I) & near(3, _SPACE) & (new() | near(-1, _SPACE)))
+    at = np.flatnonzero((c[:-3] == _T) & (c[1:-2] == _H) & (c[2:-1] == _I) & (c[3:] == _SPACE))
+    at = at[(at == 0) | (c[at - 1] <= _SPACE)]
     starts_row = np.concatenate([[True], np.diff(at) != 4])[: len(at)]
     rank = np.arange(len(at)) - np.maximum.accumulate(np.where(starts_row, np.arange(len(at)), 0)) if len(at) else at
     at = at[rank % 2 == 0]
     for k, a in enumerate(ARTICLE):
         c[at + k] = ord(a)
-    keep = np.ones(len(c), bool)
-    keep[at + 3] = False
-    c, s = c[keep], s[keep]
-    c[(c == _T) & (near(1, _SPACE) | np.concatenate([new()[1:], [True]])[: len(c)])] = _TIED
-    first = np.flatnonzero(new())
-    bytes_ = np.concatenate([[0], np.cumsum(np.where(c < 0x80, 1, 2))])
-    offsets = bytes_[np.append(first, len(c))].astype(np.int32)
-    data = c.astype(np.uint32).tobytes().decode("utf-32-le").encode()
-    scripts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
-    of = text[np.searchsorted(whole, s[first])] if len(first) else first
-    return of, s[first] - of - passed[starts[of]], scripts
+    c = np.delete(c, at + 3)
+    np.copyto(c[:-1], _TIED, where=(c[:-1] == _T) & (c[1:] <= _SPACE))
+    ends = np.flatnonzero(c == _END)
+    length = np.diff(ends, prepend=-1) - 1
+    size = 2 * length - np.diff(np.searchsorted(np.flatnonzero(c == _SPACE), ends), prepend=0)
+    filled = np.flatnonzero(length)
+    offsets = np.concatenate([[0], np.cumsum(size[filled])]).astype(np.int32)
+    data = c[c != _END].tobytes().decode("utf-16-le").encode()
+    scripts = pa.StringArray.from_buffers(len(filled), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+    of = np.searchsorted(last, filled, "right")
+    return of, filled - np.concatenate([[0], last])[of], scripts
 
 
 def verses(texts: DataFrame, key: str) -> DataFrame:

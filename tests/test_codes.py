@@ -3,12 +3,13 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
 from seqloom.operators import intervals
-from seqloom.plans import scripted
+from seqloom.plans import acoustic_queries, mark_queries, scripted
 
 ODD = [
     "", None, " ", "...", "the the the the cat. The end", "the", "t t. at  the the  t", "é a.éa!béb é?\n\n b", "aeiouyw bab. k", "the\tthe the x the t.", "İstanbul KELVIN Åb",
@@ -81,3 +82,19 @@ def test_mark_sequences_are_the_columns_in_bounded_parts(spark, monkeypatch):
     assert "regexp" not in plan and "EvalPython" not in plan
     monkeypatch.setattr(T, "CODES", 3)
     assert T.mark_sequences(texts, ["k"]).orderBy("k").collect() == want
+
+
+def test_characters_are_counted_without_a_row_each(spark, monkeypatch, tmp_path):
+    odd = [None, "", "abba", "b\u00e9", "e\u0301", "\U0001f600\U0001f600", "\U0010ffff", "\0"]
+    texts = spark.createDataFrame([(t,) for t in odd], "text string").repartition(3)
+    for n in (T.CODES, 2):
+        monkeypatch.setattr(T, "CODES", n)
+        for decomposed in (False, True):
+            want = Counter("".join(unicodedata.normalize("NFD", t) if decomposed else t for t in odd if t))
+            assert {r.ch: r.n for r in T.character_counts(texts, decomposed=decomposed).collect()} == want
+    spark.createDataFrame([(1, "bab ta."), (2, None), (3, "b!")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = acoustic_queries.spelling_map(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("ب", "b", 3), ("ت", "t", 1)]
+    assert sorted(map(tuple, mark_queries.character_classes(spark, str(tmp_path)).collect())) == [("letter", 4), ("mark", 2), ("other", 1)]
+    for f in (acoustic_queries.spelling_map, mark_queries.character_classes):
+        assert "explode" not in f(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
