@@ -319,6 +319,23 @@ def mark_sequences(texts: DataFrame, key: list[str], names: tuple[str, ...] = ("
     return chars.mapInArrow(run, ", ".join([kept, "signs string", *[f"{name}_at array<int>" for name in names]]))
 
 
+def mark_counts(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, and how often each named mark occurs in the text, in a column of its name; 0 for null."""
+
+    def run(batches):
+        for batch in steps(batches, "_t"):
+            codes, starts = _decomposed(batch.column("_t"))
+            at = np.flatnonzero(_NUMBER[codes] >= 0)
+            row = np.searchsorted(starts, at, "right") - 1
+            n = np.bincount(row * len(MARK_NAMES) + _NUMBER[codes[at]], minlength=(len(starts) - 1) * len(MARK_NAMES)).reshape(-1, len(MARK_NAMES))
+            counts = [pa.array(np.ascontiguousarray(c, np.int64)) for c in n.T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *counts], names=[*key, *MARK_NAMES])
+
+    chars = texts.select(*key, F.col(text).alias("_t"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields[:-1]]
+    return chars.mapInArrow(run, ", ".join([*kept, *[f"{n} bigint" for n in MARK_NAMES]]))
+
+
 def extract_marks(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, position, mark, name, base (the letter before, empty if none), at (code point in the decomposed text), letter (ordinal of the base).
 

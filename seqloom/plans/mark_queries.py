@@ -46,10 +46,10 @@ def verse_mark_sequences(spark, d):
 
 
 def verse_mark_statistics(spark, d):
-    s = _verses(spark, d).select(*VERSE, T.mark_statistics("text").alias("s"))
-    return s.select(
-        *VERSE, F.col("s.total").cast("bigint").alias("total"), *[F.col(f"s.{n}").cast("bigint").alias(n) for n in T.MARK_NAMES],
-        *[F.col(f"s.{c}").alias(c) for c in ("has_vowels", "has_sukoon", "has_shaddah", "has_tanween")],
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0).cast("bigint"))
+    kinds = {"vowels": T.SHORT_MARKS, "sukoon": ["sukoon"], "shaddah": ["shaddah"], "tanween": T.TANWEEN_MARKS}
+    return T.mark_counts(_verses(spark, d), VERSE).select(
+        *VERSE, total(T.MARK_NAMES).alias("total"), *T.MARK_NAMES, *[(total(names) > 0).alias(f"has_{kind}") for kind, names in kinds.items()],
     )
 
 

@@ -98,3 +98,12 @@ def test_characters_are_counted_without_a_row_each(spark, monkeypatch, tmp_path)
     assert sorted(map(tuple, mark_queries.character_classes(spark, str(tmp_path)).collect())) == [("letter", 4), ("mark", 2), ("other", 1)]
     for f in (acoustic_queries.spelling_map, mark_queries.character_classes):
         assert "explode" not in f(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mark_counts_are_the_statistics(spark, monkeypatch):
+    monkeypatch.setattr(T, "CODES", 3)
+    odd = ["\u064eب", "", "ب\u0651\u064eك\u0650\u0652 x \u0652", "آ\u064b", "a\U0001f600ب\u0670", "\u0652\u0652"]
+    texts = spark.createDataFrame(list(enumerate(odd)), "k bigint, text string")
+    want = texts.select("k", T.mark_statistics("text").alias("s")).select("k", *[F.col(f"s.{n}").cast("bigint").alias(n) for n in T.MARK_NAMES])
+    assert T.mark_counts(texts, ["k"]).orderBy("k").collect() == want.orderBy("k").collect()
+    assert T.mark_counts(spark.createDataFrame([(1, None)], "k int, text string"), ["k"]).first()[:] == (1, *[0] * len(T.MARK_NAMES))
