@@ -194,12 +194,18 @@ def with_adaptive_limit(df: DataFrame, key: Sequence[str], value: str, tie: str,
     return rows.withColumn("limit", F.greatest(low * factor, F.lit(least))).drop("_n", "_r")
 
 
-def adjacent_correlation(df: DataFrame, key: Sequence[str], block: str, place: str, value: str) -> DataFrame:
-    """key, block, r: correlation of each block's values with the next block's, place by place; 0 where it is undefined."""
-    after = df.select(*key, (F.col(block) - 1).alias(block), place, F.col(value).alias("_next"))
-    # corr divides by zero, which is an error, where all values of a block are the same
-    r = F.try_divide(F.covar_pop(value, "_next"), F.sqrt(F.var_pop(value) * F.var_pop("_next")))
-    g = df.join(after, [*key, block, place]).groupBy(*key, block).agg(r.alias("_r"), F.count("*").alias("_n"))
+def adjacent_correlation(df: DataFrame, key: Sequence[str], block: str, place: str, value: str, equal: float = 0.0) -> DataFrame:
+    """key, block, r: correlation of each block's values with the next block's, place by place, of places that have both.
+
+    0 for a single place or none with both; ``equal`` where all values of one of the blocks are the same.
+    """
+    after = df.select(*key, (F.col(block) - 1).alias(block), place, F.col(value).alias("_after"))
+    both = df.join(after, [*key, block, place]).withColumns({"_x": F.when(F.col("_after").isNotNull(), F.col(value)), "_y": F.when(F.col(value).isNotNull(), F.col("_after"))})
+    # partial sums of equal values are merged with rounding, so a variance need not be 0: smallest and largest values tell
+    same = (F.min("_x") == F.max("_x")) | (F.min("_y") == F.max("_y"))
+    # corr divides by zero, which is an error
+    r = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    g = both.groupBy(*key, block).agg(F.when(F.count("_x") > 0, F.when(same, equal).otherwise(F.coalesce(r, F.lit(equal)))).alias("_r"), F.count("*").alias("_n"))
     return g.select(*key, block, F.when(F.col("_n") < 2, 0.0).otherwise(F.coalesce("_r", F.lit(0.0))).alias("r"))
 
 

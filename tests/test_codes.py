@@ -1,15 +1,17 @@
 """Verses and marks by code points against the column expressions and plain Python."""
 
+import math
 import random
 import re
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
 from seqloom.operators import intervals
-from seqloom.plans import acoustic_queries, mark_queries, scripted
+from seqloom.plans import acoustic_queries, mark_queries, scripted, sequence_queries
 
 ODD = [
     "", None, " ", "...", "the the the the cat. The end", "the", "t t. at  the the  t", "é a.éa!béb é?\n\n b", "aeiouyw bab. k", "the\tthe the x the t.", "İstanbul KELVIN Åb",
@@ -69,6 +71,21 @@ def test_correlation_of_equal_values_is_no_error(spark):
     assert got == {0: 1.0, 1: 0.0, 2: 0.0}
 
 
+def test_correlation_of_equal_and_missing_values_is_that_of_the_sql(spark, tmp_path):
+    duck = pytest.importorskip("duckdb").connect()
+    r = random.Random(5)
+    # of user 0 to 5 each value stands 20 times in a row, of 6 and 7 some are missing, of 8 and 9 they differ
+    value = lambda u, k: 0.1 * (u + 1) + k // 20 / 3 if u < 6 else None if u < 8 and r.random() < 0.7 else r.random()
+    rows = [(u * 1000 + k, u, "view", value(u, k)) for u in range(10) for k in range(173)]
+    e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    e.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.sql(f"SELECT user_id, block, r FROM ({sequence_queries.ORACLES['adjacent_corr']})").fetchall()
+    plain = lambda found: sorted((u, b, repr(round(x, 4))) for u, b, x in found)
+    got = sequence_queries.adjacent_corr(spark, str(tmp_path)).select("user_id", "block", "r").collect()
+    assert plain(got) == plain(want) and sum(math.isnan(x) for _, _, x in want) > 100
+
+
 def test_mark_sequences_are_the_columns_in_bounded_parts(spark, monkeypatch):
     odd = ["\u064eب", None, "", "ب\u0651\u064eك\u0650\u0652 x \u0652", "آ\u064b", "ݐ\u0658\u0653\u0651\u0651 \u0651", "a\U0001f600ب\u0670", "\u0652", "ب\u0652\u0652", "\u0652\u0651ب"]
     r = random.Random(3)
