@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import math
 import wave
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -75,8 +76,8 @@ def scores(pieces: DataFrame, frame_ms: int = FRAME) -> DataFrame:
     return g.withColumn("frame_ms", F.lit(frame_ms))
 
 
-def recordings(pieces: DataFrame, frame_ms: int = FRAME) -> DataFrame:
-    """file_id, content: the recordings themselves, a few at a time."""
+def recordings(pieces: DataFrame, frame_ms: int = FRAME, stored: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """file_id, content: the recordings themselves, a few at a time, as they are to be ``stored``."""
 
     def run(batches):
         import pyarrow as pa
@@ -84,13 +85,13 @@ def recordings(pieces: DataFrame, frame_ms: int = FRAME) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 16):
                 rows = batch.slice(k, 16).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([r["file_id"] for r in rows], pa.string()), pa.array(map(made, rows), pa.binary())], names=["file_id", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["file_id"] for r in rows], pa.string()), pa.array((stored(made(r)) for r in rows), pa.binary())], names=["file_id", "content"])
 
     return scores(pieces, frame_ms).mapInArrow(run, "file_id string, content binary")
 
 
-def _files(spark, d) -> DataFrame:
-    return recordings(_pieces(spark, d))
+def _files(spark, d, stored: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    return recordings(_pieces(spark, d), stored=stored)
 
 
 def _numbers(spark, d, rows) -> DataFrame:

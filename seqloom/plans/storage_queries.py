@@ -27,8 +27,9 @@ def textgrid_files(spark, d):
 
 
 def recording_frames(spark, d):
-    """Recordings made of events as WAV files, read by byte ranges: which of ten levels each frame has; null: none."""
-    path = _written(spark, d, "recordings", _files(spark, d).select(F.concat("file_id", F.lit(".wav")).alias("name"), F.col("content").alias("value")))
+    """Recordings made of events as packed WAV files, read by byte ranges: which of ten levels each frame has; null: none."""
+    files = _files(spark, d, formats.packed).select(F.concat("file_id", F.lit(".wav.zst")).alias("name"), F.col("content").alias("value"))
+    path = _written(spark, d, "recordings", files)
     f = spark.read.format("recordings").option("frame_ms", FRAME).option("split", 1 << 16).load(path)
     level = F.sqrt(F.col("sum_squares") / F.col("n") * 2) / 32767
     return f.select("file_id", "frame", F.when(F.col("peak") > 0, F.round((level - 0.2) / 0.07)).cast("bigint").alias("level"))

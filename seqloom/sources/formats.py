@@ -4,12 +4,13 @@
 
 - ``intervals`` reads TextGrid files (a folder, searched to any depth, or one file): file_id, tier, idx, xmin, xmax, text.
 - ``recordings`` reads 16-bit WAV files by frames: file_id, frame, rate, n, sum_squares, peak, of the first channel.
-  Option ``frame_ms`` (10) is a frame's length; a shorter rest is a frame of its own.
+  Option ``frame_ms`` (10) is a frame's length; a shorter rest is a frame of its own. Files ``.wav.zst`` hold the same bytes
+  in zstd's seekable format, as ``packed`` makes it.
 - ``named_files`` writes a file for each row (name, value: text or binary; null is an empty file).
 
 Readers plan by the sizes of files alone: small files share a partition, and a recording is cut
-into byte ranges, of ``split`` bytes (32 MB) both; where that makes more than ``TASKS`` partitions, pieces share
-one, up to 32 MB. Conditions on ``file_id`` prune files before a task
+into byte ranges, of ``split`` bytes (32 MB) both, of packed ones as they are stored, a block belonging to the range in
+which it begins; where that makes more than ``TASKS`` partitions, pieces share one, up to 32 MB. Conditions on ``file_id`` prune files before a task
 exists; those on ``tier`` and ``frame`` limit what a task decodes. Interval files are read line by
 line, recordings a few frames at a time, so a file of any length takes little memory.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import uuid
 import wave
 from collections.abc import Iterable, Iterator
@@ -41,6 +43,8 @@ SPLIT = 32 << 20
 TASKS = 256
 #: Rows of a batch, and frames decoded at once.
 ROWS, FRAMES = 8192, 4096
+#: Bytes of a block of a packed file; fixed values of zstd's seekable format: its table's number, the number at its end, and the bit of checksums.
+BLOCK, SKIPPED, SEEKABLE, CHECKED = 1 << 16, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
 def storage(path: str):
@@ -51,8 +55,64 @@ def storage(path: str):
 
 
 def stem(path: str) -> str:
-    """A file's name without folders and ending."""
-    return re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    """A file's name without folders and ending, also that of a packed file."""
+    return re.sub(r"(?i)\.[^.]*(\.zst)?$", "", path.rsplit("/", 1)[-1])
+
+
+def packed(data: bytes, block: int = BLOCK) -> bytes:
+    """The bytes in zstd's seekable format: blocks that are read each by itself, and a table of their lengths; any zstd tool unpacks it."""
+    import pyarrow as pa
+
+    blocks = [data[k : k + block] for k in range(0, len(data), block)]
+    stored = [pa.compress(b, "zstd", asbytes=True) for b in blocks]
+    table = b"".join(struct.pack("<II", len(s), len(b)) for s, b in zip(stored, blocks)) + struct.pack("<IBI", len(blocks), 0, SEEKABLE)
+    return b"".join([*stored, struct.pack("<II", SKIPPED, len(table)), table])
+
+
+class Unpacked(io.RawIOBase):
+    """What a packed file holds; one block at a time is in memory."""
+
+    def __init__(self, file):
+        self.file, self.place, self.block = file, 0, (-1, b"")
+        end = file.seek(0, io.SEEK_END) - 9
+        file.seek(max(end, 0))
+        n, flags, kind = struct.unpack("<IBI", file.read(9)) if end >= 0 else (0, 0, 0)
+        if kind != SEEKABLE:
+            raise ValueError("not in zstd's seekable format")
+        width = 12 if flags & CHECKED else 8
+        file.seek(end - n * width)
+        lengths = np.frombuffer(file.read(n * width), "<u4").reshape(n, width // 4)
+        #: where each block begins in the file and in what it holds, and where the last one ends
+        self.stored, self.starts = (np.concatenate([[0], np.cumsum(lengths[:, k], dtype=np.int64)]) for k in (0, 1))
+
+    def held(self, a: int, b: int) -> tuple[int, int]:
+        """First byte and byte after the last of what the blocks hold that begin in these bytes of the file."""
+        return tuple(int(self.starts[np.searchsorted(self.stored[:-1], x)]) for x in (a, b))
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.place = offset + (0, self.place, int(self.starts[-1]))[whence]
+        return self.place
+
+    def readinto(self, target) -> int:
+        import pyarrow as pa
+
+        k = int(np.searchsorted(self.starts, self.place, "right")) - 1
+        if k == len(self.starts) - 1:
+            return 0
+        if k != self.block[0]:
+            self.file.seek(int(self.stored[k]))
+            stored = self.file.read(int(self.stored[k + 1] - self.stored[k]))
+            self.block = k, pa.decompress(stored, int(self.starts[k + 1] - self.starts[k]), "zstd", asbytes=True)
+        part = self.block[1][self.place - int(self.starts[k]) :][: len(target)]
+        target[: len(part)] = part
+        self.place += len(part)
+        return len(part)
 
 
 @dataclass
@@ -62,7 +122,7 @@ class Pieces(InputPartition):
     pieces: list[tuple[str, int, int]]
 
 
-def plan(path: str, ending: str, names: set[str] | None, split: int, cut: bool) -> list[Pieces]:
+def plan(path: str, ending: str | tuple[str, ...], names: set[str] | None, split: int, cut: bool) -> list[Pieces]:
     """Pieces of all files with the ending, packed into partitions of ``split`` bytes, more where they would be many; ``cut``: files may be cut into ranges."""
     from pyarrow import fs
 
@@ -195,7 +255,7 @@ class RecordingReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Pieces]:
-        return plan(self.path, ".wav", self.names, self.split, cut=True)
+        return plan(self.path, (".wav", ".wav.zst"), self.names, self.split, cut=True)
 
     def read(self, partition: Pieces):
         import pyarrow as pa
@@ -203,7 +263,13 @@ class RecordingReader(DataSourceReader):
         names = ["file_id", "frame", "rate", "n", "sum_squares", "peak"]
         system, _ = storage(self.path)
         for path, a, b in partition.pieces if partition else ():
-            with system.open_input_file(path) as file, wave.open(file) as w:
+            with system.open_input_file(path) as file:
+                if path.lower().endswith(".zst"):
+                    blocks = Unpacked(file)
+                    a, b = blocks.held(a, b)
+                    w = wave.open(io.BufferedReader(blocks, BLOCK))
+                else:
+                    w = wave.open(file)
                 if w.getsampwidth() != 2:
                     raise ValueError(f"{path}: only 16-bit audio is read")
                 size = max(1, w.getframerate() * self.frame_ms // 1000)
@@ -265,7 +331,7 @@ class FileWriter(DataSourceArrowWriter):
                 if (parent := target.rsplit("/", 1)[0]) not in known:
                     system.create_dir(parent, recursive=True)
                     known.add(parent)
-                with system.open_output_stream(target) as out:
+                with system.open_output_stream(target, compression=None) as out:  # not by the name's ending
                     out.write(value.encode() if isinstance(value, str) else value or b"")
                 any_row = True
         return Filled(folder if any_row else None)

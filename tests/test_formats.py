@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
+from seqloom.plans import storage_queries
 from seqloom.sources import formats, textgrid
 
 ODD = 'say ""hi"" to\n  them \n"' + "x" * 50
@@ -124,3 +125,54 @@ def test_partitions_do_not_grow_with_small_pieces(tmp_path, monkeypatch):
     pieces = [p for x in parts for p in x.pieces]
     assert len(parts) <= 5 and len(pieces) == 400 and all(b - a == 100 for _, a, b in pieces)
     assert sorted({p for p, _, _ in pieces}) == sorted(str(tmp_path / f"{k:02d}.wav") for k in range(40))
+
+
+@pytest.mark.parametrize("split", [1, 100, 333, 5000, 1 << 20])
+@pytest.mark.parametrize("block", [7, 300, 1 << 16])
+def test_packed_recordings_are_read_by_ranges(tmp_path, split, block):
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    x = np.random.default_rng(1).integers(-32768, 32768, 1234)
+    for name, samples in (("r.1", x), ("none", x[:0])):
+        (tmp_path / "a" / f"{name}.wav").write_bytes(recording(samples, 2))
+        (tmp_path / "b" / f"{name}.wav.zst").write_bytes(formats.packed(recording(samples, 2), block))
+    rows = lambda reader: [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    plain, packed = (formats.RecordingReader(str(tmp_path / f), split, 10) for f in "ab")
+    assert rows(packed) == rows(plain) and {r["file_id"] for r in rows(packed)} == {"r.1"}
+    assert split > 100 or len([p for x in packed.partitions() for p in x.pieces]) > 10
+    for reader in (plain, packed):
+        assert not list(reader.pushFilters([EqualTo(("file_id",), "r.1"), GreaterThan(("frame",), 2), LessThanOrEqual(("frame",), 9)]))
+    assert rows(packed) == rows(plain) and len(rows(packed)) == 7
+
+
+def test_packed_files_are_plain_zstd(tmp_path):
+    import pyarrow as pa
+
+    for data in (b"", b"x", os.urandom(1000) + bytes(300_000)):
+        path = tmp_path / f"{len(data)}.zst"
+        path.write_bytes(formats.packed(data))
+        with open(path, "rb") as f:
+            file = io.BufferedReader(formats.Unpacked(f))
+            assert file.read() == data and file.seek(-len(data) // 2, io.SEEK_END) + len(file.read()) == len(data)
+        if data:
+            assert pa.input_stream(str(path), compression="zstd").read() == data
+    (tmp_path / "x").write_bytes(b"RIFF")
+    with open(tmp_path / "x", "rb") as f, pytest.raises(ValueError, match="seekable"):
+        formats.Unpacked(f)
+
+
+def test_recordings_of_events_take_a_tenth_of_their_sound(spark, tmp_path, monkeypatch):
+    rows = [(k, k % 3, "error" if k % 5 == 0 else "view", 1.0) for k in range(300)]
+    e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(storage_queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    frames = storage_queries.recording_frames(spark, str(tmp_path)).count()
+    stored = [x for x in files(f"{tmp_path}/recordings") if "/part-" in x]
+    assert len(stored) == 15 and frames == sum(12 + k % 3 * 30 if k % 5 == 0 else 2 + k % 4 for k in range(300))
+    assert sum(map(os.path.getsize, stored)) < frames * 480 * 2 / 10
+
+
+def test_endings_do_not_change_what_is_written(spark, tmp_path):
+    formats.register(spark)
+    rows = spark.createDataFrame([("a.gz", bytearray(b"x")), ("b.wav.zst", bytearray(b"y"))], "name string, value binary")
+    rows.write.format("named_files").mode("append").save(str(tmp_path / "o"))
+    assert [open(x, "rb").read() for x in files(tmp_path / "o") if "/part-" in x] in ([b"x", b"y"], [b"y", b"x"])
