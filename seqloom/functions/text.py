@@ -36,6 +36,7 @@ STRIPPED_MARKS = "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652\u0654\u0655\u
 LETTERS = "\u0621-\u064a\u0750-\u077f"
 WORD_SIGNS = "\u0621-\u064a\u064b-\u0652\u0670\u0671"
 ALL_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
+SPACES = " \t\n\x0b\f\r"
 COMPARED_MARKS = "\u0610-\u061a\u064b-\u065f\u0670"
 #: Code points of a step of the functions that work on code points.
 CODES = 1 << 19
@@ -245,7 +246,10 @@ def steps(batches, text: str) -> Iterator:
 #: By code point, the last one standing for all above: number of a named mark or -1, and whether it is a letter, or any mark.
 _NUMBER = np.full(0x781, -1, np.int8)
 _NUMBER[[ord(m) for m in MARK_NAMES.values()]] = range(len(MARK_NAMES))
-_IS_LETTER, _IS_MARK = (np.array([bool(re.match(f"[{c}]", chr(k))) for k in range(0x781)]) for c in (LETTERS, ALL_MARKS))
+#: Also by code point: place among the vowels and tanween, from 1, or 0 for none.
+_VOWEL = np.zeros(0x781, np.int8)
+_VOWEL[[ord(m) for m in (SHORT_MARKS | TANWEEN_MARKS).values()]] = range(1, len(SHORT_MARKS | TANWEEN_MARKS) + 1)
+_IS_LETTER, _IS_MARK, _IS_SPACE = (np.array([bool(re.match(f"[{c}]", chr(k))) for k in range(0x781)]) for c in (LETTERS, ALL_MARKS, SPACES))
 
 
 def _in_normal_form(texts, form: str):
@@ -380,6 +384,46 @@ def word_analysis(word: Column | str) -> Column:
     )
 
 
+def word_analyses(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, idx (place among ``words``), and of each word what ``word_analysis`` gives: letters (joined), n_letters, n_marks, vowels (joined by commas), has_wasla, has_marbuta.
+
+    As columns, these take several passes of regular expressions over a word and a string a letter; here a part of a batch is looked at as a whole.
+    """
+    names = pa.array(["none", *SHORT_MARKS, *TANWEEN_MARKS])
+    columns = {"idx": "bigint", "letters": "string", "n_letters": "bigint", "n_marks": "bigint", "vowels": "string", "has_wasla": "boolean", "has_marbuta": "boolean"}
+    passed = lambda found: np.concatenate([[0], np.cumsum(found)])
+
+    def run(batches):
+        for batch in steps(batches, "_t"):
+            codes, starts = _decomposed(batch.column("_t"))
+            begins = _IS_SPACE[codes]
+            begins = ~begins & np.concatenate([[True], begins[:-1]])[: len(codes)]
+            at_start = starts[starts < len(codes)]
+            begins[at_start] = ~_IS_SPACE[codes[at_start]]
+            words = np.append(np.flatnonzero(begins), len(codes))
+            row = np.searchsorted(starts, words[:-1], "right") - 1
+            is_letter = _IS_LETTER[codes]
+            letters = passed(is_letter)
+            # a letter's vowel is the first of those right behind it, with nothing but marks between, in its own text
+            vowels = np.flatnonzero(_VOWEL[codes])
+            behind = np.maximum.accumulate(np.where(_IS_MARK[codes], -1, np.arange(len(codes))))[vowels] if len(codes) else vowels
+            its = (behind >= starts[np.searchsorted(starts, vowels, "right") - 1]) & is_letter[behind] & np.concatenate([[True], behind[1:] != behind[:-1]])[: len(behind)]
+            kinds = np.zeros(letters[-1], np.int8)
+            kinds[letters[behind[its]]] = _VOWEL[codes[vowels[its]]]
+            ends = letters[words].astype(np.int32)
+            data = codes[is_letter].tobytes().decode("utf-16-le").encode()  # two bytes a letter
+            made = [
+                pa.array(np.arange(len(row)) - np.searchsorted(row, row)), pa.StringArray.from_buffers(len(row), pa.py_buffer((2 * ends).tobytes()), pa.py_buffer(data)),
+                pa.array(np.diff(letters[words])), pa.array(np.diff(passed(_NUMBER[codes] >= 0)[words])), pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(kinds))), ","),
+                *(pa.array(np.diff(passed(codes == ord(c))[words]) > 0) for c in (WASLA, MARBUTA)),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in key), *made], names=[*key, *columns])
+
+    chars = texts.select(*key, F.col(text).alias("_t"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields[:-1]]
+    return chars.mapInArrow(run, ", ".join([*kept, *[f"{name} {kind}" for name, kind in columns.items()]]))
+
+
 def text_statistics(text: Column | str) -> Column:
     """Characters, letters, words, letters a word, marks, and whether the text can be processed."""
     t = as_column(text)

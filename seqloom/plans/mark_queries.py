@@ -55,11 +55,7 @@ def verse_mark_statistics(spark, d):
 
 def word_analyses(spark, d):
     """Letters and vowels of every word of the verses."""
-    w = _verses(spark, d).select(*VERSE, F.posexplode(T.words("text")).alias("idx", "word")).withColumn("a", T.word_analysis("word"))
-    return w.select(
-        *VERSE, F.col("idx").cast("bigint").alias("idx"), F.array_join("a.letters", "").alias("letters"), F.col("a.n_letters").cast("bigint").alias("n_letters"),
-        F.col("a.n_marks").cast("bigint").alias("n_marks"), F.array_join("a.vowels", ",").alias("vowels"), "a.has_wasla", "a.has_marbuta",
-    )
+    return T.word_analyses(_verses(spark, d), VERSE)
 
 
 def text_statistics(spark, d):

@@ -124,3 +124,23 @@ def test_mark_counts_are_the_statistics(spark, monkeypatch):
     want = texts.select("k", T.mark_statistics("text").alias("s")).select("k", *[F.col(f"s.{n}").cast("bigint").alias(n) for n in T.MARK_NAMES])
     assert T.mark_counts(texts, ["k"]).orderBy("k").collect() == want.orderBy("k").collect()
     assert T.mark_counts(spark.createDataFrame([(1, None)], "k int, text string"), ["k"]).first()[:] == (1, *[0] * len(T.MARK_NAMES))
+
+
+def test_word_analyses_are_the_columns_in_bounded_parts(spark, monkeypatch, tmp_path):
+    odd = ["\u064eب", None, "", " ", "ب\u0651\u064eك\u0650\u0652 x \u0652", "آ\u064b ك", "\u0651 \u064e", "\tٱلْ\x0b\x0cة\u2003ة\x1cب\r\n", "ݐ\u0658\u064e\u0650\u064bٱ\u064e", "a\U0001f600ب\u0670\u064d", "ب", "\u064e", "\u06d3\u064e أ\u064c"]
+    r = random.Random(4)
+    odd += ["".join(r.choice("بكآaٱة \t\u0651\u0652\u064e\u064b\u0670\u06d6\u0653\u0650") for _ in range(r.randrange(30))) for _ in range(400)]
+    texts = spark.createDataFrame(list(enumerate(odd)), "k bigint, text string").repartition(3)
+    w = texts.select("k", F.posexplode(T.words("text")).alias("idx", "word")).withColumn("a", T.word_analysis("word"))
+    want = sorted(map(tuple, w.select(
+        "k", "idx", F.array_join("a.letters", ""), "a.n_letters", "a.n_marks", F.array_join("a.vowels", ","), "a.has_wasla", "a.has_marbuta"
+    ).collect()))
+    for n in (T.CODES, 3, 40):
+        monkeypatch.setattr(T, "CODES", n)
+        assert sorted(map(tuple, T.word_analyses(texts, ["k"]).collect())) == want
+    assert len(want) > 900
+    spark.createDataFrame([(1, "bab ta."), (2, None), (3, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mark_queries.word_analyses(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "بب", 2, 1, "fatha,none", False, False), (1, 0, 1, "ت", 1, 1, "fatha", False, False)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "EvalPython" not in plan and "explode" not in plan
